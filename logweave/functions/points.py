@@ -19,7 +19,7 @@ POINT_TYPE = (
 # Fixed value: texts that read as a floating point number.
 _DIGITS = r"\d+(_\d+)*"
 FLOAT_TEXT = (
-    rf"(?i)^[+-]?(({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})(e[+-]?{_DIGITS})?|inf|infinity|nan)$"
+    rf"(?iU)^\s*[+-]?(({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})(e[+-]?{_DIGITS})?|inf|infinity|nan)\s*$"
 )
 
 Normalizer = Callable[[Column, Column, Column], Column]
@@ -36,10 +36,15 @@ def register_normalizer(kind: str) -> Callable[[Normalizer], Normalizer]:
     return add
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def text_float(text: Column) -> Column:
     """Number in a text, null if it is none; blanks around it are allowed."""
-    body = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    return F.when(body.rlike(FLOAT_TEXT), F.replace(body, F.lit("_"), F.lit(""))).try_cast("double")
+    body = F.regexp_replace(text, r"(?U)^\s+|\s+$|(?<=\d)_(?=\d)", "")
+    return F.when(text.rlike(FLOAT_TEXT), body).try_cast("double")
 
 
 def get(payload: Column, path: str | Column, kind: str = "variant") -> Column:
@@ -58,23 +63,26 @@ def is_object(value: Column) -> Column:
 
 def variant_float(value: Column) -> Column:
     """Number held by a JSON value: numbers, booleans and numeric texts count."""
-    text = get(value, "$", "string")
-    return F.when(_kind(value) == "STRING", text_float(text)).otherwise(get(value, "$", "double"))
+    return let(
+        value,
+        lambda v: F.when(_kind(v) == "STRING", text_float(get(v, "$", "string"))).otherwise(get(v, "$", "double")),
+    )
 
 
 def truthy(value: Column) -> Column:
     """Whether a JSON value is non-zero and non-empty; null is not."""
-    text = get(value, "$", "string")
-    kind = _kind(value)
-    return (
-        F.when(kind == "VOID", False)
-        .when(kind == "STRING", text != "")
-        .when(kind == "BOOLEAN", text == "true")
-        .when(kind == "OBJECT<>", False)
-        .when(kind.startswith("OBJECT"), True)
-        .when(kind.startswith("ARRAY"), F.size(get(value, "$", "array<variant>")) > 0)
-        .otherwise(get(value, "$", "double") != 0)
-    )
+
+    def by_kind(v: Column, kind: Column) -> Column:
+        return (
+            F.when(kind == "VOID", False)
+            .when(kind == "STRING", get(v, "$", "string") != "")
+            .when(kind == "BOOLEAN", get(v, "$", "boolean"))
+            .when(kind.startswith("OBJECT"), kind != "OBJECT<>")
+            .when(kind.startswith("ARRAY"), F.size(get(v, "$", "array<variant>")) > 0)
+            .otherwise(get(v, "$", "double") != 0)
+        )
+
+    return let(value, lambda v: let(_kind(v), lambda kind: by_kind(v, kind)))
 
 
 def text_or_empty(payload: Column, path: str) -> Column:
@@ -97,109 +105,109 @@ def point(
     unit: Column | None = None,
     type_: Column | None = None,
 ) -> Column:
-    """One point, null when it has no number."""
-    made = F.struct(
-        name.alias("name"),
-        (type_ if type_ is not None else F.lit("gauge")).alias("type"),
-        value.alias("value"),
-        (unit if unit is not None else F.lit(None).cast("string")).alias("unit"),
-        time_nano.alias("time_unix_nano"),
-        resource.alias("resource"),
-        (attributes if attributes is not None else string_map()).alias("attributes"),
-    )
-    return F.when(value.isNotNull(), made.cast(POINT_TYPE))
+    """Array of one point, empty when there is no number."""
+
+    def made(number: Column) -> Column:
+        return F.struct(
+            name.alias("name"),
+            (type_ if type_ is not None else F.lit("gauge")).alias("type"),
+            number.alias("value"),
+            (unit if unit is not None else F.lit(None).cast("string")).alias("unit"),
+            time_nano.alias("time_unix_nano"),
+            resource.alias("resource"),
+            (attributes if attributes is not None else string_map()).alias("attributes"),
+        ).cast(POINT_TYPE)
 
+    return F.transform(F.array_compact(F.array(value)), made)
 
-def _points(*made: Column) -> Column:
-    return F.array_compact(F.array(*made))
+
+def no_points() -> Column:
+    return F.expr(f"CAST(array() AS array<{POINT_TYPE}>)")
 
 
 @register_normalizer("telegraf")
 def telegraf(payload: Column, config: Column, now_nano: Column) -> Column:
     """Points of one agent metric, by its name; unknown names use their ``value`` field."""
-    name = F.lower(text_or_empty(payload, "$.name"))
-    stamp = get(payload, "$.timestamp")
-    numeric = _kind(stamp).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    time_nano = F.when(
-        numeric, (get(stamp, "$", "double") * F.lit(1e9)).cast("bigint")
-    ).otherwise(now_nano)
-    resource = string_map(
-        ("host", text_or_empty(payload, "$.tags.host")), ("vendor", F.lit("telegraf"))
-    )
-    device = string_map(("device", text_or_empty(payload, "$.tags.device")))
-    path = string_map(("path", text_or_empty(payload, "$.tags.path")))
-
-    def field(key: str) -> Column:
-        return get(payload, f"$.fields.{key}")
 
-    def number(key: str) -> Column:
-        return variant_float(field(key))
-
-    health = F.when(field("health_ok").isNotNull(), truthy(field("health_ok")).cast("double"))
-    return (
-        F.when(
-            name == "cpu_temperature",
-            _points(
-                point(F.lit("system.cpu.temperature"), number("value"), time_nano, resource, unit=F.lit("C"))
-            ),
-        )
-        .when(
-            name == "smart_device",
-            _points(
-                point(F.lit("smart.health_ok"), health, time_nano, resource, device),
-                point(F.lit("smart.power_on_hours"), number("power_on_hours"), time_nano, resource, device, F.lit("h")),
-            ),
-        )
-        .when(
-            name == "disk",
-            _points(point(F.lit("fs.used_percent"), number("used_percent"), time_nano, resource, path, F.lit("%"))),
-        )
-        .otherwise(
-            _points(point(F.concat(F.lit("telegraf."), name), number("value"), time_nano, resource))
+    def stamped(name: Column, stamp: Column) -> Column:
+        numeric = _kind(stamp).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        time_nano = F.when(numeric, (get(stamp, "$", "double") * F.lit(1e9)).cast("bigint")).otherwise(now_nano)
+        resource = string_map(("host", text_or_empty(payload, "$.tags.host")), ("vendor", F.lit("telegraf")))
+        device = string_map(("device", text_or_empty(payload, "$.tags.device")))
+        path = string_map(("path", text_or_empty(payload, "$.tags.path")))
+
+        def field(key: str) -> Column:
+            return get(payload, f"$.fields.{key}")
+
+        def number(key: str) -> Column:
+            return variant_float(field(key))
+
+        def one(name: Column, value: Column, attributes: Column | None = None, unit: str | None = None) -> Column:
+            return point(name, value, time_nano, resource, attributes, F.lit(unit).cast("string"))
+
+        health = truthy(field("health_ok")).cast("double")
+        return (
+            F.when(name == "cpu_temperature", one(F.lit("system.cpu.temperature"), number("value"), unit="C"))
+            .when(
+                name == "smart_device",
+                F.concat(
+                    one(F.lit("smart.health_ok"), health, device),
+                    one(F.lit("smart.power_on_hours"), number("power_on_hours"), device, "h"),
+                ),
+            )
+            .when(name == "disk", one(F.lit("fs.used_percent"), number("used_percent"), path, "%"))
+            .otherwise(one(F.concat(F.lit("telegraf."), name), number("value")))
         )
-    )
+
+    name = F.lower(text_or_empty(payload, "$.name"))
+    return let(name, lambda n: let(get(payload, "$.timestamp"), lambda stamp: stamped(n, stamp)))
 
 
 @register_normalizer("snmp")
 def snmp(payload: Column, config: Column, now_nano: Column) -> Column:
     """The point of a reading whose oid is mapped in the source's config."""
-    oid = text_or_empty(payload, "$.oid")
-    rule = F.try_element_at(config["oids"], oid)
-    number = variant_float(get(payload, "$.value"))
-    value = F.when(~rule["scaled"], number).otherwise(number * rule["scale"])
-    return _points(
-        F.when(
-            rule.isNotNull(),
-            point(
-                F.coalesce(F.nullif(rule["name"], F.lit("")), oid),
-                value,
-                now_nano,
-                string_map(("host", text_or_empty(payload, "$.host")), ("vendor", F.lit("snmp"))),
-                string_map(("oid", oid)),
-                rule["unit"],
-                F.coalesce(F.nullif(rule["type"], F.lit("")), F.lit("gauge")),
-            ),
+
+    def mapped(oid: Column, rule: Column) -> Column:
+        number = variant_float(get(payload, "$.value"))
+        value = F.when(rule["scaled"], number * rule["scale"]).otherwise(number)
+        made = point(
+            F.coalesce(F.nullif(rule["name"], F.lit("")), oid),
+            value,
+            now_nano,
+            string_map(("host", text_or_empty(payload, "$.host")), ("vendor", F.lit("snmp"))),
+            string_map(("oid", oid)),
+            rule["unit"],
+            F.coalesce(F.nullif(rule["type"], F.lit("")), F.lit("gauge")),
         )
+        return F.when(rule.isNotNull(), made).otherwise(no_points())
+
+    return let(
+        text_or_empty(payload, "$.oid"),
+        lambda oid: let(F.try_element_at(config["oids"], oid), lambda rule: mapped(oid, rule)),
     )
 
 
 def _extracted(body: Column, extractors: Column, now_nano: Column) -> Column:
+    def key(name: Column) -> Column:
+        return F.concat(F.lit("$['"), name, F.lit("']"))
+
+    def per_item(ex: Column, item: Column) -> Column:
+        def with_attr(attr: Column) -> Column:
+            return F.when(attr.isNotNull(), F.create_map(ex["attr_key"], attr)).otherwise(string_map())
+
+        return point(
+            ex["name"],
+            variant_float(get(item, key(ex["field"]))),
+            now_nano,
+            string_map(("vendor", F.lit("dcim_http"))),
+            let(get(item, key(ex["attr_key"]), "string"), with_attr),
+            ex["unit"],
+            ex["type"],
+        )
+
     def per_extractor(ex: Column) -> Column:
         items = F.coalesce(get(body, ex["path"], "array<variant>"), F.expr("CAST(array() AS array<variant>)"))
-
-        def per_item(item: Column) -> Column:
-            attr = get(item, F.concat(F.lit("$['"), ex["attr_key"], F.lit("']")), "string")
-            return point(
-                ex["name"],
-                variant_float(get(item, F.concat(F.lit("$['"), ex["field"], F.lit("']")))),
-                now_nano,
-                string_map(("vendor", F.lit("dcim_http"))),
-                F.when(attr.isNotNull(), F.create_map(ex["attr_key"], attr)).otherwise(string_map()),
-                ex["unit"],
-                ex["type"],
-            )
-
-        return F.array_compact(F.transform(items, per_item))
+        return F.flatten(F.transform(items, lambda item: per_item(ex, item)))
 
     return F.flatten(F.transform(extractors, per_extractor))
 
@@ -220,13 +228,18 @@ def redfish_extractors() -> Column:
 
 
 def dcim_http(payload: Column, config: Column, now_nano: Column, redfish: bool = True) -> Column:
-    """Numbers that the configured extractors find in a sensor response."""
-    body = get(payload, "$.body")
-    none = F.expr(f"CAST(array() AS array<{POINT_TYPE}>)")
-    preset = _extracted(body, redfish_extractors(), now_nano) if redfish else none
-    configured = F.coalesce(_extracted(body, config["extract"], now_nano), none)
-    made = F.when(F.coalesce(config["schema"], F.lit("")) == "redfish", preset).otherwise(configured)
-    return F.when(is_object(body), made).otherwise(none)
+    """Numbers that the extractors of the source find in a sensor response.
+
+    A source with the Redfish schema uses the built-in extractor, unless ``redfish`` is off: then
+    it gives no points.
+    """
+    configured = F.coalesce(config["extract"], F.slice(redfish_extractors(), 1, 0))
+    preset = redfish_extractors() if redfish else F.slice(redfish_extractors(), 1, 0)
+    extractors = F.when(F.coalesce(config["schema"], F.lit("")) == "redfish", preset).otherwise(configured)
+    return let(
+        get(payload, "$.body"),
+        lambda body: F.when(is_object(body), _extracted(body, extractors, now_nano)).otherwise(no_points()),
+    )
 
 
 register_normalizer("dcim_http")(dcim_http)

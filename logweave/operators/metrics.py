@@ -26,7 +26,6 @@ def with_points(
     sources without config count as having an empty one.
     """
     normalizers = P.NORMALIZERS if normalizers is None else normalizers
-    none = F.expr(f"CAST(array() AS array<{P.POINT_TYPE}>)")
     kind = T.source_kind(F.col("source"))
     payload = F.when(kind.isin(*normalizers), F.try_parse_json(F.col("line")))
     df = lines.withColumns({"_kind": kind, "_payload": payload})
@@ -37,7 +36,7 @@ def with_points(
         value = fn(F.col("_payload"), F.col("source_config"), now_nano)
         cond = (F.col("_kind") == name) & P.is_object(F.col("_payload"))
         made = F.when(cond, value) if made is None else made.when(cond, value)
-    points = F.coalesce(made, none) if made is not None else none
+    points = F.coalesce(made, P.no_points()) if made is not None else P.no_points()
     return df.withColumn("points", points).select(*lines.columns, "points")
 
 
@@ -50,9 +49,18 @@ def split_metrics_logs(with_points_df: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def metric_points(with_points_df: DataFrame) -> DataFrame:
     """One row per point with the log_id it came from."""
-    return with_points_df.select("log_id", F.posexplode("points").alias("point_no", "_p")).select(
-        "log_id", "point_no", "_p.*"
-    )
+    exploded = exploded_once(with_points_df, "log_id")
+    return exploded.select("log_id", "point_no", "_p.*")
+
+
+def exploded_once(with_points_df: DataFrame, *keep: str) -> DataFrame:
+    """Kept columns, point_no and the point ``_p``.
+
+    The outer form is used because Spark guards an inner one with a filter on the array, which
+    would compute all points twice.
+    """
+    rows = with_points_df.select(*keep, F.posexplode_outer("points").alias("point_no", "_p"))
+    return rows.filter(F.col("_p").isNotNull())
 
 
 def metrics_with_config(lines: DataFrame, sources: DataFrame) -> DataFrame:

@@ -187,7 +187,7 @@ SNMP = """
 readings AS (
   SELECT p_partkey AS log_id, 'sw' || (p_partkey % 7) AS host, '1.3.6.1.' || (p_partkey % 20) AS oid,
     CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_retailprice END AS value,
-    p_partkey % 30 + 1 AS source_id, (1704067200 + p_partkey) * 1000000000 AS nano FROM part),
+    p_partkey % 30 + 1 AS source_id, (1704067200 + p_partkey)::BIGINT * 1000000000 AS nano FROM part),
 snmp_points AS (
   SELECT r.*, 'port.speed.' || (log_id % 20) AS name,
     CASE WHEN (log_id % 20) % 4 = 0 THEN value * 0.01 ELSE value END AS scaled
@@ -198,7 +198,7 @@ SENSORS = """
 sensors AS (
   SELECT *, s_nationkey::BIGINT * 1000000 + s_suppkey // 250 AS log_id,
     row_number() OVER (PARTITION BY s_nationkey, s_suppkey // 250 ORDER BY s_suppkey) - 1 AS pos,
-    (1704067200 + s_nationkey) * 1000000000 AS nano,
+    (1704067200 + s_nationkey)::BIGINT * 1000000000 AS nano,
     CASE WHEN s_suppkey % 9 IN (0, 1) THEN NULL ELSE round(s_acctbal, 2) END AS reading FROM supplier)"""
 
 ISSUES = PARSED + "," + sessions("parsed", "os, issue_key", 120_000_000) + """,
