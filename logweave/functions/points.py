@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from logweave.functions.text import let
+
 POINT_TYPE = (
     "struct<name:string,type:string,value:double,unit:string,time_unix_nano:bigint,"
     "resource:map<string,string>,attributes:map<string,string>>"
@@ -36,11 +38,6 @@ def register_normalizer(kind: str) -> Callable[[Normalizer], Normalizer]:
     return add
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with the value computed once, however often ``then`` uses it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def text_float(text: Column) -> Column:
     """Number in a text, null if it is none; blanks around it are allowed."""
     body = F.regexp_replace(text, r"(?U)^\s+|\s+$|(?<=\d)_(?=\d)", "")

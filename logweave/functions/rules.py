@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from logweave.functions.text import let
+
 # Failure rules in the order in which the first match names the label.
 FAILURE_RULES: tuple[tuple[str, str], ...] = (
     (
@@ -41,10 +44,47 @@ DEFAULT_COOLDOWN = "15m"
 FALLBACK_COOLDOWN_SEC = 900
 
 
+def needed_words(pattern: str) -> list[str] | None:
+    """Texts of which at least one is in everything the pattern matches; null if not plain to see.
+
+    Only patterns of the form ``\\b(a|b|c)\\b`` are read, each alternative by its longest literal run.
+    """
+    body = re.fullmatch(r"\\b\(([^(){}\\]*)\)\\b", pattern)
+    if body is None:
+        return None
+    words = []
+    for alternative in body.group(1).split("|"):
+        # optional parts, classes and wildcards end a run
+        runs = re.split(r"\[[^\]]*\][*+?]?|\.[*+?]?|.[*?]|[\^$+]", alternative)
+        words.append(max(runs, key=len).lower())
+    return list(dict.fromkeys(words)) if all(w.isascii() and w for w in words) else None
+
+
 def failure_labels(text: Column, rules: Sequence[tuple[str, str]] = FAILURE_RULES) -> Column:
-    """Names of all rules that match, in rule order."""
-    hits = [F.when(text.rlike("(?iUd)" + pattern), F.lit(name)) for name, pattern in rules]
-    return F.array_compact(F.array(*hits))
+    """Names of all rules that match, in rule order.
+
+    Plain substring tests on the lower-cased text come first and the pattern runs only where one
+    holds. Case folding beyond ASCII is left to the pattern: such text skips the substring tests.
+    """
+
+    def hit(body: Column, low: Column, name: str, pattern: str) -> Column:
+        match = body.rlike("(?iUd)" + pattern)
+        words = needed_words(pattern)
+        if words is not None:
+            maybe = F.lit(False)
+            for word in words:
+                maybe = maybe | low.contains(word)
+            match = (low.isNull() | maybe) & match
+        return F.when(match, F.lit(name))
+
+    def labels(body: Column, low: Column) -> Column:
+        return F.array_compact(F.array(*[hit(body, low, name, pattern) for name, pattern in rules]))
+
+    def bound(body: Column) -> Column:
+        ascii_only = F.octet_length(body) == F.length(body)
+        return let(F.when(ascii_only, F.lower(body)), lambda low: labels(body, low))
+
+    return let(text, bound)
 
 
 def failure_signals(text: Column, rules: Sequence[tuple[str, str]] = FAILURE_RULES) -> Column:

@@ -6,7 +6,7 @@ otherwise, so every pattern carries ``(?U)``; ``(?d)`` makes ``.`` stop at a lin
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -31,6 +31,11 @@ MASKS: tuple[tuple[str, str], ...] = (
 )
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Drop surrounding whitespace of any kind, not only blanks."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -82,23 +87,42 @@ SYSLOG_FIELDS = ("month", "date", "time", "host", "component", "pid", "content")
 SERVICING_FIELDS = ("date", "time", "level", "component", "content")
 
 
-def _groups(line: Column, pattern: str, names: tuple[str, ...], wanted: tuple[str, ...]) -> Column:
-    """Wanted capture groups as a struct, null where the line does not match."""
+def match_groups(line: Column, pattern: str, numbers: Sequence[int]) -> Column:
+    """Capture groups (two or more) as an array; an array of one element where nothing matches.
+
+    One replace puts the groups on a line each and a split takes them apart, so the pattern runs
+    once per line instead of once per group. Text that itself holds a line feed is matched group
+    by group.
+    """
     pattern = "(?Ud)" + pattern
     line = F.rtrim(line, F.lit("\n"))
-    fields = [F.regexp_extract(line, pattern, names.index(n) + 1).alias(n) for n in wanted]
-    return F.when(line.rlike(pattern), F.struct(*fields))
+    at_once = F.split(F.regexp_replace(line, pattern, "\n".join(f"${n}" for n in numbers)), "\n")
+    one_by_one = F.when(
+        line.rlike(pattern), F.array(*[F.regexp_extract(line, pattern, n) for n in numbers])
+    ).otherwise(F.array(line))
+    return F.when(line.contains("\n"), one_by_one).otherwise(at_once)
+
+
+def _as_struct(line: Column, pattern: str, names: tuple[str, ...]) -> Column:
+    groups = match_groups(line, pattern, range(1, len(names) + 1))
+
+    def field(found: Column, n: int) -> Column:
+        value = F.get(found, F.lit(n))
+        return (strip(value) if names[n] == "component" else value).alias(names[n])
+
+    return let(
+        groups, lambda g: F.when(F.size(g) > 1, F.struct(*[field(g, n) for n in range(len(names))]))
+    )
 
 
-def parse_syslog(line: Column, wanted: tuple[str, ...] = SYSLOG_FIELDS) -> Column:
-    """Month, date, time, host, component, pid and content of a syslog line."""
-    parts = _groups(line, SYSLOG_PATTERN, SYSLOG_FIELDS, wanted)
-    return parts.withField("component", strip(parts["component"])) if "component" in wanted else parts
+def parse_syslog(line: Column) -> Column:
+    """Month, date, time, host, component, pid and content; null where the line does not match."""
+    return _as_struct(line, SYSLOG_PATTERN, SYSLOG_FIELDS)
 
 
-def parse_servicing(line: Column, wanted: tuple[str, ...] = SERVICING_FIELDS) -> Column:
+def parse_servicing(line: Column) -> Column:
     """Date, time, level, component and content of a Windows servicing line."""
-    return _groups(line, SERVICING_PATTERN, SERVICING_FIELDS, wanted)
+    return _as_struct(line, SERVICING_PATTERN, SERVICING_FIELDS)
 
 
 def level_token(content: Column) -> Column:

@@ -93,24 +93,40 @@ def build_issues(
 ) -> DataFrame:
     """Issues with their first ``max_logs`` logs in (ts, log_id) order.
 
-    Rows are shuffled once; what leaves a (key, bucket) is one row per session in it.
+    Rows are shuffled once, by (key, bucket). What leaves a bucket is one row per run with its
+    first logs. Only the first and the last run of a bucket can belong to a longer session, so
+    only they meet in the window of their key; a run inside a bucket is a session of its own and
+    gets its own lane.
     """
-    rows = _with_sessions(logs, keys, gap_sec, bucket_sec, "log_id")
+    gap_us, bucket_us = int(gap_sec * 1_000_000), int(bucket_sec * 1_000_000)
+    rows = _bucketed(logs, keys, gap_us, bucket_us, "log_id")
     log = F.struct("_us", "log_id", "templated", F.col("line").alias("raw"), "component", "pid")
-    # the rank in a carried-in run counts from the bucket start: more is kept than needed, never less
-    parts = rows.groupBy(*keys, "_bucket", "session_us").agg(
-        F.count(F.lit(1)).alias("_n"),
+    runs = rows.groupBy(*keys, "_bucket", "_run").agg(
+        F.min("_us").alias("_first"),
         F.max("_us").alias("_last"),
+        F.count(F.lit(1)).alias("_n"),
         F.collect_list(F.when(F.col("_rank") <= max_logs, log)).alias("_logs"),
     )
-    w = Window.partitionBy(*keys, "session_us").orderBy("_bucket")
-    earlier = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.withColumn("_logs", F.when(earlier < max_logs, F.col("_logs")))
-    merged = parts.groupBy(*keys, "session_us").agg(
+    last_run = F.max("_run").over(Window.partitionBy(*keys, "_bucket"))
+    runs = runs.withColumn("_lane", F.when(F.col("_run") < last_run, F.col("_run")))
+
+    w = Window.partitionBy(*keys, "_lane").orderBy("_first")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.lag("_last").over(w)
+    begins = F.col("_run").isNotNull() | before.isNull() | (F.col("_first") - before >= gap_us)
+    runs = runs.withColumns(
+        {"_begins": begins, "_earlier": F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}
+    )
+    at_begin = F.max(F.when(F.col("_begins"), F.col("_earlier"))).over(so_far)
+    runs = runs.withColumns(
+        {"session_us": F.max(F.when(F.col("_begins"), F.col("_first"))).over(so_far), "_earlier": F.col("_earlier") - at_begin}
+    )
+    merged = runs.groupBy(*keys, "_lane", "session_us").agg(
         F.sum("_n").alias("n_logs"),
         F.max("_last").alias("last_us"),
-        F.slice(F.array_sort(F.flatten(F.collect_list("_logs"))), 1, max_logs).alias("_logs"),
+        F.collect_list(F.when(F.col("_earlier") < max_logs, F.col("_logs"))).alias("_logs"),
     )
+    merged = merged.withColumn("_logs", F.slice(F.array_sort(F.flatten("_logs")), 1, max_logs))
     return merged.select(
         *keys,
         "session_us",

@@ -19,24 +19,20 @@ def parse_and_template(lines: DataFrame, parse_windows: bool = False) -> DataFra
     """
     line = T.or_empty(F.col("line"))
     df = lines.withColumns({"os": T.os_from_source(F.col("source")), "line": line})
-    parsed = F.when(
-        F.col("os").isin("linux", "macos"), T.parse_syslog(F.col("line"), ("component", "pid", "content"))
-    )
+    groups = F.when(F.col("os").isin("linux", "macos"), T.match_groups(F.col("line"), T.SYSLOG_PATTERN, (5, 6, 7)))
     if parse_windows:
-        servicing = T.parse_servicing(F.col("line"), ("component", "content"))
-        parsed = parsed.when(
-            (F.col("os") == "windows") & servicing.isNotNull(),
-            F.struct(servicing["component"].alias("component"), F.lit("").alias("pid"), servicing["content"].alias("content")),
-        )
-    df = df.withColumn("_parsed", parsed)
-    part = F.col("_parsed")
+        servicing = T.match_groups(F.col("line"), T.SERVICING_PATTERN, (4, 5))
+        groups = groups.when(F.col("os") == "windows", servicing)
+    df = df.withColumn("_g", groups)
+    found = F.size("_g") > 1
+    has_pid = F.size("_g") == 3
     df = df.withColumns(
         {
-            "component": F.coalesce(part["component"], F.lit("unknown")),
-            "pid": F.coalesce(part["pid"], F.lit("")),
-            "content": F.coalesce(part["content"], F.col("line")),
+            "component": F.when(found, T.strip(F.get("_g", F.lit(0)))).otherwise("unknown"),
+            "pid": F.when(has_pid, F.get("_g", F.lit(1))).otherwise(""),
+            "content": F.when(found, F.element_at("_g", -1)).otherwise(F.col("line")),
         }
-    ).drop("_parsed")
+    ).drop("_g")
     masked = T.template_content(F.col("content"))
     return (
         df.withColumn("_masked", masked)

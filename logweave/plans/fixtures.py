@@ -9,13 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logweave.operators.automations import Rule
-from logweave.session import use_utc
+from logweave.session import spread, use_utc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows need text work: spread over the cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _s(value: Column) -> Column:
     return value.cast("string")
 
@@ -55,7 +60,7 @@ def event_lines(events: DataFrame) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_lines(table(spark, sf_dir, "events"))
+    return event_lines(text_table(spark, sf_dir, "events"))
 
 
 def _os_by(n: Column) -> Column:
@@ -344,7 +349,7 @@ def export_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search-export lines, one per document; some are broken JSON."""
-    d = table(spark, sf_dir, "documents")
+    d = text_table(spark, sf_dir, "documents")
     good = F.to_json(F.struct(F.struct(F.col("text").alias("_raw")).alias("result")))
     return d.select("doc_id", F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("{"), good)).otherwise(good).alias("body"))
 

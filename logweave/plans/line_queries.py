@@ -40,7 +40,7 @@ kept AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM d WHERE doc
 def _catalogue(spark: SparkSession, sf_dir: str) -> str:
     """A template catalogue file derived from the documents; every seventh template is blank."""
     path = fresh_path(spark, "templates")
-    d = X.table(spark, sf_dir, "documents")
+    d = X.text_table(spark, sf_dir, "documents")
     text = F.concat_ws(" ", "lang", "source", F.col("n_chars").cast("string"))
     rows = d.select(
         "doc_id",
@@ -255,12 +255,12 @@ def parse_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("extract_level", f"SELECT doc_id, coalesce({_level_sql('text')}, '') AS level FROM documents")
 def extract_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.table(spark, sf_dir, "documents").select("doc_id", T.level_token(F.col("text")).alias("level"))
+    return X.text_table(spark, sf_dir, "documents").select("doc_id", T.level_token(F.col("text")).alias("level"))
 
 
 @query("extract_address", f"SELECT page_id, {_address_sql('html')} AS address FROM pages")
 def extract_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.table(spark, sf_dir, "pages").select("page_id", T.address_token(F.col("html")).alias("address"))
+    return X.text_table(spark, sf_dir, "pages").select("page_id", T.address_token(F.col("html")).alias("address"))
 
 
 @query(
@@ -269,8 +269,8 @@ def extract_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, {O.mask("text")} AS templated FROM t""",
 )
 def template_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = X.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text")
-    p = X.table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id")).alias("id"), F.col("html").alias("text"))
+    d = X.text_table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text")
+    p = X.text_table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id")).alias("id"), F.col("html").alias("text"))
     return d.unionByName(p).select("id", T.template_content(F.col("text")).alias("templated"))
 
 
@@ -317,7 +317,7 @@ def source_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT page_id, regexp_replace(regexp_replace(url, '[^a-zA-Z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM pages)""",
 )
 def embedder_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.table(spark, sf_dir, "pages").select("page_id", T.embedder_namespace(F.lit("logs_linux"), F.col("url")).alias("name"))
+    return X.text_table(spark, sf_dir, "pages").select("page_id", T.embedder_namespace(F.lit("logs_linux"), F.col("url")).alias("name"))
 
 
 @query(
@@ -331,7 +331,7 @@ def embedder_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def failure_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = parsed(spark, sf_dir).select(F.concat(F.lit("l"), F.col("log_id")).alias("id"), F.concat_ws(" ", "templated", "line").alias("text"))
-    docs = X.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text")
+    docs = X.text_table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text")
     rows = lines.unionByName(docs).select("id", R.failure_labels(F.col("text")).alias("ev"))
     return rows.select("id", R.signal_from_labels(F.col("ev")).alias("s")).select(
         "id", "s.has_signal", "s.label", "s.score", F.array_join("s.evidence", ",").alias("evidence")

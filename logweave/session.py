@@ -56,3 +56,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder, so that a lost executor costs one stage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan gives fewer tasks than that.
+
+    A few large row groups would leave cores idle during text work; a scan of many files is left
+    as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
