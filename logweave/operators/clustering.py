@@ -212,7 +212,9 @@ def cluster_templates(
     """Prototypes of all OSes from rows (os, id, document, embedding)."""
     items = items.withColumn("id", F.col("id").cast("string"))
     found = single_pass_cluster(items, threshold, min_size, block_rows)
-    return build_prototypes(items.join(found, ["os", "id"]), run_id)
+    # read five times below
+    members = checkpointed(items.join(found, ["os", "id"]))
+    return build_prototypes(members, run_id)
 
 
 def cluster_report(prototypes: DataFrame) -> DataFrame:
