@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from logweave.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -11,13 +13,11 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_norm(v: Column) -> Column:
     """Length of a vector; a zero vector counts as 1 so that dividing by it is safe."""
-    n = F.sqrt(dot(v, v))
-    return F.when(n == 0, F.lit(1.0)).otherwise(n)
+    return let(F.sqrt(dot(v, v)), lambda n: F.when(n == 0, F.lit(1.0)).otherwise(n))
 
 
 def unit(v: Column) -> Column:
-    n = l2_norm(v)
-    return F.transform(v, lambda x: x / n)
+    return let(l2_norm(v), lambda n: F.transform(v, lambda x: x / n))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

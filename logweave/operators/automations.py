@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +14,8 @@ from logweave.functions import points as P, results as J, rules as R, text as T
 # Providers that can act; a rule for another one still uses up its cooldown.
 PROVIDERS = ("ansible_tower", "terraform_cloud", "servicenow")
 
-SEGMENT_SEC = 86_400
+SEGMENT_SEC = 3600
+_NEVER = -(2**62)
 
 
 @dataclass(frozen=True)
@@ -128,70 +129,87 @@ def _last_fire(times: np.ndarray, cooldown: int) -> np.ndarray:
     return last
 
 
+def _segment_table(times: np.ndarray, start: int, cooldown: int) -> tuple[np.ndarray, np.ndarray]:
+    """Steps (until, fired): if the key is free from a moment up to ``until``, ``fired`` is the last fire.
+
+    Free moments lie before the segment's start plus one cooldown, so later starts need no step.
+    """
+    last = _last_fire(times, cooldown)
+    n = min(len(times), int(np.searchsorted(times, start + cooldown)) + 1)
+    ends = np.append(last[1:n] != last[: n - 1], True)
+    return times[:n][ends], times[last[:n][ends]]
+
+
+def _chain(segments: list, cooldown: int) -> list[int]:
+    """Moment from which each segment of a key is free, given the segments' tables in time order."""
+    free, out = _NEVER, []
+    for s in segments:
+        out.append(free)
+        at = int(np.searchsorted(s["until"], free))
+        if at < len(s["until"]):
+            free = int(s["fired"][at]) + cooldown
+    return out
+
+
+def _replay(times: np.ndarray, free: int, cooldown: int) -> list[int]:
+    fires, at = [], int(np.searchsorted(times, free))
+    while at < len(times):
+        fires.append(int(times[at]))
+        at = int(np.searchsorted(times, times[at] + cooldown))
+    return fires
+
+
 def cooldown_fires(matches: DataFrame, segment_sec: int = SEGMENT_SEC) -> DataFrame:
     """The matches that fire: at least a cooldown after the last fire of their (rule, key).
 
     Whether a match fires depends on all earlier ones of its key, and one key may be very common,
-    so a key is not folded in one task. It is cut into time segments. Each segment yields a short
-    table "free from t -> last fire in here"; the tables of a key are chained in time order; then
-    each segment replays its own fires from the moment the chain left it free.
+    so a key is not folded in one task. Its distinct times are cut into segments (eight cooldowns
+    or more long). Each segment yields a short table of steps "free from t -> last fire in here";
+    the tables of a key are chained in time order; then each segment replays its own fires from
+    the moment the chain left it free.
     """
     keys = ["rule_id", "cooldown_key"]
     rows = with_cooldown_key(matches).filter(F.col("cooldown_ms") > 0)
-    width = F.greatest(F.lit(segment_sec * 1000), F.col("cooldown_ms"))
-    rows = rows.withColumn("_width", width).withColumn(
-        "_segment", F.expr("(ms - pmod(ms, _width)) div _width")
+    width = F.greatest(F.lit(segment_sec * 1000), F.col("cooldown_ms") * 8)
+    timed = rows.select(*keys, "cooldown_ms", "ms", "seq", width.alias("_width")).withColumn(
+        "segment", F.expr("(ms - pmod(ms, _width)) div _width")
     )
     # matches of one key at one time: only the first can fire
-    times = rows.groupBy(*keys, "_segment", "_width", "cooldown_ms", "ms").agg(F.min("seq").alias("seq"))
-
-    def table(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["ms"].to_numpy())
-        cooldown = int(pdf["cooldown_ms"].iloc[0])
-        start = int(key[2]) * int(pdf["_width"].iloc[0])
-        last = _last_fire(t, cooldown)
-        n = min(len(t), int(np.searchsorted(t, start + cooldown)) + 1)
-        ends = np.append(last[1:n] != last[: n - 1], True)
-        return pd.DataFrame(
-            {
-                "rule_id": key[0], "cooldown_key": key[1], "_segment": key[2], "cooldown_ms": cooldown,
-                "until": t[:n][ends], "fired": t[last[:n][ends]],
-            }
-        )
-
-    tables = times.groupBy(*keys, "_segment").applyInPandas(
-        table, "rule_id string, cooldown_key string, _segment bigint, cooldown_ms bigint, until bigint, fired bigint"
+    times = timed.groupBy(*keys, "segment", "_width", "cooldown_ms", "ms").agg(F.min("seq").alias("seq"))
+    cut = times.groupBy(*keys, "segment", "_width", "cooldown_ms").agg(F.array_sort(F.collect_list("ms")).alias("times"))
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [
+                _segment_table(t, s * w, c)
+                for t, s, w, c in zip(pdf["times"], pdf["segment"], pdf["_width"], pdf["cooldown_ms"])
+            ]
+            steps = {"until": [m[0] for m in made], "fired": [m[1] for m in made]}
+            yield pdf[[*keys, "segment", "cooldown_ms"]].assign(**steps)
+
+    def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            free = [_chain(s, c) for s, c in zip(pdf["segments"], pdf["cooldown_ms"])]
+            yield pdf[keys].assign(segment=[[x["segment"] for x in s] for s in pdf["segments"]], free=free)
+
+    def replays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fired = [_replay(t, f, c) for t, f, c in zip(pdf["times"], pdf["free"], pdf["cooldown_ms"])]
+            yield pdf[keys].assign(fired=fired)
+
+    names = "rule_id string, cooldown_key string"
+    steps = cut.mapInPandas(
+        tables, f"{names}, segment bigint, cooldown_ms bigint, until array<bigint>, fired array<bigint>"
     )
-
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cooldown = int(pdf["cooldown_ms"].iloc[0])
-        free, out = None, []
-        for segment, part in pdf.sort_values(["_segment", "until"]).groupby("_segment"):
-            until = part["until"].to_numpy()
-            at = 0 if free is None else int(np.searchsorted(until, free))
-            out.append((key[0], key[1], segment, -(2**62) if free is None else free))
-            if at < len(until):
-                free = int(part["fired"].iloc[at]) + cooldown
-        return pd.DataFrame(out, columns=["rule_id", "cooldown_key", "_segment", "_free"])
-
-    entries = tables.groupBy(*keys).applyInPandas(
-        chain, "rule_id string, cooldown_key string, _segment bigint, _free bigint"
-    )
-
-    def replay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ms", kind="stable")
-        t, cooldown = pdf["ms"].to_numpy(), int(pdf["cooldown_ms"].iloc[0])
-        fires, at = [], int(np.searchsorted(t, int(pdf["_free"].iloc[0])))
-        while at < len(t):
-            fires.append(at)
-            at = int(np.searchsorted(t, t[at] + cooldown))
-        return pdf.iloc[fires][["rule_id", "cooldown_key", "ms", "seq"]]
-
-    fired = times.join(entries, [*keys, "_segment"]).groupBy(*keys, "_segment").applyInPandas(
-        replay, "rule_id string, cooldown_key string, ms bigint, seq bigint"
+    per_key = steps.groupBy(*keys, "cooldown_ms").agg(
+        F.array_sort(F.collect_list(F.struct("segment", "until", "fired"))).alias("segments")
     )
-    kept = rows.drop("_width", "_segment")
-    return kept.join(fired, ["rule_id", "cooldown_key", "ms", "seq"], "left_semi")
+    entries = per_key.mapInPandas(chains, f"{names}, segment array<bigint>, free array<bigint>")
+    entries = entries.select(*keys, F.explode(F.arrays_zip("segment", "free")).alias("e")).select(*keys, "e.*")
+    fired = cut.join(entries, [*keys, "segment"]).mapInPandas(replays, f"{names}, fired array<bigint>")
+    moments = fired.select(*keys, F.explode("fired").alias("ms"))
+    first = times.select(*keys, "ms", "seq").join(moments, [*keys, "ms"], "left_semi")
+    return rows.join(first, [*keys, "ms", "seq"], "left_semi")
 
 
 def actions(fires: DataFrame, dry_run: bool = True) -> DataFrame:

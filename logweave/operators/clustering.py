@@ -113,8 +113,9 @@ def single_pass_cluster(
         leaders = level.filter("leads").select(
             "os", "pos", "id", F.col("sum").alias("vector"), F.col("size").alias("weight")
         )
-        count = leaders.groupBy("os").count().agg(F.max("count")).first()[0] or 0
-        total = level.groupBy("os").count().agg(F.max("count")).first()[0] or 0
+        per_os = level.groupBy("os").agg(F.count(F.lit(1)).alias("n"), F.count_if("leads").alias("led"))
+        largest = per_os.agg(F.max("n"), F.max("led")).first()
+        total, count = largest[0] or 0, largest[1] or 0
         # done when one block held everything, or when another round would hardly merge any more
         if total <= block_rows or count > 0.9 * total:
             break

@@ -33,13 +33,12 @@ def parse_and_template(lines: DataFrame, parse_windows: bool = False) -> DataFra
             "content": F.when(found, F.element_at("_g", -1)).otherwise(F.col("line")),
         }
     ).drop("_g")
-    masked = T.template_content(F.col("content"))
-    return (
-        df.withColumn("_masked", masked)
-        .withColumn("templated", T.render_templated(F.col("component"), F.col("pid"), F.col("_masked")))
-        .withColumn("issue_key", T.issue_key(F.col("os"), F.col("component"), F.col("pid")))
-        .drop("_masked")
-    )
+    df = df.withColumn("_masked", T.template_content(F.col("content")))
+    templated = T.render_templated(F.col("component"), F.col("pid"), F.col("_masked"))
+    key = T.issue_key(F.col("os"), F.col("component"), F.col("pid"))
+    # never null, and said so: a join on them then brings no null filter, which Spark would push
+    # below the parsing and so evaluate the patterns twice
+    return df.withColumns({"templated": T.or_empty(templated), "issue_key": T.or_empty(key)}).drop("_masked")
 
 
 def with_signals(logs: DataFrame, rules: Sequence[tuple[str, str]] = R.FAILURE_RULES) -> DataFrame:

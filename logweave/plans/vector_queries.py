@@ -113,16 +113,16 @@ def retrieve_cluster_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.retrieve_cluster_logs(asked, X.vector_logs(spark, sf_dir)).drop("q_no")
 
 
-@query(
-    "search_templates",
-    f"""WITH {O.VECTORS}, o(n, os) AS (VALUES (0, 'linux'), (1, 'macos'), (2, 'windows')),
+SEARCH_TEMPLATES_SQL = f"""WITH {O.VECTORS}, o(n, os) AS (VALUES (0, 'linux'), (1, 'macos'), (2, 'windows')),
     r AS (SELECT q.vec_id AS q_id, o.n, i.os, i.vec_id AS id, {O.distance('q.v', 'i.v')} AS distance, 'template ' || i.label AS document
       FROM logs q CROSS JOIN o JOIN known i ON i.os = o.os),
     h AS (SELECT *, row_number() OVER (PARTITION BY q_id, os ORDER BY distance, id) AS rank FROM r),
     d AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY distance, n, q_id, rank) AS dup FROM h WHERE rank <= 5)
     SELECT 'log_template' AS type, os, id, document, distance FROM d WHERE dup = 1
-    ORDER BY distance, n, q_id, rank LIMIT 10""",
-)
+    ORDER BY distance, n, q_id, rank LIMIT 10"""
+
+
+@query("search_templates", SEARCH_TEMPLATES_SQL)
 def search_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = X.vector_logs(spark, sf_dir).select(F.col("log_id").alias("q_id"), "embedding")
     return Q.search_templates(asked, X.vector_templates(spark, sf_dir))
