@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table read as a stream of files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose rows need text work: spread over the cores."""
     return spread(table(spark, sf_dir, name))
@@ -118,8 +124,11 @@ def vector_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alert stream rows, one per order."""
-    o = table(spark, sf_dir, "orders")
+    return order_alerts(table(spark, sf_dir, "orders"))
+
+
+def order_alerts(o: DataFrame) -> DataFrame:
+    """Alert stream rows, one per order (also as a stream)."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     ft = (
         F.when(F.col("o_orderpriority") == "1-URGENT", "power")

@@ -1,0 +1,149 @@
+"""Streaming queries: the given tables read as file streams, run until all is read."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from logweave.operators import automations as U, issues as I, logs as L
+from logweave.plans import alert_queries as AQ, fixtures as X, line_queries as LQ, metric_queries as MQ, oracle as O, vector_queries as VQ
+from logweave.plans.registry import query
+from logweave.session import checkpointed, fresh_path
+from logweave.streaming import state as S, tables as B
+
+
+def line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.event_lines(X.table_stream(spark, sf_dir, "events"))
+
+
+CLOSED = """, closed AS (SELECT i.*, max(i.session_us) OVER (PARTITION BY os, issue_key) AS newest,
+  ((SELECT epoch_us(max(ts)) FROM events) - 600000000) // 1000 AS mark FROM issues i)"""
+
+
+@query(
+    "stream_issues",
+    f"""WITH {O.ISSUES}{CLOSED} SELECT os, issue_key, session_us, last_us, n_logs, templated_summary FROM closed
+    WHERE session_us < newest OR CAST(ceil((last_us + 120000000) / 1000.0) AS BIGINT) < mark""",
+)
+def stream_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues closed by a later row of their key or by the watermark; the last ones stay open."""
+    issues = S.stream_issues(L.parse_and_template(line_stream(spark, sf_dir)))
+    return B.run_to_table(issues, fresh_path(spark, "issues")).drop("logs")
+
+
+@query(
+    "stream_cluster_candidates",
+    f"{LQ.ASSIGNED_SQL} SELECT os, cluster_id FROM assigned GROUP BY 1, 2 HAVING count(*) >= 20",
+)
+def stream_cluster_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = L.parse_and_template(line_stream(spark, sf_dir))
+    assigned = lines.withColumn("cluster_id", F.concat(F.lit("c"), F.col("user_id") % 20))
+    return B.run_to_table(S.stream_cluster_candidates(assigned), fresh_path(spark, "candidates"))
+
+
+@query(
+    "stream_automations",
+    f"WITH RECURSIVE {O.ALERTS}, {AQ.RULES_SQL} SELECT rule_id, issue_key AS cooldown_key, provider, id, ms, seq FROM fired",
+)
+def stream_automations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts = X.order_alerts(X.table_stream(spark, sf_dir, "orders"))
+    return B.run_to_table(S.stream_fires(U.match_automations(alerts, X.RULES)), fresh_path(spark, "fires"))
+
+
+@query(
+    "stream_consume",
+    f"""WITH {O.PARSED}, s AS (SELECT *, {O.labels("templated || ' ' || line")} AS ev FROM parsed)
+    SELECT log_id, os, component, pid, templated, coalesce(ev[1], 'unknown') AS label FROM s""",
+)
+def stream_consume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log table that the consumer writes from the line stream."""
+    out = fresh_path(spark, "consume")
+    lines = line_stream(spark, sf_dir).select("log_id", "ts", "source", "line", "source_id")
+    B.consume(lines, X.sources(spark, sf_dir), VQ.text_prototypes(spark, sf_dir), out).awaitTermination()
+    return B.read_table(spark, f"{out}/logs").select("log_id", "os", "component", "pid", "templated", "label")
+
+
+@query(
+    "stream_consume_metrics",
+    f"WITH {O.SNMP} SELECT log_id, name, round(scaled, 6) AS value FROM snmp_points",
+)
+def stream_consume_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metric table that the consumer writes when device readings are on the stream."""
+    out, landed = fresh_path(spark, "consume"), fresh_path(spark, "landed")
+    MQ.snmp_lines(spark, sf_dir).write.parquet(landed)
+    stream = spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
+    B.consume(stream, X.sources(spark, sf_dir), X.prototypes(spark, sf_dir), out).awaitTermination()
+    rows = B.read_table(spark, f"{out}/metrics")
+    return rows.select("log_id", "name", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@query("stream_assign")
+def stream_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster ids given to streamed lines while the prototype table grows."""
+    table, out = fresh_path(spark, "prototypes"), fresh_path(spark, "assigned")
+    B.write_batch(VQ.text_prototypes(spark, sf_dir), table, -1)
+    lines = L.parse_and_template(line_stream(spark, sf_dir)).select("log_id", "ts", "os", "templated")
+    B.assign(lines, table, out).awaitTermination()
+    return B.read_table(spark, out).select("log_id", "os", "cluster_id")
+
+
+@query(
+    "stream_rejects",
+    f"""WITH {O.LINES} SELECT CASE WHEN log_id % 10 = 4 THEN 'not json' WHEN log_id % 10 = 5 THEN 'missing ts'
+      WHEN log_id % 10 = 6 THEN 'missing log_id,line' ELSE '' END AS reason, count(*) AS n FROM log_lines GROUP BY 1""",
+)
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes of all lines, three kinds of them broken; accepted ones count under no reason."""
+    k = F.col("log_id") % 10
+    whole = F.to_json(F.struct("log_id", "ts", "source", "line"))
+    broken = (
+        F.when(k == 4, F.concat(F.lit("{"), whole)).when(k == 5, F.to_json(F.struct("log_id", "source", "line")))
+        .when(k == 6, F.to_json(F.struct("ts", "source"))).otherwise(whole)
+    )
+    raw = line_stream(spark, sf_dir).select(broken.alias("value"))
+    out = fresh_path(spark, "envelopes")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        lines, rejects = B.read_envelopes(batch)
+        B.write_batch(rejects, f"{out}/rejects", batch_id)
+        B.write_batch(lines, f"{out}/lines", batch_id)
+
+    B.start(raw, each).awaitTermination()
+    rejects = B.read_table(spark, f"{out}/rejects").select("reason")
+    lines = B.read_table(spark, f"{out}/lines").select(F.lit("").alias("reason"))
+    return rejects.unionByName(lines).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "stream_enrich_issues",
+    f"""WITH {O.ISSUES} SELECT os, issue_key, session_us AS seq, 'issue' AS type, log_ids FROM issues""",
+)
+def stream_enrich_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues on a stream to the alert table: one alert per issue, naming its logs."""
+    logs = VQ.templated_logs(spark, sf_dir)
+    landed, out = fresh_path(spark, "issues"), fresh_path(spark, "alerts")
+    issues = I.build_issues(logs).withColumns({"id": F.concat_ws("|", "os", "issue_key", "session_us"), "ms": F.floor(F.col("last_us") / 1000), "seq": F.col("session_us")})
+    issues.write.parquet(landed)
+    stream = spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
+    items = logs.select("os", "log_id", F.col("templated").alias("document"), "embedding")
+    B.enrich_issue_stream(stream, checkpointed(VQ.text_templates(logs)), items, out).awaitTermination()
+    alerts = B.read_table(spark, out)
+    return alerts.select("os", "issue_key", "seq", "type", F.array_join(F.col("log_ids").cast("array<string>"), ",").alias("log_ids"))
+
+
+@query("stream_enrich_clusters")
+def stream_enrich_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster candidates on a stream to alerts."""
+    from logweave.operators import clustering as C
+
+    logs = VQ.templated_logs(spark, sf_dir)
+    protos = VQ.text_prototypes(spark, sf_dir)
+    assigned, created = C.assign_clusters(logs, protos)
+    placed = checkpointed(C.logs_with_cluster(logs, assigned))
+    landed = fresh_path(spark, "cluster-candidates")
+    I.cluster_candidates(placed).select("os", "cluster_id", "ts").write.parquet(landed)
+    stream = spark.readStream.schema("os string, cluster_id string, ts timestamp").parquet(landed)
+    items = placed.select("os", "cluster_id", "log_id", F.col("templated").alias("document"), "embedding")
+    out, relabelled = fresh_path(spark, "cluster-alerts"), fresh_path(spark, "relabelled")
+    known = checkpointed(protos.unionByName(created))
+    B.enrich_cluster_stream(stream, known, checkpointed(VQ.text_templates(logs)), items, out, relabelled).awaitTermination()
+    return B.read_table(spark, out).select("os", "cluster_id", "type", "failure_type")
