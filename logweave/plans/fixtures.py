@@ -124,7 +124,7 @@ def vector_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_alerts(table(spark, sf_dir, "orders"))
+    return order_alerts(text_table(spark, sf_dir, "orders"))
 
 
 def order_alerts(o: DataFrame) -> DataFrame:

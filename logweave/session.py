@@ -16,6 +16,8 @@ def build_session(app: str = "logweave", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Python and pattern work costs far more per byte than a scan: keep small stages parallel
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
     }

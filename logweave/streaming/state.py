@@ -17,6 +17,7 @@ from logweave.operators.automations import with_cooldown_key
 from logweave.operators.issues import INACTIVITY_SEC, MAX_LOGS
 
 WATERMARK = "10 minutes"
+ISSUE_COLUMNS = ["os", "issue_key", "session_us", "last_us", "n_logs", "templated_summary", "logs"]
 LOG_FIELDS = ("log_id", "templated", "raw", "component", "pid", "us")
 ISSUE_SCHEMA = (
     "os string, issue_key string, session_us bigint, last_us bigint, n_logs bigint, "
@@ -38,8 +39,8 @@ def stream_issues(
     )
 
     def issue(key: tuple, start: int, last: int, n: int, kept: list) -> tuple:
-        summary = " \n".join(log["templated"] for log in kept)
-        return (*key, start, last, n, summary, json.dumps(kept, default=int))
+        logs = [dict(zip(LOG_FIELDS, log)) for log in kept]
+        return (*key, start, last, n, " \n".join(log["templated"] for log in logs), json.dumps(logs))
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         closed: list[tuple] = []
@@ -51,36 +52,38 @@ def stream_issues(
             closed.append(issue(key, start, last, n, kept))
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values(["us", "log_id"])
-            for us, part in _sessions(rows, gap_us):
+            for log in _in_order(batches, ("us", *LOG_FIELDS)):
+                us = log[0]
                 if start is not None and us - last >= gap_us:
                     closed.append(issue(key, start, last, n, kept))
                     start = None
                 if start is None:
                     start, last, n, kept = us, us, 0, []
-                kept = kept + part.head(max(0, max_logs - len(kept)))[list(LOG_FIELDS)].to_dict("records")
-                n += len(part)
-                last = max(last, int(part["us"].iloc[-1]))
+                if len(kept) < max_logs:
+                    kept.append(log[1:])
+                n, last = n + 1, max(last, us)
             ends_ms = -(-(last + gap_us) // 1000)
             if ends_ms < state.getCurrentWatermarkMs():
                 closed.append(issue(key, start, last, n, kept))
                 if state.exists:
                     state.remove()
             else:
-                state.update((start, last, n, json.dumps(kept, default=int)))
+                state.update((start, last, n, json.dumps(kept)))
                 state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(closed, columns=["os", "issue_key", "session_us", "last_us", "n_logs", "templated_summary", "logs"])
+        if closed:
+            yield pd.DataFrame(closed, columns=ISSUE_COLUMNS)
 
     return rows.groupBy("os", "issue_key").applyInPandasWithState(
         fold, ISSUE_SCHEMA, "start bigint, last bigint, n bigint, kept string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def _sessions(rows: pd.DataFrame, gap_us: int) -> Iterator[tuple[int, pd.DataFrame]]:
-    """Runs of sorted rows without an inner gap, each with its first time."""
-    number = (rows["us"].diff() >= gap_us).cumsum()
-    for _, part in rows.groupby(number, sort=True):
-        yield int(part["us"].iloc[0]), part
+def _in_order(batches: Iterator[pd.DataFrame], columns: tuple[str, ...]) -> list[tuple]:
+    """A key's rows of one micro-batch as tuples, sorted by their first two columns."""
+    rows: list[tuple] = []
+    for batch in batches:
+        rows += zip(*(batch[c].tolist() for c in columns))
+    return sorted(rows, key=lambda r: r[:2])
 
 
 def stream_cluster_candidates(assigned: DataFrame, threshold: int = 20) -> DataFrame:
@@ -90,8 +93,8 @@ def stream_cluster_candidates(assigned: DataFrame, threshold: int = 20) -> DataF
         before = state.get[0] if state.exists else 0
         after = before + sum(len(b) for b in batches)
         state.update((after,))
-        crossed = [key] if before < threshold <= after else []
-        yield pd.DataFrame(crossed, columns=["os", "cluster_id"])
+        if before < threshold <= after:
+            yield pd.DataFrame([key], columns=["os", "cluster_id"])
 
     return assigned.select("os", "cluster_id", "log_id").groupBy("os", "cluster_id").applyInPandasWithState(
         fold, "os string, cluster_id string", "n bigint", "append", GroupStateTimeout.NoTimeout
@@ -106,18 +109,16 @@ def stream_fires(matches: DataFrame) -> DataFrame:
     rows = with_cooldown_key(matches).filter(F.col("cooldown_ms") > 0).select(
         "rule_id", "cooldown_key", "provider", "id", "ms", "seq", "cooldown_ms"
     )
-    out = ["rule_id", "cooldown_key", "provider", "id", "ms", "seq"]
-
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ms", "seq"])
         fired = []
-        for at, (ms, cooldown) in enumerate(zip(rows["ms"], rows["cooldown_ms"])):
+        for ms, seq, cooldown, provider, id_ in _in_order(batches, ("ms", "seq", "cooldown_ms", "provider", "id")):
             if last is None or ms - last >= cooldown:
-                last = int(ms)
-                fired.append(at)
+                last = ms
+                fired.append((*key, provider, id_, ms, seq))
         state.update((last,))
-        yield rows.iloc[fired][out]
+        if fired:
+            yield pd.DataFrame(fired, columns=["rule_id", "cooldown_key", "provider", "id", "ms", "seq"])
 
     return rows.groupBy("rule_id", "cooldown_key").applyInPandasWithState(
         fold,
