@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweave.operators import automations as U, issues as I, logs as L
+from logweave.operators import automations as U, clustering as C, issues as I, logs as L
 from logweave.plans import alert_queries as AQ, fixtures as X, line_queries as LQ, metric_queries as MQ, oracle as O, vector_queries as VQ
 from logweave.plans.registry import query
 from logweave.session import checkpointed, fresh_path
@@ -58,7 +58,7 @@ def stream_consume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log table that the consumer writes from the line stream."""
     out = fresh_path(spark, "consume")
     lines = line_stream(spark, sf_dir).select("log_id", "ts", "source", "line", "source_id")
-    B.consume(lines, X.sources(spark, sf_dir), VQ.text_prototypes(spark, sf_dir), out).awaitTermination()
+    B.consume(lines, X.sources(spark, sf_dir), VQ.text_prototypes(VQ.templated_logs(spark, sf_dir)), out).awaitTermination()
     return B.read_table(spark, f"{out}/logs").select("log_id", "os", "component", "pid", "templated", "label")
 
 
@@ -80,7 +80,7 @@ def stream_consume_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster ids given to streamed lines while the prototype table grows."""
     table, out = fresh_path(spark, "prototypes"), fresh_path(spark, "assigned")
-    B.write_batch(VQ.text_prototypes(spark, sf_dir), table, -1)
+    B.write_batch(VQ.text_prototypes(VQ.templated_logs(spark, sf_dir)), table, -1)
     lines = L.parse_and_template(line_stream(spark, sf_dir)).select("log_id", "ts", "os", "templated")
     B.assign(lines, table, out).awaitTermination()
     return B.read_table(spark, out).select("log_id", "os", "cluster_id")
@@ -133,10 +133,8 @@ def stream_enrich_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_enrich_clusters")
 def stream_enrich_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster candidates on a stream to alerts."""
-    from logweave.operators import clustering as C
-
     logs = VQ.templated_logs(spark, sf_dir)
-    protos = VQ.text_prototypes(spark, sf_dir)
+    protos = VQ.text_prototypes(logs)
     assigned, created = C.assign_clusters(logs, protos)
     placed = checkpointed(C.logs_with_cluster(logs, assigned))
     landed = fresh_path(spark, "cluster-candidates")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logweave.functions import vectors as V
-from logweave.operators import clustering as C, embedding as B, enrichment as N, issues as I, knn as K, search as Q
+from logweave.operators import alerts as A, clustering as C, embedding as B, enrichment as N, issues as I, knn as K, logs as L, search as Q
 from logweave.plans import fixtures as X, line_queries as LQ, oracle as O
 from logweave.plans.registry import query
 from logweave.session import checkpointed
@@ -57,8 +57,6 @@ def nearest_prototype_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines whose vector is that of their id; lines without a vector are far from everything."""
-    from logweave.operators import logs as L
-
     near = K.nearest(X.vector_logs(spark, sf_dir), _proto_items(spark, sf_dir), 1, "log_id", "cluster_id")
     near = near.drop("os", "rank").join(_proto_items(spark, sf_dir).select("cluster_id", "label"), "cluster_id")
     scored = L.with_signals(LQ.parsed(spark, sf_dir))
@@ -270,10 +268,9 @@ def templated_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpointed(lines.join(B.embed_distinct(lines, ["os"], "templated"), ["os", "templated"]))
 
 
-def text_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_prototypes(logs: DataFrame) -> DataFrame:
     """Prototypes learned from the distinct templated lines; small groups of lines stay without one."""
-    texts = LQ.parsed(spark, sf_dir).groupBy("os", F.col("templated").alias("document")).agg(F.min("log_id").alias("id"))
-    return checkpointed(C.cluster_templates(B.embed_text(texts, "document")))
+    return checkpointed(C.cluster_templates(text_templates(logs).withColumnRenamed("template_id", "id")))
 
 
 @query("embed_text")
@@ -284,14 +281,15 @@ def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("assign_clusters")
 def assign_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assigned, _ = C.assign_clusters(templated_logs(spark, sf_dir), text_prototypes(spark, sf_dir))
+    logs = templated_logs(spark, sf_dir)
+    assigned, _ = C.assign_clusters(logs, text_prototypes(logs))
     return assigned
 
 
 @query("logs_with_cluster")
 def logs_with_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = templated_logs(spark, sf_dir)
-    assigned, _ = C.assign_clusters(logs, text_prototypes(spark, sf_dir))
+    assigned, _ = C.assign_clusters(logs, text_prototypes(logs))
     return C.logs_with_cluster(logs.drop("embedding"), assigned).select("log_id", "os", "cluster_id")
 
 
@@ -334,8 +332,6 @@ def relabel_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT n.alert_id, n.os, n.log_id, p.templated FROM named n JOIN parsed p ON p.log_id = n.log_id AND p.os = n.os""",
 )
 def feedback_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from logweave.operators import alerts as A
-
     logs = LQ.parsed(spark, sf_dir).select("os", "log_id", "templated")
     return A.feedback_logs(X.alerts(spark, sf_dir), X.feedback_events(spark, sf_dir), logs).select("alert_id", "os", "log_id", "templated")
 
@@ -343,8 +339,10 @@ def feedback_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("improve_prototypes")
 def improve_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prototypes learned from the logs of alerts marked correct, added to the known ones."""
-    logs = feedback_logs(spark, sf_dir).select("os", F.col("log_id").alias("id"), F.col("templated").alias("document")).distinct()
-    improved = C.improve_prototypes(text_prototypes(spark, sf_dir), B.embed_text(logs, "document"), "run1")
+    lines = templated_logs(spark, sf_dir)
+    good = A.feedback_logs(X.alerts(spark, sf_dir), X.feedback_events(spark, sf_dir), lines)
+    learned = good.select("os", F.col("log_id").alias("id"), F.col("templated").alias("document"), "embedding")
+    improved = C.improve_prototypes(text_prototypes(lines), learned.dropDuplicates(["os", "id"]), "run1")
     return improved.select("os", "cluster_id", "label", "size", "medoid_document")
 
 
@@ -386,7 +384,7 @@ def text_templates(logs: DataFrame) -> DataFrame:
 def enrich_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters that reached twenty logs to alerts."""
     logs = templated_logs(spark, sf_dir)
-    protos = text_prototypes(spark, sf_dir)
+    protos = text_prototypes(logs)
     assigned, created = C.assign_clusters(logs, protos)
     placed = C.logs_with_cluster(logs, assigned)
     candidates = I.cluster_candidates(placed)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logweave.operators import alerts as A, clustering as C, enrichment as N, logs as L, metrics as M
 from logweave.operators.embedding import Embedder, embed_distinct
 from logweave.operators.knn import nearest
-from logweave.session import fresh_path
+from logweave.session import fresh_path, spread
 
 LINE_SCHEMA = "log_id bigint, ts timestamp, source string, line string, source_id bigint"
 
@@ -69,7 +69,7 @@ def consume(
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        points = M.with_points(batch, sources).persist()
+        points = M.with_points(spread(batch), sources).persist()
         try:
             metrics, rest = M.split_metrics_logs(points)
             write_batch(M.metric_stream_rows(metrics), f"{out}/metrics", batch_id)
