@@ -9,6 +9,8 @@ from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from logweave.functions.vectors import unit
+
 DIMENSIONS = 64
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
@@ -29,11 +31,11 @@ def embed_text(
     if embedder is not None:
         made = filled.withColumn(out, _call(embedder)(F.col("_text")))
         if normalize:
-            from logweave.functions.vectors import unit
-
             made = made.withColumn(out, unit(F.col(out)))
         return made.drop("_text")
     tokens = Tokenizer(inputCol="_text", outputCol="_tokens").transform(filled)
+    # splitting at blanks leaves an empty token for empty text and for blanks in front
+    tokens = tokens.withColumn("_tokens", F.array_remove("_tokens", ""))
     made = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dimensions).transform(tokens)
     vector = "_tf"
     if normalize:

@@ -84,7 +84,7 @@ def consume(
 
 def nearest_by_text(logs: DataFrame, prototypes: DataFrame, embedder: Embedder | None = None) -> DataFrame:
     """Nearest prototype per log (log_id, distance, label), searched once per distinct text."""
-    texts = embed_distinct(logs, ["os"], "templated", embedder).withColumn("text_id", F.xxhash64("os", "templated"))
+    texts = embed_distinct(logs.filter("templated <> ''"), ["os"], "templated", embedder).withColumn("text_id", F.xxhash64("os", "templated"))
     items = prototypes.select("os", "cluster_id", "label", F.col("centroid").alias("embedding"))
     hits = nearest(texts, items, 1, "text_id", "cluster_id").join(items.select("os", "cluster_id", "label"), ["os", "cluster_id"])
     keyed = logs.select("log_id", F.xxhash64("os", "templated").alias("text_id"))
