@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logweave.functions import points as P, results as J, rules as R, text as T
+from logweave.operators.upsert import explode_once
+from logweave.session import checkpointed
 
 # Providers that can act; a rule for another one still uses up its cooldown.
 PROVIDERS = ("ansible_tower", "terraform_cloud", "servicenow")
@@ -99,7 +101,7 @@ def match_automations(alerts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         if rule.issue_key:
             cond = cond & (F.coalesce(F.col("issue_key"), F.lit("None")) == rule.issue_key)
         hits.append(F.when(cond, _action(rule, position, alert, result)))
-    matched = df.withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
+    matched = explode_once(df, F.array_compact(F.array(*hits)), "_hit")
     return matched.select(*alerts.columns, F.col("_conf").alias("match_confidence"), "_hit.*")
 
 
@@ -169,7 +171,7 @@ def cooldown_fires(matches: DataFrame, segment_sec: int = SEGMENT_SEC) -> DataFr
     the moment the chain left it free.
     """
     keys = ["rule_id", "cooldown_key"]
-    rows = with_cooldown_key(matches).filter(F.col("cooldown_ms") > 0)
+    rows = checkpointed(with_cooldown_key(matches).filter(F.col("cooldown_ms") > 0))
     width = F.greatest(F.lit(segment_sec * 1000), F.col("cooldown_ms") * 8)
     timed = rows.select(*keys, "cooldown_ms", "ms", "seq", width.alias("_width")).withColumn(
         "segment", F.expr("(ms - pmod(ms, _width)) div _width")

@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logweave.functions import rules as R, vectors as V
 from logweave.operators.knn import DIGITS, _matrix, _unit_rows, nearest
-from logweave.operators.upsert import upsert_latest
+from logweave.operators.upsert import first_n, upsert_latest
 from logweave.session import checkpointed
 
 DISTANCE_THRESHOLD = 0.2
 MIN_SIZE = 5
 ONLINE_THRESHOLD = 0.25
 EXEMPLARS = 5
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 20_000
 
 
 def _one_pass(vectors: np.ndarray, weights: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -44,13 +44,12 @@ def _one_pass(vectors: np.ndarray, weights: np.ndarray, threshold: float) -> tup
 
 def _pass_over_blocks(rows: DataFrame, threshold: float, block_rows: int) -> DataFrame:
     """One round: rows (os, pos, id, vector, weight) get a leader id within their block."""
-    sizes = rows.groupBy("os").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select(
-        F.col("os").alias("_os"), F.ceil(F.col("_n") / block_rows).cast("bigint").alias("_blocks")
-    )
-    placed = rows.join(sizes, F.col("os") == F.col("_os")).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("_blocks"))
-    )
+    # only OSes beyond one block are listed, at most one per block_rows rows
+    large = rows.groupBy("os").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n")).filter("n > 1").collect()
+    blocks = F.lit(1)
+    for r in large:
+        blocks = F.when(F.col("os") == r["os"], F.lit(r["n"])).otherwise(blocks)
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
@@ -198,8 +197,7 @@ def build_prototypes(members: DataFrame, run_id: str = "") -> DataFrame:
 def cluster_input(templates: DataFrame, logs: DataFrame, n_logs: int) -> DataFrame:
     """Template vectors plus the first ``n_logs`` log vectors of each OS by id."""
     cols = ["os", "id", "document", "embedding"]
-    w = Window.partitionBy("os").orderBy("id")
-    first = logs.select(*cols).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n_logs)
+    first = first_n(logs.select(*cols), ["os"], ["id"], n_logs)
     return templates.select(*cols).unionByName(first.select(*cols))
 
 
@@ -224,9 +222,14 @@ def cluster_report(prototypes: DataFrame) -> DataFrame:
     return prototypes.groupBy("os").agg(n.alias("clusters"), n.alias("prototypes"))
 
 
+def text_id(os: Column, templated: Column) -> Column:
+    """Key of a masked line within its OS; long enough that two texts never share one."""
+    return F.sha1(F.concat_ws("|", os, templated))
+
+
 def online_id(os: Column, templated: Column) -> Column:
     """Id of a prototype seeded by a line; the same line always gives the same id."""
-    return F.concat(F.lit("cluster_"), F.substring(F.sha1(F.concat_ws("|", os, templated)), 1, 12))
+    return F.concat(F.lit("cluster_"), text_id(os, templated))
 
 
 def assign_clusters(
@@ -256,8 +259,7 @@ def assign_clusters(
     seeds: DataFrame | None = None
     undecided = open_texts
     while not undecided.isEmpty():
-        w = Window.partitionBy("os").orderBy("first_log", "text_id")
-        head = undecided.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= block_rows)
+        head = first_n(undecided, ["os"], ["first_log", "text_id"], block_rows)
         new = checkpointed(_first_seeds(head, threshold))
         seeds = new if seeds is None else seeds.unionByName(new)
         rest = undecided.join(head.select("text_id"), "text_id", "left_anti")

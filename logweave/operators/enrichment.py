@@ -48,7 +48,8 @@ def retrieve_logs(
     ``queries`` has owner_id, q_no (from 0), os and embedding; ``logs`` os, log_id, document and
     embedding. Equal query vectors of an OS are looked up once.
     """
-    asked = queries.filter(F.col("q_no") < max_queries).withColumn("_v", F.xxhash64("os", "embedding"))
+    key = F.sha1(F.concat_ws("|", F.col("os"), F.col("embedding").cast("array<string>")))
+    asked = queries.filter(F.col("q_no") < max_queries).withColumn("_v", key)
     texts = asked.select("os", "_v", "embedding").dropDuplicates(["os", "_v"])
     hits = nearest(texts, first_per_text(logs, k), k, "_v", "log_id")
     found = asked.select("owner_id", "q_no", "os", "_v").join(hits, ["os", "_v"]).drop("_v")

@@ -49,18 +49,14 @@ def with_signals(logs: DataFrame, rules: Sequence[tuple[str, str]] = R.FAILURE_R
     return df.withColumn("_signal", signal).select(*logs.columns, "_signal.*")
 
 
-def line_candidates(
-    scored: DataFrame, nearest: DataFrame, threshold: float = PROTOTYPE_THRESHOLD
-) -> DataFrame:
+def line_candidates(scored: DataFrame, threshold: float = PROTOTYPE_THRESHOLD) -> DataFrame:
     """Lines with a failure signal or far from every prototype.
 
-    ``nearest`` holds one row per log_id with distance and label; a line without one is far.
+    ``scored`` has the signal columns and distance and nearest_label of the nearest prototype; a
+    line without a distance is far.
     """
-    joined = scored.join(
-        nearest.select("log_id", "distance", F.col("label").alias("nearest_label")), "log_id", "left"
-    )
     far = F.col("distance").isNull() | (F.col("distance") > threshold)
-    return joined.filter(F.col("has_signal") | far).select(
+    return scored.filter(F.col("has_signal") | far).select(
         "log_id",
         "os",
         F.col("line").alias("raw"),

@@ -1,10 +1,10 @@
-"""Keyed insert-or-replace and fetch by id."""
+"""Keyed insert-or-replace, fetch by id, and the first rows of a group."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def upsert_latest(rows: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
@@ -18,3 +18,27 @@ def upsert_latest(rows: DataFrame, keys: Sequence[str], version: str) -> DataFra
 
 def fetch_by_ids(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(ids.select(key), key, "left_semi")
+
+
+def first_n(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group in ``order``, whatever the size of the group.
+
+    Spark itself drops rows before the shuffle only for small ``n``. So each group is first cut
+    into hash lanes that keep their own first ``n``, and only those meet in one window.
+    """
+    lanes = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lane = F.pmod(F.xxhash64(*order), F.lit(lanes))
+    for more in (["_lane"], []):
+        w = Window.partitionBy(*keys, *more).orderBy(*order)
+        rows = rows.withColumn("_lane", lane).withColumn("_n", F.row_number().over(w))
+        rows = rows.filter(F.col("_n") <= n).drop("_n", "_lane")
+    return rows
+
+
+def explode_once(rows: DataFrame, array: Column, name: str) -> DataFrame:
+    """Add ``name``, one row per array element; the array is computed once.
+
+    The outer form is used because Spark guards an inner one with a filter on the array, which
+    would compute it twice.
+    """
+    return rows.withColumn(name, F.explode_outer(array)).filter(F.col(name).isNotNull())

@@ -58,9 +58,9 @@ def nearest_prototype_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines whose vector is that of their id; lines without a vector are far from everything."""
     near = K.nearest(X.vector_logs(spark, sf_dir), _proto_items(spark, sf_dir), 1, "log_id", "cluster_id")
-    near = near.drop("os", "rank").join(_proto_items(spark, sf_dir).select("cluster_id", "label"), "cluster_id")
-    scored = L.with_signals(LQ.parsed(spark, sf_dir))
-    found = L.line_candidates(scored, near, WIDE_THRESHOLD - 0.05)
+    labels = _proto_items(spark, sf_dir).select("cluster_id", F.col("label").alias("nearest_label"))
+    scored = L.with_signals(LQ.parsed(spark, sf_dir)).join(near.drop("os", "rank").join(labels, "cluster_id"), "log_id", "left")
+    found = L.line_candidates(scored, WIDE_THRESHOLD - 0.05)
     return found.drop("raw", "rule_score")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+_written: list[str] = []
+
 
 def build_session(app: str = "logweave", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the library relies on; extra settings win."""
@@ -51,7 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder for one hand-over table."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the hand-over tables this process has written, once their readers are done."""
+    for path in _written:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _written.clear()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

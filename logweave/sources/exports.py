@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logweave.functions import points as P, text as T
+from logweave.operators.upsert import explode_once
 
 MINUTES_BACK = 5
 
@@ -19,7 +20,7 @@ def _os_hint(os: str) -> str:
 def ingest_export_pages(pages: DataFrame, body: str = "body", os: str = "unknown") -> DataFrame:
     """Messages of log-search pages ``{"data": [{"attributes": {"message": ..}}]}``."""
     items = P.get(F.try_parse_json(F.col(body)), "$.data", "array<variant>")
-    rows = pages.withColumn("_item", F.explode(items))
+    rows = explode_once(pages, items, "_item")
     message = P.get(F.col("_item"), "$.attributes.message", "string")
     return rows.withColumn("line", message).filter(F.col("line") != "").select(
         *[c for c in pages.columns if c != body],
@@ -45,7 +46,7 @@ def ingest_alert_lines(pages: DataFrame, body: str = "body", os: str = "unknown"
     page = F.try_parse_json(F.col(body))
     lists = [P.get(page, f"$.{k}", "array<variant>") for k in ("alerts", "alert")]
     items = F.coalesce(F.when(F.size(lists[0]) > 0, lists[0]), lists[1])
-    rows = pages.withColumn("_a", F.explode(items))
+    rows = explode_once(pages, items, "_a")
     a = F.col("_a")
     words = F.concat_ws(
         " ",

@@ -77,18 +77,22 @@ def consume(
         finally:
             points.unpersist()
         logs = batch.sparkSession.read.parquet(f"{out}/logs/batch_id={batch_id}")
-        write_batch(L.line_candidates(logs, nearest_by_text(logs, prototypes, embedder), threshold), f"{out}/candidates", batch_id)
+        write_batch(L.line_candidates(with_nearest(logs, prototypes, embedder), threshold), f"{out}/candidates", batch_id)
 
     return start(lines, each)
 
 
-def nearest_by_text(logs: DataFrame, prototypes: DataFrame, embedder: Embedder | None = None) -> DataFrame:
-    """Nearest prototype per log (log_id, distance, label), searched once per distinct text."""
-    texts = embed_distinct(logs.filter("templated <> ''"), ["os"], "templated", embedder).withColumn("text_id", F.xxhash64("os", "templated"))
-    items = prototypes.select("os", "cluster_id", "label", F.col("centroid").alias("embedding"))
-    hits = nearest(texts, items, 1, "text_id", "cluster_id").join(items.select("os", "cluster_id", "label"), ["os", "cluster_id"])
-    keyed = logs.select("log_id", F.xxhash64("os", "templated").alias("text_id"))
-    return keyed.join(hits.select("text_id", "distance", "label"), "text_id").drop("text_id")
+def with_nearest(logs: DataFrame, prototypes: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+    """Add distance and nearest_label of the nearest prototype, searched once per distinct text.
+
+    Empty text has none.
+    """
+    texts = embed_distinct(logs.filter("templated <> ''"), ["os"], "templated", embedder)
+    texts = texts.withColumn("text_id", C.text_id(F.col("os"), F.col("templated")))
+    items = prototypes.select("os", "cluster_id", F.col("label").alias("nearest_label"), F.col("centroid").alias("embedding"))
+    hits = nearest(texts, items, 1, "text_id", "cluster_id").join(items.drop("embedding"), ["os", "cluster_id"])
+    found = texts.drop("embedding").join(hits.select("text_id", "distance", "nearest_label"), "text_id").drop("text_id")
+    return logs.join(found, ["os", "templated"], "left")
 
 
 def assign(

@@ -72,3 +72,19 @@ def test_cluster_candidates_at_the_crossing(spark):
     rows = [(i, "linux", "a") for i in range(25)] + [(100 + i, "linux", "b") for i in range(19)]
     df = spark.createDataFrame(rows, "log_id long, os string, cluster_id string").withColumn("ts", F.timestamp_seconds("log_id"))
     assert [(r.cluster_id, r.log_id) for r in I.cluster_candidates(df).collect()] == [("a", 19)]
+
+
+def test_hand_over_tables_are_dropped_on_request(spark):
+    from logweave import session
+
+    path = session.fresh_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    kept = session.checkpointed(spark.range(5))
+    assert kept.count() == 5 and spark.read.parquet(path).count() == 3
+    before = session._written[:-2]
+    session._written[:] = session._written[-2:]
+    session.drop_stages(spark)
+    session._written[:] = before
+    import os
+
+    assert not os.path.exists(path)
