@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from logweave.functions.points import get, is_object, truthy
+from logweave.functions.text import let
 
 
 def parse_result(raw: Column) -> Column:
@@ -25,20 +26,25 @@ def result_text(result: Column, key: str) -> Column:
 
 def parse_query_list(answer: Column, n: int = 3) -> Column:
     """Up to ``n`` queries of ``{"queries": [...]}`` or of a bare list, else none."""
-    value = F.try_parse_json(answer)
-    found = F.coalesce(
-        F.when(is_object(value), get(value, "$.queries", "array<string>")),
-        get(value, "$", "array<string>"),
-        F.array().cast("array<string>"),
-    )
-    return F.slice(found, 1, n)
+
+    def found(value: Column) -> Column:
+        return F.coalesce(
+            F.when(is_object(value), get(value, "$.queries", "array<string>")),
+            get(value, "$", "array<string>"),
+            F.array().cast("array<string>"),
+        )
+
+    return F.slice(let(F.try_parse_json(answer), found), 1, n)
 
 
 def alert_fields(result: Column) -> Column:
     """The alert columns taken from a classification result (VARIANT)."""
-    flag = F.coalesce(truthy(get(result, "$.is_hardware_failure")), F.lit(False))
-    return F.struct(
-        flag.alias("is_hardware_failure"),
-        result_text(result, "failure_type").alias("failure_type"),
-        result_text(result, "confidence").alias("confidence"),
-    )
+
+    def fields(r: Column) -> Column:
+        return F.struct(
+            F.coalesce(truthy(get(r, "$.is_hardware_failure")), F.lit(False)).alias("is_hardware_failure"),
+            result_text(r, "failure_type").alias("failure_type"),
+            result_text(r, "confidence").alias("confidence"),
+        )
+
+    return let(result, fields)

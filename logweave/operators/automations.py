@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logweave.functions import points as P, results as J, rules as R, text as T
 from logweave.operators.upsert import explode_once
@@ -173,12 +173,12 @@ def cooldown_fires(matches: DataFrame, segment_sec: int = SEGMENT_SEC) -> DataFr
     keys = ["rule_id", "cooldown_key"]
     rows = checkpointed(with_cooldown_key(matches).filter(F.col("cooldown_ms") > 0))
     width = F.greatest(F.lit(segment_sec * 1000), F.col("cooldown_ms") * 8)
-    timed = rows.select(*keys, "cooldown_ms", "ms", "seq", width.alias("_width")).withColumn(
+    timed = rows.select(*keys, "cooldown_ms", "ms", width.alias("_width")).withColumn(
         "segment", F.expr("(ms - pmod(ms, _width)) div _width")
     )
-    # matches of one key at one time: only the first can fire
-    times = timed.groupBy(*keys, "segment", "_width", "cooldown_ms", "ms").agg(F.min("seq").alias("seq"))
-    cut = times.groupBy(*keys, "segment", "_width", "cooldown_ms").agg(F.array_sort(F.collect_list("ms")).alias("times"))
+    cut = timed.groupBy(*keys, "segment").agg(
+        F.max("_width").alias("_width"), F.max("cooldown_ms").alias("cooldown_ms"), F.array_sort(F.collect_set("ms")).alias("times")
+    )
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -203,15 +203,17 @@ def cooldown_fires(matches: DataFrame, segment_sec: int = SEGMENT_SEC) -> DataFr
     steps = cut.mapInPandas(
         tables, f"{names}, segment bigint, cooldown_ms bigint, until array<bigint>, fired array<bigint>"
     )
-    per_key = steps.groupBy(*keys, "cooldown_ms").agg(
+    per_key = steps.groupBy(*keys).agg(
+        F.max("cooldown_ms").alias("cooldown_ms"),
         F.array_sort(F.collect_list(F.struct("segment", "until", "fired"))).alias("segments")
     )
     entries = per_key.mapInPandas(chains, f"{names}, segment array<bigint>, free array<bigint>")
     entries = entries.select(*keys, F.explode(F.arrays_zip("segment", "free")).alias("e")).select(*keys, "e.*")
     fired = cut.join(entries, [*keys, "segment"]).mapInPandas(replays, f"{names}, fired array<bigint>")
     moments = fired.select(*keys, F.explode("fired").alias("ms"))
-    first = times.select(*keys, "ms", "seq").join(moments, [*keys, "ms"], "left_semi")
-    return rows.join(first, [*keys, "ms", "seq"], "left_semi")
+    # of several matches of a key at one time, the first fires
+    w = Window.partitionBy(*keys, "ms").orderBy("seq")
+    return rows.join(moments, [*keys, "ms"]).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1).drop("_n")
 
 
 def actions(fires: DataFrame, dry_run: bool = True) -> DataFrame:

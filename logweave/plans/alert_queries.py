@@ -35,7 +35,7 @@ LIST_SQL = f"""WITH {O.ALERTS}, now AS (SELECT max(ms) AS as_of FROM alerts),
 def list_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A month's alerts, then older persisted ones."""
     rows = enriched(spark, sf_dir)
-    found = A.list_alerts(rows, X.persist_events(spark, sf_dir), A.newest_ms(rows), 1000, TTL_30_DAYS)
+    found = A.list_alerts(rows, X.persist_events(spark, sf_dir), A.newest_ms(X.alerts(spark, sf_dir)), 1000, TTL_30_DAYS)
     return found.select("id", "os", "issue_key", "type", "failure_type", "persisted", "summary", "solution")
 
 
