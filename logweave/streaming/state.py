@@ -101,22 +101,30 @@ def stream_cluster_candidates(assigned: DataFrame, threshold: int = 20) -> DataF
     )
 
 
-def stream_fires(matches: DataFrame) -> DataFrame:
+def stream_fires(matches: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Matches that fire under their cooldown: (rule_id, cooldown_key, provider, id, ms, seq).
 
-    The last fire per (rule, key) is kept; alerts that come too late count from it as well.
+    The last fire per (rule, key) is kept until its cooldown has run out on the event-time clock;
+    from then on the next match fires anyway, so the state holds only keys under a cooldown.
+    Matches behind the watermark are dropped.
     """
-    rows = with_cooldown_key(matches).filter(F.col("cooldown_ms") > 0).select(
-        "rule_id", "cooldown_key", "provider", "id", "ms", "seq", "cooldown_ms"
+    rows = with_cooldown_key(matches).filter(F.col("cooldown_ms") > 0)
+    rows = rows.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", watermark).select(
+        "rule_id", "cooldown_key", "provider", "id", "ms", "seq", "cooldown_ms", "ts"
     )
+
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        fired = []
+        fired, cooldown = [], 0
         for ms, seq, cooldown, provider, id_ in _in_order(batches, ("ms", "seq", "cooldown_ms", "provider", "id")):
             if last is None or ms - last >= cooldown:
                 last = ms
                 fired.append((*key, provider, id_, ms, seq))
         state.update((last,))
+        state.setTimeoutTimestamp(max(last + cooldown, state.getCurrentWatermarkMs() + 1))
         if fired:
             yield pd.DataFrame(fired, columns=["rule_id", "cooldown_key", "provider", "id", "ms", "seq"])
 
@@ -125,5 +133,5 @@ def stream_fires(matches: DataFrame) -> DataFrame:
         "rule_id string, cooldown_key string, provider string, id string, ms bigint, seq bigint",
         "last bigint",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )

@@ -55,7 +55,9 @@ def test_stream_candidates_once(spark, tmp_path):
 
 
 def test_stream_fires_equal_batch(spark, tmp_path):
-    rows = [(f"{i * 400}-{i}", i * 400, i, "linux", f"k{i % 3}", "power", "0.9", None) for i in range(300)]
+    # cooldowns run out and are forgotten while the stream is still running
+    base = 1_700_000_000_000
+    rows = [(f"{i}", base + i * 400 + (i // 100) * 900_000, i, "linux", f"k{i % 3}", "power", "0.9", None) for i in range(300)]
     df = spark.createDataFrame(rows, "id string, ms long, seq long, os string, issue_key string, failure_type string, confidence string, result string")
     rules = [U.Rule("a", "servicenow", failure_type="power", cooldown="7s"), U.Rule("b", "pager", min_confidence=0.95), U.Rule("c", "pager", cooldown="1m")]
     stream = U.match_automations(land(df, tmp_path / "in", "ms", 5), rules)
