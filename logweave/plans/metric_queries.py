@@ -63,7 +63,7 @@ def agent_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.withColumn("last_us", F.unix_micros("last_seen")).drop("last_seen")
 
 
-def _lines(rows: DataFrame, kind: str) -> DataFrame:
+def _lines(rows: DataFrame) -> DataFrame:
     """Rows with the columns every normaliser input has."""
     return rows.select("log_id", "ts", "source", "line", F.col("source_id").cast("bigint").alias("source_id"))
 
@@ -79,11 +79,11 @@ def agent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snmp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(E.wrap_snmp_readings(X.snmp_readings(spark, sf_dir)), "snmp")
+    return _lines(E.wrap_snmp_readings(X.snmp_readings(spark, sf_dir)))
 
 
 def sensor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(E.wrap_http_payloads(X.sensor_payloads(spark, sf_dir)), "dcim_http")
+    return _lines(E.wrap_http_payloads(X.sensor_payloads(spark, sf_dir)))
 
 
 def points_of(lines: DataFrame, spark: SparkSession, sf_dir: str, **kwargs) -> DataFrame:

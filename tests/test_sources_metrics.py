@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import points as P
 from logweave.operators import metrics as M
-from logweave.sources import agents as A, config as C, exports as E, files as S
+from logweave.sources import agents as A, config as C, files as S
 
 LINE = "log_id long, ts timestamp, source string, line string, source_id long"
 

@@ -3,7 +3,6 @@
 import datetime
 import json
 
-from pyspark.sql import functions as F
 
 from logweave.operators import automations as U, issues as I, logs as L
 from logweave.streaming import state as S, tables as B
