@@ -166,7 +166,7 @@ def write_token_files(
             store.delete_file(f"{trial}.bin")
 
     manifest = f"{folder}/manifest"
-    written = rows.mapInArrow(write, "part int, width int, n_docs long, n_tokens long")
+    written = rows.mapInArrow(write, "part long, width long, n_docs long, n_tokens long")
     written.write.parquet(f"{folder}/counts")
     counts = spark.read.schema(written.schema).parquet(f"{folder}/counts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
@@ -175,7 +175,7 @@ def write_token_files(
 
 
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("part int, width int, n_docs long, n_tokens long, base long").parquet(f"{folder}/manifest")
+    return spark.read.schema("part long, width long, n_docs long, n_tokens long, base long").parquet(f"{folder}/manifest")
 
 
 def _mapped(store: pafs.FileSystem, path: str) -> pa.Buffer:
