@@ -5,9 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweave.llm import token_counts, token_files
+from logweave.llm import decontamination, mixing, pii, preferences, token_counts, token_files
 from logweave.plans.registry import query
-from logweave.session import fresh_path, use_utc
+from logweave.session import checkpointed, fresh_path, use_utc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,3 +28,59 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "tokens")
     token_files.write_token_files(documents(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"), 2)
     return token_files.read_token_files(spark, folder)
+
+
+@query("op7_mix_sources")
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes from each document."""
+    return mixing.mix_sources(documents(spark, sf_dir)).taken()
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "pii")
+    counts = [pii.count_kind(F.col("pii"), k).alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.span_text(F.col("pii"), pii.BASE_KINDS), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans")
+    )
+
+
+@query("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each document holds."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    items = use_utc(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = checkpointed(decontamination.find_leaks(docs, items))
+    return decontamination.mark_leaks(docs, leaks)
+
+
+PREFERENCES_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n FROM conversations),
+l AS (SELECT conv_id, count(*) AS size, max(CASE WHEN role = 'assistant' THEN n ELSE 0 END) AS last FROM t GROUP BY conv_id),
+a AS (SELECT l.conv_id, t.text AS answer FROM l JOIN t ON t.conv_id = l.conv_id AND t.n = l.last),
+c AS (SELECT t.conv_id, t.n, t.role, t.text, 'chosen' AS side FROM t),
+r AS (SELECT t.conv_id, t.n, t.role, CASE WHEN t.n = l.last THEN coalesce(o.answer, '') ELSE t.text END AS text, 'rejected' AS side
+      FROM t JOIN l USING (conv_id) LEFT JOIN a AS o ON o.conv_id = t.conv_id + 1 WHERE l.last = 0 OR t.n <= l.last),
+m AS (SELECT c.conv_id, min(CASE WHEN r.n IS NULL OR r.role <> c.role OR r.text <> c.text THEN c.n END) - 1 AS broken, max(c.n) AS size
+      FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.n = c.n GROUP BY c.conv_id),
+p AS (SELECT conv_id, coalesce(broken, size) AS n_common FROM m),
+w AS (SELECT s.conv_id, s.side, s.n, s.role, '<|' || s.role || '|>' || chr(10) || s.text || '<|end|>' || chr(10) AS shown, length(s.role) AS role_size, length(s.text) AS text_size, p.n_common
+      FROM (SELECT * FROM c UNION ALL SELECT * FROM r) s JOIN p USING (conv_id)),
+x AS (SELECT *, sum(length(shown)) OVER (PARTITION BY conv_id, side ORDER BY n) - length(shown) + role_size + 5 AS start FROM w WHERE n > n_common),
+y AS (SELECT conv_id, side, string_agg(shown, '' ORDER BY n) AS shown,
+        coalesce(string_agg(start || ':' || (start + text_size), ',' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS mask FROM x GROUP BY conv_id, side),
+q AS (SELECT conv_id, string_agg(shown, '' ORDER BY n) AS prompt FROM w WHERE side = 'chosen' AND n <= n_common GROUP BY conv_id)
+SELECT p.conv_id, p.n_common, coalesce(q.prompt, '') AS prompt, coalesce(yc.shown, '') AS chosen_text, coalesce(yr.shown, '') AS rejected_text,
+  coalesce(yc.mask, '') AS chosen_mask, coalesce(yr.mask, '') AS rejected_mask
+FROM p LEFT JOIN q USING (conv_id) LEFT JOIN y AS yc ON yc.conv_id = p.conv_id AND yc.side = 'chosen'
+LEFT JOIN y AS yr ON yr.conv_id = p.conv_id AND yr.side = 'rejected'
+"""
+
+
+@query("op4_preferences", PREFERENCES_SQL)
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preference pair for every conversation, its counterpart ending in the next one's answer."""
+    turns = use_utc(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    return preferences.format_preferences(preferences.pairs_by_next_answer(preferences.conversations(turns)))
