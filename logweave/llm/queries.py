@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweave.llm import decontamination, mixing, pii, preferences, token_counts, token_files
+from logweave.llm import decontamination, mixing, pii, preferences, quality, secrets, token_counts, token_files
 from logweave.plans.registry import query
 from logweave.session import checkpointed, fresh_path, use_utc
 
@@ -84,3 +84,20 @@ def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A preference pair for every conversation, its counterpart ending in the next one's answer."""
     turns = use_utc(spark).read.parquet(f"{sf_dir}/conversations.parquet")
     return preferences.format_preferences(preferences.pairs_by_next_answer(preferences.conversations(turns)))
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every text and the verdict of the voting rules."""
+    judged = quality.judge_quality(documents(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@query("op9_secrets")
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text."""
+    found = secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "secrets")
+    counts = [secrets.count_kind(F.col("secrets"), k).alias(f"n_{k}") for k in secrets.BASE_KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.span_text(F.col("secrets"), secrets.BASE_KINDS), 256).alias("base_sha256"), secrets.span_text(F.col("secrets")).alias("spans")
+    )
