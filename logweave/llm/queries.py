@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweave.llm import decontamination, mixing, pii, preferences, quality, secrets, token_counts, token_files
+from logweave.llm import decontamination, mixing, near_duplicates, pii, preferences, quality, secrets, token_counts, token_files
 from logweave.plans.registry import query
 from logweave.session import checkpointed, fresh_path, use_utc
 
@@ -101,3 +101,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(secrets.span_text(F.col("secrets"), secrets.BASE_KINDS), 256).alias("base_sha256"), secrets.span_text(F.col("secrets")).alias("spans")
     )
+
+
+@query("op2_near_duplicates")
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 2-word shingles agree to four fifths."""
+    found = near_duplicates.near_duplicates(documents(spark, sf_dir), shingle=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
