@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweave.llm import decontamination, mixing, near_duplicates, pii, preferences, quality, secrets, token_counts, token_files
+from logweave.llm import decontamination, mixing, near_duplicates, pii, preferences, quality, secrets, token_counts, token_files, toxicity
 from logweave.plans.registry import query
 from logweave.session import checkpointed, fresh_path, use_utc
 
@@ -108,3 +108,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 2-word shingles agree to four fifths."""
     found = near_duplicates.near_duplicates(documents(spark, sf_dir), shingle=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learnt from the labelled rows that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, use_utc(spark).read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
