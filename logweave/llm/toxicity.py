@@ -31,7 +31,7 @@ BEGINNINGS = (4, 5, 6, 7)
 #: How many different words with a beginning a voter may ask for.
 AGAIN = (1, 2, 3)
 #: Voters whose firing is correlated above this are one vote.
-SAME_VOTE = 0.5
+SAME_VOTE = 0.8
 
 # Common insults
 LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "disgusting", "worthless", "clown", "dumb", "garbage", "imbecile", "vermin")
@@ -141,8 +141,8 @@ class Firing:
         return out | {v for p, v in self.patterns if p.search(low)}
 
 
-def fit_votes(fired: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Posterior of toxic for each text from votes (texts, voters) and a given label, itself one noisy vote.
+def fit_votes(fired: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of toxic for each text, and the evidence of each voter, from votes (texts, voters) and a given label, itself one noisy vote.
 
     Rates of firing are estimated for both classes; silence says nothing, as most voters know one
     language only. A voter's evidence is divided by the number of voters that it fires together with,
@@ -161,22 +161,23 @@ def fit_votes(fired: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> np.ndar
         rate = (weights @ x + 0.5 * np.array([[toxic.mean() / 4], [1]])) / (weights.sum(axis=1, keepdims=True) + 1)
         rate = np.clip(rate, 1e-6, 1 - 1e-6)
         share = np.clip(posterior.mean(), 1e-4, 0.5)
-        evidence = x @ ((np.log(rate[1]) - np.log(rate[0])) / group)
+        each = (np.log(rate[1]) - np.log(rate[0])) / group
         label = np.where(toxic, np.log(0.95 / 0.05), np.log(0.05 / 0.95))
-        fresh = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + evidence + label, -50, 50)))
+        fresh = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + x @ each + label, -50, 50)))
         done = np.abs(fresh - posterior).max() < 1e-6
         posterior = fresh
         if done:
             break
-    return posterior
+    return posterior, each
 
 
-def fit_linear(fired: np.ndarray, target: np.ndarray, decay: float = 0.005, rounds: int = 400) -> tuple[np.ndarray, float]:
+def fit_linear(fired: np.ndarray, target: np.ndarray, start: np.ndarray, decay: float = 0.005, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by gradient steps with momentum; both classes weigh the same
-    half, and weights are not negative: no voter speaks for a clean text."""
+    half, and weights are not negative: no voter speaks for a clean text. ``start`` is the evidence of the
+    generative model, from which the steps set out."""
     x = fired.astype(float)
     balance = np.where(target >= 0.5, 0.5 / max(1, (target >= 0.5).sum()), 0.5 / max(1, (target < 0.5).sum()))
-    weights, bias = np.zeros(x.shape[1]), -2.0
+    weights, bias = np.clip(start, 0, 8), -3.0
     speed, drift = np.zeros(x.shape[1]), 0.0
     for _ in range(rounds):
         wrong = balance * (1 / (1 + np.exp(-np.clip(x @ weights + bias, -50, 50))) - target)
@@ -219,8 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     fired = np.zeros((len(rows), n), bool)
     for i, voters in enumerate(rows["fired"]):
         fired[i, voters] = True
-    posterior = fit_votes(fired, rows["toxic"].to_numpy(bool))
-    weights, bias = fit_linear(fired, posterior)
+    posterior, evidence = fit_votes(fired, rows["toxic"].to_numpy(bool))
+    weights, bias = fit_linear(fired, posterior, evidence)
     return Model(words, begins, patterns, weights, bias)
 
 
