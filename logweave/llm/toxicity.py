@@ -31,7 +31,9 @@ BEGINNINGS = (4, 5, 6, 7)
 #: How many different words with a beginning a voter may ask for.
 AGAIN = (1, 2, 3)
 #: Voters whose firing is correlated above this are one vote.
-SAME_VOTE = 0.8
+SAME_VOTE = 0.7
+#: How often a given label is taken to be right.
+LABEL_RIGHT = 0.995
 
 # Common insults
 LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "disgusting", "worthless", "clown", "dumb", "garbage", "imbecile", "vermin")
@@ -162,7 +164,7 @@ def fit_votes(fired: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> tuple[n
         rate = np.clip(rate, 1e-6, 1 - 1e-6)
         share = np.clip(posterior.mean(), 1e-4, 0.5)
         each = (np.log(rate[1]) - np.log(rate[0])) / group
-        label = np.where(toxic, np.log(0.95 / 0.05), np.log(0.05 / 0.95))
+        label = np.where(toxic, np.log(LABEL_RIGHT / (1 - LABEL_RIGHT)), np.log((1 - LABEL_RIGHT) / LABEL_RIGHT))
         fresh = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + x @ each + label, -50, 50)))
         done = np.abs(fresh - posterior).max() < 1e-6
         posterior = fresh
