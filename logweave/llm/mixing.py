@@ -209,6 +209,10 @@ class Mixture:
             F.xxhash64(F.lit(self.seed), F.lit("shuffle"), F.col(self.doc_id), F.col("_draw_copy")).alias("mix_order"),
         )
 
+    def in_shards(self, docs: DataFrame) -> DataFrame:
+        """``rows`` dealt out by shard, each in its random order."""
+        return self.rows(docs).repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order")
+
     def taken(self) -> DataFrame:
         """For each document: doc_id, size, source_size, target, taken (words drawn, copies counted)."""
         per_block = self.draws.groupBy("key", "block").agg(

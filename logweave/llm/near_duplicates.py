@@ -205,25 +205,25 @@ def rest_links(members: DataFrame, pivots: DataFrame, roots: DataFrame, sets: Da
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """For every row: doc_id, text_hash, n_shingles, component_id, kept.
+    """For every row: doc_id, text_hash, n_shingles, component_id, first, kept.
 
     Words are runs of non-blanks, A-Z lower-cased. A text of fewer than ``shingle`` words is one shingle;
     a null text or one without words is an empty set, linked with nothing. Documents are linked if
     100 * common >= percent * united shingles. ``component_id`` is the smallest id reachable (null ids
     are passed over), ``kept`` marks the rows with that id; a row without id is kept if all of its
-    component are. Repeated rows are judged alike; an empty table gives no rows.
+    component are. ``first`` marks the one text that stands for the component. Repeated rows are judged alike; an empty table gives no rows.
     """
     sketch = checkpointed(sketches(docs, shingle, doc_id, text))
     nodes = checkpointed(
         sketch.filter("node is not null").groupBy("node").agg(
-            F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("bands").alias("bands")
+            F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("of"), F.first("bands").alias("bands")
         )
     )
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("others")).filter("others > 1")
     members = checkpointed(placed.join(shared, "bucket"))
     present = checkpointed(members.select("node").distinct())
-    sets = checkpointed(node_sets(docs, present.join(nodes, "node").select("of.*"), shingle, doc_id, text).dropDuplicates(["node"]))
+    sets = checkpointed(node_sets(docs, present.join(nodes, "node").select("of.doc_id", "of.text_hash"), shingle, doc_id, text).dropDuplicates(["node"]))
     pivots, links = pivot_links(members, sets, percent)
     roots = connected(present, links)
     more = rest_links(members, pivots, roots, sets, percent)
@@ -233,9 +233,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         lifted = label("a", "ra").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         tops = connected(roots.select(F.col("root").alias("node")).distinct(), lifted)
         roots = checkpointed(roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root").select("node", F.col("top").alias("root")))
-    least = nodes.join(roots, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = roots.join(least, "root").select("node", F.col("component_id").alias("linked_id"))
-    component = nodes.join(linked, "node", "left").select("node", F.coalesce("linked_id", "least_id").alias("component_id"))
-    own = sketch.filter("node is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
-    found = sketch.filter("node is not null").join(component, "node").select("doc_id", "text_hash", "n_shingles", "component_id")
+    least = nodes.join(roots, "node").groupBy("root").agg(F.min("least_id").alias("linked_id"), F.min("of").alias("linked_of"))
+    linked = roots.join(least, "root").select("node", "linked_id", "linked_of")
+    component = nodes.join(linked, "node", "left").select("node", F.coalesce("linked_id", "least_id").alias("component_id"), F.coalesce("linked_of", "of").alias("of"))
+    own = sketch.filter("node is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    first = F.col("doc_id").eqNullSafe(F.col("of.doc_id")) & (F.col("text_hash") == F.col("of.text_hash"))
+    found = sketch.filter("node is not null").join(component, "node").select("doc_id", "text_hash", "n_shingles", "component_id", first.alias("first"))
     return found.unionByName(own).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, all columns as they are: the first by id (nulls last), then text hash;
+    of rows that agree in both one stays."""
+    key = {"_near_id": F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), "_near_hash": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))}
+    chosen = near_duplicates(docs, doc_id, text, shingle, percent).filter("first").select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_near_id"), F.col("text_hash").alias("_near_hash")
+    )
+    met = docs.withColumns(key).join(chosen, ["_near_id", "_near_hash"], "left_semi").dropDuplicates(["_near_id", "_near_hash"])
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from logweave.llm.words import groups, mix, per_text, span_hashes, window_hashes, words_of
 from logweave.session import checkpointed
@@ -90,50 +91,63 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     }
 
 
-def with_measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_hash (xxhash64, null text as empty) and the measures of every row."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    keyed = source.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+def with_measures(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
+    """Add the measures of ``text`` to all columns, their names behind ``prefix``."""
+    at = [c.lower() for c in docs.columns].index(text.lower())
+    names = [f"{prefix}{m.split()[0]}" for m in MEASURES.split(", ")]
+    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in groups(batch.column(2).to_pylist()):
-                found = measure(part)
+            for first, part in groups(batch.column(at).to_pylist()):
                 rows = batch.slice(first, len(part))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *map(pa.array, found.values())], names=["doc_id", "text_hash", *found])
+                yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, measure(part).values())], names=schema.names)
 
-    return keyed.mapInArrow(run, f"doc_id {kind}, text_hash long, {MEASURES}")
-
-
-def _ratio(a: str, b: str) -> F.Column:
-    return F.col(a) / F.greatest(F.col(b), F.lit(1))
+    return docs.mapInArrow(run, schema)
 
 
 def _bad(value, when) -> F.Column:
     return F.when(when(value), 0).otherwise(1)
 
 
-def votes() -> dict[str, F.Column]:
+def votes(prefix: str = "") -> dict[str, F.Column]:
     """0: bad, 1: no vote, 2: good, for each rule.
 
     That a text is free of one fault says little: most rules speak against a text or not at all.
     """
-    ends, plain = _ratio("n_ends", "n_words"), _ratio("n_plain", "n_words")
+
+    def col(name: str) -> F.Column:
+        return F.col(prefix + name)
+
+    def ratio(a: str, b: str) -> F.Column:
+        return col(a) / F.greatest(col(b), F.lit(1))
+
+    ends, plain = ratio("n_ends", "n_words"), ratio("n_plain", "n_words")
     return {
-        "symbols": _bad(_ratio("n_symbols", "word_chars"), lambda v: v > 0.06),
-        "letters": _bad(_ratio("n_letters", "word_chars"), lambda v: v < 0.75),
-        "bare_words": _bad(_ratio("n_bare", "n_words"), lambda v: v > 0.2),
-        "upper": _bad(_ratio("n_upper", "n_letters"), lambda v: v > 0.4),
-        "shouts": _bad(_ratio("n_shouts", "n_words"), lambda v: v > 0.2),
-        "lines": _bad(_ratio("n_dup_lines", "n_lines"), lambda v: (v > 0.3) & (F.col("n_dup_lines") > 2)),
-        "repeats": _bad(_ratio("n_repeat_words", "n_words"), lambda v: v > 0.2),
-        "variety": _bad(_ratio("n_distinct", "n_words"), lambda v: (v < 0.15) & F.col("n_words").between(50, 2000)),
+        "symbols": _bad(ratio("n_symbols", "word_chars"), lambda v: v > 0.06),
+        "letters": _bad(ratio("n_letters", "word_chars"), lambda v: v < 0.75),
+        "bare_words": _bad(ratio("n_bare", "n_words"), lambda v: v > 0.2),
+        "upper": _bad(ratio("n_upper", "n_letters"), lambda v: v > 0.4),
+        "shouts": _bad(ratio("n_shouts", "n_words"), lambda v: v > 0.2),
+        "lines": _bad(ratio("n_dup_lines", "n_lines"), lambda v: (v > 0.3) & (col("n_dup_lines") > 2)),
+        "repeats": _bad(ratio("n_repeat_words", "n_words"), lambda v: v > 0.2),
+        "variety": _bad(ratio("n_distinct", "n_words"), lambda v: (v < 0.15) & col("n_words").between(50, 2000)),
         "plain_words": _bad(plain, lambda v: v < 0.6),
         "prose": F.when((plain > 0.85) & ends.between(0.03, 0.35), 2).otherwise(1),
     }
 
 
+def vote_pattern(prefix: str = "") -> F.Column:
+    """The votes of all rules as one number."""
+    return sum((v * 3**i for i, v in enumerate(votes(prefix).values())), F.lit(0))
+
+
+def base_failed(prefix: str = "") -> F.Column:
+    """Under 20 words, or over 30 % of the words in repeated windows of 8."""
+    words = F.col(f"{prefix}n_words")
+    return (words < 20) | (100 * F.col(f"{prefix}n_repeat_words") > 30 * words)
+
+
 #: Before any data a vote is taken to be right this often, with the weight of this share of all documents;
 #: the share of good documents to begin with; no rule is taken to be worse or better than the bounds.
 ACCURACY, PRIOR_SHARE, GOOD_SHARE, BOUNDS = 0.85, 0.02, 0.8, (0.6, 0.97)
@@ -165,25 +179,33 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np
     return posterior
 
 
+def fit_quality(measured: DataFrame) -> DataFrame:
+    """(pattern, quality): the posterior of good of every vote pattern that occurs, at most 3 ** rules rows."""
+    seen = sorted(map(tuple, measured.select(vote_pattern().alias("pattern")).groupBy("pattern").count().collect()))
+    codes = np.array([p for p, _ in seen], np.int64)
+    good = fit_votes(codes[:, None] // 3 ** np.arange(len(votes())) % 3, np.array([c for _, c in seen], float))
+    return measured.sparkSession.createDataFrame([(int(p), float(q)) for p, q in zip(codes, good, strict=True)], "pattern int, quality double")
+
+
 def judge_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
-    """For every row: doc_id, text_hash, the measures, base_failed, quality (posterior of good), kept.
+    """For every row: doc_id, the measures, base_failed, quality (posterior of good), kept.
 
-    ``base_failed``: under 20 words, or over 30 % of the words in repeated windows of 8. ``kept`` is
-    false for those, else whether ``quality`` reaches ``least``. Null texts are empty and fail; repeated
-    rows are judged alike; an empty table gives no rows. All rows take part in the estimate.
+    ``kept`` is false where the base rules fail, else whether ``quality`` reaches ``least``. Null texts are
+    empty and fail; repeated rows are judged alike; an empty table gives no rows. All rows take part in
+    the estimate.
     """
-    measured = checkpointed(with_measures(docs, doc_id, text))
-    rules = votes()
-    code = sum((v * 3**i for i, v in enumerate(rules.values())), F.lit(0))
-    coded = measured.withColumn("pattern", code)
-    seen = sorted(map(tuple, coded.groupBy("pattern").count().collect()))  # at most 3 ** rules rows
-    codes = np.array([p for p, _ in seen], np.int64)
-    patterns = codes[:, None] // 3 ** np.arange(len(rules)) % 3
-    good = fit_votes(patterns, np.array([c for _, c in seen], float))
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(int(p), float(q)) for p, q in zip(codes, good, strict=True)], "pattern int, quality double")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    measured = checkpointed(with_measures(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text"))
+    known = fit_quality(measured)
     return (
-        coded.join(F.broadcast(known), "pattern").withColumn("base_failed", failed)
+        measured.withColumn("pattern", vote_pattern()).join(F.broadcast(known), "pattern").withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least)).drop("pattern")
     )
+
+
+def keep_good(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they are. Texts are measured twice, once for the
+    estimate and once for the choice, and never shuffled."""
+    known = fit_quality(checkpointed(with_measures(docs.select(F.col(text).alias("text"))).drop("text")))
+    good = known.filter(F.col("quality") >= least).select(F.col("pattern").alias("_quality_pattern"))
+    measured = with_measures(docs, text, "_quality_").withColumn("_quality_pattern", vote_pattern("_quality_"))
+    return measured.filter(~base_failed("_quality_")).join(F.broadcast(good), "_quality_pattern", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
