@@ -14,9 +14,10 @@ all earlier parts, a prefix sum. Parts ascend by document id, and so do the docu
 from __future__ import annotations
 
 import re
-import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from logweave.llm.words import worker_state
 
 #: Kept stretches per Python worker; a full memory is emptied, which costs time and changes no id.
-MEMORY = 500_000
+MEMORY = 1_000_000
 _GROUP = 1 << 20
 
 
@@ -37,13 +38,6 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letters that byte-level vocabularies write for the 256 bytes."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
-
-
 class Encoder:
     """A byte-level BPE of the tokenizers library that encodes equal stretches of text once.
 
@@ -59,35 +53,47 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         assert not any(re.search(r"\s", s) for s in self.special), "added tokens with blanks are not supported"
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.letters = _byte_letters()
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def word(self, letters: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(letters)]
-
-    def stretch(self, text: str) -> list[int]:
-        """Ids of a single space and the non-blanks after it, by the library's splitting and merging."""
-        body = text[1:]
-        if body.isascii() and body.isalpha():
-            return self.word("\u0120" + body)
-        if body.isalpha() and max(body) < "\u0250":
-            return self.word(text.encode().decode("latin1").translate(self.letters))
-        if body[:-1].isalpha() and body[-1] in ",.;:!?" and max(body) < "\u0250":
-            return self.word(text[:-1].encode().decode("latin1").translate(self.letters)) + self.word(body[-1])
-        for s in self.special:
-            if s in text:
-                return self.ids(text)
-        return [i for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text) for i in self.word(word)]
+    def stretches(self, words: list[str]) -> Iterator[list[int]]:
+        """Ids of a single space and each word after it, by the library's splitting and merging.
+
+        No word is empty or ends in a blank, so the words are split in one go.
+        """
+        plain = [w for w in words if not any(s in w for s in self.special)] if any(s in w for s in self.special for w in words) else words
+        known: dict[str, list[int]] = {}
+        tokenize = self.tokenizer.model.tokenize
+        split = iter(self.tokenizer.pre_tokenizer.pre_tokenize_str("".join([f" {w}" for w in plain])))
+        piece, (start, _) = next(split, ("", (0, 0)))
+        end = 0
+        usual = set(plain) if len(plain) < len(words) else None
+        for w in words:
+            if usual is not None and w not in usual:
+                yield self.ids(" " + w)
+                continue
+            end += len(w) + 1
+            ids: list[int] = []
+            while piece and start < end:
+                found = known.get(piece)
+                if found is None:
+                    found = known[piece] = [t.id for t in tokenize(piece)]
+                ids += found
+                piece, (start, _) = next(split, ("", (0, 0)))
+            yield ids
 
 
 def encode_texts(texts: list[str | None], encoder: Encoder, memory: dict, kind: str) -> list[bytes]:
     """The ids of each text as little-endian integers of the numpy type ``kind``."""
     code = "H" if kind[2] == "2" else "I"
+    turned = sys.byteorder == "big"
 
     def packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{code}", *ids)
+        out = array(code, ids)
+        if turned:
+            out.byteswap()
+        return out.tobytes()
 
     parts = [(t or "").split(" ") for t in texts]
     fresh = set()
@@ -95,10 +101,11 @@ def encode_texts(texts: list[str | None], encoder: Encoder, memory: dict, kind:
         fresh.update(p[1:])
     if len(memory) + len(fresh) > MEMORY:
         memory.clear()
-    for x in fresh:
-        if x not in memory:
-            # a stretch that is empty or ends in a blank has no certain end: such texts go whole
-            memory[x] = None if not x or x[-1].isspace() else packed(encoder.stretch(" " + x))
+    new = [x for x in fresh if x not in memory]
+    # a stretch that is empty or ends in a blank has no certain end: such texts go whole
+    memory.update((x, None) for x in new if not x or x[-1].isspace())
+    clear = [x for x in new if x and not x[-1].isspace()]
+    memory.update(zip(clear, map(packed, encoder.stretches(clear)), strict=True))
     out = []
     for text, p in zip(texts, parts, strict=True):
         found = [memory[x] for x in p[1:]]
