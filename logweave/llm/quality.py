@@ -130,7 +130,7 @@ def votes(prefix: str = "") -> dict[str, F.Column]:
         "upper": _bad(ratio("n_upper", "n_letters"), lambda v: v > 0.4),
         "shouts": _bad(ratio("n_shouts", "n_words"), lambda v: v > 0.2),
         "lines": _bad(ratio("n_dup_lines", "n_lines"), lambda v: (v > 0.3) & (col("n_dup_lines") > 2)),
-        "repeats": _bad(ratio("n_repeat_words", "n_words"), lambda v: v > 0.2),
+        "repeats": _bad(ratio("n_repeat_words", "n_words"), lambda v: v > 0.3),
         "variety": _bad(ratio("n_distinct", "n_words"), lambda v: (v < 0.15) & col("n_words").between(50, 2000)),
         "plain_words": _bad(plain, lambda v: v < 0.6),
         "prose": F.when((plain > 0.85) & ends.between(0.03, 0.35), 2).otherwise(1),
@@ -148,34 +148,37 @@ def base_failed(prefix: str = "") -> F.Column:
     return (words < 20) | (100 * F.col(f"{prefix}n_repeat_words") > 30 * words)
 
 
-#: Before any data a vote is taken to be right this often, with the weight of this share of all documents;
-#: the share of good documents to begin with; no rule is taken to be worse or better than the bounds.
-ACCURACY, PRIOR_SHARE, GOOD_SHARE, BOUNDS = 0.85, 0.02, 0.8, (0.6, 0.97)
+#: Before any data a vote is taken for this much evidence (log-odds of 0.85), with the weight of this
+#: share of all documents. The share of good documents is given, since silent rules cannot tell it, so a
+#: text that no rule speaks against is good. Evidence stays in the bounds and keeps its side.
+EVIDENCE, PRIOR_SHARE, GOOD_SHARE, BOUNDS = 1.73, 0.02, 0.8, (0.3, 4.0)
 
 
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Posterior of good for each pattern (rows of votes, with counts).
 
-    A rule's silence says nothing; its votes are right with an accuracy of its own for either side.
+    Each rule casts either vote at a rate of its own among good and among bad documents; the ratio of
+    the two is the vote's evidence. A rule's silence says nothing.
     """
     if not len(counts):
         return np.zeros(0)
     n = counts.sum()
-    votes_for = np.stack([patterns == 0, patterns == 2]).astype(float)  # side, pattern, rule
-    right = np.full((2, patterns.shape[1]), ACCURACY)
-    share, posterior = GOOD_SHARE, np.full(len(counts), GOOD_SHARE)
+    cast = np.stack([patterns == 0, patterns == 2]).astype(float)  # vote, pattern, rule
+    seen = np.einsum("p,vpr->vr", counts, cast) / n
+    evidence = np.full(seen.shape, EVIDENCE) * [[-1], [1]]
+    # rates that stand for the evidence before any data
+    before = np.stack([seen / (1 + np.exp(evidence)), seen / (1 + np.exp(-evidence))]) * 2  # class, vote, rule
+    given, posterior = np.log(GOOD_SHARE / (1 - GOOD_SHARE)), np.full(len(counts), GOOD_SHARE)
     for _ in range(rounds):
-        weight = np.log(right / (1 - right))
-        fresh = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + votes_for[1] @ weight[1] - votes_for[0] @ weight[0], -500, 500)))
+        fresh = 1 / (1 + np.exp(-np.clip(given + np.einsum("vpr,vr->p", cast, evidence), -500, 500)))
         done = np.abs(fresh - posterior).max() < 1e-9
         posterior = fresh
         if done:
             break
         held = np.stack([(1 - posterior) * counts, posterior * counts])
-        agreed = np.einsum("sp,spr->sr", held, votes_for) + PRIOR_SHARE * n * ACCURACY
-        cast = np.einsum("p,spr->sr", counts, votes_for) + PRIOR_SHARE * n
-        right = np.clip(agreed / cast, *BOUNDS)
-        share = float(np.clip((held[1].sum() + PRIOR_SHARE * n * GOOD_SHARE) / (n + PRIOR_SHARE * n), 0.5, 0.9))
+        rate = (np.einsum("cp,vpr->cvr", held, cast) + PRIOR_SHARE * n * before + 1e-9) / (held.sum(axis=1) + PRIOR_SHARE * n)[:, None, None]
+        evidence = np.log(rate[1] / rate[0])
+        evidence = np.stack([np.clip(evidence[0], -BOUNDS[1], -BOUNDS[0]), np.clip(evidence[1], *BOUNDS)])
     return posterior
 
 
