@@ -20,6 +20,17 @@ def parse_result(raw: Column) -> Column:
     )
 
 
+def strict_result(raw: Column) -> Column:
+    """A JSON object as VARIANT, an empty one where there is no text; null for anything else."""
+    parsed = F.try_parse_json(raw)
+    return F.when(raw.isNull(), F.parse_json(F.lit("{}"))).otherwise(F.when(is_object(parsed), parsed))
+
+
+def filled(own: Column, result: Column, key: str) -> Column:
+    """A row's own text, else that of its result."""
+    return F.coalesce(F.nullif(own, F.lit("")), result_text(result, key))
+
+
 def result_text(result: Column, key: str) -> Column:
     return F.coalesce(get(result, f"$.{key}", "string"), F.lit(""))
 

@@ -20,10 +20,6 @@ def newest(df: DataFrame, limit: int, ascending: bool = False) -> DataFrame:
     return df.orderBy(*order).limit(limit)
 
 
-def _filled(own: Column, result: Column, key: str) -> Column:
-    return F.coalesce(F.nullif(own, F.lit("")), J.result_text(result, key))
-
-
 def alerts_enriched(stream: DataFrame, keyed: DataFrame) -> DataFrame:
     """Stream rows with the values of their keyed row where one exists.
 
@@ -39,8 +35,8 @@ def alerts_enriched(stream: DataFrame, keyed: DataFrame) -> DataFrame:
         "ms",
         "seq",
         *[T.or_empty(F.col(c)).alias(c) for c in ("type", "os", "issue_key")],
-        _filled(F.col("summary"), F.col("_r"), "summary").alias("summary"),
-        _filled(F.col("solution"), F.col("_r"), "recommendation").alias("solution"),
+        J.filled(F.col("summary"), F.col("_r"), "summary").alias("summary"),
+        J.filled(F.col("solution"), F.col("_r"), "recommendation").alias("solution"),
         J.result_text(F.col("_r"), "failure_type").alias("failure_type"),
         F.to_json("_r").alias("result"),
     )
@@ -74,19 +70,19 @@ def newest_ms(alerts: DataFrame) -> Column:
 
 
 def list_alerts(
-    enriched: DataFrame, persist_events: DataFrame, as_of_ms: Column, limit: int = 100, ttl_sec: int = TTL_SEC
+    enriched: DataFrame, persist_events: DataFrame, as_of_ms: Column, limit: int | None = 100, ttl_sec: int = TTL_SEC
 ) -> DataFrame:
     """Newest alerts within the TTL; free slots go to older persisted ones, newest first.
 
     Older entries come without summary and solution. All recent alerts are newer than all older
-    ones, so one top-k over both gives the listing.
+    ones, so one top-k over both gives the listing; without ``limit`` it is whole and in no order.
     """
     marks = persist_marks(persist_events).select("id", F.lit(True).alias("persisted"))
     flagged = enriched.join(marks, "id", "left").withColumn("persisted", F.coalesce("persisted", F.lit(False)))
     recent = F.col("ms") >= as_of_ms - ttl_sec * 1000
     kept = within_ttl(flagged, as_of_ms, ttl_sec)
     shown = kept.withColumns({c: F.when(recent, F.col(c)) for c in ("summary", "solution")})
-    return newest(shown, limit)
+    return shown if limit is None else newest(shown, limit)
 
 
 def feedback_latest(events: DataFrame) -> DataFrame:

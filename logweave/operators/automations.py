@@ -81,7 +81,8 @@ def match_automations(alerts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     Rules are few and known when the plan is built, so each one is a condition on the alert row;
     there is no join.
     """
-    df = alerts.withColumn("_r", J.parse_result(F.col("result")))
+    # a result that is no JSON object counts as empty here; only listings read it more kindly
+    df = alerts.withColumn("_r", F.coalesce(J.strict_result(F.col("result")), F.parse_json(F.lit("{}"))))
     failure_type = F.coalesce(F.nullif("failure_type", F.lit("")), P.get(F.col("_r"), "$.failure_type", "string"))
     # the alert's own confidence, else a non-zero one of its result; text that is no number is 0
     own = F.nullif("confidence", F.lit(""))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logweave.functions import rules as R, vectors as V
@@ -18,123 +20,55 @@ DISTANCE_THRESHOLD = 0.2
 MIN_SIZE = 5
 ONLINE_THRESHOLD = 0.25
 EXEMPLARS = 5
-BLOCK_ROWS = 20_000
-
-
-def _one_pass(vectors: np.ndarray, weights: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Cluster number per row and the vector sum per cluster, in row order."""
-    labels = np.empty(len(vectors), dtype=np.int64)
-    sums = np.empty_like(vectors)
-    centers = np.empty_like(vectors)
-    n = 0
-    for at, v in enumerate(vectors):
-        u = v / (np.sqrt(v @ v) or 1.0)
-        if n:
-            d = 1.0 - np.clip(centers[:n] @ u, -1.0, 1.0)
-            best = int(np.argmin(d))
-        if n and d[best] <= threshold:
-            sums[best] += v
-        else:
-            best, n = n, n + 1
-            sums[best] = v
-        labels[at] = best
-        centers[best] = sums[best] / (np.sqrt(sums[best] @ sums[best]) or 1.0)
-    return labels, sums[:n]
-
-
-def _pass_over_blocks(rows: DataFrame, threshold: float, block_rows: int) -> DataFrame:
-    """One round: rows (os, pos, id, vector, weight) get a leader id within their block."""
-    # only OSes beyond one block are listed, at most one per block_rows rows
-    large = rows.groupBy("os").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n")).filter("n > 1").collect()
-    blocks = F.lit(1)
-    for r in large:
-        blocks = F.when(F.col("os") == r["os"], F.lit(r["n"])).otherwise(blocks)
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        labels, sums = _one_pass(_matrix(pdf["vector"]), pdf["weight"].to_numpy(), threshold)
-        first = pd.Series(np.arange(len(pdf))).groupby(labels).min().to_numpy()
-        lead = np.zeros(len(pdf), dtype=bool)
-        lead[first] = True
-        ids, pos = pdf["id"].to_numpy(), pdf["pos"].to_numpy()
-        weight = np.bincount(labels, weights=pdf["weight"].to_numpy()).astype(np.int64)
-        total: list = [None] * len(pdf)
-        for c, at in enumerate(first):
-            total[at] = sums[c].tolist()
-        return pd.DataFrame(
-            {
-                "os": key[0],
-                "pos": pos,
-                "id": ids,
-                "leader": ids[first][labels],
-                "leads": lead,
-                "sum": total,
-                "size": np.where(lead, weight[labels], 0),
-            }
-        )
-
-    return placed.groupBy("os", "block").applyInPandas(
-        run, "os string, pos string, id string, leader string, leads boolean, sum array<double>, size bigint"
-    )
+#: Texts of an OS that one round of the seed search settles in one task; no result depends on it.
+ROUND_ROWS = 5_000
+
+
+def seeds_in_order(items: DataFrame, threshold: float, round_rows: int = ROUND_ROWS, **knn: int) -> DataFrame:
+    """Seeds (os, id, at, embedding) of items with those columns: in the order of (at, id) within an OS a
+    row with no earlier seed within the threshold becomes one.
+
+    Each round settles the first undecided rows of every OS in one task and then drops, in parallel,
+    all later rows near the new seeds, so the seeds equal those of one long pass.
+    """
+    items = items.select("os", "id", "at", "embedding")
+    seeds, undecided = items.limit(0), items
+    while not undecided.isEmpty():
+        head = first_n(undecided, ["os"], ["at", "id"], round_rows)
+        new = checkpointed(_first_seeds(head, threshold))
+        seeds = seeds.unionByName(new)
+        rest = undecided.join(head.select("os", "id"), ["os", "id"], "left_anti")
+        close = nearest(rest, new.select("os", F.col("id").alias("seed_id"), "embedding"), 1, "id", "seed_id", **knn)
+        close = close.filter(F.col("distance") <= threshold)
+        undecided = checkpointed(rest.join(close.select("os", "id"), ["os", "id"], "left_anti"))
+    return seeds
 
 
 def single_pass_cluster(
-    items: DataFrame,
-    threshold: float = DISTANCE_THRESHOLD,
-    min_size: int = MIN_SIZE,
-    block_rows: int = BLOCK_ROWS,
-    order: Column | None = None,
+    items: DataFrame, threshold: float = DISTANCE_THRESHOLD, min_size: int = MIN_SIZE, round_rows: int = ROUND_ROWS, **knn: int
 ) -> DataFrame:
     """Leader clustering by cosine distance within each OS: (os, id, cluster).
 
-    ``items`` has os, id and embedding; rows are taken in the order of ``order`` (text, default
-    the id). A row joins the nearest centroid within ``threshold``, whose centroid then is the
-    unit mean of its members; otherwise it opens a cluster. ``cluster`` is the id of the first
-    member. Clusters below ``min_size`` are left out.
+    ``items`` has os, id and embedding. In the order of the ids (numbers as numbers) a row with no
+    earlier seed within ``threshold`` opens a cluster; then every row joins its nearest seed, ties to
+    the lowest id. ``cluster`` is the id of the seed as text. Clusters below ``min_size`` are left out.
 
-    Up to ``block_rows`` rows per OS this is the exact single pass. A larger OS is cut into hash
-    blocks that are clustered side by side; the block centroids, weighted by their members, are
-    then clustered in the same way until they fit one block. That result depends on the block cut
-    and is approximate.
+    The rule is the same for any number of rows. A pass with moving centroids would compare rows with
+    the mean of the members so far; seeds do not move, and the centroid of a cluster is the unit mean of
+    its members only once they are known.
     """
-    order = order if order is not None else F.col("id").cast("string")
-    rows = items.select(
-        "os",
-        order.alias("pos"),
-        F.col("id").cast("string").alias("id"),
-        V.unit(F.col("embedding").cast("array<double>")).alias("vector"),
-        F.lit(1).cast("bigint").alias("weight"),
-    )
-    level = checkpointed(_pass_over_blocks(rows, threshold, block_rows))
-    members = level.select("os", "id", F.col("leader").alias("cluster"))
-    while True:
-        leaders = level.filter("leads").select(
-            "os", "pos", "id", F.col("sum").alias("vector"), F.col("size").alias("weight")
-        )
-        per_os = level.groupBy("os").agg(F.count(F.lit(1)).alias("n"), F.count_if("leads").alias("led"))
-        largest = per_os.agg(F.max("n"), F.max("led")).first()
-        total, count = largest[0] or 0, largest[1] or 0
-        # done when one block held everything, or when another round would hardly merge any more
-        if total <= block_rows or count > 0.9 * total:
-            break
-        level = checkpointed(_pass_over_blocks(leaders, threshold, block_rows))
-        step = level.select(F.col("os").alias("_os"), F.col("id").alias("_id"), "leader")
-        members = members.join(step, (F.col("os") == F.col("_os")) & (F.col("cluster") == F.col("_id"))).select(
-            "os", "id", F.col("leader").alias("cluster")
-        )
+    rows = items.select("os", F.col("id").cast("string").alias("id"), F.col("id").alias("at"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = checkpointed(rows)
+    seeds = seeds_in_order(rows, threshold, round_rows, **knn).select("os", F.col("id").alias("cluster"), "embedding")
+    members = checkpointed(nearest(rows.select("os", "id", "embedding"), seeds, 1, "id", "cluster", **knn).select("os", "id", "cluster"))
     sizes = members.groupBy("os", "cluster").count().filter(F.col("count") >= max(1, min_size))
     return members.join(sizes.drop("count"), ["os", "cluster"]).select("os", "id", "cluster")
 
 
 def centroids(members: DataFrame, keys: Sequence[str] = ("os", "cluster")) -> DataFrame:
     """Unit mean of the unit member vectors: (keys, centroid). ``embedding`` is the vector."""
-    spread = members.select(*keys, F.posexplode(V.unit(F.col("embedding"))).alias("_pos", "_x"))
-    means = spread.groupBy(*keys, "_pos").agg(F.avg("_x").alias("_mean"))
-    vectors = means.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_mean"))).alias("_v")
-    )
-    return vectors.select(*keys, V.unit(F.col("_v")["_mean"]).alias("centroid"))
+    mean = Summarizer.mean(array_to_vector(V.unit(F.col("embedding"))))
+    return members.groupBy(*keys).agg(V.unit(vector_to_array(mean)).alias("centroid"))
 
 
 def medoids(members: DataFrame, centers: DataFrame, keys: Sequence[str] = ("os", "cluster")) -> DataFrame:
@@ -194,25 +128,20 @@ def build_prototypes(members: DataFrame, run_id: str = "") -> DataFrame:
     )
 
 
-def cluster_input(templates: DataFrame, logs: DataFrame, n_logs: int) -> DataFrame:
-    """Template vectors plus the first ``n_logs`` log vectors of each OS by id."""
+def cluster_input(templates: DataFrame, logs: DataFrame) -> DataFrame:
+    """Template vectors plus the vectors of all distinct log texts of each OS, under the lowest id."""
     cols = ["os", "id", "document", "embedding"]
-    first = first_n(logs.select(*cols), ["os"], ["id"], n_logs)
-    return templates.select(*cols).unionByName(first.select(*cols))
+    texts = logs.groupBy("os", "document").agg(F.min("id").alias("id"), F.any_value("embedding").alias("embedding"))
+    return templates.select(*cols).unionByName(texts.select(*cols))
 
 
 def cluster_templates(
-    items: DataFrame,
-    threshold: float = DISTANCE_THRESHOLD,
-    min_size: int = MIN_SIZE,
-    block_rows: int = BLOCK_ROWS,
-    run_id: str = "",
+    items: DataFrame, threshold: float = DISTANCE_THRESHOLD, min_size: int = MIN_SIZE, run_id: str = "", **knn: int
 ) -> DataFrame:
     """Prototypes of all OSes from rows (os, id, document, embedding)."""
-    items = items.withColumn("id", F.col("id").cast("string"))
-    found = single_pass_cluster(items, threshold, min_size, block_rows)
-    # read five times below
-    members = checkpointed(items.join(found, ["os", "id"]))
+    found = single_pass_cluster(items, threshold, min_size, **knn)
+    # read several times below
+    members = checkpointed(items.withColumn("id", F.col("id").cast("string")).join(found, ["os", "id"]))
     return build_prototypes(members, run_id)
 
 
@@ -236,16 +165,14 @@ def assign_clusters(
     logs: DataFrame,
     prototypes: DataFrame,
     threshold: float = ONLINE_THRESHOLD,
-    block_rows: int = BLOCK_ROWS,
+    round_rows: int = ROUND_ROWS,
     **knn: int,
 ) -> tuple[DataFrame, DataFrame]:
     """Cluster id per distinct (os, templated), and the prototypes that had to be created.
 
     ``logs`` has os, templated, log_id and embedding. A text goes to the nearest prototype within
     the threshold. The others are taken in order of first appearance: a text with no earlier seed
-    within the threshold becomes one itself. Each round settles the first undecided texts of every
-    OS in one task and then drops, in parallel, all later texts near the new seeds, so the seeds
-    equal those of one long pass.
+    within the threshold becomes one itself, and every other one takes its nearest seed.
     """
     texts = logs.groupBy("os", "templated").agg(
         F.min("log_id").alias("first_log"), F.any_value("embedding").alias("embedding")
@@ -256,18 +183,9 @@ def assign_clusters(
     ).filter(F.col("distance") <= threshold)
     near = checkpointed(near.select("text_id", "cluster_id", "distance"))
     open_texts = checkpointed(texts.join(near, "text_id", "left_anti"))
-    seeds: DataFrame | None = None
-    undecided = open_texts
-    while not undecided.isEmpty():
-        head = first_n(undecided, ["os"], ["first_log", "text_id"], block_rows)
-        new = checkpointed(_first_seeds(head, threshold))
-        seeds = new if seeds is None else seeds.unionByName(new)
-        rest = undecided.join(head.select("text_id"), "text_id", "left_anti")
-        close = nearest(rest, new.withColumnRenamed("text_id", "seed_id"), 1, "text_id", "seed_id", **knn)
-        close = close.filter(F.col("distance") <= threshold)
-        undecided = checkpointed(rest.join(close.select("text_id"), "text_id", "left_anti"))
-    if seeds is None:
-        seeds = open_texts.select("os", "text_id", "first_log", "templated", "embedding").limit(0)
+    rows = open_texts.select("os", F.col("text_id").alias("id"), F.col("first_log").alias("at"), "embedding")
+    found = seeds_in_order(rows, threshold, round_rows, **knn).select(F.col("id").alias("text_id"))
+    seeds = checkpointed(open_texts.join(found, "text_id", "left_semi"))
     # the nearest seed for every open text, seeds included (distance 0 to themselves)
     own = nearest(
         open_texts.select("os", "text_id", "embedding"),
@@ -290,20 +208,19 @@ def assign_clusters(
 
 
 def _first_seeds(head: DataFrame, threshold: float) -> DataFrame:
-    """Seeds among one bounded block of texts per OS, in order of first appearance."""
-    cols = ["os", "text_id", "first_log", "templated", "embedding"]
+    """Seeds among one bounded block of rows per OS, in order."""
+    cols = ["os", "id", "at", "embedding"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_log", "text_id"], kind="stable")
+        pdf = pdf.sort_values(["at", "id"], kind="stable")
         m = _unit_rows(_matrix(pdf["embedding"]))
-        kept = np.empty_like(m)
+        free = np.ones(len(m), dtype=bool)
         rows: list[int] = []
-        for at, v in enumerate(m):
-            n = len(rows)
-            d = np.round(1.0 - np.clip(kept[:n] @ v, -1.0, 1.0), DIGITS)
-            if n == 0 or d.min() > threshold:
-                kept[n] = v
+        for at in range(len(m)):
+            if free[at]:  # one product for each seed, not for each row
                 rows.append(at)
+                d = np.round(1.0 - np.clip(m[at:] @ m[at], -1.0, 1.0), DIGITS)
+                free[at:] &= d > threshold
         return pdf.iloc[rows][cols]
 
     bounded = head.select(*cols)

@@ -10,12 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logweave.functions import rules as R, text as T
+from logweave.functions import results as J, rules as R, text as T
 from logweave.operators.alerts import newest
 from logweave.operators.knn import nearest
 
-SCAN = 100
-STRUCTURED_SCAN = 500
 LIMIT = 10
 
 
@@ -36,35 +34,47 @@ def _best(rows: DataFrame, text: Column, queries: Sequence[str], limit: int) ->
     return scored.orderBy(F.col("relevance").desc(), F.col("ms").desc(), F.col("seq").desc()).limit(limit)
 
 
-def search_alerts(
-    enriched: DataFrame, queries: Sequence[str], limit: int = LIMIT, scan: int = SCAN
-) -> DataFrame:
-    """Most relevant of the newest ``scan`` alerts."""
+def _window(rows: DataFrame, scan: int | None) -> DataFrame:
+    return rows if scan is None else newest(rows, scan)
+
+
+def search_alerts(stream: DataFrame, queries: Sequence[str], limit: int = LIMIT, scan: int | None = None) -> DataFrame:
+    """Most relevant alerts of the stream, or of its newest ``scan`` rows.
+
+    An alert whose result is no JSON object is passed over; one without a result is not.
+    """
+    rows = _window(stream, scan).withColumn("_r", J.strict_result(F.col("result"))).filter("_r IS NOT NULL")
+    rows = rows.withColumns({
+        "summary": J.filled(F.col("summary"), F.col("_r"), "summary"),
+        "solution": J.filled(F.col("solution"), F.col("_r"), "recommendation"),
+        "failure_type": J.result_text(F.col("_r"), "failure_type"),
+    }).drop("_r")
     text = F.concat_ws(" ", *[T.or_empty(F.col(c)) for c in ("summary", "solution", "failure_type", "os")])
-    return _best(newest(enriched, scan), text, queries, limit)
+    return _best(rows, text, queries, limit)
 
 
 def search_incidents(
-    entries: DataFrame, queries: Sequence[str], limit: int = LIMIT, scan: int = SCAN
+    entries: DataFrame, queries: Sequence[str], limit: int = LIMIT, scan: int | None = None
 ) -> DataFrame:
-    """Most relevant of the newest ``scan`` issues; the summary is cut to 500 letters in the result."""
+    """Most relevant issues, or those of the newest ``scan``; the summary is cut to 500 letters in the result."""
     text = F.concat_ws(" ", *[T.or_empty(F.col(c)) for c in ("templated_summary", "os", "issue_key")])
     ordered = entries if "seq" in entries.columns else entries.withColumn("seq", F.col("id"))
-    found = _best(newest(ordered, scan), text, queries, limit)
+    found = _best(_window(ordered, scan), text, queries, limit)
     return found.withColumn("templated_summary", F.substring("templated_summary", 1, 500))
 
 
 def search_alerts_structured(
-    enriched: DataFrame,
+    listed: DataFrame,
     severity: str = "",
     os: str = "",
     failure_type_contains: str = "",
     ascending: bool = False,
     limit: int = 5,
-    scan: int = STRUCTURED_SCAN,
+    scan: int | None = None,
 ) -> DataFrame:
-    """Filter the newest ``scan`` alerts by severity, OS and failure type."""
-    rows = newest(enriched, scan).withColumn("severity", R.derive_severity(F.col("failure_type")))
+    """Filter listed alerts (``alerts.list_alerts``), or the newest ``scan`` of them, by severity, OS and
+    failure type."""
+    rows = _window(listed, scan).withColumn("severity", R.derive_severity(F.col("failure_type")))
     if severity.strip():
         rows = rows.filter(F.col("severity") == severity.strip().lower())
     if os.strip():

@@ -128,13 +128,14 @@ def derive_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "search_alerts_structured",
-    f"""WITH {O.ALERTS}, n AS (SELECT * FROM enriched ORDER BY ms DESC, seq DESC LIMIT 500)
-    SELECT id, os, summary, {SEVERITY_SQL.format('failure_type')} AS severity FROM n
-    WHERE {SEVERITY_SQL.format('failure_type')} = 'critical' AND lower(os) = 'linux' AND contains(lower(failure_type), 'sto')
+    LIST_SQL.format(ttl=TTL_30_DAYS * 1000) + f"""
+    SELECT id, os, summary, {SEVERITY_SQL.format('failure_type')} AS severity FROM marked
+    WHERE (recent OR persisted) AND {SEVERITY_SQL.format('failure_type')} = 'critical' AND lower(os) = 'linux' AND contains(lower(failure_type), 'sto')
     ORDER BY ms DESC, seq DESC LIMIT 5""",
 )
 def search_alerts_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Q.search_alerts_structured(enriched(spark, sf_dir), "Critical", "LINUX", "Sto")
+    rows = A.list_alerts(enriched(spark, sf_dir), X.persist_events(spark, sf_dir), A.newest_ms(X.alerts(spark, sf_dir)), None, TTL_30_DAYS)
+    found = Q.search_alerts_structured(rows, "Critical", "LINUX", "Sto")
     return found.select("id", "os", "summary", "severity")
 
 
@@ -152,18 +153,19 @@ def _relevance_sql(text: str, queries: tuple[str, ...]) -> str:
 
 
 ALERT_HITS = f"""
-newest AS (SELECT *, lower(summary || ' ' || solution || ' ' || failure_type || ' ' || os) AS text FROM enriched ORDER BY ms DESC, seq DESC LIMIT 100),
-alert_scores AS (SELECT *, {_relevance_sql('text', TEXTS)} AS relevance FROM newest),
+strict_alerts AS (SELECT * REPLACE (coalesce(nullif(summary, ''), r_summary) AS summary, coalesce(nullif(solution, ''), r_recommendation) AS solution) FROM alerts WHERE strict),
+alert_texts AS (SELECT *, lower(summary || ' ' || solution || ' ' || r_type || ' ' || os) AS text FROM strict_alerts),
+alert_scores AS (SELECT *, {_relevance_sql('text', TEXTS)} AS relevance FROM alert_texts),
 alert_hits AS (SELECT * FROM alert_scores WHERE relevance > 0 ORDER BY relevance DESC, ms DESC, seq DESC LIMIT 10)"""
 INCIDENT_HITS = f"""
-newest_issues AS (SELECT *, lower(templated_summary || ' ' || os || ' ' || issue_key) AS text FROM entries ORDER BY ms DESC, id DESC LIMIT 100),
-issue_scores AS (SELECT *, {_relevance_sql('text', INCIDENT_TEXTS)} AS relevance FROM newest_issues),
+issue_texts AS (SELECT *, lower(templated_summary || ' ' || os || ' ' || issue_key) AS text FROM entries),
+issue_scores AS (SELECT *, {_relevance_sql('text', INCIDENT_TEXTS)} AS relevance FROM issue_texts),
 incident_hits AS (SELECT * FROM issue_scores WHERE relevance > 0 ORDER BY relevance DESC, ms DESC, id DESC LIMIT 10)"""
 
 
 @query("search_alerts", f"WITH {O.ALERTS}, {ALERT_HITS} SELECT id, os, summary, relevance FROM alert_hits")
 def search_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.search_alerts(enriched(spark, sf_dir), TEXTS).select("id", "os", "summary", "relevance")
+    return Q.search_alerts(X.alerts(spark, sf_dir), TEXTS).select("id", "os", "summary", "relevance")
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,20 +191,20 @@ def search_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT * FROM (SELECT 'log', NULL, os, NULL, NULL, substr(document, 1, 200), distance FROM tpl ORDER BY distance, document LIMIT 5)""",
 )
 def search_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alerts = Q.search_alerts(enriched(spark, sf_dir), TEXTS)
+    alerts = Q.search_alerts(X.alerts(spark, sf_dir), TEXTS)
     incidents = Q.search_incidents(entries(spark, sf_dir), INCIDENT_TEXTS)
     return Q.search_sources(alerts, incidents, VQ.search_templates(spark, sf_dir))
 
 
 RULES_SQL = """
 rules(position, rule_id, provider, m_type, m_conf, cooldown_ms) AS (VALUES
-  (0, 'replace_disk', 'ansible_tower', 'storage', 0.8, 1800000::BIGINT),
-  (1, 'open_ticket', 'servicenow', 'power', 0.7, 900000::BIGINT),
+  (0, 'swap_shelf', 'ansible_tower', 'storage', 0.75, 2700000::BIGINT),
+  (1, 'call_facility', 'servicenow', 'power', 0.6, 3600000::BIGINT),
   (2, 'any_trouble', 'terraform_cloud', '', 0.3, 15552000000::BIGINT),
   (3, 'page_someone', 'pager', 'network', 0.0, 900000::BIGINT)),
 judged AS (
-  SELECT *, coalesce(nullif(failure_type, ''), nullif(r_type, ''), 'None') AS m,
-    CASE WHEN confidence <> '' OR readable THEN conf ELSE 0.0 END AS c FROM alerts),
+  SELECT *, coalesce(nullif(failure_type, ''), CASE WHEN strict THEN r_type END, 'None') AS m,
+    CASE WHEN confidence <> '' OR strict THEN conf ELSE 0.0 END AS c FROM alerts),
 matches AS (
   SELECT a.*, r.rule_id, r.position, r.provider, r.cooldown_ms FROM judged a JOIN rules r
     ON (r.m_type = '' OR r.m_type = a.m) AND a.c >= r.m_conf),
@@ -231,9 +233,9 @@ def match_automations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "render_action",
     f"""WITH RECURSIVE {O.ALERTS}, {RULES_SQL} SELECT id, rule_id, CASE rule_id
-      WHEN 'replace_disk' THEN 'incident_id=' || id || ';issue_key=' || issue_key
-      WHEN 'open_ticket' THEN 'short_description=Auto: ' || failure_type || ' on ' || os || ';description=Issue ' || issue_key || ' | confidence=' || confidence || ';urgency=2'
-      WHEN 'any_trouble' THEN 'message=' || CASE WHEN readable THEN r_summary ELSE '{{{{ alert.result.summary }}}}' END || ' {{{{ alert.result.missing }}}}'
+      WHEN 'swap_shelf' THEN 'case=' || id || ';where=' || os || '/' || issue_key
+      WHEN 'call_facility' THEN 'subject=' || os || ' lost power (' || failure_type || ');certainty=' || confidence || ';desk=site'
+      WHEN 'any_trouble' THEN 'message=' || CASE WHEN strict THEN r_summary ELSE '{{{{ alert.result.summary }}}}' END || ' {{{{ alert.result.missing }}}}'
       ELSE '' END AS params FROM matches""",
 )
 def render_action(spark: SparkSession, sf_dir: str) -> DataFrame:

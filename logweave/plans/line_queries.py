@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logweave.functions import rules as R, text as T
@@ -18,17 +20,17 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.parse_and_template(X.log_lines(spark, sf_dir))
 
 
-@query("scan_text_logs", f"WITH {O.LINES} SELECT source, trim(line) AS line FROM log_lines WHERE source LIKE '%.log'")
+@query("scan_text_logs", f"WITH {O.LINES} SELECT source, trim(line) AS line FROM log_lines")
 def scan_text_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines written to one folder per log file, read back as text files named like their source."""
     base = fresh_path(spark, "text-logs")
     lines = X.log_lines(spark, sf_dir).select(F.concat(F.lit("  "), F.col("line"), F.lit("\t")).alias("value"), "source")
     parts = []
-    lines.filter(F.col("source").endswith(".log")).write.partitionBy("source").text(base)
-    for name in ("Linux.log", "Mac.log", "Windows_2k.log"):
-        found = S.scan_text_logs(spark, f"{base}/source={name}")
+    lines.withColumn("file", F.regexp_replace("source", ":", "-")).drop("source").write.partitionBy("file").text(base)
+    for name in ("Linux.log", "Mac.log", "Windows_2k.log", *(f"app:{t}" for t in ("signup", "purchase", "error", "view", "click"))):
+        found = S.scan_text_logs(spark, f"{base}/file={name.replace(':', '-')}")
         parts.append(found.select(F.lit(name).alias("source"), "line"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 CATALOGUE = """

@@ -109,6 +109,7 @@ alerts AS (
     CASE WHEN seq % 2 = 0 THEN 'stream summary ' || seq ELSE '' END AS summary,
     '' AS solution,
     seq % 9 <> 5 AS readable,
+    seq % 9 NOT IN (4, 5) AS strict,
     CASE WHEN seq % 9 <> 5 THEN ft ELSE '' END AS r_type,
     CASE WHEN seq % 9 <> 5 THEN ft || ' trouble of customer ' || o_custkey ELSE '' END AS r_summary,
     CASE WHEN seq % 9 <> 5 THEN 'check ' || ft || ' unit' ELSE '' END AS r_recommendation

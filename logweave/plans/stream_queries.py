@@ -15,17 +15,16 @@ def line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.event_lines(X.table_stream(spark, sf_dir, "events"))
 
 
-CLOSED = """, closed AS (SELECT i.*, max(i.session_us) OVER (PARTITION BY os, issue_key) AS newest,
-  ((SELECT epoch_us(max(ts)) FROM events) - 600000000) // 1000 AS mark FROM issues i)"""
+CLOSED = """, closed AS (SELECT i.*, ((SELECT epoch_us(max(ts)) FROM events) - 600000000) // 1000 AS mark FROM issues i)"""
 
 
 @query(
     "stream_issues",
     f"""WITH {O.ISSUES}{CLOSED} SELECT os, issue_key, session_us, last_us, n_logs, templated_summary FROM closed
-    WHERE session_us < newest OR CAST(ceil((last_us + 120000000) / 1000.0) AS BIGINT) < mark""",
+    WHERE CAST(ceil((last_us + 120000000) / 1000.0) AS BIGINT) < mark""",
 )
 def stream_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues closed by a later row of their key or by the watermark; the last ones stay open."""
+    """Issues closed by the watermark; the last ones stay open."""
     issues = S.stream_issues(L.parse_and_template(line_stream(spark, sf_dir)))
     return B.run_to_table(issues, fresh_path(spark, "issues")).drop("logs")
 

@@ -224,13 +224,12 @@ def cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cluster_input",
-    f"""WITH {O.VECTORS}, l AS (SELECT *, row_number() OVER (PARTITION BY os ORDER BY vec_id) AS n FROM logs)
-    SELECT os, vec_id AS id, 'template ' || label AS document FROM known
-    UNION ALL SELECT os, vec_id, 'log ' || vec_id FROM l WHERE n <= 100""",
+    f"""WITH {O.VECTORS} SELECT os, vec_id AS id, 'template ' || label AS document FROM known
+    UNION ALL SELECT os, min(vec_id), 'log ' || label FROM logs GROUP BY os, label""",
 )
 def cluster_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = X.vector_logs(spark, sf_dir).withColumnRenamed("log_id", "id")
-    return C.cluster_input(X.vector_templates(spark, sf_dir), logs, 100).drop("embedding")
+    logs = X.vector_logs(spark, sf_dir).withColumnRenamed("log_id", "id").withColumn("document", F.concat(F.lit("log "), F.substring("cluster_id", 2, 9)))
+    return C.cluster_input(X.vector_templates(spark, sf_dir), logs).drop("embedding")
 
 
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,8 +30,9 @@ def stream_issues(
 ) -> DataFrame:
     """Issues as their inactivity gap runs out on the event-time clock; logs as JSON text.
 
-    An issue is published when a row of its key comes a gap or more later, or when the watermark
-    has passed the end of its gap.
+    A row joins every open run of its key that it is nearer to than the gap, on either side, and joins
+    runs into one where it stands between them: rows may come in any order within the watermark. A run
+    is published when the watermark has passed the end of its gap, as until then an earlier row may come.
     """
     gap_us = int(gap_sec * 1_000_000)
     rows = logs.withWatermark("ts", watermark).select(
@@ -42,39 +43,42 @@ def stream_issues(
         logs = [dict(zip(LOG_FIELDS, log)) for log in kept]
         return (*key, start, last, n, " \n".join(log["templated"] for log in logs), json.dumps(logs))
 
+    def add(runs: list[list], log: tuple) -> None:
+        """Runs (start, last, n, first logs) ascend; most rows come behind the last one."""
+        us, entry = log[0], list(log[1:])
+        if runs and us >= runs[-1][1]:
+            if us - runs[-1][1] < gap_us:
+                run = runs[-1]
+                run[1], run[2] = us, run[2] + 1
+                if len(run[3]) < max_logs:
+                    run[3].append(entry)
+                return
+            runs.append([us, us, 1, [entry]])
+            return
+        near = [r for r in runs if us - r[1] < gap_us and r[0] - us < gap_us]
+        kept = sorted([entry, *(e for r in near for e in r[3])], key=lambda e: (e[-1], e[0]))[:max_logs]
+        merged = [min([us, *(r[0] for r in near)]), max([us, *(r[1] for r in near)]), 1 + sum(r[2] for r in near), kept]
+        runs[:] = sorted([r for r in runs if r not in near] + [merged], key=lambda r: r[0])
+
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closed: list[tuple] = []
-        start, last, n, kept = None, None, 0, []
-        if state.exists:
-            start, last, n, text = state.get
-            kept = json.loads(text)
-        if state.hasTimedOut:
-            closed.append(issue(key, start, last, n, kept))
-            state.remove()
-        else:
+        runs = json.loads(state.get[0]) if state.exists else []
+        if not state.hasTimedOut:
             for log in _in_order(batches, ("us", *LOG_FIELDS)):
-                us = log[0]
-                if start is not None and us - last >= gap_us:
-                    closed.append(issue(key, start, last, n, kept))
-                    start = None
-                if start is None:
-                    start, last, n, kept = us, us, 0, []
-                if len(kept) < max_logs:
-                    kept.append(log[1:])
-                n, last = n + 1, max(last, us)
-            ends_ms = -(-(last + gap_us) // 1000)
-            if ends_ms < state.getCurrentWatermarkMs():
-                closed.append(issue(key, start, last, n, kept))
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((start, last, n, json.dumps(kept)))
-                state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
+                add(runs, log)
+        mark = state.getCurrentWatermarkMs()
+        ends = [-(-(r[1] + gap_us) // 1000) for r in runs]
+        closed = [issue(key, *r) for r, end in zip(runs, ends) if end < mark]
+        left = [(r, end) for r, end in zip(runs, ends) if end >= mark]
+        if left:
+            state.update((json.dumps([r for r, _ in left]),))
+            state.setTimeoutTimestamp(max(min(end for _, end in left), mark + 1))
+        elif state.exists:
+            state.remove()
         if closed:
             yield pd.DataFrame(closed, columns=ISSUE_COLUMNS)
 
     return rows.groupBy("os", "issue_key").applyInPandasWithState(
-        fold, ISSUE_SCHEMA, "start bigint, last bigint, n bigint, kept string", "append", GroupStateTimeout.EventTimeTimeout
+        fold, ISSUE_SCHEMA, "runs string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

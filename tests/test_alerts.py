@@ -65,6 +65,15 @@ def test_relevance(spark):
     assert score == (1 + 0.5 + 0.5) + (0.5 + 0.5 + 0.5)
 
 
+def test_keyword_search_reads_strict_results_of_the_whole_stream(spark):
+    results = ['{"summary":"disk gone"}', "{'summary':'disk gone'}", "disk gone", "", None, '["disk gone"]']
+    rows = [(f"{i}", i, i, "issue", "linux", "k", "", "", "", "", results[i % 6] if i else '{"recommendation":"disk gone","failure_type":"raid"}') for i in range(600)]
+    df = spark.createDataFrame(rows, "id string, ms long, seq long, type string, os string, issue_key string, failure_type string, confidence string, summary string, solution string, result string")
+    found = Q.search_alerts(df, ["disk gone"], limit=1000).collect()
+    assert {r.seq for r in found} == {i for i in range(600) if i % 6 == 0}  # the oldest one is among them
+    assert [r.seq for r in Q.search_alerts(df, ["disk gone"], scan=10).collect()] == [594]
+
+
 def test_structured_search(spark):
     rows = A.alerts_enriched(stream(spark), stream(spark).limit(0))
     assert [r.seq for r in Q.search_alerts_structured(rows, "warning", "Linux", "IS", limit=2).collect()] == [9, 8]

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 
 from logweave.operators import automations as U, issues as I, logs as L
@@ -44,6 +45,26 @@ def test_stream_issues_equal_batch(spark, tmp_path):
     assert all(logs[r.issue_key, r.session_us] == [x.log_id for x in r.logs] for r in want if r.last_us < last)
 
 
+def test_stream_issues_equal_batch_in_any_order(spark, tmp_path):
+    lines = log_rows(spark, 120)
+    whole = L.parse_and_template(lines)
+    rows = lines.orderBy("ts").collect()
+    rng = random.Random(3)
+    for n in range(0, 120, 20):  # files overlap in time by less than the watermark
+        part = rows[n : n + 20]
+        rows[n : n + 20] = part[::2] + part[1::2] if n % 40 else part[1::2] + part[::2]
+    files = [rows[:30:2], rows[1:30:2]] + [rows[30:70], rows[70:]]
+    for f in files:
+        rng.shuffle(f)
+        spark.createDataFrame(f, lines.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = B.run_to_table(S.stream_issues(L.parse_and_template(stream), max_logs=5, watermark="6 hours"), str(tmp_path / "out")).collect()
+    want = I.build_issues(whole, max_logs=5).collect()
+    cols = lambda r: (r.os, r.issue_key, r.session_us, r.last_us, r.n_logs, r.templated_summary)
+    last = max(r.last_us for r in want)
+    assert {cols(r) for r in got} == {cols(r) for r in want if r.last_us < last} and len(got) == len({cols(r) for r in got})
+
+
 def test_stream_candidates_once(spark, tmp_path):
     rows = [(i, "linux", "a" if i % 3 else "b") for i in range(75)]
     df = spark.createDataFrame(rows, "log_id long, os string, cluster_id string")
