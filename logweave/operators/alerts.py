@@ -20,10 +20,11 @@ def newest(df: DataFrame, limit: int, ascending: bool = False) -> DataFrame:
     return df.orderBy(*order).limit(limit)
 
 
-def alerts_enriched(stream: DataFrame, keyed: DataFrame) -> DataFrame:
+def alerts_enriched(stream: DataFrame, keyed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Stream rows with the values of their keyed row where one exists.
 
-    Summary and solution fall back to the classification result.
+    Summary and solution fall back to the classification result. ``keep`` names further columns of
+    the stream that stay.
     """
     side = keyed.select("id", F.struct(*SIDE_COLUMNS).alias("_k"))
     df = stream.join(side, "id", "left")
@@ -34,6 +35,7 @@ def alerts_enriched(stream: DataFrame, keyed: DataFrame) -> DataFrame:
         "id",
         "ms",
         "seq",
+        *keep,
         *[T.or_empty(F.col(c)).alias(c) for c in ("type", "os", "issue_key")],
         J.filled(F.col("summary"), F.col("_r"), "summary").alias("summary"),
         J.filled(F.col("solution"), F.col("_r"), "recommendation").alias("solution"),
@@ -70,18 +72,24 @@ def newest_ms(alerts: DataFrame) -> Column:
 
 
 def list_alerts(
-    enriched: DataFrame, persist_events: DataFrame, as_of_ms: Column, limit: int | None = 100, ttl_sec: int = TTL_SEC
+    stream: DataFrame, keyed: DataFrame, persist_events: DataFrame, as_of_ms: Column, limit: int | None = 100, ttl_sec: int = TTL_SEC
 ) -> DataFrame:
     """Newest alerts within the TTL; free slots go to older persisted ones, newest first.
 
     Older entries come without summary and solution. All recent alerts are newer than all older
     ones, so one top-k over both gives the listing; without ``limit`` it is whole and in no order.
+    Which alerts are listed is decided on (id, ms, seq); only those meet their keyed rows and are parsed.
     """
     marks = persist_marks(persist_events).select("id", F.lit(True).alias("persisted"))
-    flagged = enriched.join(marks, "id", "left").withColumn("persisted", F.coalesce("persisted", F.lit(False)))
+    flagged = stream.select("id", "ms", "seq").join(marks, "id", "left").withColumn("persisted", F.coalesce("persisted", F.lit(False)))
+    listed = within_ttl(flagged, as_of_ms, ttl_sec)
+    if limit is not None:
+        listed = newest(listed, limit)
+    rows = stream.join(listed.select("id", "persisted"), "id")
+    known = keyed.join(listed.select("id"), "id", "left_semi")
+    full = alerts_enriched(rows, known, ("persisted",))
     recent = F.col("ms") >= as_of_ms - ttl_sec * 1000
-    kept = within_ttl(flagged, as_of_ms, ttl_sec)
-    shown = kept.withColumns({c: F.when(recent, F.col(c)) for c in ("summary", "solution")})
+    shown = full.withColumns({c: F.when(recent, F.col(c)) for c in ("summary", "solution")})
     return shown if limit is None else newest(shown, limit)
 
 
@@ -90,12 +98,19 @@ def feedback_latest(events: DataFrame) -> DataFrame:
     return events.groupBy("id").agg(F.max_by("feedback", F.struct("ts", "feedback")).alias("feedback"))
 
 
-def feedback_logs(alerts: DataFrame, feedback_events: DataFrame, logs: DataFrame) -> DataFrame:
-    """Logs behind the alerts marked correct, once per alert that names them."""
+def feedback_logs(alerts: DataFrame, feedback_events: DataFrame, logs: DataFrame, issue_logs: DataFrame | None = None) -> DataFrame:
+    """Logs behind the alerts marked correct, once per alert that names them.
+
+    An alert lists the first logs of its issue only; ``issue_logs`` (``issues.issue_log_ids``) adds all
+    the others of alerts that carry the id of a listed issue.
+    """
     good = feedback_latest(feedback_events).filter(F.col("feedback") == "correct")
     named = alerts.join(good.select("id"), "id", "left_semi").select(
         F.col("id").alias("alert_id"), T.normalize_os(F.col("os")).alias("os"), F.explode("log_ids").alias("log_id")
     )
+    if issue_logs is not None:
+        marked = alerts.join(good.select("id"), "id", "left_semi").select(F.col("id").alias("alert_id"), F.substring_index("id", "-", -1).alias("issue_mark"))
+        named = named.unionByName(marked.join(issue_logs, "issue_mark").select("alert_id", "os", "log_id")).distinct()
     return named.join(logs, ["os", "log_id"])
 
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ISSUE_KEYS = ("os", "issue_key")
 INACTIVITY_SEC = 120
 MAX_LOGS = 50
-BUCKET_SEC = 3600
+#: Rows of a key are sorted within such a stretch of time; no result depends on it.
+BUCKET_SEC = 60
 
 
 def _bucketed(df: DataFrame, keys: Sequence[str], gap_us: int, bucket_us: int, tie: str) -> DataFrame:
@@ -147,6 +148,17 @@ def build_issues(
     )
 
 
+def _issue_mark(os: Column, issue_key: Column, session_us: Column) -> Column:
+    """What the id of a listed issue ends in."""
+    return F.substring(F.sha1(F.concat_ws("|", os, issue_key, session_us)), 1, 12)
+
+
+def issue_log_ids(lines: DataFrame, gap_sec: float = INACTIVITY_SEC) -> DataFrame:
+    """(issue_mark, os, log_id) of all logs of all issues, not only the first ones that an issue keeps."""
+    rows = issue_sessions(lines.select("os", "issue_key", "ts", "log_id"), gap_sec=gap_sec)
+    return rows.select(_issue_mark(F.col("os"), F.col("issue_key"), F.col("session_us")).alias("issue_mark"), "os", "log_id")
+
+
 def issue_entries(issues: DataFrame, gap_sec: float = INACTIVITY_SEC) -> DataFrame:
     """Issues as listed: published when the gap has run out, logs as JSON text.
 
@@ -155,7 +167,7 @@ def issue_entries(issues: DataFrame, gap_sec: float = INACTIVITY_SEC) -> DataFra
     ms = F.floor((F.col("last_us") + int(gap_sec * 1_000_000)) / 1000).cast("bigint")
     return issues.select(
         ms.alias("ms"),
-        F.concat_ws("-", ms, F.substring(F.sha1(F.concat_ws("|", "os", "issue_key", "session_us")), 1, 12)).alias("id"),
+        F.concat_ws("-", ms, _issue_mark(F.col("os"), F.col("issue_key"), F.col("session_us"))).alias("id"),
         "os",
         "issue_key",
         "templated_summary",

@@ -34,8 +34,8 @@ LIST_SQL = f"""WITH {O.ALERTS}, now AS (SELECT max(ms) AS as_of FROM alerts),
 )
 def list_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A month's alerts, then older persisted ones."""
-    rows = enriched(spark, sf_dir)
-    found = A.list_alerts(rows, X.persist_events(spark, sf_dir), A.newest_ms(X.alerts(spark, sf_dir)), 1000, TTL_30_DAYS)
+    rows = X.alerts(spark, sf_dir)
+    found = A.list_alerts(rows, X.keyed_alerts(spark, sf_dir), X.persist_events(spark, sf_dir), A.newest_ms(rows), 1000, TTL_30_DAYS)
     return found.select("id", "os", "issue_key", "type", "failure_type", "persisted", "summary", "solution")
 
 
@@ -134,7 +134,8 @@ def derive_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ORDER BY ms DESC, seq DESC LIMIT 5""",
 )
 def search_alerts_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.list_alerts(enriched(spark, sf_dir), X.persist_events(spark, sf_dir), A.newest_ms(X.alerts(spark, sf_dir)), None, TTL_30_DAYS)
+    stream = X.alerts(spark, sf_dir)
+    rows = A.list_alerts(stream, X.keyed_alerts(spark, sf_dir), X.persist_events(spark, sf_dir), A.newest_ms(stream), None, TTL_30_DAYS)
     found = Q.search_alerts_structured(rows, "Critical", "LINUX", "Sto")
     return found.select("id", "os", "summary", "severity")
 

@@ -253,7 +253,11 @@ def single_pass_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.single_pass_cluster(near_copies(spark, sf_dir))
 
 
-@query("cluster_templates")
+@query(
+    "cluster_templates",
+    f"""WITH {O.VECTORS} SELECT os, 'cluster_' || lpad(vec_id::VARCHAR, 9, '0') || '_0' AS cluster_id, coalesce({O.labels("'unit ' || vec_id || ' failed'")}[1], 'unknown') AS label,
+      CAST(6 AS INTEGER) AS size, 'unit ' || vec_id || ' failed' AS medoid_document FROM vectors""",
+)
 def cluster_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cluster_templates(near_copies(spark, sf_dir)).select("os", "cluster_id", "label", "size", "medoid_document")
 

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logweave.operators import alerts as A, clustering as C, enrichment as N, logs as L, metrics as M
 from logweave.operators.embedding import Embedder, embed_distinct
 from logweave.operators.knn import nearest
+from logweave.operators.upsert import upsert_latest
 from logweave.session import fresh_path, spread
 
 LINE_SCHEMA = "log_id bigint, ts timestamp, source string, line string, source_id bigint"
@@ -144,10 +145,20 @@ def enrich_cluster_stream(
     classifier: N.Classifier | None = None,
     embedder: Embedder | None = None,
 ) -> StreamingQuery:
-    """Streamed cluster candidates (os, cluster_id, ts) to alerts, and the prototypes they relabel."""
+    """Streamed cluster candidates (os, cluster_id, ts) to alerts, and the prototypes they relabel.
+
+    A batch writes the prototypes that it has relabelled and no others, and sees those of the batches
+    before it in place of the ones it started with.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        done, learned = N.enrich_clusters(batch, prototypes, templates, logs, classifier, embedder)
+        known = prototypes
+        if batch_id > 0:
+            earlier = batch.sparkSession.read.parquet(relabelled).filter(F.col("batch_id") < batch_id)
+            both = prototypes.withColumn("batch_id", F.lit(-1)).unionByName(earlier)
+            known = upsert_latest(both, ["os", "cluster_id"], "batch_id").drop("batch_id")
+        done, learned = N.enrich_clusters(batch, known, templates, logs, classifier, embedder)
+        learned = learned.join(batch.select("os", "cluster_id").distinct(), ["os", "cluster_id"], "left_semi")
         rows = done.select("id", "os", "cluster_id", "result")
         write_batch(A.alert_from_result(rows, "cluster"), out, batch_id)
         write_batch(learned, relabelled, batch_id)

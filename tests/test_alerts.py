@@ -21,10 +21,10 @@ def test_listing_fills_up_with_older_persisted(spark):
     keyed = alerts.filter("seq = 9").withColumns({"summary": F.lit("own"), "type": F.lit("hash")})
     events = alerts.filter("seq IN (2, 4, 9)").select("id", F.lit(1).alias("ts"))
     rows = A.alerts_enriched(alerts, keyed)
-    got = A.list_alerts(rows, events, A.newest_ms(rows), 4).collect()
+    got = A.list_alerts(rows, rows.limit(0), events, A.newest_ms(rows), 4).collect()
     assert [(r.seq, r.summary, r.persisted) for r in got] == [(9, "own", True), (8, "s8", False), (4, None, True), (2, None, True)]
     assert got[0].type == "hash"
-    assert [r.seq for r in A.list_alerts(rows, events, A.newest_ms(rows), 1).collect()] == [9]
+    assert [r.seq for r in A.list_alerts(rows, rows.limit(0), events, A.newest_ms(rows), 1).collect()] == [9]
 
 
 def test_feedback_is_exclusive_and_latest(spark):

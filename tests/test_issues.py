@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.operators import issues as I
+from logweave.operators import alerts as A, issues as I
 
 GAP = 120
 
@@ -88,3 +88,16 @@ def test_hand_over_tables_are_dropped_on_request(spark):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_every_log_of_an_issue_is_named(spark):
+    rows = [(i, "linux", "linux|k|1", "t", "r", "k", "1", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "log_id long, os string, issue_key string, templated string, line string, component string, pid string, sec long")
+    df = df.withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+    entry = I.issue_entries(I.build_issues(df)).first()
+    named = I.issue_log_ids(df).collect()
+    assert {r.log_id for r in named} == set(range(60)) and {r.issue_mark for r in named} == {entry.id.split("-")[-1]}
+    alerts = spark.createDataFrame([(entry.id, "linux", [0, 1])], "id string, os string, log_ids array<long>")
+    events = spark.createDataFrame([(entry.id, "correct", 1)], "id string, feedback string, ts long")
+    found = A.feedback_logs(alerts, events, df.select("os", "log_id", "templated"), I.issue_log_ids(df))
+    assert sorted(r.log_id for r in found.collect()) == list(range(60))
