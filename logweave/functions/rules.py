@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -44,6 +44,14 @@ DEFAULT_COOLDOWN = "15m"
 FALLBACK_COOLDOWN_SEC = 900
 
 
+def read_failure_rules(config: Mapping) -> tuple[tuple[str, str], ...]:
+    """(name, pattern) of the ``rules`` of a configuration, in its order; without any the fixed ones."""
+    found = tuple((str(r["name"]), str(r["pattern"])) for r in config.get("rules") or ())
+    for _, pattern in found:
+        re.compile(pattern)
+    return found or FAILURE_RULES
+
+
 def needed_words(pattern: str) -> list[str] | None:
     """Texts of which at least one is in everything the pattern matches; null if not plain to see.
 

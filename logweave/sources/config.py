@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,12 +12,12 @@ from logweave.sources import exports, files
 # Fixed value: types that push their data and need no poller.
 PUSHED_TYPES = ("telegraf",)
 
-Reader = Callable[[SparkSession, str], DataFrame]
+Reader = Callable[..., DataFrame]
 READERS: dict[str, Reader] = {}
 
 
 def register_reader(kind: str) -> Callable[[Reader], Reader]:
-    """Add a reader (spark, path of the landed data) -> (source, line, ..) for a source type."""
+    """Add a reader (spark, path of the landed data, options) -> (source, line, ..) for a source type."""
 
     def add(fn: Reader) -> Reader:
         READERS[kind] = fn
@@ -35,8 +36,8 @@ def _filetail(spark: SparkSession, path: str) -> DataFrame:
 
 
 @register_reader("datadog")
-def _datadog(spark: SparkSession, path: str) -> DataFrame:
-    return exports.ingest_export_pages(_documents(spark, path))
+def _datadog(spark: SparkSession, path: str, os: str = "unknown") -> DataFrame:
+    return exports.ingest_export_pages(_documents(spark, path), os=os)
 
 
 @register_reader("splunk")
@@ -45,8 +46,8 @@ def _splunk(spark: SparkSession, path: str) -> DataFrame:
 
 
 @register_reader("thousandeyes")
-def _thousandeyes(spark: SparkSession, path: str) -> DataFrame:
-    return exports.ingest_alert_lines(_documents(spark, path))
+def _thousandeyes(spark: SparkSession, path: str, os: str = "unknown") -> DataFrame:
+    return exports.ingest_alert_lines(_documents(spark, path), os=os)
 
 
 @register_reader("dcim_http")
@@ -61,10 +62,25 @@ def _snmp(spark: SparkSession, path: str) -> DataFrame:
     return exports.wrap_snmp_readings(landed)
 
 
-def read_source(spark: SparkSession, kind: str, path: str) -> DataFrame:
+def read_source(spark: SparkSession, kind: str, path: str, **options: str) -> DataFrame:
+    """Lines of a source; ``options`` come from its configuration, such as ``os``, the hint that exports
+    put into the source name."""
     if kind not in READERS:
         raise ValueError(f"no reader for source type {kind!r}")
-    return READERS[kind](spark, path)
+    return READERS[kind](spark, path, **options)
+
+
+def read_config_file(spark: SparkSession, path: str) -> dict:
+    """A configuration file, JSON or YAML, from any store that Spark reads; an empty one is an empty dict."""
+    text = spark.read.text(path, wholetext=True).first()
+    if text is None or not text[0].strip():
+        return {}
+    try:
+        return json.loads(text[0])
+    except ValueError:
+        import yaml  # only files in that form need it
+
+        return yaml.safe_load(text[0]) or {}
 
 
 def reconcile_sources(sources: DataFrame, running: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.functions import points as P
-from logweave.operators import metrics as M
+from logweave.functions import points as P, rules as R
+from logweave.operators import automations as U, metrics as M
 from logweave.sources import agents as A, config as C, files as S
 
 LINE = "log_id long, ts timestamp, source string, line string, source_id long"
@@ -168,6 +168,7 @@ def test_landed_exports(spark, tmp_path):
 
     pages = land("a", '{"data":[{"attributes":{"message":" x "}},{"attributes":{"message":""}},{"attributes":null},{}]}', "broken", '{"data":null}')
     assert [tuple(r) for r in C.read_source(spark, "datadog", pages).collect()] == [("datadog:unknown", "x")]
+    assert C.read_source(spark, "datadog", pages, os="Linux").first().source == "datadog:linux"
     nd = land("b", '{"result":{"_raw":"r1"}}', '{"result":{}}', "oops", '{"preview":true}')
     assert [tuple(r) for r in C.read_source(spark, "splunk", nd).collect()] == [("splunk:unknown", "r1")]
     al = land("c", '{"alerts":[],"alert":[{"alertType":"a","testId":5,"level":"low"}]}', '{"alerts":[{"ruleName":"r","summary":"s"},{}]}')
@@ -180,3 +181,13 @@ def test_landed_exports(spark, tmp_path):
     assert (row.source, json.loads(row.line)) == ("snmp:sw", {"host": "sw", "port": 161, "community": "***", "oid": "1.2", "value": "5"})
     with pytest.raises(ValueError):
         C.read_source(spark, "nope", snmp)
+
+
+def test_rule_files(spark, tmp_path):
+    (tmp_path / "failures.json").write_text('{"rules": [{"name": "fan", "pattern": "fan (stopped|slow)"}]}')
+    (tmp_path / "actions.yml").write_text("rules:\n  - id: a\n    match: {failure_type: fan, min_confidence: 0.5}\n    action: {provider: pager}\n    cooldown: 5m\n")
+    (tmp_path / "empty.json").write_text("")
+    assert R.read_failure_rules(C.read_config_file(spark, f"{tmp_path}/failures.json")) == (("fan", "fan (stopped|slow)"),)
+    assert R.read_failure_rules(C.read_config_file(spark, f"{tmp_path}/empty.json")) == R.FAILURE_RULES
+    rule = U.read_rules(C.read_config_file(spark, f"{tmp_path}/actions.yml")["rules"])[0]
+    assert (rule.id, rule.failure_type, rule.min_confidence, rule.provider, rule.cooldown) == ("a", "fan", 0.5, "pager", "5m")
