@@ -193,7 +193,7 @@ class Mixture:
 
     def rows(self, docs: DataFrame) -> DataFrame:
         """Every drawn copy of a document with all its columns, and ``mix_copy``, ``mix_shard`` and
-        ``mix_order`` (random inside the shard)."""
+        ``mix_order`` (random inside the shard), which replace columns of those names."""
         keyed = docs.withColumns({
             "_mix_key": _source_key(F.col(self.source)), "_mix_block": _block(F.col(self.doc_id), self.seed, self.blocks),
             "_mix_place": _place(F.col(self.doc_id), self.seed),
@@ -205,7 +205,7 @@ class Mixture:
             & (F.col("_draw_only").isNull() | (F.col("_mix_place") == F.col("_draw_only")))
         )
         return keyed.join(d, met).select(
-            *[F.col(f"`{c}`") for c in docs.columns], F.col("_draw_copy").alias("mix_copy"), F.col("_draw_shard").alias("mix_shard"),
+            *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("mix_copy", "mix_shard", "mix_order")], F.col("_draw_copy").alias("mix_copy"), F.col("_draw_shard").alias("mix_shard"),
             F.xxhash64(F.lit(self.seed), F.lit("shuffle"), F.col(self.doc_id), F.col("_draw_copy")).alias("mix_order"),
         )
 
