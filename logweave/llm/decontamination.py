@@ -15,7 +15,7 @@ from logweave.session import checkpointed
 #: Ones are compared, zeros ignored.
 MASKS = ("11011011", "1110010111", "1101000110101")
 #: Words of a stretch, and the share of them that must be equal (an item below that length: all of it).
-STRETCH, SHARE = 13, 0.8
+STRETCH, SHARE = 13, 0.75
 #: Items with fewer words are no evidence and match nothing.
 LEAST_WORDS = 6
 #: Benchmark seeds up to which they are broadcast (24 bytes each); beyond, both sides are shuffled.
