@@ -167,7 +167,10 @@ def write_token_files(
                 with store.open_output_stream(f"{trial}.{kind_}") as out:
                     out.write(data)
             for kind_ in ("bin", "idx", "doc"):
-                store.move(f"{trial}.{kind_}", f"{root}/part-{part:05d}.{kind_}")
+                whole = f"{root}/part-{part:05d}.{kind_}"
+                if store.get_file_info(whole).type != pafs.FileType.NotFound:
+                    store.delete_file(whole)  # of an earlier attempt, with the same content
+                store.move(f"{trial}.{kind_}", whole)
             yield pa.RecordBatch.from_pydict({"part": [part], "width": [int(kind[2])], "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])]})
         else:
             store.delete_file(f"{trial}.bin")

@@ -201,7 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     chosen = checkpointed(chosen.withColumnRenamed("doc_id", "label_id"))
-    sample = docs.join(chosen, docs["doc_id"] == chosen["label_id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") == 1).alias("toxic"))
+    # the bound on labelled rows bounds the broadcast: no text is shuffled for them
+    sample = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["label_id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") == 1).alias("toxic"))
     sample = checkpointed(sample)
     counts = dict(sample.groupBy("toxic").count().collect())
     toxic, clean = counts.get(True, 0), counts.get(False, 0)
