@@ -61,6 +61,25 @@ def stream_consume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.read_table(spark, f"{out}/logs").select("log_id", "os", "component", "pid", "templated", "label")
 
 
+@query("stream_consume_vectors", f"WITH {O.PARSED} SELECT log_id, os, templated AS document FROM parsed WHERE templated <> ''")
+def stream_consume_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector rows that the consumer writes for retrieval."""
+    out = fresh_path(spark, "consume")
+    lines = line_stream(spark, sf_dir).select("log_id", "ts", "source", "line", "source_id")
+    B.consume(lines, X.sources(spark, sf_dir), X.prototypes(spark, sf_dir), out).awaitTermination()
+    return B.read_table(spark, f"{out}/vectors").select("log_id", "os", "document")
+
+
+@query("stream_consume_exports", f"WITH {O.SNMP} SELECT log_id, name, round(scaled, 6) AS value FROM snmp_points")
+def stream_consume_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points that the consumer exports from device readings."""
+    out, landed = fresh_path(spark, "consume"), fresh_path(spark, "landed")
+    MQ.snmp_lines(spark, sf_dir).write.parquet(landed)
+    stream = spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
+    B.consume(stream, X.sources(spark, sf_dir), X.prototypes(spark, sf_dir), out).awaitTermination()
+    return B.read_table(spark, f"{out}/exported").select("log_id", "name", F.round("value", 6).alias("value"))
+
+
 @query(
     "stream_consume_metrics",
     f"WITH {O.SNMP} SELECT log_id, name, round(scaled, 6) AS value FROM snmp_points",
@@ -101,14 +120,9 @@ def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = line_stream(spark, sf_dir).select(broken.alias("value"))
     out = fresh_path(spark, "envelopes")
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        lines, rejects = B.read_envelopes(batch)
-        B.write_batch(rejects, f"{out}/rejects", batch_id)
-        B.write_batch(lines, f"{out}/lines", batch_id)
-
-    B.start(raw, each).awaitTermination()
+    B.consume_envelopes(raw, X.sources(spark, sf_dir), X.prototypes(spark, sf_dir), out).awaitTermination()
     rejects = B.read_table(spark, f"{out}/rejects").select("reason")
-    lines = B.read_table(spark, f"{out}/lines").select(F.lit("").alias("reason"))
+    lines = B.read_table(spark, f"{out}/logs").select(F.lit("").alias("reason"))
     return rejects.unionByName(lines).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 

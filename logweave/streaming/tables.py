@@ -15,7 +15,7 @@ from logweave.operators import alerts as A, clustering as C, enrichment as N, lo
 from logweave.operators.embedding import Embedder, embed_distinct
 from logweave.operators.knn import nearest
 from logweave.operators.upsert import upsert_latest
-from logweave.session import fresh_path, spread
+from logweave.session import checkpointed, fresh_path, spread
 
 LINE_SCHEMA = "log_id bigint, ts timestamp, source string, line string, source_id bigint"
 
@@ -63,24 +63,44 @@ def consume(
     out: str,
     threshold: float = L.PROTOTYPE_THRESHOLD,
     embedder: Embedder | None = None,
+    export_limit: int | None = None,
 ) -> StreamingQuery:
-    """Lines to the tables ``metrics``, ``logs`` and ``candidates`` under ``out``.
+    """Lines to the tables ``metrics``, ``exported``, ``logs``, ``vectors`` and ``candidates`` under ``out``.
 
-    Each distinct masked text of a batch is embedded and looked up once.
+    Each distinct masked text of a batch is embedded and looked up once; ``vectors`` has a row for each
+    line with text, the rows that retrieval reads. ``export_limit`` counts the points of one line.
     """
+    return start(lines, lambda batch, batch_id: _consume_batch(batch, batch_id, sources, prototypes, out, threshold, embedder, export_limit))
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        points = M.with_points(spread(batch), sources).persist()
-        try:
-            metrics, rest = M.split_metrics_logs(points)
-            write_batch(M.metric_stream_rows(metrics), f"{out}/metrics", batch_id)
-            write_batch(L.with_signals(L.parse_and_template(rest)), f"{out}/logs", batch_id)
-        finally:
-            points.unpersist()
-        logs = batch.sparkSession.read.parquet(f"{out}/logs/batch_id={batch_id}")
-        write_batch(L.line_candidates(with_nearest(logs, prototypes, embedder), threshold), f"{out}/candidates", batch_id)
 
-    return start(lines, each)
+def consume_envelopes(raw: DataFrame, sources: DataFrame, prototypes: DataFrame, out: str, value: str = "value") -> StreamingQuery:
+    """The same from JSON envelopes; those that hold no line go to the table ``rejects`` with the reason."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        lines, rejects = read_envelopes(batch, value)
+        write_batch(rejects, f"{out}/rejects", batch_id)
+        _consume_batch(lines, batch_id, sources, prototypes, out)
+
+    return start(raw, each)
+
+
+def _consume_batch(
+    batch: DataFrame, batch_id: int, sources: DataFrame, prototypes: DataFrame, out: str,
+    threshold: float = L.PROTOTYPE_THRESHOLD, embedder: Embedder | None = None, export_limit: int | None = None,
+) -> None:
+    points = M.with_points(spread(batch), sources).persist()
+    try:
+        metrics, rest = M.split_metrics_logs(points)
+        write_batch(M.metric_stream_rows(metrics), f"{out}/metrics", batch_id)
+        write_batch(M.metric_export_rows(metrics, export_limit), f"{out}/exported", batch_id)
+        write_batch(L.with_signals(L.parse_and_template(rest)), f"{out}/logs", batch_id)
+    finally:
+        points.unpersist()
+    logs = batch.sparkSession.read.parquet(f"{out}/logs/batch_id={batch_id}")
+    texts = checkpointed(embed_distinct(logs.filter("templated <> ''"), ["os"], "templated", embedder))
+    vectors = logs.join(texts, ["os", "templated"]).select("os", "log_id", F.col("templated").alias("document"), "embedding")
+    write_batch(vectors, f"{out}/vectors", batch_id)
+    write_batch(L.line_candidates(_with_nearest(logs, texts, prototypes), threshold), f"{out}/candidates", batch_id)
 
 
 def with_nearest(logs: DataFrame, prototypes: DataFrame, embedder: Embedder | None = None) -> DataFrame:
@@ -88,7 +108,10 @@ def with_nearest(logs: DataFrame, prototypes: DataFrame, embedder: Embedder | No
 
     Empty text has none.
     """
-    texts = embed_distinct(logs.filter("templated <> ''"), ["os"], "templated", embedder)
+    return _with_nearest(logs, embed_distinct(logs.filter("templated <> ''"), ["os"], "templated", embedder), prototypes)
+
+
+def _with_nearest(logs: DataFrame, texts: DataFrame, prototypes: DataFrame) -> DataFrame:
     texts = texts.withColumn("text_id", C.text_id(F.col("os"), F.col("templated")))
     items = prototypes.select("os", "cluster_id", F.col("label").alias("nearest_label"), F.col("centroid").alias("embedding"))
     hits = nearest(texts, items, 1, "text_id", "cluster_id").join(items.drop("embedding"), ["os", "cluster_id"])
