@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from logweave.llm.words import worker_state
 
 #: Kept stretches per Python worker; a full memory is emptied, which costs time and changes no id.
-MEMORY = 1_000_000
+MEMORY = 800_000
 _GROUP = 1 << 20
 
 
@@ -95,24 +95,24 @@ def encode_texts(texts: list[str | None], encoder: Encoder, memory: dict, kind:
             out.byteswap()
         return out.tobytes()
 
-    parts = [(t or "").split(" ") for t in texts]
-    fresh = set()
-    for p in parts:
-        fresh.update(p[1:])
-    if len(memory) + len(fresh) > MEMORY:
+    if len(memory) > MEMORY:
         memory.clear()
-    new = [x for x in fresh if x not in memory]
-    # a stretch that is empty or ends in a blank has no certain end: such texts go whole
-    memory.update((x, None) for x in new if not x or x[-1].isspace())
+    # one look-up for each stretch; only those that are new are looked up again
+    parts = [(t or "").split(" ") for t in texts]
+    found = [list(map(memory.get, p[1:])) for p in parts]
+    new = {x for p, f in zip(parts, found, strict=True) if None in f for x, ids in zip(p[1:], f, strict=True) if ids is None}
+    # a stretch that is empty or ends in a blank has no certain end, marked by no ids: such texts go whole
+    memory.update((x, b"") for x in new if not x or x[-1].isspace())
     clear = [x for x in new if x and not x[-1].isspace()]
     memory.update(zip(clear, map(packed, encoder.stretches(clear)), strict=True))
     out = []
-    for text, p in zip(texts, parts, strict=True):
-        found = [memory[x] for x in p[1:]]
-        if None in found or (p[0] == "" and len(p) > 1) or p[0][-1:].isspace():
+    for text, p, f in zip(texts, parts, found, strict=True):
+        if not all(f):
+            f = [memory[x] if ids is None else ids for x, ids in zip(p[1:], f, strict=True)]
+        if not all(f) or (p[0] == "" and len(p) > 1) or p[0][-1:].isspace():
             out.append(packed(encoder.ids(text or "")))
         else:
-            out.append(packed(encoder.ids(p[0])) + b"".join(found))
+            out.append(packed(encoder.ids(p[0])) + b"".join(f))
     return out
 
 
