@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from logweave.llm.words import worker_state
 
 #: Kept stretches per Python worker; a full memory is emptied, which costs time and changes no id.
-MEMORY = 300_000
+MEMORY = 800_000
 _GROUP = 1 << 20
 
 
