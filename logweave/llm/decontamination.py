@@ -3,17 +3,24 @@
 Fixed masks pick some of the words in a window and ignore the others, so two passages that differ in a
 few words still share seeds. Seeds of the documents are joined with seeds of the benchmark; each hit
 gives a shift between a document and an item, and along that shift the words are compared: a document
-is contaminated if in some stretch of the item enough words are equal. DataFrame operations only.
+is contaminated if in some stretch of the item enough words are equal. The masks leave no placement of the allowed changes
+out, so every passage that the rule accepts has a hit. DataFrame operations only.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logweave.session import checkpointed
 
-#: Ones are compared, zeros ignored.
-MASKS = ("11011011", "1110010111", "1101000110101")
+#: Ones are compared, zeros ignored. Any 10 equal words of 13 hold one of them.
+MASKS = ("111011", "1100001011", "110111")
+#: Words that an added mask compares, its length, and the placements up to which masks are sought one by one.
+WEIGHT, SPAN, PLACEMENTS = 5, 13, 20_000
 #: Words of a stretch, and the share of them that must be equal (an item below that length: all of it).
 STRETCH, SHARE = 13, 0.75
 #: Items with fewer words are no evidence and match nothing.
@@ -22,6 +29,31 @@ LEAST_WORDS = 6
 BROADCAST_SEEDS = 2_000_000
 
 
+@lru_cache
+def covering(n: int, changes: int, masks: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """``masks``, and more of them until ``n`` words always share a seed with themselves after ``changes``
+    of them, wherever those stand, are replaced."""
+    run = "1" * math.ceil((n - changes) / (changes + 1))  # the longest run that stays whole has as many words
+    if math.comb(n, changes) > PLACEMENTS:
+        return (*masks, run)
+
+    def hits(mask: str, changed: int) -> bool:
+        return any((int(mask, 2) << at) & changed == 0 for at in range(n - len(mask) + 1))
+
+    weight = min(WEIGHT, n - changes)
+    spans = [s for s in range(weight, min(n, SPAN) + 1) if weight > 1 or s == 1]
+    more = ["".join("1" if k in (0, s - 1, *inner) else "0" for k in range(s)) for s in spans for inner in combinations(range(1, s - 1), max(weight - 2, 0))]
+    # each word's place is a bit, the first word's the highest
+    missed = {c for c in (sum(1 << k for k in places) for places in combinations(range(n), changes)) if not any(hits(m, c) for m in masks)}
+    found = {m: {c for c in missed if hits(m, c)} for m in more} if missed else {}
+    while missed:
+        best = max(more, key=lambda m: len(found[m] & missed))
+        if not found[best] & missed:
+            return (*masks, run)
+        masks, missed = (*masks, best), missed - found[best]
+    return masks
+
+
 def _words(text: Column) -> Column:
     """Hashes of the words: runs of letters and digits, lower case."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
@@ -52,18 +84,18 @@ def find_leaks(
     the best stretch), one row for each document, item and shift that hold.
 
     A document is its id and text: ``text_hash`` is the xxhash64 of the text, null as empty; repeated
-    rows count once. Items with a null or short text (below ``least_words``) match nothing; items shorter
-    than the longest mask are also sought whole. Insertions move the shift: the parts before and after
-    one count on their own. Empty tables give no rows.
+    rows count once. Items with a null or short text (below ``least_words``) match nothing. Masks are added
+    to ``masks`` where those leave out a placement of the changes that ``share`` allows. Insertions move
+    the shift: the parts before and after one count on their own. Empty tables give no rows.
     """
-    longest = max(map(len, masks))
     items = checkpointed(
         benchmark.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("item_words")).filter(F.size("item_words") >= least_words)
         .withColumn("n", F.size("item_words"))
     )
-    # short items: one more seed of all their words for each length that occurs, fewer lengths than the longest mask
-    short = sorted(r[0] for r in items.filter(F.col("n") < longest).select("n").distinct().collect())
-    every = (*masks, *["1" * n for n in short])
+    # masks for each length of a stretch that occurs, at most ``stretch`` of them
+    every = masks
+    for (width,) in sorted(items.select(F.least(F.col("n"), F.lit(stretch))).distinct().collect(), reverse=True):
+        every = covering(width, width - math.ceil(width * share), every)
     item_seeds = checkpointed(items.select("item_id", F.explode(_seeds(F.col("item_words"), every)).alias("s")).select("item_id", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at")))
     if item_seeds.count() <= broadcast_seeds:
         item_seeds = F.broadcast(item_seeds)

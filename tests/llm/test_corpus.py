@@ -1,5 +1,7 @@
 """Mixing, decontamination, preference pairs and the pipeline."""
 
+import itertools
+import math
 import os
 import random
 import re
@@ -108,6 +110,34 @@ def test_leaks_with_changed_words_are_found(spark):
     assert decontamination.mark_leaks(table, leaks).count() == len(docs)
 
 
+def test_leaks_with_changes_at_every_place_are_found(spark):
+    allowed = {n: n - math.ceil(min(n, 13) * 0.75) - max(n - 13, 0) for n in (*range(6, 14), 15)}
+    items = [(n, " ".join(f"b{n}x{i}" for i in range(n))) for n in allowed]
+    docs = []
+    for n, text in items:
+        for places in itertools.combinations(range(n), allowed[n]):
+            words = ["changed" if i in places else w for i, w in enumerate(text.split())]
+            docs.append((len(docs), n, " ".join(["before", *words, "after"])))
+    # every fourth word of a long item
+    items.append((500, " ".join(f"c{i}" for i in range(500))))
+    docs += [(len(docs) + k, 500, " ".join("changed" if i % 4 == k else f"c{i}" for i in range(500))) for k in range(4)]
+    want = {(d, n) for d, n, text in docs}
+    # one change more than the rule allows
+    docs += [(len(docs) + n, n, " ".join("changed" if i <= allowed[n] else f"b{n}x{i}" for i in range(n))) for n in allowed if n <= 13]
+    table = spark.createDataFrame(docs, "doc_id long, n int, text string").select("doc_id", "text").repartition(4)
+    leaks = decontamination.find_leaks(table, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.collect()} == want
+
+
+def test_masks_are_added_where_a_placement_is_left_out():
+    for n, changes, masks in ((13, 3, ("11011011",)), (8, 2, ()), (5, 1, ()), (1, 0, ()), (9, 6, ()), (40, 20, ())):
+        every = decontamination.covering(n, changes, masks)
+        assert every[: len(masks)] == masks
+        for _ in range(300):
+            kept = set(random.Random(_).sample(range(n), n - changes))
+            assert any(all(at + k in kept for k, c in enumerate(m) if c == "1") for m in every for at in range(n - len(m) + 1))
+
+
 def test_leaks_of_odd_and_no_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen")], "item_id long, text string")
     leaks = decontamination.find_leaks(odd, bench)
