@@ -2,14 +2,15 @@
 
 Documents of a source fall into a fixed number of blocks by a hash of their id. A source's target is a
 number of whole passes over its blocks and a rest: blocks are put into a random order, whole ones are
-drawn while they fit, and the block at the edge gives the documents that still fit. A few single documents close the gap.
+drawn while they fit, and the block at the edge gives the documents before its first that does not fit. Single
+documents, along the same order, close the gap until none that fits is left.
 All draws together are the tickets of a tree: every node deals a random half of its tickets to each
 child, which makes the sources' counts in a child multivariate hypergeometric, until each output shard
 has an exact quota of every source. The shards then take disjoint stretches of each source's permuted
 draws, and rows carry a random order inside their shard.
 
 DataFrame operations only. Nothing is sorted that grows with a source: blocks and draws are bounded by
-the number of sources, and only one block of each source is looked into.
+the number of sources. Only one block of each source is looked into, and then the documents that fit the gap.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from logweave.session import checkpointed
 WORD = r"[^\x20\x09-\x0D]++"
 #: Rows up to which the drawn blocks are broadcast to the documents; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
-#: Documents of a source among which the last ones are sought.
+#: Documents of a source that one step of closing the gap tries, the larger ones first.
 POOL = 256
 
 
@@ -102,34 +103,60 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = 17) -> DataFrame:
     return tickets
 
 
-def _picks(sized: DataFrame, rest: DataFrame, missing: DataFrame) -> DataFrame:
-    """(key, block, only): documents that close the gap between what a source has given and its target.
-
-    Of POOL random documents of the source that are not drawn yet, the larger ones first, each is taken
-    that still fits.
-    """
-    left = sized.filter("size > 0").join(rest, ["key", "block"]).join(missing, "key").filter(
-        (F.col("block") != F.col("edge_block")) | F.col("edge_cut").isNull() | (F.col("place") > F.col("edge_cut"))
-    )
+def _pool(units: DataFrame) -> DataFrame:
+    """(key, block, place, size): of POOL random units of each source, the larger ones first, each that still fits."""
     chance = Window.partitionBy("key").orderBy(F.xxhash64("place"), "block", "place")
-    units = left.groupBy("key", "missing", "block", "place").agg(F.sum("size").alias("size")).filter(F.col("size") <= F.col("missing"))
     pool = units.withColumn("number", F.row_number().over(chance)).filter(F.col("number") <= POOL)
     listed = pool.groupBy("key", "missing").agg(F.sort_array(F.collect_list(F.struct("size", "block", "place")), asc=False).alias("units"))
-    none = F.struct(F.col("missing").alias("missing"), F.array().cast("array<struct<block:int,only:bigint>>").alias("picks"))
+    none = F.struct(F.col("missing").alias("missing"), F.array().cast("array<struct<size:bigint,block:int,place:bigint>>").alias("picks"))
     fitted = F.aggregate(
         "units", none,
         lambda a, u: F.when(
-            u["size"] <= a["missing"],
-            F.struct((a["missing"] - u["size"]).alias("missing"), F.concat(a["picks"], F.array(F.struct(u["block"].alias("block"), u["place"].alias("only")))).alias("picks")),
+            u["size"] <= a["missing"], F.struct((a["missing"] - u["size"]).alias("missing"), F.concat(a["picks"], F.array(u)).alias("picks"))
         ).otherwise(a),
     )
-    return listed.select("key", F.inline(fitted["picks"]))
+    return listed.select("key", F.inline(fitted["picks"])).select("key", "block", "place", "size")
+
+
+def _along(units: DataFrame, permuted: Window) -> DataFrame:
+    """(key, block, place, size): units along the permuted blocks, whole blocks while they fit, then part of one."""
+    summed = (
+        units.groupBy("key", "missing", "block").agg(F.sum("size").alias("block_size"))
+        .withColumn("upto", F.sum("block_size").over(permuted.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("before", F.col("upto") - F.col("block_size"))
+    )
+    whole = units.join(summed.filter("upto <= missing").select("key", "block"), ["key", "block"], "left_semi")
+    edge = units.join(summed.filter("upto > missing AND before < missing").select("key", "block", "before"), ["key", "block"])
+    through = F.col("before") + F.sum("size").over(Window.partitionBy("key").orderBy("place"))
+    part = edge.withColumn("through", through).filter("through <= missing")
+    return whole.select("key", "block", "place", "size").unionByName(part.select("key", "block", "place", "size"))
 
 
-def draw_blocks(sized: DataFrame, targets: DataFrame, shards: int, seed: int) -> DataFrame:
-    """Draws (key, block, copy, shard, cut, only) of documents (key, block, place, size) and targets (key,
-    source_size, target). ``cut`` and ``only`` are null for a whole block; else documents up to the place
-    ``cut`` are drawn, or those at the place ``only``."""
+def _singles(sized: DataFrame, rest: DataFrame, missing: DataFrame, permuted: Window) -> DataFrame:
+    """(key, block, place): documents that close the gap between what a source has given and its target.
+
+    Units are the documents of one place. Steps over the pool and along the blocks take turns until
+    none of the units left fits; units that do not fit any more are dropped in each step.
+    """
+    left = sized.filter("size > 0").join(rest, ["key", "block"]).join(missing, "key").filter(
+        (F.col("block") != F.col("edge_block")) | F.col("edge_cut").isNull() | (F.col("place") > F.col("edge_cut"))
+    )
+    units = checkpointed(left.groupBy("key", "missing", "block", "place").agg(F.sum("size").alias("size")).filter("size <= missing"))
+    found, unit = units.limit(0).select("key", "block", "place"), ["key", "block", "place"]
+    by_pool = True
+    while not units.isEmpty():
+        picks = checkpointed(_pool(units) if by_pool else _along(units, permuted))
+        found, by_pool = found.unionByName(picks.select(*unit)), not by_pool
+        given = picks.groupBy("key").agg(F.sum("size").alias("given"))
+        fitting = units.join(given, "key").withColumn("missing", F.col("missing") - F.col("given")).drop("given").filter("size <= missing")
+        units = checkpointed(fitting.join(picks.select(*unit), unit, "left_anti"))
+    return checkpointed(found)
+
+
+def draw_blocks(sized: DataFrame, targets: DataFrame, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Draws (key, block, copy, shard, cut) and singles (key, block, place, copy, shard) of documents (key,
+    block, place, size) and targets (key, source_size, target). ``cut`` is null for a whole block; else
+    documents up to the place ``cut`` are drawn. Singles are drawn besides, those of a block to one shard."""
     plan = targets.filter("source_size > 0").select(
         "key", "source_size", "target", F.floor(F.col("target") / F.col("source_size")).cast("int").alias("passes")
     ).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
@@ -153,24 +180,26 @@ def draw_blocks(sized: DataFrame, targets: DataFrame, shards: int, seed: int) ->
     missing = edge.join(cuts, ["key", "block"], "left").select(
         "key", F.col("block").alias("edge_block"), F.col("cut").alias("edge_cut"), (F.col("wanted") - F.coalesce("through", F.lit(0))).alias("missing")
     )
-    picks = _picks(sized, cumulated.filter(~whole).select("key", "block"), missing)
+    singles = _singles(sized, cumulated.filter(~whole).select("key", "block"), missing, permuted)
     none = F.lit(None).cast("long")
 
-    def draw(rows: DataFrame, copy: Column, cut: Column = none, only: Column = none) -> DataFrame:
-        return rows.select("key", "block", copy.alias("copy"), "order", cut.alias("cut"), only.alias("only"))
+    def draw(rows: DataFrame, copy: Column, cut: Column = none, single: bool = False) -> DataFrame:
+        return rows.select("key", "block", copy.alias("copy"), "order", cut.alias("cut"), F.lit(single).alias("single"))
 
     first = cumulated.filter("passes > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     draws = checkpointed(
         draw(first, F.col("copy"))
         .unionByName(draw(cumulated.filter(whole), F.col("passes")))
         .unionByName(draw(cumulated.join(cuts, ["key", "block"]), F.col("passes"), F.col("cut")))
-        .unionByName(draw(cumulated.join(picks, ["key", "block"]), F.col("passes"), only=F.col("only")))
+        .unionByName(draw(cumulated.join(singles, ["key", "block"], "left_semi"), F.col("passes"), single=True))
     )
     in_source = Window.partitionBy("key")
-    numbered = draws.withColumn("number", F.row_number().over(in_source.orderBy("copy", "order", "only")) - 1)
+    numbered = draws.withColumn("number", F.row_number().over(in_source.orderBy("copy", "order", "single")) - 1)
     dealt = split_quotas(draws.groupBy("key").agg(F.count("*").alias("quota")), shards, seed)
     stretches = dealt.withColumn("number", F.row_number().over(in_source.orderBy("shard", "ticket")) - 1).select("key", "number", "shard")
-    return checkpointed(numbered.join(stretches, ["key", "number"]).select("key", "block", "copy", "shard", "cut", "only"))
+    placed = checkpointed(numbered.join(stretches, ["key", "number"]).select("key", "block", "copy", "shard", "cut", "single"))
+    in_blocks = placed.filter("single").select("key", "block", "copy", "shard")
+    return placed.filter("NOT single").drop("single"), checkpointed(singles.join(in_blocks, ["key", "block"]))
 
 
 class Mixture:
@@ -186,10 +215,11 @@ class Mixture:
         sizes = self.sized.groupBy("source", "key").agg(F.sum("size").alias("source_size"))
         with_targets = source_targets(sizes.select("source", "source_size"), **targets)
         self.targets = checkpointed(with_targets.withColumn("key", _source_key(F.col("source"))))
-        self.draws = draw_blocks(self.sized, self.targets, shards, seed)
+        self.draws, self.singles = draw_blocks(self.sized, self.targets, shards, seed)
 
-    def _drawn(self) -> DataFrame:
-        return F.broadcast(self.draws) if self.draws.count() <= BROADCAST_ROWS else self.draws
+    @staticmethod
+    def _small(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
     def rows(self, docs: DataFrame) -> DataFrame:
         """Every drawn copy of a document with all its columns, and ``mix_copy``, ``mix_shard`` and
@@ -198,13 +228,16 @@ class Mixture:
             "_mix_key": _source_key(F.col(self.source)), "_mix_block": _block(F.col(self.doc_id), self.seed, self.blocks),
             "_mix_place": _place(F.col(self.doc_id), self.seed),
         })
-        d = self._drawn().select(*[F.col(c).alias(f"_draw_{c}") for c in ("key", "block", "copy", "shard", "cut", "only")])
+
+        def named(rows: DataFrame) -> DataFrame:
+            return self._small(rows).select(*[F.col(c).alias(f"_draw_{c}") for c in rows.columns])
+
+        same = (F.col("_mix_key") == F.col("_draw_key")) & (F.col("_mix_block") == F.col("_draw_block"))
         met = (
-            (F.col("_mix_key") == F.col("_draw_key")) & (F.col("_mix_block") == F.col("_draw_block"))
-            & (F.col("_draw_cut").isNull() | (F.col("_mix_place") <= F.col("_draw_cut")))
-            & (F.col("_draw_only").isNull() | (F.col("_mix_place") == F.col("_draw_only")))
+            keyed.join(named(self.draws), same & (F.col("_draw_cut").isNull() | (F.col("_mix_place") <= F.col("_draw_cut")))).drop("_draw_cut")
+            .unionByName(keyed.join(named(self.singles), same & (F.col("_mix_place") == F.col("_draw_place"))).drop("_draw_place"))
         )
-        return keyed.join(d, met).select(
+        return met.select(
             *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("mix_copy", "mix_shard", "mix_order")], F.col("_draw_copy").alias("mix_copy"), F.col("_draw_shard").alias("mix_shard"),
             F.xxhash64(F.lit(self.seed), F.lit("shuffle"), F.col(self.doc_id), F.col("_draw_copy")).alias("mix_order"),
         )
@@ -215,11 +248,10 @@ class Mixture:
 
     def taken(self) -> DataFrame:
         """For each document: doc_id, size, source_size, target, taken (words drawn, copies counted)."""
-        per_block = self.draws.groupBy("key", "block").agg(
-            F.count(F.when(F.col("cut").isNull() & F.col("only").isNull(), 1)).alias("whole"), F.max("cut").alias("cut"), F.collect_set("only").alias("only")
-        )
-        met = self.sized.join(per_block, ["key", "block"], "left")
-        extra = (F.col("place") <= F.col("cut")) | F.array_contains("only", F.col("place"))
+        per_block = self.draws.groupBy("key", "block").agg(F.count(F.when(F.col("cut").isNull(), 1)).alias("whole"), F.max("cut").alias("cut"))
+        single = self._small(self.singles.select("key", "block", "place", F.lit(1).alias("single")))
+        met = self.sized.join(per_block, ["key", "block"], "left").join(single, ["key", "block", "place"], "left")
+        extra = (F.col("place") <= F.col("cut")) | F.col("single").isNotNull()
         times = F.coalesce(F.col("whole"), F.lit(0)) + F.coalesce(extra, F.lit(False)).cast("long")
         return met.join(F.broadcast(self.targets.drop("source")) if self.targets.count() <= BROADCAST_ROWS else self.targets.drop("source"), "key").select(
             "doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken")
@@ -235,6 +267,7 @@ def mix_sources(
     A document's size is its number of words (null or empty text: 0). A null source is a source of its
     own. Documents of one id are drawn together, repeated rows included. A source without words has the
     target 0 and is not drawn from; a table without rows gives a mix without rows. Equal input gives an
-    equal mix, whatever its partitions. A source of few long documents can fall short of its target by part of one.
+    equal mix, whatever its partitions. A source falls short of its target by less than
+    any document of its last pass that is not drawn.
     """
     return Mixture(docs, doc_id, text, source, shards, blocks, seed, weights=weights, share=share, most=most)

@@ -8,6 +8,7 @@ import re
 
 import pytest
 from llm_rows import prose
+from pyspark.sql import functions as F
 
 from logweave.llm import decontamination, mixing, preferences
 
@@ -51,6 +52,19 @@ def test_mix_meets_its_targets(sources):
     assert all(abs(taken[s] - want[s]) <= 10 for s in sizes)
 
 
+def test_mix_goes_on_beyond_a_document_that_does_not_fit(spark):
+    # one document, or the repeated rows of one id, has half of a source's words
+    rows = [(10_000 * s + i, "w " * 20, f"s{s}") for s in range(10) for i in range(1, 1001)]
+    rows += [(10_000 * s, "w " * 20_000, f"s{s}") for s in range(5)] + [(10_000 * s, "w " * 20, f"s{s}") for s in range(5, 9) for _ in range(1000)]
+    rows += [(None, "w " * 20, "s9")] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    mix = mixing.mix_sources(docs, blocks=64, weights=(1,))
+    got = mix.taken().groupBy("doc_id", "target").agg(F.sum("taken").alias("taken")).collect()
+    taken = {s: sum(r["taken"] for r in got if (90_000 if r["doc_id"] is None else r["doc_id"]) // 10_000 == s) for s in range(10)}
+    assert {r["target"] for r in got} == {60_000.0} and all(0 <= 60_000 - t < 20 for t in taken.values())
+    assert {r["source"]: r["n"] for r in mix.rows(docs).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()} == {f"s{s}": t for s, t in taken.items()}
+
+
 def test_mixed_rows_agree_with_what_is_taken_and_rerun(sources):
     _, docs = sources
     one, two = mixing.mix_sources(docs), mixing.mix_sources(docs.repartition(7))
