@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from logweave.llm import pii, secrets
 
@@ -91,6 +92,15 @@ def test_secrets_of_odd_rows(odd, none):
     assert set(got.columns) == set(odd.columns) and got.count() == odd.count() and secrets.find_secrets(none).count() == 0
 
 
+def test_url_passwords_of_any_length(spark):
+    urls = [f"https://{'u' * n}:{'p' * m}@" for n, m in ((1, 1), (4, 64), (4, 93), (93, 4), (2_000, 30_000))]
+    none = ["https://" + "u" * 90, "https://" + "u" * 90 + ":" + "p" * 90, "https://user:pass word@host", "https://:p@host"]
+    texts = [f"see {u}host now" for u in urls] + none
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secrets.find_secrets(table).select("doc_id", secrets.span_text(F.col("secrets"), ("url_password",)).alias("spans")).collect()
+    assert {r["doc_id"]: r["spans"] for r in rows} == {k: f"url_password:4:{4 + len(urls[k])}" if k < len(urls) else "" for k in range(len(texts))}
+
+
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
 def test_queries_lose_no_match(rule):
     samples = {
