@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweave.llm import decontamination, mixing, near_duplicates, pii, preferences, quality, secrets, token_counts, token_files, toxicity
+from logweave.llm import decontamination, filter_audit, mixing, near_duplicates, pii, preferences, quality, secrets, token_counts, token_files, topk, toxicity
 from logweave.plans.registry import query
 from logweave.session import checkpointed, fresh_path, use_utc
 
@@ -128,3 +128,50 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.fit(docs, use_utc(spark).read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+#: Scores of all pairs of a query and another row, by position; vectors without a common position score 0.
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS w, row_number() OVER () AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+t AS (SELECT r, vec_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM v),
+m AS (SELECT q.r AS qr, c.r AS cr, sum(q.w * c.w)::BIGINT AS score FROM t AS q JOIN t AS c ON c.i = q.i AND c.r <> q.r WHERE q.vec_id % 100 = 0 GROUP BY q.r, c.r),
+p AS (SELECT q.r AS qr, q.vec_id AS query_id, c.vec_id AS vec_id, coalesce(m.score, 0) AS score FROM v AS q JOIN v AS c ON c.r <> q.r LEFT JOIN m ON m.qr = q.r AND m.cr = c.r WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT query_id, (row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id NULLS LAST))::INTEGER AS rank, vec_id, score FROM p) WHERE rank <= 10
+"""
+
+
+@query("op12_top_k", TOP_K_SQL)
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten rows of the highest integer inner product for every hundredth vector."""
+    vectors = use_utc(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(topk.quantized(vectors), k=10, every=100)
+
+
+#: Orders by joining five letters; a word list is a split without empty strings.
+FILTERS_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+b AS (SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM b LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS f(letter, bit)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a JOIN f b ON b.bit <> a.bit JOIN f c ON c.bit NOT IN (a.bit, b.bit) JOIN f d ON d.bit NOT IN (a.bit, b.bit, c.bit) JOIN f e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)),
+s AS (SELECT filter_order, step, bits[step] AS own, (coalesce(list_sum(bits[1:step - 1]), 0))::INT AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+g AS (SELECT part, filter_order, step,
+  coalesce(sum(n) FILTER (WHERE mask & (before | own) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE mask & before <> 0 AND mask & own <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE mask = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS toxic_lost,
+  any_value(own) AS own FROM m, s GROUP BY part, filter_order, step),
+h AS (SELECT part, own, sum(removed)::BIGINT AS shapley FROM g GROUP BY part, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley FROM g JOIN h USING (part, own)
+"""
+
+
+@query("op13_filter_audit", FILTERS_SQL)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their 120 orders, for every language."""
+    return filter_audit.audit_filters(documents(spark, sf_dir), use_utc(spark).read.parquet(f"{sf_dir}/labels.parquet"))
