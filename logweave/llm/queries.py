@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweave.llm import decontamination, filter_audit, mixing, near_duplicates, pii, preferences, quality, secrets, token_counts, token_files, topk, toxicity
+from logweave.llm import alignment, decontamination, filter_audit, mixing, near_duplicates, pii, preferences, quality, secrets, token_counts, token_files, topk, toxicity
 from logweave.plans.registry import query
 from logweave.session import checkpointed, fresh_path, use_utc
 
@@ -130,6 +130,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of byte_bpe_50k and piece_bpe_32k meet in every text."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return alignment.link_scores(alignment.align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 #: Scores of all pairs of a query and another row, by position; vectors without a common position score 0.
 TOP_K_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS w, row_number() OVER () AS r FROM embeddings

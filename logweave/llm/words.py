@@ -58,6 +58,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return kept["up"], kept["down"]
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    up, _ = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, _U)
+    np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=sums[1:])
+    return sums
+
+
 def span_hashes(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hash of each byte span, the same wherever the span stands."""
     _, down = _powers(len(sums))
@@ -84,9 +91,7 @@ def words_of(texts: list[bytes], lower: bool = False) -> Words:
     data = np.frombuffer(b"".join(texts), np.uint8)
     if lower:
         data = _LOWER[data]
-    up, _ = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=sums[1:])
+    sums = prefix_sums(data)
     solid = ~_SPACE[data]
     at_start, at_stop = solid.copy(), solid.copy()
     if len(data):
