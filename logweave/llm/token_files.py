@@ -14,10 +14,8 @@ all earlier parts, a prefix sum. Parts ascend by document id, and so do the docu
 from __future__ import annotations
 
 import re
-import sys
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,11 +24,11 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from logweave.llm.stretches import IdStore, cut_texts, text_slices
 from logweave.llm.words import worker_state
 
-#: Kept stretches per Python worker; a full memory is emptied, which costs time and changes no id.
+#: Kept stretches, and pieces of them, per Python worker; a full memory is emptied, which costs time and changes no id.
 MEMORY = 800_000
-_GROUP = 1 << 20
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -38,12 +36,24 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
 
 
+#: The library's splitting of texts of ASCII characters, fixed by the vocabulary's file format.
+_ASCII_PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+_ODD = re.compile("[\x1c-\x1f]")
+
+
+def _written_as() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary; printable ones stand for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """A byte-level BPE of the tokenizers library that encodes equal stretches of text once.
+    """A byte-level BPE of the tokenizers library that encodes each distinct stretch of text once.
 
-    Its pattern never lets a token start with a non-blank and hold a blank after it, so a text can be
-    cut before every single space that follows a non-blank. Special tokens hold no blanks either and
-    are taken from each stretch as the library takes them from the text.
+    Special tokens hold no blanks and are taken from each stretch as the library takes them from the text.
+    A stretch with one goes to the library whole; others are split into pieces, and the library merges each
+    distinct piece once.
     """
 
     def __init__(self, path: str):
@@ -53,67 +63,38 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         assert not any(re.search(r"\s", s) for s in self.special), "added tokens with blanks are not supported"
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def stretches(self, words: list[str]) -> Iterator[list[int]]:
-        """Ids of a single space and each word after it, by the library's splitting and merging.
-
-        No word is empty or ends in a blank, so the words are split in one go.
-        """
-        plain = [w for w in words if not any(s in w for s in self.special)] if any(s in w for s in self.special for w in words) else words
-        known: dict[str, list[int]] = {}
-        tokenize = self.tokenizer.model.tokenize
-        split = iter(self.tokenizer.pre_tokenizer.pre_tokenize_str("".join([f" {w}" for w in plain])))
-        piece, (start, _) = next(split, ("", (0, 0)))
-        end = 0
-        usual = set(plain) if len(plain) < len(words) else None
-        for w in words:
-            if usual is not None and w not in usual:
-                yield self.ids(" " + w)
+        self.written = _written_as()
+        self.pieces: dict[str, list[int]] = {}
+        self.store = IdStore(self._encode, MEMORY)
+        # the short way for ASCII holds for the usual byte-level splitting alone
+        self.usual = self._split("It's 12,5% of  all\n\tthings'll ") == _ASCII_PIECES.findall("It's 12,5% of  all\n\tthings'll ")
+
+    def _split(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _ids(self, piece: str) -> list[int]:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= MEMORY:
+                self.pieces.clear()
+            found = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.written))]
+        return found
+
+    def _encode(self, stretches: list[bytes]) -> list[list[int]]:
+        texts = [s.decode() for s in stretches]
+        known, merged = self.pieces.get, self._ids
+        out = []
+        for text in texts:
+            if any(s in text for s in self.special):
+                out.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
                 continue
-            end += len(w) + 1
-            ids: list[int] = []
-            while piece and start < end:
-                found = known.get(piece)
-                if found is None:
-                    found = known[piece] = [t.id for t in tokenize(piece)]
-                ids += found
-                piece, (start, _) = next(split, ("", (0, 0)))
-            yield ids
-
-
-def encode_texts(texts: list[str | None], encoder: Encoder, memory: dict, kind: str) -> list[bytes]:
-    """The ids of each text as little-endian integers of the numpy type ``kind``."""
-    code = "H" if kind[2] == "2" else "I"
-    turned = sys.byteorder == "big"
-
-    def packed(ids: list[int]) -> bytes:
-        out = array(code, ids)
-        if turned:
-            out.byteswap()
-        return out.tobytes()
-
-    if len(memory) > MEMORY:
-        memory.clear()
-    # one look-up for each stretch; only those that are new are looked up again
-    parts = [(t or "").split(" ") for t in texts]
-    found = [list(map(memory.get, p[1:])) for p in parts]
-    new = {x for p, f in zip(parts, found, strict=True) if None in f for x, ids in zip(p[1:], f, strict=True) if ids is None}
-    # a stretch that is empty or ends in a blank has no certain end, marked by no ids: such texts go whole
-    memory.update((x, b"") for x in new if not x or x[-1].isspace())
-    clear = [x for x in new if x and not x[-1].isspace()]
-    memory.update(zip(clear, map(packed, encoder.stretches(clear)), strict=True))
-    out = []
-    for text, p, f in zip(texts, parts, found, strict=True):
-        if not all(f):
-            f = [memory[x] if ids is None else ids for x, ids in zip(p[1:], f, strict=True)]
-        if not all(f) or (p[0] == "" and len(p) > 1) or p[0][-1:].isspace():
-            out.append(packed(encoder.ids(text or "")))
-        else:
-            out.append(packed(encoder.ids(p[0])) + b"".join(f))
-    return out
+            parts = _ASCII_PIECES.findall(text) if self.usual and text.isascii() and not _ODD.search(text) else self._split(text)
+            out.append([i for p in parts for i in known(p) or merged(p)])
+        return out
+
+    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts on end, ids of each text), for whole texts of any length."""
+        return self.store.ids(cut_texts(texts))
 
 
 def write_token_files(
@@ -137,10 +118,9 @@ def write_token_files(
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = worker_state("token_files")
         if tokenizer not in state:
-            state[tokenizer] = (Encoder(tokenizer), {})
-        encoder, memory = state[tokenizer]
+            state[tokenizer] = Encoder(tokenizer)
+        encoder = state[tokenizer]
         kind = "<u2" if max(encoder.size - 1, end_id) < 1 << 16 else "<u4"
-        end = np.array([end_id], kind).tobytes()
         store, root = _filesystem(folder)
         store.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
@@ -151,16 +131,10 @@ def write_token_files(
                 column = batch.column(0)
                 ids.append(column.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 valid.append(column.is_valid().to_numpy(zero_copy_only=False).astype("u1"))
-                texts, at = batch.column(1).to_pylist(), 0
-                while at < len(texts):
-                    upto, chars = at, 0
-                    while upto < len(texts) and chars < _GROUP:
-                        chars += len(texts[upto] or "")
-                        upto += 1
-                    coded = encode_texts(texts[at:upto], encoder, memory, kind)
-                    lengths += [len(x) // int(kind[2]) + 1 for x in coded]
-                    out.write(b"".join(x + end for x in coded))
-                    at = upto
+                for _, texts in text_slices(batch, 1):
+                    flat, counts = encoder.ids(texts)
+                    out.write(np.insert(flat, np.cumsum(counts), end_id).astype(kind).tobytes())
+                    lengths += (counts + 1).tolist()
         if lengths:
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
             for kind_, data in (("idx", offsets.tobytes()), ("doc", np.concatenate(ids).tobytes() + np.concatenate(valid).tobytes())):

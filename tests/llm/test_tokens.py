@@ -1,6 +1,7 @@
 """Token counts and token files against the libraries themselves."""
 
 import os
+import random
 import zlib
 
 import numpy as np
@@ -61,8 +62,24 @@ def test_files_hold_the_ids(spark, odd, odd_rows):
 def test_stretches_are_the_whole_texts():
     encoder = token_files.Encoder(BYTES)
     texts = ["a  b \n c", "it's  we're", " lead", "trail ", "x<|endoftext|> y z<|endoftext|>", "a \x1c b", "tab\t x", "", None, "one.\nTwo three"]
-    want = [np.array(encoder.ids(t or ""), "<u2").tobytes() for t in texts]
-    assert token_files.encode_texts(texts, encoder, {}, "<u2") == want
+    check_ids(encoder, texts)
+    rng = random.Random(9)
+    parts = ["a", "é", "日本", "𐍈", "  ", " ", "\n", "\t", "▁", "<|endoftext|>", "'ll", "don't", "12,345", "…", "\u00a0", "　x", "\x1f", "\x85", "über", "ab" * 40, "\u2003", "!?", "S"]
+    check_ids(encoder, ["".join(rng.choice(parts) + (" " if rng.random() < 0.4 else "") for _ in range(rng.randrange(1, 30))) for _ in range(4000)])
+
+
+def check_ids(encoder, texts):
+    flat, counts = encoder.ids([(t or "").encode() for t in texts])
+    got = np.split(flat, np.cumsum(counts)[:-1])
+    assert [g.tolist() for g in got] == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_a_full_store_changes_no_id(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMORY", 5)
+    check_ids(token_files.Encoder(BYTES), [f"one two three {i} four{i % 3} five" for i in range(50)])
+    encoder = token_files.Encoder(BYTES)
+    for i in range(20):
+        check_ids(encoder, [f"one two {i} three{i % 3}", "two"])
 
 
 def test_files_of_no_rows(spark, none):
