@@ -9,6 +9,7 @@ character; so the ids of a text are those of its stretches, one after the other.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -40,6 +41,8 @@ def text_slices(batch: pa.RecordBatch, at: int, size: int = GROUP_BYTES) -> Iter
         if b > a:
             part = batch.slice(a, b - a)
             yield part, [t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()]
+    # what the arrays of this batch used goes back to the system before the next one comes
+    pa.default_memory_pool().release_unused()
 
 
 def cut_texts(texts: list[bytes]) -> Stretches:
@@ -80,17 +83,25 @@ def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class IdStore:
-    """Ids of distinct stretches in one flat array; a full store is emptied, which changes no id."""
+    """Ids of distinct stretches in one flat array. A full store keeps the half that was met most often and forgets
+    the rest, which costs time and changes no id."""
 
     def __init__(self, encode: Callable[[list[bytes]], list], limit: int):
         self.encode, self.limit = encode, limit
-        self.clear()
+        self._hold({}, np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0)
 
-    def clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 12, np.int32)
-        self.first, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.used = 0
+    def _hold(self, slot: dict[bytes, int], flat: np.ndarray, size: np.ndarray, met: np.ndarray, used: int) -> None:
+        self.slot, self.flat, self.size, self.met, self.used = slot, flat, size, met, used
+        self.first = np.cumsum(size) - size
+
+    def _shrink(self) -> None:
+        n = len(self.slot)
+        kept = np.sort(np.argsort(-self.met[:n], kind="stable")[: self.limit // 2])
+        kept = kept[self.met[kept] > 1]
+        of = dict(zip(kept.tolist(), range(len(kept)), strict=True))
+        slot = {k: of[s] for k, s in self.slot.items() if s in of}
+        flat, size = self.flat[ragged(self.first[kept], self.size[kept])], self.size[kept]
+        self._hold(slot, flat, size, np.ones(len(kept), np.int64), len(flat))
 
     def _grown(self, array: np.ndarray, need: int) -> np.ndarray:
         return array if need <= len(array) else np.concatenate([array, np.zeros(max(need, 2 * len(array)) - len(array), array.dtype)])
@@ -99,25 +110,30 @@ class IdStore:
         found = list(map(self.slot.get, distinct))
         new = [d for d, s in zip(distinct, found, strict=True) if s is None]
         if new and len(self.slot) + len(new) > self.limit and self.slot:
-            self.clear()
-            return self.slots(distinct)
+            self._shrink()
+            found = list(map(self.slot.get, distinct))
+            new = [d for d, s in zip(distinct, found, strict=True) if s is None]
         if new:
             coded = self.encode(new)
             size = np.fromiter(map(len, coded), np.int64, len(coded))
             n, k = len(self.slot), self.used + int(size.sum())
             self.flat = self._grown(self.flat, k)
-            self.first, self.size = self._grown(self.first, n + len(new)), self._grown(self.size, n + len(new))
-            self.flat[self.used : k] = np.fromiter((i for c in coded for i in c), np.int32, k - self.used)
+            self.first, self.size, self.met = (self._grown(x, n + len(new)) for x in (self.first, self.size, self.met))
+            self.flat[self.used : k] = np.fromiter(chain.from_iterable(coded), np.int32, k - self.used)
             self.size[n : n + len(new)] = size
             self.first[n : n + len(new)] = self.used + np.cumsum(size) - size
+            self.met[n : n + len(new)] = 0
             self.slot.update(zip(new, range(n, n + len(new)), strict=True))
             self.used = k
-            found = [self.slot[d] if s is None else s for d, s in zip(distinct, found, strict=True)]
+            fresh = iter(range(n, n + len(new)))
+            found = [next(fresh) if s is None else s for s in found]
         return np.array(found, np.int64)
 
     def ids(self, cut: Stretches) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, ids of each text)."""
-        slots = self.slots(cut.distinct)[cut.which]
+        distinct = self.slots(cut.distinct)
+        self.met[distinct] += np.bincount(cut.which, minlength=len(distinct))
+        slots = distinct[cut.which]
         size = self.size[slots]
         of = np.repeat(np.arange(len(cut.counts)), cut.counts)
         return self.flat[ragged(self.first[slots], size)], np.bincount(of, weights=size, minlength=len(cut.counts)).astype(np.int64)

@@ -80,16 +80,31 @@ class Encoder:
             found = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.written))]
         return found
 
+    def _parts(self, text: str) -> list[str]:
+        """The pieces of a stretch without special tokens."""
+        if self.usual:
+            if text.isascii():
+                if not _ODD.search(text):
+                    return _ASCII_PIECES.findall(text)
+            elif max(text) < "\u0250":  # letters of Latin scripts, and marks behind them, need no look at the rest of the table
+                core = text.rstrip(".,;:!?")
+                if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
+                    return [core, text[len(core) :]] if len(core) < len(text) else [text]
+        return self._split(text)
+
     def _encode(self, stretches: list[bytes]) -> list[list[int]]:
-        texts = [s.decode() for s in stretches]
-        known, merged = self.pieces.get, self._ids
+        known, merged, parts = self.pieces.get, self._ids, self._parts
+        has_special = any(s in b"\n".join(stretches) for s in map(str.encode, self.special))
         out = []
-        for text in texts:
-            if any(s in text for s in self.special):
+        for text in map(bytes.decode, stretches):
+            if has_special and any(s in text for s in self.special):
                 out.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
                 continue
-            parts = _ASCII_PIECES.findall(text) if self.usual and text.isascii() and not _ODD.search(text) else self._split(text)
-            out.append([i for p in parts for i in known(p) or merged(p)])
+            pieces = parts(text)
+            if len(pieces) == 1:
+                out.append(known(text) or merged(text))
+            else:
+                out.append([i for p in pieces for i in known(p) or merged(p)])
         return out
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
