@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logweave.llm.components import connected
-from logweave.llm.words import groups, mix, window_hashes, words_of
+from logweave.llm.sketch import drop_absent, drop_present, hash_bitmap
+from logweave.llm.stretches import text_slices
+from logweave.llm.words import mix, window_hashes, words_of
 from logweave.session import checkpointed
 
 #: Permutations; each gives a minimum and a maximum. Values in a band: 32 bands of 4 miss a pair of
@@ -87,8 +89,7 @@ def sketches(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in groups(batch.column(2).to_pylist()):
-                rows = batch.slice(first, len(part))
+            for rows, part in text_slices(batch, 2):
                 sets = shingle_sets(part, size)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 found: list = [None] * len(part)
@@ -107,12 +108,14 @@ def sketches(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
 def node_sets(docs: DataFrame, wanted: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
     """(node, shingles) of the wanted nodes, from one document each: wanted has doc_id and text_hash."""
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    keys = wanted.select(F.col("doc_id").alias("want_id"), F.col("text_hash").alias("want_hash"))
+    keys = checkpointed(wanted.select(F.col("doc_id").alias("want_id"), F.col("text_hash").alias("want_hash")))
+    # texts that no wanted row has are left out before the shuffle
+    keyed = drop_absent(keyed, F.col("text_hash"), hash_bitmap(keys.select(F.col("want_hash").alias("key"))))
     chosen = keyed.join(keys, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_hash") == F.col("want_hash")), "left_semi").select("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in groups(batch.column(0).to_pylist()):
+            for _, part in text_slices(batch, 0):
                 sets = shingle_sets(part, size)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_identity(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"]
@@ -246,8 +249,12 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     """One row of each component, all columns as they are: the first by id (nulls last), then text hash;
     of rows that agree in both one stays."""
     key = {"_near_id": F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), "_near_hash": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))}
-    chosen = near_duplicates(docs, doc_id, text, shingle, percent).filter("first").select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_near_id"), F.col("text_hash").alias("_near_hash")
-    )
-    met = docs.withColumns(key).join(chosen, ["_near_id", "_near_hash"], "left_semi").dropDuplicates(["_near_id", "_near_hash"])
-    return met.select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    judged = checkpointed(near_duplicates(docs, doc_id, text, shingle, percent).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_near_id"), F.col("text_hash").alias("_near_hash"), "first"))
+    # rows to drop, and rows that agree in both: only texts that some such row has are shuffled
+    rest = judged.groupBy("_near_id", "_near_hash").agg(F.count("*").alias("n"), F.max("first").alias("first")).filter("n > 1 or not first")
+    rest = checkpointed(rest)
+    found = hash_bitmap(rest.select(F.col("_near_hash").alias("key")))
+    keyed = docs.withColumns(key)
+    met = drop_absent(keyed, F.col("_near_hash"), found).join(rest.filter("not first").select("_near_id", "_near_hash"), ["_near_id", "_near_hash"], "left_anti")
+    return drop_present(keyed, F.col("_near_hash"), found).select(*names).unionByName(met.dropDuplicates(["_near_id", "_near_hash"]).select(*names))

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from logweave.llm.words import groups, mix, per_text, span_hashes, window_hashes, words_of
+from logweave.llm.stretches import text_slices
+from logweave.llm.words import mix, per_text, span_hashes, window_hashes, words_of
 from logweave.session import checkpointed
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -99,8 +100,7 @@ def with_measures(docs: DataFrame, text: str = "text", prefix: str = "") -> Data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in groups(batch.column(at).to_pylist()):
-                rows = batch.slice(first, len(part))
+            for rows, part in text_slices(batch, at):
                 yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, measure(part).values())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
