@@ -17,13 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from logweave.llm.stretches import text_slices
 from logweave.llm.words import worker_state
 from logweave.session import checkpointed
 
 #: Labelled rows that the model is fitted on, the first by a hash of their id; everything is scored.
 MAX_LABELLED = 20_000
-#: Voters taken from the labelled rows, and the toxic texts a voter must occur in.
-MAX_VOTERS, LEAST_TEXTS = 300, 3
+#: Toxic texts that a voter must occur in.
+LEAST_TEXTS = 3
 #: Log-likelihood ratio below which a voter may well be chance among some hundred thousand candidates.
 LEAST_RATIO = 18.0
 #: Lengths of word beginnings that can become voters.
@@ -73,9 +74,10 @@ def _counted(sample: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for f in _features(set(WORD.findall(text.lower()))):
-                    counts.setdefault(f, [0, 0])[0 if toxic else 1] += 1
+            for part, texts in text_slices(batch, 0):
+                for text, toxic in zip(texts, part.column(1).to_pylist(), strict=True):
+                    for f in _features(set(WORD.findall(text.decode().lower()))):
+                        counts.setdefault(f, [0, 0])[0 if toxic else 1] += 1
             # a feature of clean texts alone can become no voter
             names = [f for f, c in counts.items() if c[0]] + [f for f, c in counts.items() if not c[0]]
             yield pa.RecordBatch.from_pydict({"feature": names, "toxic": [counts[f][0] for f in names], "clean": [counts[f][1] for f in names]})
@@ -96,8 +98,9 @@ def choose_voters(sample: DataFrame, toxic: int, clean: int) -> list[str]:
     ratio += part(toxic - a, (all_ - a - b) * toxic / all_) + part(clean - b, (all_ - a - b) * clean / all_)
     best = (
         _counted(sample).filter((F.col("toxic") >= LEAST_TEXTS) & (a / toxic > 3 * (b + 0.5) / (clean + 1)))
-        .withColumn("ratio", 2 * ratio).filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "feature").limit(MAX_VOTERS)
+        .withColumn("ratio", 2 * ratio).filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "feature")
     )
+    # every feature above the ratio, which is far fewer than the words of the labelled rows
     return [r["feature"] for r in best.select("feature").collect()]
 
 
@@ -143,29 +146,56 @@ class Firing:
         return out | {v for p, v in self.patterns if p.search(low)}
 
 
-def fit_votes(fired: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of toxic for each text, and the evidence of each voter, from votes (texts, voters) and a given label, itself one noisy vote.
+class Fired(NamedTuple):
+    """Which voters fire on which texts, as pairs."""
+
+    text: np.ndarray
+    voter: np.ndarray
+    texts: int
+    voters: int
+
+    @classmethod
+    def of(cls, lists: list, voters: int) -> Fired:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return cls(np.repeat(np.arange(len(lists)), sizes), np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64), len(lists), voters)
+
+    def by_text(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.text, weights[self.voter], self.texts)
+
+    def by_voter(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.voter, weights[self.text], self.voters)
+
+    def groups(self) -> np.ndarray:
+        """How many voters fire together with each, itself included: those correlated above SAME_VOTE."""
+        both = np.zeros((self.voters, self.voters), np.float32)
+        for low in range(0, self.texts, 1024):
+            inside = (self.text >= low) & (self.text < low + 1024)
+            part = np.zeros((1024, self.voters), np.float32)
+            part[self.text[inside] - low, self.voter[inside]] = 1
+            both += part.T @ part
+        share = np.diag(both).astype(float) / self.texts
+        spread = np.sqrt(np.maximum(share * (1 - share), 1e-12))
+        return np.array([max(1, int(((both[v] / self.texts - share[v] * share) > SAME_VOTE * spread[v] * spread).sum())) for v in range(self.voters)])
+
+
+def fit_votes(fired: Fired, toxic: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of toxic for each text, and the evidence of each voter, from votes and a given label, itself one noisy vote.
 
     Rates of firing are estimated for both classes; silence says nothing, as most voters know one
     language only. A voter's evidence is divided by the number of voters that it fires together with,
     its correlated group.
     """
-    n, voters = fired.shape
-    x = fired.astype(float)
-    spread = x.std(axis=0)
-    centred = x - x.mean(axis=0)
-    correlation = centred.T @ centred / n / np.maximum(np.outer(spread, spread), 1e-12)
-    group = np.maximum((correlation > SAME_VOTE).sum(axis=1), 1)
+    group = fired.groups()
     posterior = np.where(toxic, 0.95, 0.05)
     for _ in range(rounds):
         weights = np.stack([1 - posterior, posterior])
         # half a firing besides, so that no rate is 0
-        rate = (weights @ x + 0.5 * np.array([[toxic.mean() / 4], [1]])) / (weights.sum(axis=1, keepdims=True) + 1)
+        rate = (np.stack([fired.by_voter(w) for w in weights]) + 0.5 * np.array([[toxic.mean() / 4], [1]])) / (weights.sum(axis=1, keepdims=True) + 1)
         rate = np.clip(rate, 1e-6, 1 - 1e-6)
         share = np.clip(posterior.mean(), 1e-4, 0.5)
         each = (np.log(rate[1]) - np.log(rate[0])) / group
         label = np.where(toxic, np.log(LABEL_RIGHT / (1 - LABEL_RIGHT)), np.log((1 - LABEL_RIGHT) / LABEL_RIGHT))
-        fresh = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + x @ each + label, -50, 50)))
+        fresh = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + fired.by_text(each) + label, -50, 50)))
         done = np.abs(fresh - posterior).max() < 1e-6
         posterior = fresh
         if done:
@@ -173,17 +203,16 @@ def fit_votes(fired: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> tuple[n
     return posterior, each
 
 
-def fit_linear(fired: np.ndarray, target: np.ndarray, start: np.ndarray, decay: float = 0.005, rounds: int = 400) -> tuple[np.ndarray, float]:
+def fit_linear(fired: Fired, target: np.ndarray, start: np.ndarray, decay: float = 0.005, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by gradient steps with momentum; both classes weigh the same
     half, and weights are not negative: no voter speaks for a clean text. ``start`` is the evidence of the
     generative model, from which the steps set out."""
-    x = fired.astype(float)
     balance = np.where(target >= 0.5, 0.5 / max(1, (target >= 0.5).sum()), 0.5 / max(1, (target < 0.5).sum()))
     weights, bias = np.clip(start, 0, 8), -3.0
-    speed, drift = np.zeros(x.shape[1]), 0.0
+    speed, drift = np.zeros(fired.voters), 0.0
     for _ in range(rounds):
-        wrong = balance * (1 / (1 + np.exp(-np.clip(x @ weights + bias, -50, 50))) - target)
-        speed = 0.9 * speed - (wrong @ x + decay * weights / len(weights))
+        wrong = balance * (1 / (1 + np.exp(-np.clip(fired.by_text(weights) + bias, -50, 50))) - target)
+        speed = 0.9 * speed - (fired.by_voter(wrong) + decay * weights / len(weights))
         drift = 0.9 * drift - wrong.sum()
         weights = np.maximum(weights + 2 * speed, 0)
         bias += 2 * drift
@@ -197,13 +226,16 @@ PLAIN_WORD, PLAIN_PATTERN, PLAIN_BIAS = 5.0, 2.0, -4.0
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Train on the labelled rows that are not held out, at most ``max_labelled``, the first by a hash of
     their id. ``docs`` has doc_id and text, ``labels`` doc_id and toxic (0 or 1; null is no label; of
-    several labels of one id the largest holds). Without toxic and clean rows the lexicon alone decides."""
-    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    chosen = checkpointed(chosen.withColumnRenamed("doc_id", "label_id"))
-    # the bound on labelled rows bounds the broadcast: no text is shuffled for them
-    sample = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["label_id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") == 1).alias("toxic"))
-    sample = checkpointed(sample)
+    several labels of one id the largest holds, of several texts the one of the smallest hash). Labels of ids that
+    ``docs`` does not have count for nothing. Without toxic and clean rows the lexicon alone decides."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    known = labels.select(F.col("doc_id").cast("long").alias("label_id"), "toxic").filter("toxic is not null and label_id is not null").groupBy("label_id").agg(F.max("toxic").alias("label"))
+    known = checkpointed(known.filter(~held_out("label_id")))
+    met = texts.select("doc_id", "text_hash").join(known, F.col("doc_id") == F.col("label_id")).groupBy("label_id", "label").agg(F.min("text_hash").alias("label_hash"))
+    chosen = checkpointed(met.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled))
+    # the bound on labelled rows bounds the broadcast: no text is shuffled but theirs
+    sample = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("label_id")) & (F.col("text_hash") == F.col("label_hash"))).dropDuplicates(["doc_id"])
+    sample = checkpointed(sample.select("doc_id", "text", (F.col("label") == 1).alias("toxic")))
     counts = dict(sample.groupBy("toxic").count().collect())
     toxic, clean = counts.get(True, 0), counts.get(False, 0)
     if not toxic or not clean:
@@ -215,21 +247,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firing = Firing(empty, {})
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([sorted(firing.of(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "toxic", "fired"]
-            )
+            for part, texts in text_slices(batch, 1):
+                fired = pa.array([sorted(firing.of(t.decode())) for t in texts], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), fired], names=["doc_id", "toxic", "fired"])
 
     rows = sample.mapInArrow(run, "doc_id long, toxic boolean, fired array<int>").toPandas().sort_values(["doc_id", "toxic"])  # bounded by max_labelled
-    fired = np.zeros((len(rows), n), bool)
-    for i, voters in enumerate(rows["fired"]):
-        fired[i, voters] = True
+    fired = Fired.of(list(rows["fired"]), n)
     posterior, evidence = fit_votes(fired, rows["toxic"].to_numpy(bool))
     weights, bias = fit_linear(fired, posterior, evidence)
     return Model(words, begins, patterns, weights, bias)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, score (0 to 1) of every row; null and empty texts score as texts on which no voter fires."""
+    """doc_id, held_out, score (0 to 1) of every row; null and empty texts score as texts on which no voter fires.
+
+    A null id counts as empty text where rows are held out; repeated rows score alike; an empty table gives none."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = source.select("doc_id", held_out().alias("held_out"), "text")
 
@@ -241,9 +273,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             state["mark"] = mark
         firing = Firing(model, state)
         for batch in batches:
-            sums = [model.bias + sum(model.weights[v] for v in firing.of(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(np.array(sums, float), -50, 50))))], names=["doc_id", "held_out", "score"]
-            )
+            for part, texts in text_slices(batch, 2):
+                sums = [model.bias + sum(model.weights[v] for v in firing.of(t.decode())) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(1 / (1 + np.exp(-np.clip(np.array(sums, float), -50, 50))))], names=["doc_id", "held_out", "score"]
+                )
 
     return keyed.mapInArrow(run, "doc_id long, held_out boolean, score double")

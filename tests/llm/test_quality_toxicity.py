@@ -101,3 +101,25 @@ def test_without_labels_the_lexicon_decides(spark, odd, none):
     assert toxicity.score(odd, model).count() == odd.count() and toxicity.score(none, model).count() == 0
     docs = spark.createDataFrame([(1, "you are a stupid idiot"), (2, "a quiet river")], "doc_id long, text string")
     assert [r["score"] > 0.7 for r in toxicity.score(docs, model).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_labels_of_other_documents_count_for_nothing(spark):
+    rng = random.Random(8)
+    docs = [(i, prose(rng, 30) + (f" you zorgon{i % 5} frobnik" if i % 4 == 0 else ""), "x") for i in range(600)] + [(4, "again", "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic string").repartition(3)
+    own = [(i, int(i % 4 == 0)) for i in range(600)]
+    alone = toxicity.fit(df, spark.createDataFrame(own, "doc_id long, toxic int"), 600)
+    more = toxicity.fit(df, spark.createDataFrame(own + [(10_000 + i, i % 2) for i in range(60_000)], "doc_id long, toxic int"), 600)
+    assert "frobnik" in alone.words and alone.words == more.words and alone.begins == more.begins
+    np.testing.assert_allclose(alone.weights, more.weights)
+
+
+def test_pairs_equal_matrices():
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 12)) < 0.2
+    x[:, 5] = x[:, 4]
+    fired = toxicity.Fired.of([np.flatnonzero(r) for r in x], 12)
+    w, v = rng.random(300), rng.random(12)
+    np.testing.assert_allclose(fired.by_text(v), x @ v)
+    np.testing.assert_allclose(fired.by_voter(w), w @ x)
+    assert fired.groups().tolist() == [(np.nan_to_num(np.corrcoef(x.T))[i] > toxicity.SAME_VOTE).sum() for i in range(12)]
