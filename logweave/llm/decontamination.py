@@ -23,8 +23,10 @@ MASKS = ("111011", "1100001011", "110111")
 WEIGHT, SPAN, PLACEMENTS = 5, 13, 20_000
 #: Words of a stretch, and the share of them that must be equal (an item below that length: all of it).
 STRETCH, SHARE = 13, 0.75
-#: Items with fewer words are no evidence and match nothing.
+#: Items with fewer words match only where all their words stand in a row.
 LEAST_WORDS = 6
+#: Scripts without blanks between words (Thai to Myanmar, Khmer, kana, Han); a character is a word.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 #: Benchmark seeds up to which they are broadcast (24 bytes each); beyond, both sides are shuffled.
 BROADCAST_SEEDS = 2_000_000
 
@@ -55,20 +57,21 @@ def covering(n: int, changes: int, masks: tuple[str, ...] = ()) -> tuple[str, ..
 
 
 def _words(text: Column) -> Column:
-    """Hashes of the words: runs of letters and digits, lower case."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
+    """Hashes of the words: runs of letters and digits, lower case; of an unspaced script single characters."""
+    word = rf"[\p{{L}}\p{{N}}&&[^{UNSPACED}]]++|[\p{{L}}\p{{N}}]"
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(word), F.lit(0))
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
 def _seeds(words: Column, masks: tuple[str, ...]) -> Column:
-    """(seed, at) of every window and mask."""
+    """(seed, at) of every window and mask; a mask has the same seeds whatever stands beside it."""
 
-    def of(i: int, mask: str) -> Column:
+    def of(mask: str) -> Column:
         places = [k for k, c in enumerate(mask) if c == "1"]
         starts = F.when(F.size(words) >= len(mask), F.sequence(F.lit(0), F.size(words) - len(mask))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda at: F.struct(F.xxhash64(F.lit(i), *[F.get(words, at + k) for k in places]).alias("seed"), at.alias("at")))
+        return F.transform(starts, lambda at: F.struct(F.xxhash64(F.lit(mask), *[F.get(words, at + k) for k in places]).alias("seed"), at.alias("at")))
 
-    return F.flatten(F.array(*[of(i, m) for i, m in enumerate(masks)]))
+    return F.flatten(F.array(*[of(m) for m in masks]))
 
 
 
@@ -84,19 +87,26 @@ def find_leaks(
     the best stretch), one row for each document, item and shift that hold.
 
     A document is its id and text: ``text_hash`` is the xxhash64 of the text, null as empty; repeated
-    rows count once. Items with a null or short text (below ``least_words``) match nothing. Masks are added
+    rows count once. Items without a word match nothing, those below ``least_words`` match where all their words
+    stand in a row. Masks are added
     to ``masks`` where those leave out a placement of the changes that ``share`` allows. Insertions move
     the shift: the parts before and after one count on their own. Empty tables give no rows.
     """
     items = checkpointed(
-        benchmark.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("item_words")).filter(F.size("item_words") >= least_words)
+        benchmark.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("item_words")).filter(F.size("item_words") > 0)
         .withColumn("n", F.size("item_words"))
     )
-    # masks for each length of a stretch that occurs, at most ``stretch`` of them
+    # masks for each length of a stretch that occurs, at most ``stretch`` of them; short items have one of all their words
+    widths = sorted((w for (w,) in items.select(F.least(F.col("n"), F.lit(stretch))).distinct().collect()), reverse=True)
     every = masks
-    for (width,) in sorted(items.select(F.least(F.col("n"), F.lit(stretch))).distinct().collect(), reverse=True):
+    for width in (w for w in widths if w >= least_words):
         every = covering(width, width - math.ceil(width * share), every)
-    item_seeds = checkpointed(items.select("item_id", F.explode(_seeds(F.col("item_words"), every)).alias("s")).select("item_id", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at")))
+    whole = tuple("1" * w for w in widths if w < least_words)
+    seeds_of = F.when(F.col("n") >= least_words, _seeds(F.col("item_words"), every))
+    for mask in whole:
+        seeds_of = seeds_of.when(F.col("n") == len(mask), _seeds(F.col("item_words"), (mask,)))
+    item_seeds = checkpointed(items.select("item_id", F.explode(seeds_of).alias("s")).select("item_id", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at")))
+    every = tuple(dict.fromkeys((*every, *whole)))
     if item_seeds.count() <= broadcast_seeds:
         item_seeds = F.broadcast(item_seeds)
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -119,8 +129,9 @@ def find_leaks(
     )
     width = F.least(F.col("n"), F.lit(stretch))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n") - width + 1), lambda b: F.aggregate(F.slice(F.col("equal"), b, width), F.lit(0), lambda a, x: a + x)))
+    enough = F.when(F.col("n") < least_words, F.col("n")).otherwise(F.ceil(width * F.lit(share)))
     return (
-        met.withColumn("equal", equal).withColumn("best", best).filter(F.col("best") >= F.ceil(width * F.lit(share)))
+        met.withColumn("equal", equal).withColumn("best", best).filter(F.col("best") >= enough)
         .select("doc_id", "text_hash", "item_id", "shift", F.col("best").alias("equal"))
     )
 

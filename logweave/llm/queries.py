@@ -47,12 +47,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: All equal words of a document and an item, by their shift; the best stretch begins at one of them.
-LEAKS_SQL = r"""
-WITH d AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)),
-b AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) >= 6),
+#: Characters of scripts without blanks are set apart first; items below six words count where all of them stand in a row.
+_LEAK_WORDS = (
+    "regexp_extract_all(regexp_replace(lower(text), '([\\x{0E00}-\\x{0EFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}"
+    "\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{3FFFF}])', ' \\1 ', 'g'), '[\\p{L}\\p{N}]+')"
+)
+LEAKS_SQL = rf"""
+WITH d AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {_LEAK_WORDS} AS w FROM documents)),
+b AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT item_id, {_LEAK_WORDS} AS w FROM benchmark)),
 m AS (SELECT d.doc_id, b.item_id, b.n, d.pos - b.pos AS shift, b.pos AS place FROM d JOIN b ON b.word = d.word),
 s AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY place RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS equal FROM m),
-hit AS (SELECT DISTINCT doc_id, item_id FROM s WHERE equal >= ceil(0.75 * least(n, 13))),
+hit AS (SELECT DISTINCT doc_id, item_id FROM s WHERE equal >= CASE WHEN n < 6 THEN n ELSE ceil(0.75 * least(n, 13)) END),
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items FROM hit GROUP BY doc_id)
 SELECT o.doc_id, coalesce(f.n_items, 0) AS n_items, coalesce(f.items, '') AS items, f.items IS NULL AS kept FROM documents AS o LEFT JOIN found AS f ON f.doc_id = o.doc_id
 """
