@@ -25,6 +25,14 @@ BROADCAST_ROWS = 200_000
 #: Documents of a source that one step of closing the gap tries, the larger ones first.
 POOL = 256
 
+#: Rows of an output shard and of a block, from which their numbers (powers of two) follow; only one block of a
+#: source is looked into by one task.
+SHARD_ROWS, BLOCK_ROWS = 1 << 20, 1 << 16
+
+
+def _next_power(rows: int, each: int, least: int) -> int:
+    return max(least, 1 << (max(1, -(-rows // each)) - 1).bit_length())
+
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -205,8 +213,10 @@ def draw_blocks(sized: DataFrame, targets: DataFrame, shards: int, seed: int) ->
 class Mixture:
     """The draws of a mix and the helper columns that lead from a document to them."""
 
-    def __init__(self, docs: DataFrame, doc_id: str, text: str, source: str, shards: int, blocks: int, seed: int, **targets):
-        self.doc_id, self.source, self.seed, self.blocks = doc_id, source, seed, blocks
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, source: str, shards: int | None, blocks: int | None, seed: int, **targets):
+        rows = docs.count() if shards is None or blocks is None else 0
+        shards, blocks = shards or _next_power(rows, SHARD_ROWS, 16), blocks or _next_power(rows, BLOCK_ROWS, 1024)
+        self.doc_id, self.source, self.seed, self.blocks, self.shards = doc_id, source, seed, blocks, shards
         self.sized = checkpointed(
             docs.select(
                 F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
@@ -244,22 +254,31 @@ class Mixture:
 
     def in_shards(self, docs: DataFrame) -> DataFrame:
         """``rows`` dealt out by shard, each in its random order."""
-        return self.rows(docs).repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order")
+        return self.rows(docs).repartitionById(self.shards, F.col("mix_shard")).sortWithinPartitions("mix_shard", "mix_order")
 
     def taken(self) -> DataFrame:
-        """For each document: doc_id, size, source_size, target, taken (words drawn, copies counted)."""
-        per_block = self.draws.groupBy("key", "block").agg(F.count(F.when(F.col("cut").isNull(), 1)).alias("whole"), F.max("cut").alias("cut"))
-        single = self._small(self.singles.select("key", "block", "place", F.lit(1).alias("single")))
+        """For each document: doc_id, size, source_size, target, taken (words of the copies that all shards take)
+        and shards: ``shard:copies`` of each shard that takes some, comma-joined in their order."""
+        whole = F.collect_list(F.when(F.col("cut").isNull(), F.col("shard")))
+        per_block = self.draws.groupBy("key", "block").agg(
+            whole.alias("whole"), F.max("cut").alias("cut"), F.max(F.when(F.col("cut").isNotNull(), F.col("shard"))).alias("cut_shard")
+        )
+        single = self._small(self.singles.select("key", "block", "place", F.col("shard").alias("single_shard")))
         met = self.sized.join(per_block, ["key", "block"], "left").join(single, ["key", "block", "place"], "left")
-        extra = (F.col("place") <= F.col("cut")) | F.col("single").isNotNull()
-        times = F.coalesce(F.col("whole"), F.lit(0)) + F.coalesce(extra, F.lit(False)).cast("long")
-        return met.join(F.broadcast(self.targets.drop("source")) if self.targets.count() <= BROADCAST_ROWS else self.targets.drop("source"), "key").select(
-            "doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken")
+        none = F.array().cast("array<int>")
+        copies = F.concat(
+            F.coalesce("whole", none), F.when(F.col("place") <= F.col("cut"), F.array("cut_shard")).otherwise(none),
+            F.when(F.col("single_shard").isNotNull(), F.array("single_shard")).otherwise(none),
+        )
+        given = met.withColumn("copies", F.array_sort(copies))
+        shown = F.transform(F.array_distinct("copies"), lambda s: F.concat_ws(":", s.cast("string"), F.size(F.filter("copies", lambda x: x == s)).cast("string")))
+        return given.join(F.broadcast(self.targets.drop("source")) if self.targets.count() <= BROADCAST_ROWS else self.targets.drop("source"), "key").select(
+            "doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), F.array_join(shown, ",").alias("shards")
         )
 
 
 def mix_sources(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", shards: int = 16, blocks: int = 1024, seed: int = 17,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", shards: int | None = None, blocks: int | None = None, seed: int = 17,
     weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
 ) -> Mixture:
     """Plan a mix of all ``docs``; ``rows`` of the result gives its rows, ``taken`` what each document gives.
@@ -267,7 +286,7 @@ def mix_sources(
     A document's size is its number of words (null or empty text: 0). A null source is a source of its
     own. Documents of one id are drawn together, repeated rows included. A source without words has the
     target 0 and is not drawn from; a table without rows gives a mix without rows. Equal input gives an
-    equal mix, whatever its partitions. A source falls short of its target by less than
+    equal mix, whatever its partitions. ``shards`` and ``blocks`` follow from the number of rows unless given. A source falls short of its target by less than
     any document of its last pass that is not drawn.
     """
     return Mixture(docs, doc_id, text, source, shards, blocks, seed, weights=weights, share=share, most=most)

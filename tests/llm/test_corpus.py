@@ -224,3 +224,26 @@ def test_pipeline_stages_take_odd_rows(spark, odd, none):
             out = stage(spark, docs, SF)
             assert name == "token_files" or out.columns == docs.columns
             assert out.count() >= 0
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    docs = spark.createDataFrame(
+        [(1, "we saw the Blue Whale today"), (2, "a whale that is blue"), (3, "私は昨日図書館で青い本を読みました。そして帰りました"), (4, "昨日は図書館"), (5, "quiet"), (6, None), (7, "so quiet, so far")],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(1, "blue whale"), (2, "昨日図書館で青い本を読みました"), (3, "quiet"), (4, ""), (5, None), (6, "one two three four five six seven")], "item_id long, text string")
+    found = sorted(set(map(tuple, decontamination.find_leaks(docs, items).select("doc_id", "item_id").collect())))
+    assert found == [(1, 1), (3, 2), (5, 3), (7, 3)]
+
+
+def test_taken_words_come_from_the_shards(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 3}") for i in range(900)], "doc_id long, text string, source string")
+    mix = mixing.mix_sources(docs, shards=8, blocks=32)
+    rows = {}
+    for r in mix.rows(docs).groupBy("doc_id", "mix_shard").count().collect():
+        rows.setdefault(r["doc_id"], {})[r["mix_shard"]] = r["count"]
+    for r in mix.taken().collect():
+        given = {int(s): int(n) for s, n in (x.split(":") for x in r["shards"].split(",") if x)}
+        assert given == rows.get(r["doc_id"], {}) and r["taken"] == r["size"] * sum(given.values())
+    placed = mix.in_shards(docs).select(F.spark_partition_id().alias("p"), "mix_shard").distinct().collect()
+    assert sorted(placed) == [(s, s) for s in range(8)]  # a shard is one task's rows
