@@ -12,6 +12,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logweave.functions.text import let
+
 # The kinds every result has, in this order
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
@@ -50,6 +52,15 @@ def mod_97(value: Column) -> Column:
     return (F.length(plain).between(15, 34)) & (rest == 1)
 
 
+def _whole_account(value: Column) -> Column:
+    """The longest beginning that ends with a group and passes mod-97; without one the value as it is."""
+    def chosen(groups: Column) -> Column:
+        begins = F.transform(F.sequence(F.size(groups), F.lit(1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+        return F.coalesce(F.get(F.filter(begins, mod_97), F.lit(0)), value)
+
+    return let(F.split(value, " "), chosen)
+
+
 class Kind(NamedTuple):
     name: str
     pattern: str
@@ -58,6 +69,7 @@ class Kind(NamedTuple):
     checksum: bool = False
     base: bool = True
     words: str | None = None  # words nearby that raise the score
+    part: Callable[[Column], Column] | None = None  # the part of a match that counts, from its start
 
 
 KINDS = (
@@ -65,7 +77,7 @@ KINDS = (
     Kind("ip", IP, ".", _small_parts, words="ip|host|address|server"),
     Kind("card", CARD, None, _card, checksum=True, words="card|visa|credit|payment"),
     Kind("phone", PHONE, "+", lambda v: F.length(digits(v)).between(8, 15), words="phone|tel|call|mobile|fax"),
-    Kind("iban", IBAN, None, mod_97, checksum=True, base=False, words="iban|account|bank"),
+    Kind("iban", IBAN, None, mod_97, checksum=True, base=False, words="iban|account|bank", part=_whole_account),
     Kind("ssn", SSN, "-", lambda v: ~v.rlike("^(?:000|666|9)|-00-|-0000$"), base=False, words="ssn|social security"),
     Kind("local_phone", LOCAL_PHONE, None, lambda v: F.length(digits(v)).between(8, 12), base=False, words="phone|tel|telephone|call|mobile|fax"),
 )
@@ -74,6 +86,31 @@ KINDS = (
 START, CHECKSUM, CONTEXT, THRESHOLD = 0.4, 0.4, 0.3, 0.65
 #: Characters before and after a span in which a context word counts.
 BEFORE, AFTER = 40, 15
+#: Characters of a piece of a long text, more than a context holds.
+PIECE = 1024
+
+
+def _running(steps: Column) -> Column:
+    """Start of each match, for steps (b: characters before it since the last match, m: its length).
+
+    Sums run inside stretches of about the square root of all steps, and over the stretches, so that no
+    list grows by one step for every match of a long text.
+    """
+    def by_stretches(all_steps: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(all_steps) + F.lit(1))).cast("int")
+        first = F.sequence(F.lit(1), F.greatest(F.size(all_steps), F.lit(1)), size)
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+        def fold(stretch: Column) -> Column:
+            return F.aggregate(stretch, zero, lambda a, s: F.struct((a["at"] + s["b"] + s["m"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + s["b"])).alias("starts")))
+
+        def joined(stretches: Column) -> Column:
+            before = F.aggregate(stretches, zero, lambda a, s: F.struct((a["at"] + s["at"]).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")))["starts"]
+            return F.flatten(F.zip_with(stretches, before, lambda s, x: F.transform(s["starts"], lambda at: at + x)))
+
+        return let(F.transform(first, lambda i: fold(F.slice(all_steps, i, size))), joined)
+
+    return let(steps, by_stretches)
 
 
 def _located(text: Column, kind: Kind, found: Column) -> Column:
@@ -81,28 +118,39 @@ def _located(text: Column, kind: Kind, found: Column) -> Column:
     between = F.transform(F.split(text, kind.pattern, -1), F.length)
     lengths = F.transform(found, F.length)
     steps = F.zip_with(F.slice(between, 1, F.size(found)), lengths, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    folded = F.aggregate(
-        steps, zero, lambda a, s: F.struct((a["at"] + s["b"] + s["m"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + s["b"])).alias("starts"))
-    )
-    return F.zip_with(folded["starts"], found, lambda s, v: F.struct(s.alias("start"), (s + F.length(v)).alias("end"), v.alias("value")))
+    values = F.transform(found, kind.part) if kind.part else found
+    return F.zip_with(_running(steps), values, lambda s, v: F.struct(s.alias("start"), (s + F.length(v)).alias("end"), v.alias("value")))
+
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces of PIECE characters: a place in a long text is found without going through all of it."""
+    last = F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / PIECE).cast("int")
+    return F.when(last == 0, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(text, i * PIECE + 1, F.lit(PIECE))))
+
+
+def _cut(pieces: Column, begin: Column, size: Column) -> Column:
+    """``size`` characters (at most PIECE) from the place ``begin`` on."""
+    at = F.floor(begin / PIECE).cast("int")
+    near = F.concat(F.coalesce(F.get(pieces, at), F.lit("")), F.coalesce(F.get(pieces, at + 1), F.lit("")))
+    return F.substr(near, F.pmod(begin, F.lit(PIECE)) + 1, size)
 
 
-def _score(text: Column, kind: Kind, span: Column) -> Column:
+def _score(pieces: Column, kind: Kind, span: Column) -> Column:
     begin = F.greatest(span["start"] - BEFORE, F.lit(0))
-    around = F.lower(F.concat(F.substr(text, begin + 1, span["start"] - begin), F.lit(" "), F.substr(text, span["end"] + 1, F.lit(AFTER))))
+    around = F.lower(F.concat(_cut(pieces, begin, span["start"] - begin), F.lit(" "), _cut(pieces, span["end"], F.lit(AFTER))))
     context = F.when(around.rlike(rf"(?<![a-z])(?:{kind.words})(?![a-z])"), CONTEXT).otherwise(0.0)
     return F.lit(START + CHECKSUM * kind.checksum) + context
 
 
 def _spans(text: Column, kind: Kind, found: Column) -> Column:
-    def scored(s: Column) -> Column:
+    def scored(pieces: Column, s: Column) -> Column:
         return F.struct(
             F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
-            _score(text, kind, s).alias("score"), F.lit(kind.checksum).alias("checked"),
+            _score(pieces, kind, s).alias("score"), F.lit(kind.checksum).alias("checked"),
         )
 
-    spans = F.transform(F.filter(_located(text, kind, found), lambda s: kind.valid(s["value"])), scored)
+    valid = F.filter(_located(text, kind, found), lambda s: kind.valid(s["value"]))
+    spans = let(_pieces(text), lambda pieces: F.transform(valid, lambda s: scored(pieces, s)))
     if not kind.base:
         spans = F.filter(spans, lambda s: s["score"] >= THRESHOLD)
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,score:double,checked:boolean>>")
@@ -113,8 +161,8 @@ def find_pii(docs: DataFrame, text: str = "text", name: str = "pii") -> DataFram
     """Add ``name``: array of (kind, start, end, value, score, checked), by kind as listed, then start.
 
     Positions are code points, the end exclusive. Kinds of the base list need their pattern and check
-    alone; the others also need a checksum or a context word. A null or empty text has an empty array;
-    a column called ``name`` is replaced; all other columns and repeated rows stay.
+    alone; the others also need a checksum or a context word. A null or empty text has an empty array; an
+    empty table gives no rows; a text of any length and any number of matches is searched whole. A column called ``name`` is replaced; all other columns and repeated rows stay.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     empty = F.array().cast("array<string>")

@@ -48,13 +48,15 @@ def common_turns(a: Column, b: Column) -> Column:
 
 def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected", answers: str = "assistant") -> DataFrame:
     """From ``chosen`` and ``rejected`` (arrays of (role, text) in order; null as empty): n_common (long),
-    prompt, chosen_text, rejected_text, chosen_mask, rejected_mask; the other columns stay.
+    prompt, chosen_text, rejected_text, chosen_mask, rejected_mask, which replace columns of those names; the
+    other columns stay.
 
     The prompt is the common prefix, rendered once; the completions are the rest of each side, and the
     masks name the characters in them that a loss counts. Equal conversations have empty completions,
     conversations without a common first turn an empty prompt.
     """
-    others = [F.col(f"`{c}`") for c in pairs.columns if c not in (chosen, rejected)]
+    made = ("n_common", "prompt", "chosen_text", "rejected_text", "chosen_mask", "rejected_mask")
+    others = [F.col(f"`{c}`") for c in pairs.columns if c not in (chosen, rejected) and c.lower() not in made]
     none = lambda c: F.coalesce(F.col(c), F.expr(f"filter({c}, x -> false)"), F.array().cast(pairs.schema[c].dataType))
     sides = pairs.withColumns({"_a": none(chosen), "_b": none(rejected)}).withColumn("_n", common_turns(F.col("_a"), F.col("_b")))
     rest = lambda c: F.slice(F.col(c), F.col("_n").cast("int") + 1, F.greatest(F.size(c), F.lit(1)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from logweave.llm.words import groups
+from logweave.llm.stretches import text_slices
 
 
 class Rule(NamedTuple):
@@ -38,7 +38,7 @@ MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]+"),
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
     Rule("url_password", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:[^\s/:@]++@"),
 )
@@ -187,7 +187,8 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     """Add ``name``: array of (kind, start, end) by start, then by the order of the rules.
 
     Positions are code points, the end exclusive; the matches of one rule are leftmost and do not
-    overlap. A null or empty text has an empty array; a column called ``name`` is replaced; all other
+    overlap. A null or empty text has an empty array; an empty table gives no rows; texts of any length are
+    searched whole. A column called ``name`` is replaced; all other
     columns and repeated rows stay.
     """
     kept = [c for c in docs.columns if c.lower() != name.lower()]
@@ -206,9 +207,8 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
             table[(a << 16) | (b << 8) | c] = i + 1
         plans = [(q, re.compile(r.pattern, re.ASCII)) for q, r in zip(queries, rules, strict=True)]
         for batch in batches:
-            for first, part in groups(batch.column(at).to_pylist()):
+            for rows, part in text_slices(batch, at):
                 found = search_block(part, rules, plans, table, names)
-                rows = batch.slice(first, len(part))
                 spans = pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in f] for f in found], arrow)
                 yield pa.RecordBatch.from_arrays([*rows.columns, spans], names=[*kept, name])
 

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from logweave.llm.stretches import text_slices
 from logweave.llm.words import worker_state
 
 #: Kept counts per Python worker; a full memory is emptied, which costs time and changes no count.
 MEMORY = 400_000
-_GROUP = 1 << 20
 _NONE = np.iinfo(np.int32).max
 
 
@@ -190,7 +190,7 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", name: str = "n
 
     No begin, end or other added tokens. A null or empty text has 0. All columns and repeated rows
     stay; a column called ``name`` is replaced. ``model`` is a path that
-    every executor has. Texts of any length: equal stretches between blanks are counted once per task.
+    every executor has. An empty table gives no rows. Texts of any length: equal stretches between blanks are counted once per task.
     """
     kept = [c for c in docs.columns if c.lower() != name.lower()]
     source = docs.select(*[F.col(f"`{c}`") for c in kept])
@@ -203,16 +203,9 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", name: str = "n
             state[model] = (Merges.of_model(model), {})
         merges, memory = state[model]
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            out, part, chars = [], [], 0
-            for t in texts:
-                part.append(t)
-                chars += len(t or "")
-                if chars >= _GROUP:
-                    out += count_texts(part, merges, memory)
-                    part, chars = [], 0
-            out += count_texts(part, merges, memory)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*kept, name])
+            for part, texts in text_slices(batch, at):
+                counts = count_texts([t.decode() for t in texts], merges, memory)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64())], names=[*kept, name])
 
     return source.mapInArrow(run, schema)
 

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +122,29 @@ def test_queries_lose_no_match(rule):
     assert not found[0] and len(found[1]) == 1
     rows = dict(zip(names, secrets.postings(texts, table, len(names)), strict=True))
     assert list(secrets.candidates(query, rows, 2)) == [query == secrets.ALL, True]
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"user{i}@mail{i % 7}.example.org" for i in range(32_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begin = time.time()
+    found = pii.find_pii(docs).select("pii").first()["pii"]
+    assert time.time() - begin < 30
+    want = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
+    assert [(s["start"], s["end"]) for s in found if s["kind"] == "email"] == want
+
+
+def test_account_numbers_end_where_their_checksum_holds(spark):
+    texts = ["IBAN BE68 5390 0754 7034 EUR 500", "iban DE89 3704 0044 0532 0130 00", "account BE68539007547034 paid", "bank BE68 5390 0754 7035 EUR", "x" * 3000 + " iban BE68 5390 0754 7034 ABCD"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["value"]) for s in r["pii"] if s["kind"] == "iban"] for r in pii.find_pii(docs).collect()}
+    assert got == {0: [(5, "BE68 5390 0754 7034")], 1: [(5, "DE89 3704 0044 0532 0130 00")], 2: [(8, "BE68539007547034")], 3: [], 4: [(3006, "BE68 5390 0754 7034")]}
+
+
+def test_token_rule_is_linear():
+    rule = next(r for r in secrets.RULES if r.kind == "jwt")
+    begin = time.time()
+    assert not re.search(rule.pattern, "eyJhbGciOi" * 100_000, re.ASCII)
+    assert time.time() - begin < 2
+    text = "bearer eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abc-DEF_1 end"
+    assert re.search(rule.pattern, text, re.ASCII).span() == (7, 57)
