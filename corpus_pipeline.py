@@ -30,8 +30,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their target weights: a document drawn twice is two rows."""
-    return mixing.mix_sources(docs).rows(docs).select(*docs.columns)
+    """The sources at their target weights, dealt to output shards and shuffled in them: a document drawn twice is two rows."""
+    return mixing.mix_sources(docs).in_shards(docs).select(*docs.columns)
 
 
 def token_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
