@@ -12,40 +12,47 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logweave.functions import rules as R, vectors as V
-from logweave.operators.knn import DIGITS, _matrix, _unit_rows, nearest
-from logweave.operators.upsert import first_n, upsert_latest
+from logweave.operators.knn import DIGITS, _matrix, _unit_rows, nearest, with_earlier_near
+from logweave.operators.upsert import upsert_latest
 from logweave.session import checkpointed
 
 DISTANCE_THRESHOLD = 0.2
 MIN_SIZE = 5
 ONLINE_THRESHOLD = 0.25
 EXEMPLARS = 5
-#: Texts of an OS that one round of the seed search settles in one task; no result depends on it.
+#: Undecided texts of an OS that are settled in one task; no result depends on it.
 ROUND_ROWS = 5_000
 
 
-def seeds_in_order(items: DataFrame, threshold: float, round_rows: int = ROUND_ROWS, **knn: int) -> DataFrame:
+def seeds_in_order(items: DataFrame, threshold: float, round_rows: int = ROUND_ROWS, **knn) -> DataFrame:
     """Seeds (os, id, at, embedding) of items with those columns: in the order of (at, id) within an OS a
     row with no earlier seed within the threshold becomes one.
 
-    Each round settles the first undecided rows of every OS in one task and then drops, in parallel,
-    all later rows near the new seeds, so the seeds equal those of one long pass.
+    Among the rows that are near each other these are the first independent set in that order, which rounds of
+    local decisions find: an undecided row without an earlier undecided one near it is a seed, whatever
+    happens elsewhere, and the rows near a new seed are out. Rounds grow with the longest chain of rows that wait for
+    each other, about the logarithm of the rows where near rows do not follow each other in time. No pairs are kept: both steps
+    ask one thing of a cell index. Once no OS has more than ``round_rows`` undecided rows, they are settled in order in
+    one bounded task each; no result depends on it.
     """
-    items = items.select("os", "id", "at", "embedding")
-    seeds, undecided = items.limit(0), items
-    while not undecided.isEmpty():
-        head = first_n(undecided, ["os"], ["at", "id"], round_rows)
-        new = checkpointed(_first_seeds(head, threshold))
+    # of equal vectors only the first can be a seed
+    first = items.groupBy("os", "embedding").agg(F.min(F.struct("at", "id")).alias("_first"))
+    undecided = checkpointed(first.select("os", F.col("_first.id").alias("id"), F.col("_first.at").alias("at"), "embedding"))
+    seeds = undecided.limit(0)
+    while True:
+        most = undecided.groupBy("os").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+        if most <= round_rows:
+            return seeds.unionByName(_first_seeds(undecided, threshold)) if most else seeds
+        waiting = checkpointed(with_earlier_near(undecided, threshold, **knn))
+        new = checkpointed(undecided.join(waiting, ["os", "id"], "left_anti").select("os", "id", "at", "embedding"))
         seeds = seeds.unionByName(new)
-        rest = undecided.join(head.select("os", "id"), ["os", "id"], "left_anti")
-        close = nearest(rest, new.select("os", F.col("id").alias("seed_id"), "embedding"), 1, "id", "seed_id", **knn)
-        close = close.filter(F.col("distance") <= threshold)
-        undecided = checkpointed(rest.join(close.select("os", "id"), ["os", "id"], "left_anti"))
-    return seeds
+        rest = undecided.join(waiting, ["os", "id"], "left_semi")
+        close = nearest(rest, new.select("os", F.col("id").alias("seed_id"), "embedding"), 1, "id", "seed_id", limit=threshold, **knn)
+        undecided = checkpointed(rest.join(close.select("os", "id"), ["os", "id"], "left_anti").select("os", "id", "at", "embedding"))
 
 
 def single_pass_cluster(
-    items: DataFrame, threshold: float = DISTANCE_THRESHOLD, min_size: int = MIN_SIZE, round_rows: int = ROUND_ROWS, **knn: int
+    items: DataFrame, threshold: float = DISTANCE_THRESHOLD, min_size: int = MIN_SIZE, round_rows: int = ROUND_ROWS, **knn
 ) -> DataFrame:
     """Leader clustering by cosine distance within each OS: (os, id, cluster).
 
@@ -60,7 +67,9 @@ def single_pass_cluster(
     rows = items.select("os", F.col("id").cast("string").alias("id"), F.col("id").alias("at"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = checkpointed(rows)
     seeds = seeds_in_order(rows, threshold, round_rows, **knn).select("os", F.col("id").alias("cluster"), "embedding")
-    members = checkpointed(nearest(rows.select("os", "id", "embedding"), seeds, 1, "id", "cluster", **knn).select("os", "id", "cluster"))
+    seeds = checkpointed(seeds)
+    # every row has a seed within the threshold
+    members = checkpointed(nearest(rows.select("os", "id", "embedding"), seeds, 1, "id", "cluster", limit=threshold, **knn).select("os", "id", "cluster"))
     sizes = members.groupBy("os", "cluster").count().filter(F.col("count") >= max(1, min_size))
     return members.join(sizes.drop("count"), ["os", "cluster"]).select("os", "id", "cluster")
 
@@ -166,7 +175,7 @@ def assign_clusters(
     prototypes: DataFrame,
     threshold: float = ONLINE_THRESHOLD,
     round_rows: int = ROUND_ROWS,
-    **knn: int,
+    **knn,
 ) -> tuple[DataFrame, DataFrame]:
     """Cluster id per distinct (os, templated), and the prototypes that had to be created.
 
@@ -179,8 +188,8 @@ def assign_clusters(
     ).withColumn("text_id", online_id(F.col("os"), F.col("templated")))
     texts = checkpointed(texts)
     near = nearest(
-        texts, prototypes.select("os", "cluster_id", F.col("centroid").alias("embedding")), 1, "text_id", "cluster_id", **knn
-    ).filter(F.col("distance") <= threshold)
+        texts, prototypes.select("os", "cluster_id", F.col("centroid").alias("embedding")), 1, "text_id", "cluster_id", limit=threshold, **knn
+    )
     near = checkpointed(near.select("text_id", "cluster_id", "distance"))
     open_texts = checkpointed(texts.join(near, "text_id", "left_anti"))
     rows = open_texts.select("os", F.col("text_id").alias("id"), F.col("first_log").alias("at"), "embedding")
@@ -189,7 +198,7 @@ def assign_clusters(
     # the nearest seed for every open text, seeds included (distance 0 to themselves)
     own = nearest(
         open_texts.select("os", "text_id", "embedding"),
-        seeds.select("os", F.col("text_id").alias("cluster_id"), "embedding"), 1, "text_id", "cluster_id", **knn
+        seeds.select("os", F.col("text_id").alias("cluster_id"), "embedding"), 1, "text_id", "cluster_id", limit=threshold, **knn
     ).select("text_id", "cluster_id", "distance")
     chosen = near.unionByName(own)
     assigned = texts.join(chosen, "text_id").select("os", "templated", "cluster_id", "distance")

@@ -1,73 +1,83 @@
-"""Exact k nearest neighbours within a group (an OS).
+"""Exact nearest neighbours within a group (an OS), and whether an earlier row is near.
 
-Distances come from one matrix product per Arrow batch; at most ``k`` rows per query leave a
-task, never the pairs. Two ways give the same rows:
-
-* the items fit a fixed row and byte bound (checked before they are sent): they are broadcast and the
-  queries are not shuffled at all;
-* otherwise both sides are cut into blocks. A task holds one block of items in memory and streams
-  its share of the queries past it; the per-block winners are merged by rank.
+Pairs are never written out: at most ``k`` rows per query leave a task. Items that fit a fixed byte bound
+(checked before they are sent) are broadcast, and the queries are not shuffled at all. Beyond that a group
+is cut into blocks of items around pivots. A query first visits the block of its nearest pivot; the
+distance of its k-th neighbour there, or the limit, tells which other blocks can hold a nearer one, and it is
+copied to those alone. Inside a block, and for broadcast items, cells around pivots are visited in the order of
+their bounds (``cells``). Every cut gives the same rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from logweave.operators import cells as X
+from logweave.session import checkpointed
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 50_000
-DIGITS = 6
-_CELLS = 4_000_000
-
-
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
-
-
-def _unit_rows(m: np.ndarray) -> np.ndarray:
-    n = np.sqrt((m * m).sum(axis=1))
-    n[n == 0] = 1.0
-    return m / n[:, None]
-
-
-def _top_k(queries: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, item position and distance of the k nearest items per query, ties by item position."""
-    rows, cols, dists = [], [], []
-    step = max(1, _CELLS // max(1, len(items)))
-    for at in range(0, len(queries), step):
-        d = np.round(1.0 - np.clip(queries[at : at + step] @ items.T, -1.0, 1.0), DIGITS)
-        kk = min(k, d.shape[1])
-        limit = np.partition(d, kk - 1, axis=1)[:, kk - 1 : kk]
-        r, c = np.nonzero(d <= limit)
-        v = d[r, c]
-        order = np.lexsort((c, v, r))
-        r, c, v = r[order], c[order], v[order]
-        rank = np.arange(len(r)) - np.searchsorted(r, r)
-        keep = rank < kk
-        rows.append(r[keep] + at)
-        cols.append(c[keep])
-        dists.append(v[keep])
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
-
-
-def _winners(batch: pd.DataFrame, item_ids: np.ndarray, items: np.ndarray, k: int) -> pd.DataFrame:
-    r, c, v = _top_k(_unit_rows(_matrix(batch["vector"])), items, k)
-    return pd.DataFrame(
-        {
-            "query_id": batch["query_id"].to_numpy()[r],
-            "grp": batch["grp"].to_numpy()[r],
-            "item_id": item_ids[c],
-            "distance": v + 0.0,
-        }
-    )
+DIGITS = X.DIGITS
+#: Pivots of one block of items, and of all blocks together: the bound of what the driver holds.
+BLOCK_PIVOTS, PIVOTS = 8, 4096
+#: Queries of a block that one task answers; a block that more queries visit is copied to several tasks.
+SHARE_ROWS = 50_000
+_BATCH = 2048
+
+_matrix, _unit_rows = X.matrix, X.unit_rows
+
+
+class Search(NamedTuple):
+    """What is asked of the items: the ``k`` nearest within ``limit``, or (``k`` 0) an earlier one within it."""
+
+    k: int
+    limit: float = 2.0
+
+
+class Held:
+    """The items of a group or block in the order of their ids, or of (at, id) where an earlier one is asked for."""
+
+    def __init__(self, items: pd.DataFrame, search: Search):
+        by = ["item_id"] if search.k else ["item_at", "item_id"]
+        items = items.sort_values(by, kind="stable")
+        self.ids = items["item_id"].to_numpy()
+        self.places = None if search.k else list(zip(items["item_at"], items["item_id"], strict=True))
+        self.index = X.CellIndex(_unit_rows(_matrix(items["vector"])))
+        self.search = search
+
+    def answer(self, asks: pd.DataFrame) -> pd.DataFrame:
+        parts = [self._answer(asks.iloc[at : at + _BATCH]) for at in range(0, len(asks), _BATCH)]
+        return pd.concat(parts) if parts else asks.iloc[:0]
+
+    def _answer(self, asks: pd.DataFrame) -> pd.DataFrame:
+        queries = _unit_rows(_matrix(asks["vector"]))
+        if not self.search.k:
+            before = np.array([bisect_left(self.places, p) for p in zip(asks["query_at"], asks["query_id"], strict=True)], np.int64)
+            hit = self.index.any_before(queries, before, self.search.limit)
+            return asks.loc[hit, ["query_id", "grp"]]
+        best = self.index.nearest(queries, self.search.k, self.search.limit)
+        r, c = np.nonzero(best != X.NONE)
+        keys = best[r, c]
+        return pd.DataFrame(
+            {"query_id": asks["query_id"].to_numpy()[r], "grp": asks["grp"].to_numpy()[r], "item_id": self.ids[keys & 0xFFFFFFFF], "distance": (keys >> 32) / X.STEPS}
+        )
+
+    def counted(self, compared: Accumulator | None) -> None:
+        if compared is not None:
+            compared.add(self.index.compared)
+        self.index.compared = 0
 
 
-def _sorted_items(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    pdf = pdf.sort_values("item_id", kind="stable")
-    return pdf["item_id"].to_numpy(), _unit_rows(_matrix(pdf["vector"]))
+def _usable(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    chosen = rows.select(*[F.col(old).alias(new) for new, old in names.items()])
+    return chosen.filter("vector IS NOT NULL AND size(vector) > 0 AND grp IS NOT NULL")
 
 
 def nearest(
@@ -81,28 +91,18 @@ def nearest(
     item_vector: str = "embedding",
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
+    limit: float = 2.0,
+    compared: Accumulator | None = None,
 ) -> DataFrame:
     """Rows (query_id, by, item_id, distance, rank), ranked by (distance, item id).
 
-    Distance is 1 - cosine, rounded to six digits. Rows without a vector take no part.
+    Distance is 1 - cosine, rounded to six digits; items farther than ``limit`` do not count. Rows without a
+    vector take no part. ``compared`` adds up the pairs whose distance was computed.
     """
-    q = queries.select(
-        F.col(query_id).alias("query_id"), F.col(by).alias("grp"), F.col(query_vector).alias("vector")
-    ).filter("vector IS NOT NULL AND size(vector) > 0")
-    i = items.select(
-        F.col(item_id).alias("item_id"), F.col(by).alias("grp"), F.col(item_vector).alias("vector")
-    ).filter("vector IS NOT NULL AND size(vector) > 0")
-    q_type, i_type = q.schema["query_id"].dataType.simpleString(), i.schema["item_id"].dataType.simpleString()
-    schema = f"query_id {q_type}, grp string, item_id {i_type}, distance double"
-
-    size = i.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.size("vector") * F.lit(8).cast("bigint")), F.lit(0)).alias("bytes"),
-    ).first()
-    if size["bytes"] <= broadcast_bytes:
-        found = _nearest_broadcast(q, i, k, schema)
-    else:
-        found = _nearest_blocks(q, i, k, schema, max(1, -(-size["n"] // block_rows)))
+    q = _usable(queries, {"query_id": query_id, "grp": by, "vector": query_vector})
+    i = _usable(items, {"item_id": item_id, "grp": by, "vector": item_vector})
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, grp string, item_id {i.schema['item_id'].dataType.simpleString()}, distance double"
+    found = _search(q, i, Search(k, limit), schema, broadcast_bytes, block_rows, compared)
     w = Window.partitionBy("query_id", "grp").orderBy("distance", "item_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
         F.col("query_id").alias(query_id),
@@ -113,52 +113,196 @@ def nearest(
     )
 
 
-def _nearest_broadcast(q: DataFrame, i: DataFrame, k: int, schema: str) -> DataFrame:
+def with_earlier_near(
+    rows: DataFrame, limit: float, by: str = "os", broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS, compared: Accumulator | None = None
+) -> DataFrame:
+    """(by, id) of the rows (by, id, at, embedding) with another row before them, in the order of (at, id), within ``limit``."""
+    q = _usable(rows, {"query_id": "id", "grp": by, "vector": "embedding", "query_at": "at"})
+    i = _usable(rows, {"item_id": "id", "grp": by, "vector": "embedding", "item_at": "at"})
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, grp string"
+    found = _search(q, i, Search(0, limit), schema, broadcast_bytes, block_rows, compared)
+    return found.select(F.col("grp").alias(by), F.col("query_id").alias("id")).distinct()
+
+
+def _search(q: DataFrame, i: DataFrame, search: Search, schema: str, broadcast_bytes: int, block_rows: int, compared: Accumulator | None) -> DataFrame:
+    size = i.agg(F.coalesce(F.sum(F.size("vector") * F.lit(8).cast("bigint")), F.lit(0)).alias("bytes")).first()
+    if size["bytes"] <= broadcast_bytes:
+        return _search_broadcast(q, i, search, schema, compared)
+    return _search_blocks(q, i, search, schema, block_rows, compared)
+
+
+def _search_broadcast(q: DataFrame, i: DataFrame, search: Search, schema: str, compared: Accumulator | None) -> DataFrame:
     collected = i.toPandas()  # size checked by the caller
-    sides = {g: _sorted_items(part) for g, part in collected.groupby("grp")} if len(collected) else {}
-    shared = q.sparkSession.sparkContext.broadcast(sides)
+    groups = dict(list(collected.groupby("grp"))) if len(collected) else {}
+    shared = q.sparkSession.sparkContext.broadcast(groups)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, Held] = {}
         for batch in batches:
             for g, part in batch.groupby("grp"):
                 if g in shared.value:
-                    yield _winners(part, *shared.value[g], k)
+                    if g not in held:
+                        held[g] = Held(shared.value[g], search)
+                    yield held[g].answer(part)
+                    held[g].counted(compared)
 
     return q.mapInPandas(run, schema)
 
 
-def _nearest_blocks(q: DataFrame, i: DataFrame, k: int, schema: str, blocks: int) -> DataFrame:
-    spark = q.sparkSession
-    # queries are copied once per block, items once per share: shares only fill up the cluster
-    shares = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    every_share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
-    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")
-    share = F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int")
-    none_q = F.lit(None).cast(q.schema["query_id"].dataType)
-    none_i = F.lit(None).cast(i.schema["item_id"].dataType)
-    left = i.select(
-        "grp", block.alias("block"), every_share.alias("share"), F.lit(0).alias("side"),
-        none_q.alias("query_id"), "item_id", "vector",
+class Layout(NamedTuple):
+    """How one group is cut: its pivots, and for each cell its pivot, bounds, and first block and number of blocks."""
+
+    pivots: np.ndarray
+    pivot: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    block: np.ndarray
+    parts: np.ndarray
+
+
+def _chance(key: Column) -> Column:
+    """A number from 0 to 1 that depends on the key alone."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit("pivot")), 11) / F.lit(float(1 << 53))
+
+
+def _pivots(i: DataFrame, block_rows: int) -> dict[str, np.ndarray]:
+    """Pivots of the groups that need more than one block: about BLOCK_PIVOTS a block, PIVOTS in all, one at least."""
+    sizes = checkpointed(i.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return {}
+    rate = min(BLOCK_PIVOTS / block_rows, PIVOTS / total)
+    rows = i.join(sizes.select("grp"), "grp", "left_semi").select("grp", "vector", _chance(F.col("item_id")).alias("chance"))
+    chosen = rows.filter(F.col("chance") < rate).select("grp", "vector").unionByName(rows.groupBy("grp").agg(F.min_by("vector", "chance").alias("vector")))
+    return {g: _distinct(part["vector"]) for g, part in chosen.toPandas().groupby("grp")}
+
+
+def _distinct(vectors: pd.Series) -> np.ndarray:
+    rows = _matrix(vectors)
+    found = X.distinct_rows(_unit_rows(rows))
+    return found if len(found) else np.eye(1, rows.shape[1])  # a group of zero vectors
+
+
+def _layouts(stats: pd.DataFrame, pivots: dict[str, np.ndarray], block_rows: int) -> dict[str, Layout]:
+    """Cells packed into blocks of at most ``block_rows``, near ones together; a larger cell has blocks of its own."""
+    out = {}
+    for g, cells in stats.groupby("grp"):
+        p = pivots[g]
+        landmarks = p[:: max(1, len(p) // 16)]
+        side, far = X.nearest_pivot(p, landmarks)
+        key = [(-1, 0.0) if c < 0 else (int(side[c]), float(far[c])) for c in cells["cell"]]
+        cells = cells.iloc[sorted(range(len(cells)), key=key.__getitem__)]
+        block, parts, at, filled = [], [], 0, 0
+        for n in cells["n"]:
+            if filled and filled + n > block_rows:
+                at, filled = at + 1, 0
+            block.append(at)
+            parts.append(max(1, -(-int(n) // block_rows)))
+            filled += n
+            if parts[-1] > 1:
+                at, filled = at + parts[-1], 0
+        out[g] = Layout(p, *[cells[c].to_numpy() for c in ("cell", "low", "high")], np.array(block), np.array(parts))
+    return out
+
+
+def _route(q: DataFrame, layouts, limit: float, home: bool) -> DataFrame:
+    """Copies of queries (query_id, grp, vector, reach[, query_at]) with the block they go to: the one of the nearest
+    pivot (``home``), or all others that can hold an item within ``reach``."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema.fields) + ", block int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, part in batch.groupby("grp"):
+                layout = layouts.value.get(g)
+                if layout is None:
+                    if home:  # a small group is one block
+                        yield part.assign(block=0)
+                    continue
+                for at in range(0, len(part), _BATCH):
+                    some = part.iloc[at : at + _BATCH]
+                    bounds = X.lower_bounds(_unit_rows(_matrix(some["vector"])), layout.pivots, layout.pivot, layout.low, layout.high)
+                    first = layout.block[bounds.argmin(axis=1)]
+                    if home:
+                        yield some.assign(block=first)
+                        continue
+                    reach = np.minimum(some["reach"].to_numpy(), limit) + X._MARGIN
+                    r, c = np.nonzero(bounds <= reach[:, None])
+                    parts = layout.parts[c]
+                    row = np.repeat(r, parts)
+                    block = np.repeat(layout.block[c], parts) + np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                    pairs = np.unique(np.stack([row, block], axis=1), axis=0)
+                    pairs = pairs[pairs[:, 1] != first[pairs[:, 0]]]
+                    yield some.iloc[pairs[:, 0]].assign(block=pairs[:, 1])
+
+    return q.mapInPandas(run, schema)
+
+
+def _visit(q: DataFrame, i: DataFrame, search: Search, schema: str, compared: Accumulator | None) -> DataFrame:
+    """Answers of the blocks of items (grp, block) to the copies of queries that came to them."""
+    tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    routed = checkpointed(q)
+    visits = checkpointed(routed.groupBy("grp", "block").agg(F.count("*").alias("visits")))
+    total = visits.agg(F.coalesce(F.sum("visits"), F.lit(0))).first()[0]
+    share = max(1, min(SHARE_ROWS, -(-total // tasks)))
+    # a block that many queries visit is copied, so that no task answers more than a share of them
+    shares = visits.select("grp", "block", F.ceil(F.col("visits") / share).cast("int").alias("shares"))
+    none = lambda f: F.lit(None).cast(f.dataType).alias(f.name)
+    asked = [f for f in routed.schema.fields if f.name.startswith("query_")]
+    held = [f for f in i.schema.fields if f.name.startswith("item_")]
+    left = i.join(shares, ["grp", "block"]).select(
+        "grp", "block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("side"), "vector", *[none(f) for f in asked], *[f.name for f in held]
     )
-    right = q.select(
-        "grp", every_block.alias("block"), share.alias("share"), F.lit(1).alias("side"),
-        "query_id", none_i.alias("item_id"), "vector",
+    right = routed.join(shares, ["grp", "block"]).select(
+        "grp", "block", F.pmod(F.xxhash64("query_id"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("side"), "vector", *[f.name for f in asked], *[none(f) for f in held]
     )
-    both = left.unionByName(right).repartition(blocks * shares, "grp", "block", "share")
-    both = both.sortWithinPartitions("grp", "block", "share", "side")
+    both = left.unionByName(right).repartition(tasks, "grp", "block", "share").sortWithinPartitions("grp", "block", "share", "side")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_key, held, ready = None, [], None
+        key, waiting, ready = None, [], None
         for batch in batches:
-            for key, part in batch.groupby(["grp", "block", "share"]):
-                if key != held_key:
-                    held_key, held, ready = key, [], None
+            for now, part in batch.groupby(["grp", "block", "share"]):
+                if now != key:
+                    key, waiting, ready = now, [], None
                 items, asks = part[part["side"] == 0], part[part["side"] == 1]
                 if len(items):
-                    held.append(items[["item_id", "vector"]])
-                if len(asks) and held:
-                    ready = ready or _sorted_items(pd.concat(held))
-                    yield _winners(asks, *ready, k)
+                    waiting.append(items)
+                if len(asks) and (waiting or ready):
+                    ready, waiting = ready or Held(pd.concat(waiting), search), []
+                    yield ready.answer(asks)
+                    ready.counted(compared)
 
     return both.mapInPandas(run, schema)
+
+
+def _search_blocks(q: DataFrame, i: DataFrame, search: Search, schema: str, block_rows: int, compared: Accumulator | None) -> DataFrame:
+    spark = q.sparkSession
+    i = checkpointed(i)
+    pivots = _pivots(i, block_rows)
+    shared = spark.sparkContext.broadcast(pivots)
+    held = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in i.schema.fields) + ", cell int, far double"
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, part in batch.groupby("grp"):
+                cell, far = X.nearest_pivot(_unit_rows(_matrix(part["vector"])), shared.value[g]) if g in shared.value else (0, 0.0)
+                yield part.assign(cell=cell, far=far)
+
+    placed = checkpointed(i.mapInPandas(place, held))
+    large = spark.createDataFrame([(g,) for g in pivots], "grp string")
+    stats = placed.join(F.broadcast(large), "grp", "left_semi").groupBy("grp", "cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high"))
+    layouts = _layouts(stats.orderBy("grp", "cell").toPandas(), pivots, block_rows)  # a row for each pivot
+    rows = [(g, int(c), int(b), int(n)) for g, x in layouts.items() for c, b, n in zip(x.pivot, x.block, x.parts, strict=True)]
+    cut = F.broadcast(spark.createDataFrame(rows, "grp string, cell int, block int, parts int"))
+    block = F.coalesce(F.col("block") + F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int"), F.lit(0))
+    blocks = placed.join(cut, ["grp", "cell"], "left").withColumn("block", block).drop("cell", "far", "parts")
+    ways = spark.sparkContext.broadcast(layouts)
+    at_home = checkpointed(_visit(_route(q, ways, search.limit, True), blocks, search, schema, compared))
+    if not layouts:
+        return at_home
+    if search.k:
+        kth = at_home.groupBy("query_id", "grp").agg(F.count("*").alias("n"), F.max("distance").alias("reach")).filter(F.col("n") >= search.k).drop("n")
+        open_ = q.join(kth, ["query_id", "grp"], "left").withColumn("reach", F.coalesce("reach", F.lit(float(search.limit))))
+    else:
+        open_ = q.join(at_home.distinct(), ["query_id", "grp"], "left_anti").withColumn("reach", F.lit(float(search.limit)))
+    order = [f.name for f in q.schema.fields]
+    return at_home.unionByName(_visit(_route(open_.select(*order, "reach"), ways, search.limit, False), blocks, search, schema, compared))

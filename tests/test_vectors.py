@@ -47,6 +47,50 @@ def test_nearest_is_exact_either_way(spark, bytes_, block):
     assert got == want
 
 
+def clustered(n, groups, seed, centers=120, dim=16):
+    rng = np.random.default_rng(seed)
+    middle = np.random.default_rng(1).normal(size=(centers, dim))
+    rows = middle[rng.integers(0, centers, n)] + 0.05 * rng.normal(size=(n, dim))
+    return [(i, groups[i % len(groups)], rows[i].tolist()) for i in range(n)]
+
+
+@pytest.mark.parametrize("bytes_,block", [(10**9, 500), (0, 400), (0, 10**6)])
+def test_few_pairs_are_compared(spark, bytes_, block):
+    items = clustered(6000, ("linux",), 3)
+    # a third of the items are one vector: their cell is larger than a block
+    items = [(i, g, items[0][2] if i % 3 == 0 else v) for i, g, v in items] + [(9000, "macos", items[1][2])]
+    queries = clustered(1500, ("linux",), 4) + [(3000 + i, "macos", v) for i, _, v in clustered(20, ("macos",), 5)] + [(4000, "linux", [0.0] * 16)]
+    counted = spark.sparkContext.accumulator(0)
+    found = K.nearest(frame(spark, queries, "q"), frame(spark, items, "i"), 3, "q", "i", broadcast_bytes=bytes_, block_rows=block, compared=counted).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.q, r.rank)):
+        got.setdefault(r.q, []).append(r.i)
+    ids, m = np.array([i for i, g, _ in items if g == "linux"]), np.array([unit(v) for _, g, v in items if g == "linux"])
+    for q, g, v in queries:
+        if g == "linux":
+            d = np.round(1 - np.clip(m @ unit(v), -1, 1), 6)
+            assert got[q] == ids[np.lexsort((ids, d))[:3]].tolist()
+        else:
+            assert got[q] == [9000]
+    assert counted.value < 0.25 * len(queries) * len(items)
+    near = K.nearest(frame(spark, queries, "q"), frame(spark, items, "i"), 3, "q", "i", broadcast_bytes=bytes_, block_rows=block, limit=0.01).collect()
+    assert sorted(map(tuple, near)) == sorted(tuple(r) for r in found if r.distance <= 0.01)
+
+
+@pytest.mark.parametrize("bytes_,block", [(10**9, 500), (0, 60)])
+def test_earlier_near_is_exact(spark, bytes_, block):
+    rows = [(i, g, v) for i, g, v in clustered(700, ("linux", "macos"), 6, 30)]
+    df = frame(spark, rows, "id").withColumn("at", F.col("id") % 50)
+    counted = spark.sparkContext.accumulator(0)
+    got = {(r.os, r.id) for r in K.with_earlier_near(df, 0.02, broadcast_bytes=bytes_, block_rows=block, compared=counted).collect()}
+    want = set()
+    for i, g, v in rows:
+        before = [w for j, h, w in rows if h == g and (j % 50, j) < (i % 50, i)]
+        if before and np.round(1 - np.clip(np.array([unit(w) for w in before]) @ unit(v), -1, 1), 6).min() <= 0.02:
+            want.add((g, i))
+    assert got == want and 0 < counted.value < 0.5 * len(rows) ** 2
+
+
 def test_nearest_without_items(spark):
     none = frame(spark, [], "i")
     assert K.nearest(frame(spark, vectors(3), "q"), none, 2, "q", "i").count() == 0
@@ -87,7 +131,7 @@ def blobs(spark):
     return frame(spark, rows, "id")
 
 
-@pytest.mark.parametrize("round_rows,bytes_", [(3, 10**6), (40, 0)])
+@pytest.mark.parametrize("round_rows,bytes_", [(0, 10**6), (40, 0)])
 def test_clusters_do_not_depend_on_the_round_size(spark, round_rows, bytes_):
     rows = frame(spark, [(i, g, v) for i, g, v in vectors(120, 9)], "id")
     whole = {tuple(r) for r in C.single_pass_cluster(rows, 0.5, 1).collect()}
@@ -122,7 +166,7 @@ def seeds_model(rows, known, threshold):
     return [i for i, _ in seeds]
 
 
-@pytest.mark.parametrize("block_rows,bytes_", [(10**6, 10**6), (6, 10**6), (6, 0)])
+@pytest.mark.parametrize("block_rows,bytes_", [(10**6, 10**6), (0, 10**6), (6, 0)])
 def test_online_seeds_do_not_depend_on_the_round_size(spark, block_rows, bytes_):
     rows = vectors(60, 9, ("linux", "linux"))
     logs = frame(spark, rows, "log_id").withColumn("templated", F.concat(F.lit("text "), F.col("log_id")))
