@@ -3,7 +3,8 @@ often an id pair is linked in the corpus.
 
 Most tokens of two subword vocabularies agree one to one. From a common end the arrays of token ends are
 compared at the current shift of their indices, in stretches that double as long as they are equal and halve
-after that; only where they differ a group is walked token by token, which gives the next shift.
+after that; only where they differ a group is walked token by token, which gives the next shift. Stretches that
+no token crosses, on either side, are aligned once for each worker, all new ones of a block of texts on end.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from operator import add
 
 import numpy as np
@@ -21,7 +23,7 @@ from logweave.llm.stretches import IdStore, cut_texts, ragged, text_slices
 from logweave.llm.words import worker_state
 from logweave.session import checkpointed
 
-#: Kept stretches per Python worker and tokenizer; a full memory is emptied, which costs time and changes no id.
+#: Kept stretches per Python worker; a full memory forgets, which costs time and changes no result.
 MEMORY = 400_000
 #: Id pairs that are broadcast at most. Of more pairs only those in so large a share of all links are, which
 #: cannot be more than this number either; the rest is joined by a shuffle.
@@ -91,19 +93,17 @@ class Pieces:
 
 
 class Side:
-    """One tokenizer with its kept ids; a stretch that its tokens do not spell has the id -1."""
+    """One tokenizer and the sizes of its tokens in bytes."""
 
     def __init__(self, model):
-        self.entries = model.entries
+        self.entries, self.encode = model.entries, model.encode
         self.sizes = np.zeros(max(model.entries) + 1, np.int64)
         self.sizes[list(model.entries)] = [len(e) for e in model.entries.values()]
         self.names = [str(i) for i in range(len(self.sizes))]
 
-        def encode(stretches: list[bytes]) -> list:
-            entry = self.entries.__getitem__
-            return [ids if b"".join(map(entry, ids)) == s else [-1] for s, ids in zip(stretches, model.encode(stretches), strict=True)]
-
-        self.store = IdStore(encode, MEMORY)
+    def spelled(self, stretches: list[bytes], coded: list) -> list[bool]:
+        entry = self.entries.__getitem__
+        return [b"".join(map(entry, ids)) == s for s, ids in zip(stretches, coded, strict=True)]
 
 
 def diagonal_runs(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list, list]:
@@ -164,59 +164,83 @@ def group_links(groups: list, ends_a: list[int], ends_b: list[int]) -> tuple[lis
     return left, right
 
 
-def align_texts(texts: list[bytes], a: Side, b: Side) -> dict[str, np.ndarray | list]:
-    """Counts, digest and distinct linked id pairs of each text; see ``align_tokens``."""
-    n = len(texts)
-    cut = cut_texts([b" " + t if t else b"" for t in texts])
-    (ids_a, count_a), (ids_b, count_b) = a.store.ids(cut), b.store.ids(cut)
-    doc_a, doc_b = np.repeat(np.arange(n), count_a), np.repeat(np.arange(n), count_b)
-    fair = np.ones(n, bool)
-    fair[doc_a[ids_a < 0]] = False
-    fair[doc_b[ids_b < 0]] = False
-    if not fair.all():
-        keep_a, keep_b = fair[doc_a], fair[doc_b]
-        ids_a, doc_a, ids_b, doc_b = ids_a[keep_a], doc_a[keep_a], ids_b[keep_b], doc_b[keep_b]
-    ids_a, ids_b = ids_a.astype(np.int64), ids_b.astype(np.int64)
-    # texts stand on end, and an end of a text is an end on either side
-    ends_a, ends_b = np.cumsum(a.sizes[ids_a]), np.cumsum(b.sizes[ids_b])
-    runs, groups = diagonal_runs(ends_a, ends_b)
-    run = np.array(runs, np.int64).reshape(-1, 3)
-    left, right = group_links(groups, ends_a.tolist(), ends_b.tolist())
-    link_a = np.concatenate([ragged(run[:, 0], run[:, 2]), np.array(left, np.int64)])
-    link_b = np.concatenate([ragged(run[:, 1], run[:, 2]), np.array(right, np.int64)])
-    first = np.concatenate([ragged(run[:, 0], run[:, 2]), np.array([g[0] for g in groups], np.int64)])
-    link_doc = doc_a[link_a]
-    wide = len(b.sizes)
-    key, times = np.unique((link_doc * len(a.sizes) + ids_a[link_a]) * wide + ids_b[link_b], return_counts=True)
-    pair_doc, pair = np.divmod(key, len(a.sizes) * wide)
-    n_groups = np.bincount(doc_a[first], minlength=n)
-    return {
-        "n_a": np.bincount(doc_a, minlength=n), "n_b": np.bincount(doc_b, minlength=n), "n_groups": n_groups, "n_links": np.bincount(link_doc, minlength=n),
-        "groups_sha256": _digests(runs, groups, ids_a.tolist(), ids_b.tolist(), a.names, b.names, n_groups.tolist()),
-        "pairs": np.bincount(pair_doc, minlength=n), "a": pair // wide, "b": pair % wide, "times": times,
-    }
-
-
-def _digests(runs, groups, ids_a, ids_b, names_a, names_b, n_groups) -> list[str]:
-    name_a, name_b = names_a.__getitem__, names_b.__getitem__
-    heads = [f"{x}|" for x in names_a]
-    head = heads.__getitem__
-    shown: list[str] = []
-    run_at = iter(runs)
-    run = next(run_at, None)
-    for group in [*groups, None]:
-        while run and (group is None or run[0] < group[0]):
-            i, j, n = run
-            shown += map(add, map(head, ids_a[i : i + n]), map(name_b, ids_b[j : j + n]))
-            run = next(run_at, None)
-        if group:
-            i, i2, j, j2 = group
-            shown.append(",".join(map(name_a, ids_a[i:i2])) + "|" + ",".join(map(name_b, ids_b[j:j2])))
-    out, at = [], 0
-    for n in n_groups:
-        out.append(hashlib.sha256(";".join(shown[at : at + n]).encode()).hexdigest() if n else "")
-        at += n
-    return out
+class Aligner:
+    """Aligns texts stretch by stretch: both sides end a token at the ends of a stretch, so each distinct one is
+    aligned once, all new ones of a block on end."""
+
+    def __init__(self, a: Side, b: Side):
+        self.a, self.b = a, b
+        self.heads = [f"{x}|" for x in a.names]
+        # links as id pairs; tokens of A and of B, groups, and the groups as text; no tokens where a side does not spell the bytes
+        self.store = IdStore(self._align, MEMORY, more=4)
+
+    def _align(self, stretches: list[bytes]) -> tuple[list, list, list, list, list]:
+        a, b = self.a, self.b
+        coded_a, coded_b = a.encode(stretches), b.encode(stretches)
+        fair = [x and y for x, y in zip(a.spelled(stretches, coded_a), b.spelled(stretches, coded_b), strict=True)]
+        coded_a, coded_b = ([ids if f else () for ids, f in zip(coded, fair, strict=True)] for coded in (coded_a, coded_b))
+        n_a, n_b = list(map(len, coded_a)), list(map(len, coded_b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(c), np.int64) for c in (coded_a, coded_b))
+        ends_a, ends_b = np.cumsum(a.sizes[ids_a]), np.cumsum(b.sizes[ids_b])
+        runs, groups = diagonal_runs(ends_a, ends_b)
+        run = np.array(runs, np.int64).reshape(-1, 3)
+        left, right = group_links(groups, ends_a.tolist(), ends_b.tolist())
+        link_a = np.concatenate([ragged(run[:, 0], run[:, 2]), np.array(left, np.int64)])
+        link_b = np.concatenate([ragged(run[:, 1], run[:, 2]), np.array(right, np.int64)])
+        order = np.argsort(link_a, kind="stable")
+        pairs = (ids_a[link_a] * len(b.sizes) + ids_b[link_b])[order]
+        of_a = np.repeat(np.arange(len(stretches)), n_a)
+        links = np.bincount(of_a[link_a], minlength=len(stretches))
+        starts = np.sort(np.concatenate([ragged(run[:, 0], run[:, 2]), np.array([g[0] for g in groups], np.int64)]))
+        n_groups = np.bincount(of_a[starts], minlength=len(stretches)).tolist()
+        shown = self._shown(runs, groups, ids_a.tolist(), ids_b.tolist())
+        at = np.cumsum([0, *n_groups]).tolist()
+        texts = [";".join(shown[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+        cut = np.cumsum([0, *links.tolist()]).tolist()
+        flat = pairs.tolist()
+        return [flat[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], n_a, n_b, n_groups, texts
+
+    def _shown(self, runs: list, groups: list, ids_a: list[int], ids_b: list[int]) -> list[str]:
+        name_a, name_b, head = self.a.names.__getitem__, self.b.names.__getitem__, self.heads.__getitem__
+        shown: list[str] = []
+        run_at = iter(runs)
+        run = next(run_at, None)
+        for group in [*groups, None]:
+            while run and (group is None or run[0] < group[0]):
+                i, j, n = run
+                shown += map(add, map(head, ids_a[i : i + n]), map(name_b, ids_b[j : j + n]))
+                run = next(run_at, None)
+            if group:
+                i, i2, j, j2 = group
+                shown.append(",".join(map(name_a, ids_a[i:i2])) + "|" + ",".join(map(name_b, ids_b[j:j2])))
+        return shown
+
+    def align(self, texts: list[bytes]) -> dict[str, np.ndarray | list]:
+        """Counts, digest and distinct linked id pairs of each text; see ``align_tokens``."""
+        n, store = len(texts), self.store
+        cut = cut_texts([b" " + t if t else b"" for t in texts])
+        slots = store.of(cut)
+        text = np.repeat(np.arange(n), cut.counts)
+        n_a, n_b, n_groups, shown = store.more
+        fair = np.ones(n, bool)
+        chosen = slots.tolist()
+        of_a, of_b, of_groups = (np.fromiter(map(x.__getitem__, chosen), np.int64, len(chosen)) for x in (n_a, n_b, n_groups))
+        fair[text[of_a == 0]] = False
+        size = np.where(fair[text], store.size[slots], 0)
+        link_doc = np.repeat(text, size)
+        wide, tall = len(self.b.sizes), len(self.a.sizes)
+        key, times = np.unique(link_doc * (tall * wide) + store.flat[ragged(store.first[slots], size)], return_counts=True)
+        pair_doc, pair = np.divmod(key, tall * wide)
+        at = np.cumsum([0, *cut.counts.tolist()]).tolist()
+        digests = [hashlib.sha256(";".join(map(shown.__getitem__, chosen[x:y])).encode()).hexdigest() if ok and y > x else "" for x, y, ok in zip(at[:-1], at[1:], fair.tolist(), strict=True)]
+
+        def total(values: np.ndarray) -> np.ndarray:
+            return np.where(fair, np.bincount(text, values, n), 0).astype(np.int64)
+
+        return {
+            "n_a": total(of_a), "n_b": total(of_b), "n_groups": total(of_groups), "n_links": np.bincount(link_doc, minlength=n),
+            "groups_sha256": digests, "pairs": np.bincount(pair_doc, minlength=n), "a": pair // wide, "b": pair % wide, "times": times,
+        }
 
 
 def align_tokens(docs: DataFrame, bytewise: str, pieces: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,11 +258,11 @@ def align_tokens(docs: DataFrame, bytewise: str, pieces: str, doc_id: str = "doc
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = worker_state("alignment")
         if (bytewise, pieces) not in state:
-            state[bytewise, pieces] = Side(Bytewise(bytewise)), Side(Pieces(pieces))
-        a, b = state[bytewise, pieces]
+            state[bytewise, pieces] = Aligner(Side(Bytewise(bytewise)), Side(Pieces(pieces)))
+        aligner = state[bytewise, pieces]
         for batch in batches:
             for part, texts in text_slices(batch, 1):
-                found = align_texts(texts, a, b)
+                found = aligner.align(texts)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(found["pairs"])]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(found[c].astype(np.int32))) for c in ("a", "b", "times")]
                 counts = [pa.array(found[c].astype(np.int64)) for c in ("n_a", "n_b", "n_groups", "n_links")]

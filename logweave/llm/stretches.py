@@ -83,25 +83,29 @@ def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class IdStore:
-    """Ids of distinct stretches in one flat array. A full store keeps the half that was met most often and forgets
-    the rest, which costs time and changes no id."""
+    """Ids of distinct stretches in one flat array, and what else ``encode`` tells of each.
 
-    def __init__(self, encode: Callable[[list[bytes]], list], limit: int):
+    ``encode`` gives a list of ids for each stretch, then lists with one value a stretch (``more`` of them). A full
+    store keeps the half that was met most often and forgets the rest, which costs time and changes no id.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple], limit: int, more: int = 0):
         self.encode, self.limit = encode, limit
-        self._hold({}, np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0)
+        self._hold({}, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0, [[] for _ in range(more)])
 
-    def _hold(self, slot: dict[bytes, int], flat: np.ndarray, size: np.ndarray, met: np.ndarray, used: int) -> None:
-        self.slot, self.flat, self.size, self.met, self.used = slot, flat, size, met, used
+    def _hold(self, slot: dict[bytes, int], flat: np.ndarray, size: np.ndarray, met: np.ndarray, used: int, more: list[list]) -> None:
+        self.slot, self.flat, self.size, self.met, self.used, self.more = slot, flat, size, met, used, more
         self.first = np.cumsum(size) - size
 
     def _shrink(self) -> None:
         n = len(self.slot)
         kept = np.sort(np.argsort(-self.met[:n], kind="stable")[: self.limit // 2])
         kept = kept[self.met[kept] > 1]
-        of = dict(zip(kept.tolist(), range(len(kept)), strict=True))
+        order = kept.tolist()
+        of = dict(zip(order, range(len(order)), strict=True))
         slot = {k: of[s] for k, s in self.slot.items() if s in of}
         flat, size = self.flat[ragged(self.first[kept], self.size[kept])], self.size[kept]
-        self._hold(slot, flat, size, np.ones(len(kept), np.int64), len(flat))
+        self._hold(slot, flat, size, np.ones(len(kept), np.int64), len(flat), [[m[i] for i in order] for m in self.more])
 
     def _grown(self, array: np.ndarray, need: int) -> np.ndarray:
         return array if need <= len(array) else np.concatenate([array, np.zeros(max(need, 2 * len(array)) - len(array), array.dtype)])
@@ -114,12 +118,14 @@ class IdStore:
             found = list(map(self.slot.get, distinct))
             new = [d for d, s in zip(distinct, found, strict=True) if s is None]
         if new:
-            coded = self.encode(new)
+            coded, *more = self.encode(new)
+            for held, values in zip(self.more, more, strict=True):
+                held += values
             size = np.fromiter(map(len, coded), np.int64, len(coded))
             n, k = len(self.slot), self.used + int(size.sum())
             self.flat = self._grown(self.flat, k)
             self.first, self.size, self.met = (self._grown(x, n + len(new)) for x in (self.first, self.size, self.met))
-            self.flat[self.used : k] = np.fromiter(chain.from_iterable(coded), np.int32, k - self.used)
+            self.flat[self.used : k] = np.fromiter(chain.from_iterable(coded), np.int64, k - self.used)
             self.size[n : n + len(new)] = size
             self.first[n : n + len(new)] = self.used + np.cumsum(size) - size
             self.met[n : n + len(new)] = 0
@@ -129,11 +135,15 @@ class IdStore:
             found = [next(fresh) if s is None else s for s in found]
         return np.array(found, np.int64)
 
-    def ids(self, cut: Stretches) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts on end, ids of each text)."""
+    def of(self, cut: Stretches) -> np.ndarray:
+        """The slot of every stretch."""
         distinct = self.slots(cut.distinct)
         self.met[distinct] += np.bincount(cut.which, minlength=len(distinct))
-        slots = distinct[cut.which]
+        return distinct[cut.which]
+
+    def ids(self, cut: Stretches) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts on end, ids of each text)."""
+        slots = self.of(cut)
         size = self.size[slots]
-        of = np.repeat(np.arange(len(cut.counts)), cut.counts)
-        return self.flat[ragged(self.first[slots], size)], np.bincount(of, weights=size, minlength=len(cut.counts)).astype(np.int64)
+        text = np.repeat(np.arange(len(cut.counts)), cut.counts)
+        return self.flat[ragged(self.first[slots], size)], np.bincount(text, weights=size, minlength=len(cut.counts)).astype(np.int64)

@@ -92,7 +92,7 @@ class Encoder:
                     return [core, text[len(core) :]] if len(core) < len(text) else [text]
         return self._split(text)
 
-    def _encode(self, stretches: list[bytes]) -> list[list[int]]:
+    def _encode(self, stretches: list[bytes]) -> tuple[list[list[int]]]:
         known, merged, parts = self.pieces.get, self._ids, self._parts
         has_special = any(s in b"\n".join(stretches) for s in map(str.encode, self.special))
         out = []
@@ -105,7 +105,7 @@ class Encoder:
                 out.append(known(text) or merged(text))
             else:
                 out.append([i for p in pieces for i in known(p) or merged(p)])
-        return out
+        return (out,)
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, ids of each text), for whole texts of any length."""
