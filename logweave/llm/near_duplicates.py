@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logweave.llm.components import connected
 from logweave.llm.sketch import drop_absent, drop_present, hash_bitmap
 from logweave.llm.stretches import text_slices
-from logweave.llm.words import mix, window_hashes, words_of
+from logweave.llm.words import mix, window_hashes, words_of, worker_state
 from logweave.session import checkpointed
 
 #: Permutations; each gives a minimum and a maximum. Values in a band: 32 bands of 4 miss a pair of
@@ -88,6 +88,7 @@ def sketches(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
     keyed = source.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("near_duplicates")
         for batch in batches:
             for rows, part in text_slices(batch, 2):
                 sets = shingle_sets(part, size)
@@ -114,6 +115,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, size: int, doc_id: str, text:
     chosen = keyed.join(keys, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_hash") == F.col("want_hash")), "left_semi").select("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("near_duplicates")
         for batch in batches:
             for _, part in text_slices(batch, 0):
                 sets = shingle_sets(part, size)

@@ -36,9 +36,14 @@ class Words(NamedTuple):
 
 
 def worker_state(name: str) -> dict:
-    """A dict that lives as long as the Python worker; functions shipped by value have no lasting globals."""
-    module = sys.modules.setdefault("logweave_worker_state", types.ModuleType("logweave_worker_state"))
-    return module.__dict__.setdefault(name, {})
+    """A dict that lives as long as the Python worker; functions shipped by value have no lasting globals.
+
+    A worker serves one operator after the other: what earlier ones kept is dropped, so that memories do not add up.
+    """
+    held = sys.modules.setdefault("logweave_worker_state", types.ModuleType("logweave_worker_state")).__dict__.setdefault("held", {})
+    for other in [k for k in held if k not in (name, "powers") and name != "powers"]:
+        del held[other]
+    return held.setdefault(name, {})
 
 
 def mix(x: np.ndarray) -> np.ndarray:
