@@ -16,6 +16,8 @@ from logweave.session import checkpointed
 # Providers that can act; a rule for another one still uses up its cooldown.
 PROVIDERS = ("ansible_tower", "terraform_cloud", "servicenow")
 
+#: Segments of a key that are composed in one row; no result depends on it.
+STRETCH = 256
 SEGMENT_SEC = 3600
 _NEVER = -(2**62)
 
@@ -143,17 +145,30 @@ def _segment_table(times: np.ndarray, start: int, cooldown: int) -> tuple[np.nda
     return times[:n][ends], times[last[:n][ends]]
 
 
-def _chain(segments: list, cooldown: int) -> list[int]:
-    """Moment from which each segment of a key is free, given the segments' tables in time order."""
-    free, out = _NEVER, []
-    for s in segments:
-        out.append(free)
-        at = int(np.searchsorted(s["until"], free))
-        if at < len(s["until"]):
-            free = int(s["fired"][at]) + cooldown
+def _links(until: np.ndarray, fired: np.ndarray, next_until: np.ndarray | None, cooldown: int) -> list[int]:
+    """For each step of a segment, and for no fire in it (last), the step at which the next segment is entered."""
+    if next_until is None:
+        return [0] * (len(until) + 1)
+    # a segment is eight cooldowns long: one that fires nothing leaves the next one free from its start
+    return [*np.searchsorted(next_until, fired + cooldown).tolist(), 0]
+
+
+def _entered(entry: int, links: list) -> list[int]:
+    """The step at which each of the segments in a row is entered."""
+    out = []
+    for link in links:
+        out.append(entry)
+        entry = link[entry]
     return out
 
 
+def _composed(links: list) -> list[int]:
+    out = np.asarray(links[0])
+    for link in links[1:]:
+        out = np.asarray(link)[out]
+    return out.tolist()
+
+
 def _replay(times: np.ndarray, free: int, cooldown: int) -> list[int]:
     fires, at = [], int(np.searchsorted(times, free))
     while at < len(times):
@@ -162,17 +177,58 @@ def _replay(times: np.ndarray, free: int, cooldown: int) -> list[int]:
     return fires
 
 
-def cooldown_fires(matches: DataFrame, segment_sec: int = SEGMENT_SEC) -> DataFrame:
+def _segment_entries(linked: DataFrame, keys: list[str], stretch: int) -> DataFrame:
+    """(keys, n, entry) of segments (keys, n, link), numbered in a key: the step at which each is entered.
+
+    Stretches of ``stretch`` segments are composed in a row each. Where a key has more of them, pointer doubling finds
+    their entries: in every round the links reach twice as far, and twice as many stretches know their entry. Rounds
+    are the logarithm of the stretches of a key, each an equi-join of as many rows as there are stretches.
+    """
+    grouped = linked.withColumn("at", F.expr(f"n div {stretch}")).groupBy(*keys, "at").agg(F.array_sort(F.collect_list(F.struct("n", "link"))).alias("row"))
+    grouped = checkpointed(grouped.select(*keys, "at", F.col("row")["n"].alias("n"), F.col("row")["link"].alias("links")))
+    names = "rule_id string, cooldown_key string"
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[*keys, "at"]].assign(link=[_composed(x) for x in pdf["links"]])
+
+    most = grouped.agg(F.coalesce(F.max("at"), F.lit(0))).first()[0]
+    entries = grouped.filter("at = 0").select(*keys, "at", F.lit(0).alias("entry"))
+    reach = 1
+    jumps = checkpointed(grouped.select(*keys, "at", "links").mapInPandas(compose, f"{names}, at bigint, link array<int>")) if most else None
+    while reach <= most:
+        further = entries.join(jumps, [*keys, "at"]).select(*keys, (F.col("at") + reach).alias("at"), F.get("link", F.col("entry")).alias("entry"))
+        entries = checkpointed(entries.unionByName(further.join(grouped.select(*keys, "at"), [*keys, "at"], "left_semi")))
+        if 2 * reach <= most:
+            beyond = jumps.select(*keys, (F.col("at") - reach).alias("at"), F.col("link").alias("beyond"))
+            jumps = checkpointed(jumps.join(beyond, [*keys, "at"]).select(*keys, "at", F.transform("link", lambda x: F.get("beyond", x)).alias("link")))
+        reach *= 2
+
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[*keys, "n"]].assign(entry=[_entered(e, x) for e, x in zip(pdf["entry"], pdf["links"])])
+
+    found = grouped.join(entries, [*keys, "at"]).select(*keys, "n", "links", "entry").mapInPandas(enter, f"{names}, n array<int>, entry array<int>")
+    return found.select(*keys, F.inline(F.arrays_zip("n", "entry")))
+
+
+def cooldown_fires(matches: DataFrame, segment_sec: int = SEGMENT_SEC, last: DataFrame | None = None, stretch: int = STRETCH) -> DataFrame:
     """The matches that fire: at least a cooldown after the last fire of their (rule, key).
 
     Whether a match fires depends on all earlier ones of its key, and one key may be very common,
     so a key is not folded in one task. Its distinct times are cut into segments (eight cooldowns
-    or more long). Each segment yields a short table of steps "free from t -> last fire in here";
-    the tables of a key are chained in time order; then each segment replays its own fires from
-    the moment the chain left it free.
+    or more long). Each segment yields a short table of steps "free from t -> last fire in here"; links lead
+    from each step to the step at which the next segment is entered, and are followed by doubling; then each
+    segment replays its own fires from the moment it is free.
+
+    ``last`` has fires of before (rule_id, cooldown_key, last_ms): matches within a cooldown of them cannot fire.
     """
     keys = ["rule_id", "cooldown_key"]
-    rows = checkpointed(with_cooldown_key(matches).filter(F.col("cooldown_ms") > 0))
+    rows = with_cooldown_key(matches).filter(F.col("cooldown_ms") > 0)
+    if last is not None:
+        free = F.col("last_ms").isNull() | (F.col("ms") - F.col("last_ms") >= F.col("cooldown_ms"))
+        rows = rows.join(last.select(*keys, "last_ms"), keys, "left").filter(free).drop("last_ms")
+    rows = checkpointed(rows)
     width = F.greatest(F.lit(segment_sec * 1000), F.col("cooldown_ms") * 8)
     timed = rows.select(*keys, "cooldown_ms", "ms", width.alias("_width")).withColumn(
         "segment", F.expr("(ms - pmod(ms, _width)) div _width")
@@ -180,6 +236,8 @@ def cooldown_fires(matches: DataFrame, segment_sec: int = SEGMENT_SEC) -> DataFr
     cut = timed.groupBy(*keys, "segment").agg(
         F.max("_width").alias("_width"), F.max("cooldown_ms").alias("cooldown_ms"), F.array_sort(F.collect_set("ms")).alias("times")
     )
+    in_key = Window.partitionBy(*keys).orderBy("segment")
+    names = "rule_id string, cooldown_key string"
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -187,29 +245,29 @@ def cooldown_fires(matches: DataFrame, segment_sec: int = SEGMENT_SEC) -> DataFr
                 _segment_table(t, s * w, c)
                 for t, s, w, c in zip(pdf["times"], pdf["segment"], pdf["_width"], pdf["cooldown_ms"])
             ]
-            steps = {"until": [m[0] for m in made], "fired": [m[1] for m in made]}
-            yield pdf[[*keys, "segment", "cooldown_ms"]].assign(**steps)
+            yield pdf[[*keys, "segment", "cooldown_ms"]].assign(until=[m[0] for m in made], fired=[m[1] for m in made])
 
-    def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            free = [_chain(s, c) for s, c in zip(pdf["segments"], pdf["cooldown_ms"])]
-            yield pdf[keys].assign(segment=[[x["segment"] for x in s] for s in pdf["segments"]], free=free)
+            made = [_links(*x) for x in zip(pdf["until"], pdf["fired"], pdf["next_until"], pdf["cooldown_ms"])]
+            yield pdf[[*keys, "n", "segment", "cooldown_ms", "fired"]].assign(link=made)
 
     def replays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fired = [_replay(t, f, c) for t, f, c in zip(pdf["times"], pdf["free"], pdf["cooldown_ms"])]
             yield pdf[keys].assign(fired=fired)
 
-    names = "rule_id string, cooldown_key string"
-    steps = cut.mapInPandas(
-        tables, f"{names}, segment bigint, cooldown_ms bigint, until array<bigint>, fired array<bigint>"
-    )
-    per_key = steps.groupBy(*keys).agg(
-        F.max("cooldown_ms").alias("cooldown_ms"),
-        F.array_sort(F.collect_list(F.struct("segment", "until", "fired"))).alias("segments")
+    steps = checkpointed(cut.mapInPandas(tables, f"{names}, segment bigint, cooldown_ms bigint, until array<bigint>, fired array<bigint>"))
+    numbers = checkpointed(steps.select(*keys, "segment").withColumn("n", F.row_number().over(in_key) - 1))
+    placed = steps.join(numbers, [*keys, "segment"])
+    following = placed.select(*keys, (F.col("n") - 1).alias("n"), F.col("until").alias("next_until"))
+    linked = checkpointed(
+        placed.join(following, [*keys, "n"], "left").mapInPandas(link, f"{names}, n int, segment bigint, cooldown_ms bigint, fired array<bigint>, link array<int>")
     )
-    entries = per_key.mapInPandas(chains, f"{names}, segment array<bigint>, free array<bigint>")
-    entries = entries.select(*keys, F.explode(F.arrays_zip("segment", "free")).alias("e")).select(*keys, "e.*")
+    entered = linked.join(_segment_entries(linked.select(*keys, "n", "link"), keys, stretch), [*keys, "n"])
+    until = F.get("fired", F.col("entry")) + F.col("cooldown_ms")
+    free = F.coalesce(F.lag("_until").over(in_key), F.lit(_NEVER))
+    entries = entered.select(*keys, "segment", until.alias("_until")).withColumn("free", free).drop("_until")
     fired = cut.join(entries, [*keys, "segment"]).mapInPandas(replays, f"{names}, fired array<bigint>")
     moments = fired.select(*keys, F.explode("fired").alias("ms"))
     # of several matches of a key at one time, the first fires

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from logweave.session import checkpointed
+
 ISSUE_KEYS = ("os", "issue_key")
 INACTIVITY_SEC = 120
 MAX_LOGS = 50
@@ -148,6 +150,27 @@ def build_issues(
     )
 
 
+def merge_issues(parts: DataFrame, keys: Sequence[str] = ISSUE_KEYS, gap_sec: float = INACTIVITY_SEC, max_logs: int = MAX_LOGS) -> DataFrame:
+    """Issues as ``build_issues`` makes them from issues of parts of the logs, in whatever order the parts came.
+
+    Parts of one issue may overlap or be apart by less than the gap. Only their bounds are sorted by key; the
+    logs are attached afterwards, the first ``max_logs`` of each part.
+    """
+    gap_us = int(gap_sec * 1_000_000)
+    numbered = checkpointed(parts.withColumn("_part", F.monotonically_increasing_id()))
+    w = Window.partitionBy(*keys).orderBy("session_us", "last_us", "_part")
+    reach = F.max("last_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reach.isNull() | (F.col("session_us") - reach >= gap_us), F.col("session_us"))
+    slim = numbered.select(*keys, "session_us", "last_us", "_part").withColumn("_begins", begins)
+    placed = slim.select("_part", F.last("_begins", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_start"))
+    merged = numbered.drop("session_us", "templated_summary").join(placed, "_part").groupBy(*keys, F.col("_start").alias("session_us")).agg(
+        F.max("last_us").alias("last_us"), F.sum("n_logs").alias("n_logs"), F.flatten(F.collect_list("logs")).alias("_logs")
+    )
+    in_order = F.array_sort(F.transform("_logs", lambda x: F.struct(x["time"].alias("time"), x["log_id"].alias("log_id"), x.alias("log"))))
+    kept = merged.withColumn("logs", F.slice(in_order, 1, max_logs)["log"])
+    return kept.select(*keys, "session_us", "last_us", "n_logs", F.array_join(F.col("logs")["templated"], " \n").alias("templated_summary"), "logs")
+
+
 def _issue_mark(os: Column, issue_key: Column, session_us: Column) -> Column:
     """What the id of a listed issue ends in."""
     return F.substring(F.sha1(F.concat_ws("|", os, issue_key, session_us)), 1, 12)

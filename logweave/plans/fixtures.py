@@ -22,6 +22,18 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def land_parts(parts: list[DataFrame], path: str, run) -> None:
+    """Write one part after the other to ``path`` and run the stream that reads it: each part is a micro-batch, and each run a restart."""
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        run(part.sparkSession.readStream.schema(part.schema).parquet(path))
+
+
+def parted(rows: DataFrame, part: Column, n: int) -> list[DataFrame]:
+    marked = rows.withColumn("_p", part)
+    return [marked.filter(F.col("_p") == i).drop("_p") for i in range(n)]
+
+
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose rows need text work: spread over the cores."""
     return spread(table(spark, sf_dir, name))

@@ -24,9 +24,40 @@ CLOSED = """, closed AS (SELECT i.*, ((SELECT epoch_us(max(ts)) FROM events) - 6
     WHERE CAST(ceil((last_us + 120000000) / 1000.0) AS BIGINT) < mark""",
 )
 def stream_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues closed by the watermark; the last ones stay open."""
-    issues = S.stream_issues(L.parse_and_template(line_stream(spark, sf_dir)))
-    return B.run_to_table(issues, fresh_path(spark, "issues")).drop("logs")
+    """Issues closed by the clock; the last ones stay open. Five parts come one after the other, rows near their borders out of order."""
+    return S.closed_issues(spark, _run_issue_parts(spark, sf_dir, MINUTES_OFF)).drop("logs")
+
+
+#: The part that a row lands in: by time in stretches of six days, moved by up to four minutes.
+MINUTES_OFF = "least(greatest((unix_micros(ts) + (event_id % 9 - 4) * 60000000 - 1704067200000000) div 518400000000, 0), 4)"
+#: The same, but every fiftieth row comes a part later than it should.
+PARTS_LATE = f"least({MINUTES_OFF} + if(event_id % 50 = 0, 1, 0), 4)"
+
+
+def _run_issue_parts(spark: SparkSession, sf_dir: str, part: str) -> str:
+    out, landed, checkpoint = fresh_path(spark, "issues"), fresh_path(spark, "landed"), fresh_path(spark, "stream-checkpoint")
+    events = X.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def run(stream: DataFrame) -> None:
+        S.stream_issues(L.parse_and_template(X.event_lines(stream)), out, checkpoint=checkpoint).awaitTermination()
+
+    X.land_parts(X.parted(events, F.expr(part), 5), landed, run)
+    return out
+
+
+@query(
+    "stream_late_rows",
+    """WITH p AS (SELECT event_id, epoch_us(ts) AS us,
+      least(least(greatest((epoch_us(ts) + (event_id % 9 - 4) * 60000000 - 1704067200000000) // 518400000000, 0), 4) + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END, 4) AS part FROM events),
+    l AS (SELECT part, max(us) AS latest FROM p GROUP BY part),
+    m AS (SELECT p.event_id, p.us, max(l.latest) - 600000000 AS mark FROM p LEFT JOIN l ON l.part < p.part GROUP BY ALL)
+    SELECT event_id AS log_id, coalesce(us < mark, false) AS late FROM m""",
+)
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row once: taken into an issue, or late and set aside."""
+    out = _run_issue_parts(spark, sf_dir, PARTS_LATE)
+    late, taken = S.late_rows(spark, out), S.taken_rows(spark, out)
+    return late.select("log_id", F.lit(True).alias("late")).unionByName(taken.select("log_id", F.lit(False).alias("late")))
 
 
 @query(
@@ -34,9 +65,16 @@ def stream_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{LQ.ASSIGNED_SQL} SELECT os, cluster_id FROM assigned GROUP BY 1, 2 HAVING count(*) >= 20",
 )
 def stream_cluster_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = L.parse_and_template(line_stream(spark, sf_dir))
-    assigned = lines.withColumn("cluster_id", F.concat(F.lit("c"), F.col("user_id") % 20))
-    return B.run_to_table(S.stream_cluster_candidates(assigned), fresh_path(spark, "candidates"))
+    """Clusters at twenty logs, counted over five parts."""
+    out, landed, checkpoint = fresh_path(spark, "candidates"), fresh_path(spark, "landed"), fresh_path(spark, "stream-checkpoint")
+
+    def run(stream: DataFrame) -> None:
+        lines = L.parse_and_template(X.event_lines(stream))
+        S.stream_cluster_candidates(lines.withColumn("cluster_id", F.concat(F.lit("c"), F.col("user_id") % 20)), out, checkpoint=checkpoint).awaitTermination()
+
+    events = X.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    X.land_parts(X.parted(events, F.pmod("event_id", F.lit(5)), 5), landed, run)
+    return S.stream_candidates(spark, out)
 
 
 @query(
@@ -44,8 +82,15 @@ def stream_cluster_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH RECURSIVE {O.ALERTS}, {AQ.RULES_SQL} SELECT rule_id, issue_key AS cooldown_key, provider, id, ms, seq FROM fired",
 )
 def stream_automations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alerts = X.order_alerts(X.table_stream(spark, sf_dir, "orders"))
-    return B.run_to_table(S.stream_fires(U.match_automations(alerts, X.RULES)), fresh_path(spark, "fires"))
+    """Automations that fire, over five parts in the order of time; a day's orders are in one part."""
+    out, landed, checkpoint = fresh_path(spark, "fires"), fresh_path(spark, "landed"), fresh_path(spark, "stream-checkpoint")
+
+    def run(stream: DataFrame) -> None:
+        S.stream_fires(U.match_automations(X.order_alerts(stream), X.RULES), out, checkpoint=checkpoint).awaitTermination()
+
+    part = F.expr("least(greatest((year(o_orderdate) - 1995) div 2, 0), 4)")
+    X.land_parts(X.parted(X.table(spark, sf_dir, "orders"), part, 5), landed, run)
+    return S.fires(spark, out)
 
 
 @query(

@@ -1,141 +1,150 @@
-"""Stateful streams: issue sessions, cluster counters, cooldowns.
+"""Streams with state: issue sessions, cluster counters, cooldowns.
 
-State per key is small and bounded: an open issue keeps its first logs, a cluster its count, a
-rule and key its last fire. Rows of one micro-batch are taken in (time, id) order.
+State is a table in the shared folder that a micro-batch reads as the last finished batch left it, and writes anew
+with its own results; the work on it is done by the batch operators. A restart goes on from the last commit.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from logweave.operators.automations import with_cooldown_key
-from logweave.operators.issues import INACTIVITY_SEC, MAX_LOGS
+from logweave.operators.automations import cooldown_fires, with_cooldown_key
+from logweave.operators.issues import INACTIVITY_SEC, MAX_LOGS, build_issues, merge_issues
+from logweave.session import checkpointed
+from logweave.streaming.tables import commit, exists, read_committed, read_state, start, write_batch
 
 WATERMARK = "10 minutes"
-ISSUE_COLUMNS = ["os", "issue_key", "session_us", "last_us", "n_logs", "templated_summary", "logs"]
-LOG_FIELDS = ("log_id", "templated", "raw", "component", "pid", "us")
-ISSUE_SCHEMA = (
-    "os string, issue_key string, session_us bigint, last_us bigint, n_logs bigint, "
-    "templated_summary string, logs string"
-)
+MARK = "mark"
+ISSUE_KEY = "os string, issue_key string, session_us bigint, last_us bigint, n_logs bigint, templated_summary string"
+OPEN_SCHEMA = f"{ISSUE_KEY}, logs array<struct<log_id:bigint,templated:string,raw:string,component:string,pid:string,time:timestamp>>"
+ISSUE_SCHEMA = f"{ISSUE_KEY}, logs string"
+LATE_SCHEMA = "log_id bigint, ts timestamp, os string, issue_key string, mark bigint"
+
+
+CANDIDATES = "os string, cluster_id string"
+LAST_SCHEMA = "rule_id string, cooldown_key string, last_ms bigint, cooldown_ms bigint"
+FIRE_SCHEMA = "rule_id string, cooldown_key string, provider string, id string, ms bigint, seq bigint"
+FIRE_COLUMNS = [c.split()[0] for c in FIRE_SCHEMA.split(", ")]
+#: The clock before the first row.
+NEVER = -(1 << 62)
+
+
+def _micros(interval: str) -> int:
+    """Microseconds of an interval text such as ``10 minutes``."""
+    units = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}
+    number, unit = interval.split()
+    return int(float(number) * units[unit.rstrip("s")] * 1_000_000)
 
 
 def stream_issues(
-    logs: DataFrame, gap_sec: float = INACTIVITY_SEC, max_logs: int = MAX_LOGS, watermark: str = WATERMARK
-) -> DataFrame:
-    """Issues as their inactivity gap runs out on the event-time clock; logs as JSON text.
+    logs: DataFrame, out: str, gap_sec: float = INACTIVITY_SEC, max_logs: int = MAX_LOGS, watermark: str = WATERMARK, checkpoint: str | None = None
+) -> StreamingQuery:
+    """Issues as their inactivity gap runs out on the event-time clock, to the tables ``issues``, ``open``, ``taken`` and ``late`` under ``out``.
+
+    A batch makes issues of its own rows with the batch operator and merges them with the open ones, which are
+    a table; rows may come in any order. The clock stands ``watermark`` behind the latest row of the batches so far. An issue
+    is written to ``issues`` once the clock has passed the end of its gap; no row that is still taken in can belong to it then.
+    Rows behind the clock of the batches before their own, or without a time, are written to ``late`` with that clock, so that ``late`` and
+    ``taken``, the others, are all rows. The work of a batch follows its rows and the open issues; no row passes through Python.
+    """
+    gap_us, delay = int(gap_sec * 1_000_000), _micros(watermark)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        open_, facts = read_state(spark, out, "open", batch_id, OPEN_SCHEMA)
+        mark = facts.get(MARK, NEVER)
+        rows = checkpointed(batch.select("os", "issue_key", "ts", "log_id", "templated", "line", "component", "pid"))
+        behind = F.coalesce(F.unix_micros("ts") < mark, F.lit(True))
+        write_batch(rows.filter(behind).select("log_id", "ts", "os", "issue_key", F.lit(mark).cast("long").alias("mark")), f"{out}/late", batch_id)
+        write_batch(rows.filter(~behind).select("log_id", "ts", "os", "issue_key"), f"{out}/taken", batch_id)
+        latest = rows.agg(F.max(F.unix_micros("ts"))).first()[0]
+        mark = max(mark, latest - delay) if latest is not None else mark
+        fresh = build_issues(rows.filter(~behind), gap_sec=gap_sec, max_logs=max_logs)
+        merged = checkpointed(merge_issues(open_.unionByName(fresh), gap_sec=gap_sec, max_logs=max_logs))
+        closed = F.ceil((F.col("last_us") + gap_us) / 1000) < mark // 1000
+        write_batch(merged.filter(closed).withColumn("logs", F.to_json("logs")), f"{out}/issues", batch_id)
+        write_batch(merged.filter(~closed), f"{out}/open", batch_id)
+        commit(spark, out, batch_id, mark=mark)
+
+    return start(logs, each, checkpoint)
+
+
+def closed_issues(spark: SparkSession, out: str) -> DataFrame:
+    """The issues that ``stream_issues`` has closed so far."""
+    return read_committed(spark, out, "issues", ISSUE_SCHEMA)
+
+
+def taken_rows(spark: SparkSession, out: str) -> DataFrame:
+    """The rows that went into issues."""
+    return read_committed(spark, out, "taken", "log_id bigint, ts timestamp, os string, issue_key string")
 
-    A row joins every open run of its key that it is nearer to than the gap, on either side, and joins
-    runs into one where it stands between them: rows may come in any order within the watermark. A run
-    is published when the watermark has passed the end of its gap, as until then an earlier row may come.
+
+def late_rows(spark: SparkSession, out: str) -> DataFrame:
+    """The rows that came behind the clock, with the clock (microseconds) of that moment."""
+    return read_committed(spark, out, "late", LATE_SCHEMA)
+
+
+def stream_cluster_candidates(assigned: DataFrame, out: str, threshold: int = 20, checkpoint: str | None = None) -> StreamingQuery:
+    """Each (os, cluster_id) once, in the micro-batch in which its log count reaches the threshold, to the table ``candidates`` under ``out``.
+
+    Counts are Spark's own streaming aggregate, partial before the shuffle; a batch gets those that have changed and
+    writes the ones over the threshold that no earlier batch has written. A replayed batch writes the same again.
     """
-    gap_us = int(gap_sec * 1_000_000)
-    rows = logs.withWatermark("ts", watermark).select(
-        "os", "issue_key", "ts", F.unix_micros("ts").alias("us"), "log_id", "templated", F.col("line").alias("raw"), "component", "pid"
-    )
-
-    def issue(key: tuple, start: int, last: int, n: int, kept: list) -> tuple:
-        logs = [dict(zip(LOG_FIELDS, log)) for log in kept]
-        return (*key, start, last, n, " \n".join(log["templated"] for log in logs), json.dumps(logs))
-
-    def add(runs: list[list], log: tuple) -> None:
-        """Runs (start, last, n, first logs) ascend; most rows come behind the last one."""
-        us, entry = log[0], list(log[1:])
-        if runs and us >= runs[-1][1]:
-            if us - runs[-1][1] < gap_us:
-                run = runs[-1]
-                run[1], run[2] = us, run[2] + 1
-                if len(run[3]) < max_logs:
-                    run[3].append(entry)
-                return
-            runs.append([us, us, 1, [entry]])
-            return
-        near = [r for r in runs if us - r[1] < gap_us and r[0] - us < gap_us]
-        kept = sorted([entry, *(e for r in near for e in r[3])], key=lambda e: (e[-1], e[0]))[:max_logs]
-        merged = [min([us, *(r[0] for r in near)]), max([us, *(r[1] for r in near)]), 1 + sum(r[2] for r in near), kept]
-        runs[:] = sorted([r for r in runs if r not in near] + [merged], key=lambda r: r[0])
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        runs = json.loads(state.get[0]) if state.exists else []
-        if not state.hasTimedOut:
-            for log in _in_order(batches, ("us", *LOG_FIELDS)):
-                add(runs, log)
-        mark = state.getCurrentWatermarkMs()
-        ends = [-(-(r[1] + gap_us) // 1000) for r in runs]
-        closed = [issue(key, *r) for r, end in zip(runs, ends) if end < mark]
-        left = [(r, end) for r, end in zip(runs, ends) if end >= mark]
-        if left:
-            state.update((json.dumps([r for r, _ in left]),))
-            state.setTimeoutTimestamp(max(min(end for _, end in left), mark + 1))
-        elif state.exists:
-            state.remove()
-        if closed:
-            yield pd.DataFrame(closed, columns=ISSUE_COLUMNS)
-
-    return rows.groupBy("os", "issue_key").applyInPandasWithState(
-        fold, ISSUE_SCHEMA, "runs string", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def _in_order(batches: Iterator[pd.DataFrame], columns: tuple[str, ...]) -> list[tuple]:
-    """A key's rows of one micro-batch as tuples, sorted by their first two columns."""
-    rows: list[tuple] = []
-    for batch in batches:
-        rows += zip(*(batch[c].tolist() for c in columns))
-    return sorted(rows, key=lambda r: r[:2])
-
-
-def stream_cluster_candidates(assigned: DataFrame, threshold: int = 20) -> DataFrame:
-    """Each (os, cluster_id) once, in the micro-batch in which its log count reaches the threshold."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else 0
-        after = before + sum(len(b) for b in batches)
-        state.update((after,))
-        if before < threshold <= after:
-            yield pd.DataFrame([key], columns=["os", "cluster_id"])
-
-    return assigned.select("os", "cluster_id", "log_id").groupBy("os", "cluster_id").applyInPandasWithState(
-        fold, "os string, cluster_id string", "n bigint", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def stream_fires(matches: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Matches that fire under their cooldown: (rule_id, cooldown_key, provider, id, ms, seq).
-
-    The last fire per (rule, key) is kept until its cooldown has run out on the event-time clock;
-    from then on the next match fires anyway, so the state holds only keys under a cooldown.
-    Matches behind the watermark are dropped.
+    counts = assigned.groupBy("os", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        reached = batch.filter(F.col("n") >= threshold).select("os", "cluster_id")
+        if exists(spark, f"{out}/candidates"):
+            written = spark.read.schema(f"{CANDIDATES}, batch_id bigint").parquet(f"{out}/candidates").filter(F.col("batch_id") < batch_id)
+            same = F.col("os").eqNullSafe(F.col("_os")) & F.col("cluster_id").eqNullSafe(F.col("_cluster"))
+            reached = reached.join(written.select(F.col("os").alias("_os"), F.col("cluster_id").alias("_cluster")), same, "left_anti")
+        write_batch(reached, f"{out}/candidates", batch_id)
+        commit(spark, out, batch_id)
+
+    return start(counts, each, checkpoint, "update")
+
+
+def stream_candidates(spark: SparkSession, out: str) -> DataFrame:
+    """The candidates written so far."""
+    return read_committed(spark, out, "candidates", CANDIDATES)
+
+
+def stream_fires(matches: DataFrame, out: str, watermark: str = WATERMARK, checkpoint: str | None = None) -> StreamingQuery:
+    """Matches that fire under their cooldown, to the tables ``fires`` (rule_id, cooldown_key, provider, id, ms, seq), ``last`` and ``late`` under ``out``.
+
+    A batch decides its own rows with the batch operator; the last fire of a (rule, key) is kept in a table until
+    its cooldown has run out on the event-time clock, from when on the next match fires anyway. Rows of a batch
+    are taken in the order of (ms, seq); matches behind the clock of the batches before go to ``late`` and do not fire.
     """
-    rows = with_cooldown_key(matches).filter(F.col("cooldown_ms") > 0)
-    rows = rows.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", watermark).select(
-        "rule_id", "cooldown_key", "provider", "id", "ms", "seq", "cooldown_ms", "ts"
-    )
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        fired, cooldown = [], 0
-        for ms, seq, cooldown, provider, id_ in _in_order(batches, ("ms", "seq", "cooldown_ms", "provider", "id")):
-            if last is None or ms - last >= cooldown:
-                last = ms
-                fired.append((*key, provider, id_, ms, seq))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + cooldown, state.getCurrentWatermarkMs() + 1))
-        if fired:
-            yield pd.DataFrame(fired, columns=["rule_id", "cooldown_key", "provider", "id", "ms", "seq"])
-
-    return rows.groupBy("rule_id", "cooldown_key").applyInPandasWithState(
-        fold,
-        "rule_id string, cooldown_key string, provider string, id string, ms bigint, seq bigint",
-        "last bigint",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    delay = _micros(watermark) // 1000
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        last, facts = read_state(spark, out, "last", batch_id, LAST_SCHEMA)
+        mark = facts.get(MARK, NEVER)
+        rows = checkpointed(with_cooldown_key(batch).filter(F.col("cooldown_ms") > 0).select("rule_id", "cooldown_key", "issue_key", "cooldown", "provider", "id", "ms", "seq"))
+        behind = F.coalesce(F.col("ms") < mark, F.lit(True))
+        write_batch(rows.filter(behind).select(*FIRE_COLUMNS), f"{out}/late", batch_id)
+        latest = rows.agg(F.max("ms")).first()[0]
+        mark = max(mark, latest - delay) if latest is not None else mark
+        fired = checkpointed(cooldown_fires(rows.filter(~behind).drop("cooldown_key"), last=last))
+        write_batch(fired.select(*FIRE_COLUMNS), f"{out}/fires", batch_id)
+        now = last.unionByName(fired.select("rule_id", "cooldown_key", F.col("ms").alias("last_ms"), "cooldown_ms")).groupBy("rule_id", "cooldown_key").agg(
+            F.max("last_ms").alias("last_ms"), F.max_by("cooldown_ms", "last_ms").alias("cooldown_ms")
+        )
+        write_batch(now.filter(F.col("last_ms") + F.col("cooldown_ms") > mark), f"{out}/last", batch_id)
+        commit(spark, out, batch_id, mark=mark)
+
+    return start(matches, each, checkpoint)
+
+
+def fires(spark: SparkSession, out: str) -> DataFrame:
+    """The fires written so far."""
+    return read_committed(spark, out, "fires", FIRE_SCHEMA)
+
+
+def late_matches(spark: SparkSession, out: str) -> DataFrame:
+    """The matches that came behind the clock."""
+    return read_committed(spark, out, "late", FIRE_SCHEMA)

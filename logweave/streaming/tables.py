@@ -1,7 +1,8 @@
 """Streams that write tables batch by batch.
 
 A micro-batch writes its own folder ``batch_id=<n>`` and overwrites it when it is replayed after a
-failure, so nothing is counted twice.
+failure, so nothing is counted twice. Where a batch writes several tables, or state that the next one starts from, it
+names itself in a log of commits when all are written; readers take the batches that are named there.
 """
 
 from __future__ import annotations
@@ -29,10 +30,50 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch_id")
 
 
-def start(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> StreamingQuery:
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def commit(spark: SparkSession, out: str, batch_id: int, **facts: int) -> None:
+    """Name a batch as finished, with whole numbers to remember: the last thing that a batch writes under ``out``.
+
+    One row in one file, which is there or not; a replayed batch writes it again.
+    """
+    fields = ", ".join(["batch bigint", *(f"{k} bigint" for k in facts)])
+    spark.createDataFrame([(batch_id, *facts.values())], fields).coalesce(1).write.mode("overwrite").parquet(f"{out}/commits/batch_id={batch_id}")
+
+
+def last_commit(spark: SparkSession, out: str, before: int | None = None) -> dict[str, int]:
+    """The facts of the last finished batch (below ``before``); empty if there is none."""
+    if not exists(spark, f"{out}/commits"):
+        return {}
+    rows = spark.read.parquet(f"{out}/commits").drop("batch_id")
+    last = (rows if before is None else rows.filter(F.col("batch") < before)).orderBy(F.col("batch").desc()).limit(1).collect()
+    return last[0].asDict() if last else {}
+
+
+def read_committed(spark: SparkSession, out: str, name: str, schema: str) -> DataFrame:
+    """The rows of table ``name`` under ``out`` from finished batches alone; a half-written batch is not read."""
+    if not exists(spark, f"{out}/commits") or not exists(spark, f"{out}/{name}"):
+        return spark.createDataFrame([], schema)
+    done = spark.read.parquet(f"{out}/commits").select(F.col("batch").alias("_done"))  # a row for each batch
+    rows = spark.read.schema(f"{schema}, batch_id bigint").parquet(f"{out}/{name}")
+    return rows.join(F.broadcast(done), F.col("batch_id") == F.col("_done"), "left_semi").drop("batch_id")
+
+
+def read_state(spark: SparkSession, out: str, name: str, batch_id: int, schema: str) -> tuple[DataFrame, dict[str, int]]:
+    """What batch ``batch_id`` starts from: table ``name`` as the last finished batch before it left it, and its facts."""
+    facts = last_commit(spark, out, batch_id)
+    if not facts:
+        return spark.createDataFrame([], schema), facts
+    return spark.read.schema(schema).parquet(f"{out}/{name}/batch_id={facts['batch']}"), facts
+
+
+def start(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str | None = None, mode: str = "append") -> StreamingQuery:
     """Run ``each`` over everything available, then stop."""
     checkpoint = checkpoint or fresh_path(df.sparkSession, "stream-checkpoint")
-    return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_to_table(df: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:

@@ -31,6 +31,8 @@ def test_fires_do_not_depend_on_the_segments(spark, segment_sec):
         rows.append((rng.choice("aabc") if seq % 50 else "never", "hot" if rng.random() < 0.4 else f"k{rng.randrange(5)}", ms, seq))
     df = spark.createDataFrame([(r, k, m, s, f"{m}-{s}", texts[r]) for r, k, m, s in rows], "rule_id string, issue_key string, ms long, seq long, id string, cooldown string")
     got = U.cooldown_fires(df, segment_sec).collect()
+    for stretch in (1, 3):
+        assert sorted(U.cooldown_fires(df, segment_sec, stretch=stretch).collect()) == sorted(got)
     assert {(r.rule_id, r.issue_key, r.ms, r.seq) for r in got} == model(rows, cooldowns)
     assert len(got) == len({(r.rule_id, r.issue_key, r.ms, r.seq) for r in got})
 

@@ -35,7 +35,8 @@ def log_rows(spark, n=400):
 def test_stream_issues_equal_batch(spark, tmp_path):
     lines = log_rows(spark)
     stream = L.parse_and_template(land(lines, tmp_path / "in", "ts", 6))
-    got = B.run_to_table(S.stream_issues(stream, max_logs=7), str(tmp_path / "out")).collect()
+    S.stream_issues(stream, str(tmp_path / "out"), max_logs=7).awaitTermination()
+    got = S.closed_issues(spark, str(tmp_path / "out")).collect()
     want = I.build_issues(L.parse_and_template(lines), max_logs=7).filter("n_logs > 0").collect()
     seen = {(r.os, r.issue_key, r.session_us, r.last_us, r.n_logs, r.templated_summary) for r in got}
     all_ = {(r.os, r.issue_key, r.session_us, r.last_us, r.n_logs, r.templated_summary) for r in want}
@@ -58,7 +59,8 @@ def test_stream_issues_equal_batch_in_any_order(spark, tmp_path):
         rng.shuffle(f)
         spark.createDataFrame(f, lines.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = B.run_to_table(S.stream_issues(L.parse_and_template(stream), max_logs=5, watermark="6 hours"), str(tmp_path / "out")).collect()
+    S.stream_issues(L.parse_and_template(stream), str(tmp_path / "out"), max_logs=5, watermark="6 hours").awaitTermination()
+    got = S.closed_issues(spark, str(tmp_path / "out")).collect()
     want = I.build_issues(whole, max_logs=5).collect()
     cols = lambda r: (r.os, r.issue_key, r.session_us, r.last_us, r.n_logs, r.templated_summary)
     last = max(r.last_us for r in want)
@@ -68,10 +70,42 @@ def test_stream_issues_equal_batch_in_any_order(spark, tmp_path):
 def test_stream_candidates_once(spark, tmp_path):
     rows = [(i, "linux", "a" if i % 3 else "b") for i in range(75)]
     df = spark.createDataFrame(rows, "log_id long, os string, cluster_id string")
-    out = B.run_to_table(S.stream_cluster_candidates(land(df, tmp_path / "in", "log_id", 5)), str(tmp_path / "out"))
-    assert sorted(tuple(r) for r in out.collect()) == [("linux", "a"), ("linux", "b")]
-    few = B.run_to_table(S.stream_cluster_candidates(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 26), str(tmp_path / "few"))
-    assert [r.cluster_id for r in few.collect()] == ["a"]
+    S.stream_cluster_candidates(land(df, tmp_path / "in", "log_id", 5), str(tmp_path / "out")).awaitTermination()
+    assert sorted(tuple(r) for r in S.stream_candidates(spark, str(tmp_path / "out")).collect()) == [("linux", "a"), ("linux", "b")]
+    S.stream_cluster_candidates(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "few"), 26).awaitTermination()
+    assert [r.cluster_id for r in S.stream_candidates(spark, str(tmp_path / "few")).collect()] == ["a"]
+
+
+def test_restarts_and_half_written_batches(spark, tmp_path):
+    """A stream that stops after any batch goes on from its commit; a batch without a commit is not read and is written anew."""
+    lines = log_rows(spark, 150)
+    rows = lines.orderBy("ts").collect()
+    files = [rows[:40], rows[40:80], rows[20:22] + rows[80:120], rows[120:]]  # two rows come again, far too late
+    out, path, checkpoint = str(tmp_path / "out"), str(tmp_path / "in"), str(tmp_path / "checkpoint")
+    for n, part in enumerate(files):
+        spark.createDataFrame(part, lines.schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(lines.schema).parquet(path)
+        S.stream_issues(L.parse_and_template(stream), out, watermark="1 hour", checkpoint=checkpoint).awaitTermination()
+        assert B.last_commit(spark, out)["batch"] == n
+    late, taken = S.late_rows(spark, out), S.taken_rows(spark, out)
+    assert sorted(r.log_id for r in late.collect()) == [rows[20].log_id, rows[21].log_id]
+    assert taken.count() == len(rows) and taken.distinct().count() == len(rows)
+    cols = lambda r: (r.os, r.issue_key, r.session_us, r.last_us, r.n_logs, r.templated_summary)
+    want = I.build_issues(L.parse_and_template(lines)).collect()
+    last = max(r.last_us for r in want)
+    got = [cols(r) for r in S.closed_issues(spark, out).collect()]
+    assert sorted(got) == sorted(cols(r) for r in want if r.last_us < last)
+    B.write_batch(S.closed_issues(spark, out), f"{out}/issues", 99)  # never committed
+    assert len(S.closed_issues(spark, out).collect()) == len(got)
+
+
+def test_a_replayed_batch_emits_nothing_twice(spark, tmp_path):
+    df = spark.createDataFrame([(i, "linux", "a") for i in range(30)], "log_id long, os string, cluster_id string")
+    out = str(tmp_path / "out")
+    for checkpoint in ("one", "two"):  # a lost checkpoint replays all batches
+        stream = land(df, tmp_path / "in", "log_id", 3) if checkpoint == "one" else spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        S.stream_cluster_candidates(stream, out, checkpoint=str(tmp_path / checkpoint)).awaitTermination()
+        assert [tuple(r) for r in S.stream_candidates(spark, out).collect()] == [("linux", "a")]
 
 
 def test_stream_fires_equal_batch(spark, tmp_path):
@@ -81,7 +115,9 @@ def test_stream_fires_equal_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "id string, ms long, seq long, os string, issue_key string, failure_type string, confidence string, result string")
     rules = [U.Rule("a", "servicenow", failure_type="power", cooldown="7s"), U.Rule("b", "pager", min_confidence=0.95), U.Rule("c", "pager", cooldown="1m")]
     stream = U.match_automations(land(df, tmp_path / "in", "ms", 5), rules)
-    got = {(r.rule_id, r.id) for r in B.run_to_table(S.stream_fires(stream), str(tmp_path / "out")).collect()}
+    S.stream_fires(stream, str(tmp_path / "out")).awaitTermination()
+    got = {(r.rule_id, r.id) for r in S.fires(spark, str(tmp_path / "out")).collect()}
+    assert S.late_matches(spark, str(tmp_path / "out")).count() == 0
     want = U.cooldown_fires(U.match_automations(df, rules), 20)
     assert got == {(r.rule_id, r.id) for r in want.collect()} and len(got) > 20
     acted = U.actions(want)
