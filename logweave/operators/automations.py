@@ -221,10 +221,11 @@ def cooldown_fires(matches: DataFrame, segment_sec: int = SEGMENT_SEC, last: Dat
     from each step to the step at which the next segment is entered, and are followed by doubling; then each
     segment replays its own fires from the moment it is free.
 
-    ``last`` has fires of before (rule_id, cooldown_key, last_ms): matches within a cooldown of them cannot fire.
+    Matches may have cooldown_key and cooldown_ms already. ``last`` has fires of before (rule_id, cooldown_key, last_ms): matches within a cooldown of them cannot fire.
     """
     keys = ["rule_id", "cooldown_key"]
-    rows = with_cooldown_key(matches).filter(F.col("cooldown_ms") > 0)
+    keyed = matches if {*keys, "cooldown_ms"} <= set(matches.columns) else with_cooldown_key(matches)
+    rows = keyed.filter(F.col("cooldown_ms") > 0)
     if last is not None:
         free = F.col("last_ms").isNull() | (F.col("ms") - F.col("last_ms") >= F.col("cooldown_ms"))
         rows = rows.join(last.select(*keys, "last_ms"), keys, "left").filter(free).drop("last_ms")
@@ -258,7 +259,7 @@ def cooldown_fires(matches: DataFrame, segment_sec: int = SEGMENT_SEC, last: Dat
             yield pdf[keys].assign(fired=fired)
 
     steps = checkpointed(cut.mapInPandas(tables, f"{names}, segment bigint, cooldown_ms bigint, until array<bigint>, fired array<bigint>"))
-    numbers = checkpointed(steps.select(*keys, "segment").withColumn("n", F.row_number().over(in_key) - 1))
+    numbers = steps.select(*keys, "segment").withColumn("n", F.row_number().over(in_key) - 1)
     placed = steps.join(numbers, [*keys, "segment"])
     following = placed.select(*keys, (F.col("n") - 1).alias("n"), F.col("until").alias("next_until"))
     linked = checkpointed(

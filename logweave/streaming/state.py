@@ -11,20 +11,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logweave.operators.automations import cooldown_fires, with_cooldown_key
 from logweave.operators.issues import INACTIVITY_SEC, MAX_LOGS, build_issues, merge_issues
-from logweave.session import checkpointed
 from logweave.streaming.tables import commit, exists, read_committed, read_state, start, write_batch
 
 WATERMARK = "10 minutes"
 MARK = "mark"
-ISSUE_KEY = "os string, issue_key string, session_us bigint, last_us bigint, n_logs bigint, templated_summary string"
-OPEN_SCHEMA = f"{ISSUE_KEY}, logs array<struct<log_id:bigint,templated:string,raw:string,component:string,pid:string,time:timestamp>>"
-ISSUE_SCHEMA = f"{ISSUE_KEY}, logs string"
-LATE_SCHEMA = "log_id bigint, ts timestamp, os string, issue_key string, mark bigint"
-
-
+ISSUE_SCHEMA = (
+    "os string, issue_key string, session_us bigint, last_us bigint, n_logs bigint, templated_summary string, "
+    "logs array<struct<log_id:bigint,templated:string,raw:string,component:string,pid:string,time:timestamp>>, closed boolean"
+)
+ROW_SCHEMA = "log_id bigint, ts timestamp, os string, issue_key string, templated string, line string, component string, pid string, late boolean, mark bigint"
 CANDIDATES = "os string, cluster_id string"
 LAST_SCHEMA = "rule_id string, cooldown_key string, last_ms bigint, cooldown_ms bigint"
 FIRE_SCHEMA = "rule_id string, cooldown_key string, provider string, id string, ms bigint, seq bigint"
+MATCH_SCHEMA = "rule_id string, cooldown_key string, cooldown_ms bigint, provider string, id string, ms bigint, seq bigint, late boolean"
 FIRE_COLUMNS = [c.split()[0] for c in FIRE_SCHEMA.split(", ")]
 #: The clock before the first row.
 NEVER = -(1 << 62)
@@ -40,49 +39,48 @@ def _micros(interval: str) -> int:
 def stream_issues(
     logs: DataFrame, out: str, gap_sec: float = INACTIVITY_SEC, max_logs: int = MAX_LOGS, watermark: str = WATERMARK, checkpoint: str | None = None
 ) -> StreamingQuery:
-    """Issues as their inactivity gap runs out on the event-time clock, to the tables ``issues``, ``open``, ``taken`` and ``late`` under ``out``.
+    """Issues as their inactivity gap runs out on the event-time clock, to the tables ``rows`` and ``issues`` under ``out``.
 
     A batch makes issues of its own rows with the batch operator and merges them with the open ones, which are
     a table; rows may come in any order. The clock stands ``watermark`` behind the latest row of the batches so far. An issue
-    is written to ``issues`` once the clock has passed the end of its gap; no row that is still taken in can belong to it then.
-    Rows behind the clock of the batches before their own, or without a time, are written to ``late`` with that clock, so that ``late`` and
-    ``taken``, the others, are all rows. The work of a batch follows its rows and the open issues; no row passes through Python.
+    is closed once the clock has passed the end of its gap; no row that is still taken in can belong to it then.
+    Rows behind the clock of the batches before their own, or without a time, are marked late in ``rows``, with that clock, and
+    are in no issue. The work of a batch follows its rows and the open issues; no row passes through Python.
     """
     gap_us, delay = int(gap_sec * 1_000_000), _micros(watermark)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        open_, facts = read_state(spark, out, "open", batch_id, OPEN_SCHEMA)
+        before, facts = read_state(spark, out, "issues", batch_id, ISSUE_SCHEMA)
         mark = facts.get(MARK, NEVER)
-        rows = checkpointed(batch.select("os", "issue_key", "ts", "log_id", "templated", "line", "component", "pid"))
         behind = F.coalesce(F.unix_micros("ts") < mark, F.lit(True))
-        write_batch(rows.filter(behind).select("log_id", "ts", "os", "issue_key", F.lit(mark).cast("long").alias("mark")), f"{out}/late", batch_id)
-        write_batch(rows.filter(~behind).select("log_id", "ts", "os", "issue_key"), f"{out}/taken", batch_id)
+        fields = batch.select("log_id", "ts", "os", "issue_key", "templated", "line", "component", "pid")
+        write_batch(fields.withColumns({"late": behind, "mark": F.lit(mark).cast("long")}), f"{out}/rows", batch_id)
+        rows = spark.read.schema(ROW_SCHEMA).parquet(f"{out}/rows/batch_id={batch_id}")
         latest = rows.agg(F.max(F.unix_micros("ts"))).first()[0]
         mark = max(mark, latest - delay) if latest is not None else mark
-        fresh = build_issues(rows.filter(~behind), gap_sec=gap_sec, max_logs=max_logs)
-        merged = checkpointed(merge_issues(open_.unionByName(fresh), gap_sec=gap_sec, max_logs=max_logs))
+        fresh = build_issues(rows.filter("not late"), gap_sec=gap_sec, max_logs=max_logs)
+        merged = merge_issues(before.filter("not closed").drop("closed").unionByName(fresh), gap_sec=gap_sec, max_logs=max_logs)
         closed = F.ceil((F.col("last_us") + gap_us) / 1000) < mark // 1000
-        write_batch(merged.filter(closed).withColumn("logs", F.to_json("logs")), f"{out}/issues", batch_id)
-        write_batch(merged.filter(~closed), f"{out}/open", batch_id)
+        write_batch(merged.withColumn("closed", closed), f"{out}/issues", batch_id)
         commit(spark, out, batch_id, mark=mark)
 
     return start(logs, each, checkpoint)
 
 
 def closed_issues(spark: SparkSession, out: str) -> DataFrame:
-    """The issues that ``stream_issues`` has closed so far."""
-    return read_committed(spark, out, "issues", ISSUE_SCHEMA)
+    """The issues that ``stream_issues`` has closed so far, their logs as JSON text."""
+    return read_committed(spark, out, "issues", ISSUE_SCHEMA).filter("closed").drop("closed").withColumn("logs", F.to_json("logs"))
 
 
 def taken_rows(spark: SparkSession, out: str) -> DataFrame:
     """The rows that went into issues."""
-    return read_committed(spark, out, "taken", "log_id bigint, ts timestamp, os string, issue_key string")
+    return read_committed(spark, out, "rows", ROW_SCHEMA).filter("not late").drop("late", "mark")
 
 
 def late_rows(spark: SparkSession, out: str) -> DataFrame:
     """The rows that came behind the clock, with the clock (microseconds) of that moment."""
-    return read_committed(spark, out, "late", LATE_SCHEMA)
+    return read_committed(spark, out, "rows", ROW_SCHEMA).filter("late").drop("late")
 
 
 def stream_cluster_candidates(assigned: DataFrame, out: str, threshold: int = 20, checkpoint: str | None = None) -> StreamingQuery:
@@ -112,11 +110,11 @@ def stream_candidates(spark: SparkSession, out: str) -> DataFrame:
 
 
 def stream_fires(matches: DataFrame, out: str, watermark: str = WATERMARK, checkpoint: str | None = None) -> StreamingQuery:
-    """Matches that fire under their cooldown, to the tables ``fires`` (rule_id, cooldown_key, provider, id, ms, seq), ``last`` and ``late`` under ``out``.
+    """Matches that fire under their cooldown, to the tables ``matches``, ``fires`` (rule_id, cooldown_key, provider, id, ms, seq) and ``last`` under ``out``.
 
     A batch decides its own rows with the batch operator; the last fire of a (rule, key) is kept in a table until
     its cooldown has run out on the event-time clock, from when on the next match fires anyway. Rows of a batch
-    are taken in the order of (ms, seq); matches behind the clock of the batches before go to ``late`` and do not fire.
+    are taken in the order of (ms, seq); matches behind the clock of the batches before are marked late and do not fire.
     """
     delay = _micros(watermark) // 1000
 
@@ -124,13 +122,13 @@ def stream_fires(matches: DataFrame, out: str, watermark: str = WATERMARK, check
         spark = batch.sparkSession
         last, facts = read_state(spark, out, "last", batch_id, LAST_SCHEMA)
         mark = facts.get(MARK, NEVER)
-        rows = checkpointed(with_cooldown_key(batch).filter(F.col("cooldown_ms") > 0).select("rule_id", "cooldown_key", "issue_key", "cooldown", "provider", "id", "ms", "seq"))
-        behind = F.coalesce(F.col("ms") < mark, F.lit(True))
-        write_batch(rows.filter(behind).select(*FIRE_COLUMNS), f"{out}/late", batch_id)
+        keyed = with_cooldown_key(batch).filter(F.col("cooldown_ms") > 0).withColumn("late", F.coalesce(F.col("ms") < mark, F.lit(True)))
+        write_batch(keyed.select(*[f.split()[0] for f in MATCH_SCHEMA.split(", ")]), f"{out}/matches", batch_id)
+        rows = spark.read.schema(MATCH_SCHEMA).parquet(f"{out}/matches/batch_id={batch_id}")
         latest = rows.agg(F.max("ms")).first()[0]
         mark = max(mark, latest - delay) if latest is not None else mark
-        fired = checkpointed(cooldown_fires(rows.filter(~behind).drop("cooldown_key"), last=last))
-        write_batch(fired.select(*FIRE_COLUMNS), f"{out}/fires", batch_id)
+        write_batch(cooldown_fires(rows.filter("not late"), last=last).select(*FIRE_COLUMNS, "cooldown_ms"), f"{out}/fires", batch_id)
+        fired = spark.read.schema(f"{FIRE_SCHEMA}, cooldown_ms bigint").parquet(f"{out}/fires/batch_id={batch_id}")
         now = last.unionByName(fired.select("rule_id", "cooldown_key", F.col("ms").alias("last_ms"), "cooldown_ms")).groupBy("rule_id", "cooldown_key").agg(
             F.max("last_ms").alias("last_ms"), F.max_by("cooldown_ms", "last_ms").alias("cooldown_ms")
         )
@@ -147,4 +145,4 @@ def fires(spark: SparkSession, out: str) -> DataFrame:
 
 def late_matches(spark: SparkSession, out: str) -> DataFrame:
     """The matches that came behind the clock."""
-    return read_committed(spark, out, "late", FIRE_SCHEMA)
+    return read_committed(spark, out, "matches", MATCH_SCHEMA).filter("late").drop("late")
