@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logweave.functions.vectors import unit
 
 DIMENSIONS = 64
+BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
@@ -25,7 +24,7 @@ def embed_text(
 ) -> DataFrame:
     """Add ``out``: array<double> of the text; null text counts as empty.
 
-    A user embedder is called once per Arrow batch. The default stays inside the JVM.
+    A user embedder is called once per Arrow batch. The default counts hashed tokens in one projection.
     """
     filled = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     if embedder is not None:
@@ -33,15 +32,20 @@ def embed_text(
         if normalize:
             made = made.withColumn(out, unit(F.col(out)))
         return made.drop("_text")
-    tokens = Tokenizer(inputCol="_text", outputCol="_tokens").transform(filled)
-    # splitting at blanks leaves an empty token for empty text and for blanks in front
-    tokens = tokens.withColumn("_tokens", F.array_remove("_tokens", ""))
-    made = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dimensions).transform(tokens)
-    vector = "_tf"
+    made = filled.withColumn("_buckets", token_buckets(F.col("_text"), dimensions))
+    counts = F.transform(
+        F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: (F.size("_buckets") - F.size(F.array_remove("_buckets", d))).cast("double")
+    )
+    made = made.withColumn(out, counts)
     if normalize:
-        made = Normalizer(inputCol="_tf", outputCol="_unit").transform(made)
-        vector = "_unit"
-    return made.withColumn(out, vector_to_array(F.col(vector))).drop("_text", "_tokens", "_tf", "_unit")
+        made = made.withColumn(out, unit(F.col(out)))
+    return made.drop("_text", "_buckets")
+
+
+def token_buckets(text: Column, dimensions: int = DIMENSIONS) -> Column:
+    """The dimension of every token, by the first eight hex digits of its md5; tokens are runs of non-blanks, lower case."""
+    tokens = F.array_remove(F.split(F.lower(text), BLANKS), "")
+    return F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dimensions)).cast("int"))
 
 
 def _call(embedder: Embedder):

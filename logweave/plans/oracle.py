@@ -213,3 +213,54 @@ entries AS (
   SELECT *, (last_us + 120000000) // 1000 AS ms,
     (last_us + 120000000) // 1000 || '-' || substr(sha1(os || '|' || issue_key || '|' || session_us), 1, 12) AS id
   FROM issues)"""
+
+
+def text_vectors(source: str, keys: str, text: str, out: str) -> str:
+    """CTE ``out``: rows of ``source`` with ``v``, the unit vector of hashed token counts of ``text``; ``keys`` name a row."""
+    return f"""
+{out}_tok AS (SELECT {keys}, unnest(list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda t: t <> '')) AS t FROM {source}),
+{out}_cnt AS (SELECT {keys}, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS d, count(*)::DOUBLE AS c FROM {out}_tok GROUP BY ALL),
+{out}_map AS (SELECT {keys}, sqrt(sum(c * c)) AS len, list(d) AS ds, list(c) AS cs FROM {out}_cnt GROUP BY ALL),
+{out} AS (SELECT s.*, [coalesce(m.cs[list_position(m.ds, x)], 0.0) / coalesce(m.len, 1.0) for x in range(64)] AS v FROM {source} s LEFT JOIN {out}_map m USING ({keys}))"""
+
+
+def first_seeds(rows: str, pairs: str, threshold: float, name: str) -> str:
+    """CTE ``name`` (os, n): numbered rows (os, n) that have no earlier seed of their OS within the threshold, by ``pairs`` (os, a, b, distance)."""
+    return f"""
+{name}_nb AS MATERIALIZED (SELECT r.os, r.n, list(p.a) FILTER (WHERE p.a IS NOT NULL) AS earlier FROM {rows} r
+  LEFT JOIN {pairs} p ON p.os = r.os AND p.b = r.n AND p.a < p.b AND p.distance <= {threshold} GROUP BY r.os, r.n),
+{name}_walk AS (SELECT DISTINCT os, 0::BIGINT AS n, []::BIGINT[] AS seeds FROM {name}_nb UNION ALL
+  SELECT w.os, w.n + 1, CASE WHEN list_has_any(w.seeds, coalesce(b.earlier, []::BIGINT[])) THEN w.seeds ELSE list_append(w.seeds, w.n + 1) END
+  FROM {name}_walk w JOIN {name}_nb b ON b.os = w.os AND b.n = w.n + 1),
+{name} AS MATERIALIZED (SELECT os, unnest(arg_max(seeds, n)) AS n FROM {name}_walk GROUP BY os)"""
+
+
+def close_pairs(rows: str, name: str) -> str:
+    """CTE ``name`` (os, a, b, distance): pairs of numbered rows (os, n, v) with a common dimension, a row with itself included."""
+    return f"""
+{name}_x AS MATERIALIZED (SELECT * FROM (SELECT os, n, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM {rows}) WHERE x <> 0),
+{name} AS MATERIALIZED (SELECT a.os, a.n AS a, b.n AS b, round(1.0 - greatest(-1.0, least(1.0, sum(a.x * b.x))), 6) AS distance
+  FROM {name}_x a JOIN {name}_x b ON a.os = b.os AND a.pos = b.pos GROUP BY a.os, a.n, b.n HAVING distance <= 0.25)"""
+
+
+#: Masked lines, the prototypes of their clusters, and the cluster of every masked line.
+TEXT_CLUSTERS = PARSED + """,
+texts AS MATERIALIZED (SELECT os, templated, min(log_id) AS first_log FROM parsed GROUP BY os, templated),""" + text_vectors("texts", "os, templated", "templated", "tv") + """,
+ranked_texts AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY os ORDER BY first_log) AS n FROM tv),""" + close_pairs("ranked_texts", "near_pair") + "," + first_seeds("ranked_texts", "near_pair", 0.2, "seed") + f""",
+joined AS (SELECT t.os, t.first_log, t.templated, t.v, s.first_log::VARCHAR AS cluster,
+    row_number() OVER (PARTITION BY t.os, t.n ORDER BY p.distance, s.first_log::VARCHAR) AS r
+  FROM ranked_texts t JOIN near_pair p ON p.os = t.os AND p.b = t.n JOIN seed d ON d.os = t.os AND d.n = p.a JOIN ranked_texts s ON s.os = d.os AND s.n = d.n),
+members AS (SELECT *, count(*) OVER (PARTITION BY os, cluster) AS size FROM joined WHERE r = 1),
+kept AS (SELECT * FROM members WHERE size >= 5),
+spread_members AS (SELECT os, cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM kept),
+mean_members AS (SELECT os, cluster, pos, avg(x) AS m FROM spread_members GROUP BY ALL),
+list_members AS (SELECT os, cluster, list(m ORDER BY pos) AS mean FROM mean_members GROUP BY ALL),
+text_protos AS MATERIALIZED (SELECT os, 'cluster_' || cluster AS cluster_id, [x / sqrt(list_inner_product(mean, mean)) for x in mean] AS centroid FROM list_members),
+to_protos AS MATERIALIZED (SELECT t.os, t.templated, p.cluster_id, {distance('t.v', 'p.centroid')} AS distance FROM ranked_texts t JOIN text_protos p ON p.os = t.os),
+near_texts AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY os, templated ORDER BY distance, cluster_id) AS r FROM to_protos) WHERE r = 1 AND distance <= 0.25),
+open_texts AS MATERIALIZED (SELECT t.os, t.templated, t.v, 'cluster_' || sha1(t.os || '|' || t.templated) AS own_id, row_number() OVER (PARTITION BY t.os ORDER BY t.first_log) AS n
+  FROM ranked_texts t LEFT JOIN near_texts c USING (os, templated) WHERE c.cluster_id IS NULL),""" + close_pairs("open_texts", "open_pair") + "," + first_seeds("open_texts", "open_pair", 0.25, "online") + """,
+own_texts AS (SELECT * FROM (SELECT t.os, t.templated, s.own_id AS cluster_id, p.distance,
+    row_number() OVER (PARTITION BY t.os, t.n ORDER BY p.distance, s.own_id) AS r
+  FROM open_texts t JOIN open_pair p ON p.os = t.os AND p.b = t.n JOIN online o ON o.os = t.os AND o.n = p.a JOIN open_texts s ON s.os = o.os AND s.n = o.n) WHERE r = 1),
+text_clusters AS (SELECT os, templated, cluster_id, distance FROM near_texts UNION ALL SELECT os, templated, cluster_id, distance FROM own_texts)"""

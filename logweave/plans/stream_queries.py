@@ -139,7 +139,7 @@ def stream_consume_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("log_id", "name", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
-@query("stream_assign")
+@query("stream_assign", f"WITH RECURSIVE {O.TEXT_CLUSTERS} SELECT log_id, os, cluster_id FROM parsed LEFT JOIN text_clusters USING (os, templated)")
 def stream_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster ids given to streamed lines while the prototype table grows."""
     table, out = fresh_path(spark, "prototypes"), fresh_path(spark, "assigned")

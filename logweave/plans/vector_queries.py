@@ -276,20 +276,26 @@ def text_prototypes(logs: DataFrame) -> DataFrame:
     return checkpointed(C.cluster_templates(text_templates(logs).withColumnRenamed("template_id", "id")))
 
 
-@query("embed_text")
+@query(
+    "embed_text",
+    f"""WITH {O.text_vectors('documents', 'doc_id', 'text', 'tv')}, x AS (SELECT doc_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS pos, round(unnest(v), 6) AS x FROM tv)
+    SELECT * FROM x WHERE x <> 0""",
+)
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = B.embed_text(X.text_table(spark, sf_dir, "documents"), "text")
-    return docs.select("doc_id", F.size("embedding").alias("dimensions"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 6).alias("length"))
+    """The components of every document's vector that are not zero."""
+    docs = B.embed_text(X.text_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    # the outer form: Spark guards an inner one with a filter that computes the vector twice
+    return docs.select("doc_id", F.posexplode_outer("embedding").alias("pos", "x")).withColumn("x", F.round("x", 6)).filter("x <> 0")
 
 
-@query("assign_clusters")
+@query("assign_clusters", f"WITH RECURSIVE {O.TEXT_CLUSTERS} SELECT os, templated, cluster_id, distance FROM text_clusters")
 def assign_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = templated_logs(spark, sf_dir)
     assigned, _ = C.assign_clusters(logs, text_prototypes(logs))
     return assigned
 
 
-@query("logs_with_cluster")
+@query("logs_with_cluster", f"WITH RECURSIVE {O.TEXT_CLUSTERS} SELECT log_id, os, cluster_id FROM parsed LEFT JOIN text_clusters USING (os, templated)")
 def logs_with_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = templated_logs(spark, sf_dir)
     assigned, _ = C.assign_clusters(logs, text_prototypes(logs))
