@@ -94,8 +94,12 @@ def cluster_context(rows: DataFrame, neighbors: Column, retrieved: Column) -> Da
     return rows.withColumns({"recent": bullets(retrieved, 50), "examples": bullets(neighbors, 8)})
 
 
+#: Columns that a classifier is shown, where a row has them: an issue, a cluster with its medoid, or a line.
+CONTEXT = ("os", "cluster_id", "medoid_document", "line", "templated", "recent", "examples", "extra")
+
+
 def line_context(rows: DataFrame, neighbors: Column) -> DataFrame:
-    """Add the five neighbours shown for a single line."""
+    """Add the five neighbours shown for a single line (line, templated)."""
     return rows.withColumn("examples", bullets(neighbors, 5))
 
 
@@ -124,7 +128,7 @@ def classify(rows: DataFrame, texts: Column, classifier: Classifier | None = Non
     """Add ``result`` as JSON text; a user classifier gets the row's context columns as a dict."""
     if classifier is None:
         return rows.withColumn("_texts", texts).withColumn("result", F.to_json(keyword_result(F.col("_texts")))).drop("_texts")
-    names = [c for c in ("os", "recent", "examples", "extra") if c in rows.columns]
+    names = [c for c in CONTEXT if c in rows.columns]
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:

@@ -203,3 +203,20 @@ def stream_enrich_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = checkpointed(protos.unionByName(created))
     B.enrich_cluster_stream(stream, known, checkpointed(VQ.text_templates(logs)), items, out, relabelled).awaitTermination()
     return B.read_table(spark, out).select("os", "cluster_id", "type", "failure_type")
+
+
+@query(
+    "stream_totals",
+    f"""WITH {MQ.ALL_LINES}, t AS (SELECT CASE origin WHEN 'snmp' THEN 0 ELSE 1 END AS batch, name, value, time_unix_nano FROM ({MQ.ALL_ROWS}) WHERE origin <> 'agent')
+    SELECT batch::BIGINT AS batch, count(value) AS exported, max(CASE WHEN value IS NOT NULL THEN time_unix_nano END) AS exported_nano,
+      count(*) FILTER (WHERE starts_with(name, 'redfish.')) AS redfish, max(CASE WHEN starts_with(name, 'redfish.') THEN time_unix_nano END) AS redfish_nano FROM t GROUP BY 1""",
+)
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of export and Redfish of two batches: device readings, then sensor payloads."""
+    out, landed, checkpoint = fresh_path(spark, "consume"), fresh_path(spark, "landed"), fresh_path(spark, "stream-checkpoint")
+
+    def run(stream: DataFrame) -> None:
+        B.consume(stream, X.sources(spark, sf_dir), X.prototypes(spark, sf_dir), out, checkpoint=checkpoint).awaitTermination()
+
+    X.land_parts([MQ.snmp_lines(spark, sf_dir), MQ.sensor_lines(spark, sf_dir)], landed, run)
+    return B.batch_totals(spark, out)

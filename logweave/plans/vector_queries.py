@@ -369,6 +369,45 @@ def issue_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.issue_context(found, texts, texts, texts).select("os", "issue_key", "session_us", "recent", "examples", "extra")
 
 
+NEAR_TEXTS = f"""n AS ({_nearest_sql('logs', 'known', 'vec_id', 'vec_id', 8).replace('q.vec_id, i.vec_id,', 'q.vec_id AS qid, i.vec_id AS iid,').replace('SELECT vec_id AS q, vec_id AS i', 'SELECT qid AS q, iid AS i')}),
+shown AS (SELECT n.q, n.rank, '- template ' || k.label AS line FROM n JOIN known k ON k.vec_id = n.i)"""
+
+
+def _near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight template texts nearest to each log, in the order of their distance."""
+    near = N.template_neighbors(X.vector_logs(spark, sf_dir), X.vector_templates(spark, sf_dir), "log_id")
+    return near.groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct("rank", "document")))["document"].alias("near"))
+
+
+@query(
+    "line_context",
+    f"""WITH {O.VECTORS}, {NEAR_TEXTS} SELECT l.vec_id AS log_id, l.os, coalesce(string_agg(s.line, chr(10) ORDER BY s.rank) FILTER (WHERE s.rank <= 5), '') AS examples
+    FROM logs l LEFT JOIN shown s ON s.q = l.vec_id GROUP BY 1, 2""",
+)
+def line_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a classifier of single lines is shown: the five nearest templates."""
+    rows = X.vector_logs(spark, sf_dir).select("log_id", "os").join(_near_texts(spark, sf_dir), "log_id", "left")
+    return N.line_context(rows, F.col("near")).drop("near")
+
+
+@query(
+    "cluster_context",
+    f"""WITH {O.VECTORS}, {NEAR_TEXTS}, r AS (SELECT a.vec_id AS owner, l.vec_id AS log_id, {O.distance('a.v', 'l.v')} AS distance FROM logs a JOIN logs l ON a.os = l.os AND a.label = l.label),
+    k AS (SELECT owner, log_id, row_number() OVER (PARTITION BY owner ORDER BY distance, log_id) AS rank FROM r),
+    t AS (SELECT owner, string_agg('- log ' || log_id, chr(10) ORDER BY rank) AS recent FROM k WHERE rank <= 10 GROUP BY 1),
+    e AS (SELECT q, string_agg(line, chr(10) ORDER BY rank) AS examples FROM shown GROUP BY 1)
+    SELECT l.vec_id AS log_id, l.os, 'k' || l.label AS cluster_id, coalesce(t.recent, '') AS recent, coalesce(e.examples, '') AS examples
+    FROM logs l LEFT JOIN t ON t.owner = l.vec_id LEFT JOIN e ON e.q = l.vec_id""",
+)
+def cluster_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a classifier of clusters is shown: ten logs of the cluster near its medoid (here every log stands for one), eight templates."""
+    logs = X.vector_logs(spark, sf_dir)
+    asked = logs.select(F.col("log_id").alias("owner_id"), "os", "cluster_id", F.lit(0).alias("q_no"), "embedding")
+    found = N.retrieve_cluster_logs(asked, logs).groupBy(F.col("owner_id").alias("log_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "document")))["document"].alias("found"))
+    rows = logs.select("log_id", "os", "cluster_id").join(_near_texts(spark, sf_dir), "log_id", "left").join(found, "log_id", "left")
+    return N.cluster_context(rows, F.col("near"), F.col("found")).drop("near", "found")
+
+
 @query("enrich_issues")
 def enrich_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues to alerts: neighbours, retrieval, classification."""

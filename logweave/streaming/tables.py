@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logweave.operators import alerts as A, clustering as C, enrichment as N, logs as L, metrics as M
@@ -35,7 +35,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def commit(spark: SparkSession, out: str, batch_id: int, **facts: int) -> None:
+def commit(spark: SparkSession, out: str, batch_id: int, **facts: int | None) -> None:
     """Name a batch as finished, with whole numbers to remember: the last thing that a batch writes under ``out``.
 
     One row in one file, which is there or not; a replayed batch writes it again.
@@ -105,13 +105,21 @@ def consume(
     threshold: float = L.PROTOTYPE_THRESHOLD,
     embedder: Embedder | None = None,
     export_limit: int | None = None,
+    checkpoint: str | None = None,
 ) -> StreamingQuery:
     """Lines to the tables ``metrics``, ``exported``, ``logs``, ``vectors`` and ``candidates`` under ``out``.
 
     Each distinct masked text of a batch is embedded and looked up once; ``vectors`` has a row for each
-    line with text, the rows that retrieval reads. ``export_limit`` counts the points of one line.
+    line with text, the rows that retrieval reads. ``export_limit`` counts the points of one line. The commit of a batch
+    holds its totals: points exported and Redfish points normalised, with their latest times.
     """
-    return start(lines, lambda batch, batch_id: _consume_batch(batch, batch_id, sources, prototypes, out, threshold, embedder, export_limit))
+    each = lambda batch, batch_id: _consume_batch(batch, batch_id, sources, prototypes, out, threshold, embedder, export_limit)
+    return start(lines, each, checkpoint)
+
+
+def batch_totals(spark: SparkSession, out: str) -> DataFrame:
+    """One row for each finished batch of a consumer: batch, exported, exported_nano, redfish, redfish_nano (null times: no point)."""
+    return spark.read.parquet(f"{out}/commits").select("batch", "exported", "exported_nano", "redfish", "redfish_nano")
 
 
 def consume_envelopes(raw: DataFrame, sources: DataFrame, prototypes: DataFrame, out: str, value: str = "value") -> StreamingQuery:
@@ -132,8 +140,14 @@ def _consume_batch(
     points = M.with_points(spread(batch), sources).persist()
     try:
         metrics, rest = M.split_metrics_logs(points)
-        write_batch(M.metric_stream_rows(metrics), f"{out}/metrics", batch_id)
-        write_batch(M.metric_export_rows(metrics, export_limit), f"{out}/exported", batch_id)
+        # totals are gathered while the tables are written, without another pass
+        time = F.col("time_unix_nano").cast("bigint")
+        is_redfish = F.col("name").startswith("redfish.")
+        normalized, exported = Observation(f"normalized-{batch_id}"), Observation(f"exported-{batch_id}")
+        seen = metrics.observe(normalized, F.count_if(is_redfish).alias("n"), F.max(F.when(is_redfish, time)).alias("last"))
+        write_batch(M.metric_stream_rows(seen), f"{out}/metrics", batch_id)
+        sent = M.metric_export_rows(metrics, export_limit).observe(exported, F.count(F.lit(1)).alias("n"), F.max(time).alias("last"))
+        write_batch(sent, f"{out}/exported", batch_id)
         write_batch(L.with_signals(L.parse_and_template(rest)), f"{out}/logs", batch_id)
     finally:
         points.unpersist()
@@ -142,6 +156,9 @@ def _consume_batch(
     vectors = logs.join(texts, ["os", "templated"]).select("os", "log_id", F.col("templated").alias("document"), "embedding")
     write_batch(vectors, f"{out}/vectors", batch_id)
     write_batch(L.line_candidates(_with_nearest(logs, texts, prototypes), threshold), f"{out}/candidates", batch_id)
+    found = {"exported": exported.get, "redfish": normalized.get}
+    facts = {k: v for name, o in found.items() for k, v in ((name, o.get("n", 0)), (f"{name}_nano", o.get("last")))}
+    commit(batch.sparkSession, out, batch_id, **facts)
 
 
 def with_nearest(logs: DataFrame, prototypes: DataFrame, embedder: Embedder | None = None) -> DataFrame:
