@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from logweave.llm.stretches import IdStore, cut_texts, text_slices
 from logweave.llm.words import worker_state
 
-#: Kept stretches, and pieces of them, per Python worker; a full memory is emptied, which costs time and changes no id.
-MEMORY = 800_000
+#: Kept stretches, and pieces of them, per Python worker (about 150 MB); what a full memory forgets costs time and changes no id.
+MEMORY, PIECES = 500_000, 100_000
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -75,7 +75,7 @@ class Encoder:
     def _ids(self, piece: str) -> list[int]:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= MEMORY:
+            if len(self.pieces) >= PIECES:
                 self.pieces.clear()
             found = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.written))]
         return found
