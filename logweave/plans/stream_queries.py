@@ -8,6 +8,7 @@ from logweave.operators import automations as U, clustering as C, issues as I, l
 from logweave.plans import alert_queries as AQ, fixtures as X, line_queries as LQ, metric_queries as MQ, oracle as O, vector_queries as VQ
 from logweave.plans.registry import query
 from logweave.session import checkpointed, fresh_path
+from logweave.sources.tail import follow_text_logs
 from logweave.streaming import state as S, tables as B
 
 
@@ -220,3 +221,14 @@ def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     X.land_parts([MQ.snmp_lines(spark, sf_dir), MQ.sensor_lines(spark, sf_dir)], landed, run)
     return B.batch_totals(spark, out)
+
+
+@query("stream_follow", f"WITH {O.LINES} SELECT trim(line) AS line, count(*) AS n FROM log_lines GROUP BY 1")
+def stream_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a growing folder, followed by bytes over two runs of one stream."""
+    landed, out, checkpoint = fresh_path(spark, "text"), fresh_path(spark, "followed"), fresh_path(spark, "stream-checkpoint")
+    lines = X.log_lines(spark, sf_dir)
+    for part in range(2):
+        lines.filter(F.pmod("log_id", F.lit(2)) == part).select("line").write.mode("append").text(landed)
+        followed = B.run_to_table(follow_text_logs(spark, landed, "part-*"), out, checkpoint)
+    return followed.groupBy("line").agg(F.count(F.lit(1)).alias("n"))

@@ -37,7 +37,7 @@ def scan_text_logs(spark: SparkSession, path: str, glob: str | None = None) -> D
 
 
 def stream_text_logs(spark: SparkSession, path: str, glob: str | None = None, files_per_trigger: int = 1000) -> DataFrame:
-    """The same as a stream: every new file is read once (growing files are not followed)."""
+    """The same as a stream: every new file is read once. ``tail.follow_text_logs`` follows growing files."""
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
