@@ -264,3 +264,22 @@ own_texts AS (SELECT * FROM (SELECT t.os, t.templated, s.own_id AS cluster_id, p
     row_number() OVER (PARTITION BY t.os, t.n ORDER BY p.distance, s.own_id) AS r
   FROM open_texts t JOIN open_pair p ON p.os = t.os AND p.b = t.n JOIN online o ON o.os = t.os AND o.n = p.a JOIN open_texts s ON s.os = o.os AND s.n = o.n) WHERE r = 1),
 text_clusters AS (SELECT os, templated, cluster_id, distance FROM near_texts UNION ALL SELECT os, templated, cluster_id, distance FROM own_texts)"""
+
+#: What a classification of clusters that reached twenty logs sees: the medoid, then the ten logs nearest to it; the majority label wins.
+CLUSTER_RESULTS = TEXT_CLUSTERS + f""",
+cand AS (SELECT os, cluster_id FROM parsed JOIN text_clusters USING (os, templated) GROUP BY os, cluster_id HAVING count(*) >= 20),
+med AS (SELECT os, cluster_id, templated AS medoid FROM (SELECT k.os, p.cluster_id, k.templated,
+      row_number() OVER (PARTITION BY k.os, k.cluster ORDER BY {distance('k.v', 'p.centroid')}, k.first_log::VARCHAR) AS r
+    FROM kept k JOIN text_protos p ON p.os = k.os AND p.cluster_id = 'cluster_' || k.cluster) WHERE r = 1
+  UNION ALL SELECT os, own_id, templated FROM open_texts JOIN online USING (os, n)),
+shown AS MATERIALIZED (SELECT c.os, c.cluster_id, coalesce(med.medoid, '') AS medoid_document, t.v FROM cand c LEFT JOIN med USING (os, cluster_id) LEFT JOIN tv t ON t.os = c.os AND t.templated = med.medoid),
+apart AS MATERIALIZED (SELECT s.os, s.cluster_id, t.templated, {distance('s.v', 't.v')} AS distance
+  FROM shown s JOIN text_clusters c ON c.os = s.os AND c.cluster_id = s.cluster_id JOIN tv t ON t.os = c.os AND t.templated = c.templated),
+found AS (SELECT a.os, a.cluster_id, p.templated AS text, row_number() OVER (PARTITION BY a.os, a.cluster_id ORDER BY a.distance, p.log_id) AS rank
+  FROM apart a JOIN parsed p ON p.os = a.os AND p.templated = a.templated),
+seen AS (SELECT os, cluster_id, 0 AS rank, medoid_document AS text FROM shown UNION ALL SELECT os, cluster_id, rank, text FROM found WHERE rank <= 10),
+judged AS (SELECT os, cluster_id, rank, {labels('text')} AS ev FROM seen),
+votes AS (SELECT os, cluster_id, ev[1] AS label, count(*) AS n, min(rank) AS first FROM judged WHERE len(ev) > 0 GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY os, cluster_id ORDER BY n DESC, first) AS r FROM votes),
+cluster_results AS (SELECT s.os, s.cluster_id, s.medoid_document, coalesce(b.label, 'unknown') AS failure_type
+  FROM shown s LEFT JOIN best b ON b.os = s.os AND b.cluster_id = s.cluster_id AND b.r = 1)"""

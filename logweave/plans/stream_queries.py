@@ -189,7 +189,7 @@ def stream_enrich_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.select("os", "issue_key", "seq", "type", F.array_join(F.col("log_ids").cast("array<string>"), ",").alias("log_ids"))
 
 
-@query("stream_enrich_clusters")
+@query("stream_enrich_clusters", f"WITH RECURSIVE {O.CLUSTER_RESULTS} SELECT os, cluster_id, 'cluster' AS type, failure_type FROM cluster_results")
 def stream_enrich_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster candidates on a stream to alerts."""
     logs = VQ.templated_logs(spark, sf_dir)

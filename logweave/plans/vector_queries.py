@@ -408,7 +408,16 @@ def cluster_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.cluster_context(rows, F.col("near"), F.col("found")).drop("near", "found")
 
 
-@query("enrich_issues")
+@query(
+    "enrich_issues",
+    f"""WITH {O.ISSUES}, l AS (SELECT os, issue_key, session_us, rn, {O.labels("templated || ' ' || line")} AS ev FROM ranked WHERE rn <= 50),
+    v AS (SELECT os, issue_key, session_us, ev[1] AS label, count(*) AS n, min(rn) AS first FROM l WHERE len(ev) > 0 GROUP BY ALL),
+    b AS (SELECT *, row_number() OVER (PARTITION BY os, issue_key, session_us ORDER BY n DESC, first) AS r FROM v),
+    s AS (SELECT os, issue_key, session_us, count(*) AS n_logs FROM l GROUP BY ALL)
+    SELECT s.os || '|' || s.issue_key || '|' || s.session_us AS id, coalesce(b.label, 'unknown') AS failure_type,
+      coalesce(round(b.n / s.n_logs, 4), 0.0) AS confidence, CAST(s.n_logs AS INTEGER) AS n_logs
+    FROM s LEFT JOIN b ON b.os = s.os AND b.issue_key = s.issue_key AND b.session_us = s.session_us AND b.r = 1""",
+)
 def enrich_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues to alerts: neighbours, retrieval, classification."""
     lines = templated_logs(spark, sf_dir)
@@ -428,7 +437,7 @@ def text_templates(logs: DataFrame) -> DataFrame:
     )
 
 
-@query("enrich_clusters")
+@query("enrich_clusters", f"WITH RECURSIVE {O.CLUSTER_RESULTS} SELECT os, cluster_id, medoid_document, failure_type FROM cluster_results")
 def enrich_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters that reached twenty logs to alerts."""
     logs = templated_logs(spark, sf_dir)
