@@ -27,6 +27,8 @@ MAX_LABELLED = 20_000
 LEAST_TEXTS = 3
 #: Log-likelihood ratio below which a voter may well be chance among some hundred thousand candidates.
 LEAST_RATIO = 18.0
+#: How many times as often a voter must occur in toxic texts as in clean ones.
+TIMES = 20
 #: Lengths of word beginnings that can become voters.
 BEGINNINGS = (4, 5, 6, 7)
 #: How many different words with a beginning a voter may ask for.
@@ -97,7 +99,7 @@ def choose_voters(sample: DataFrame, toxic: int, clean: int) -> list[str]:
     ratio = part(a, (a + b) * toxic / all_) + part(b, (a + b) * clean / all_)
     ratio += part(toxic - a, (all_ - a - b) * toxic / all_) + part(clean - b, (all_ - a - b) * clean / all_)
     best = (
-        _counted(sample).filter((F.col("toxic") >= LEAST_TEXTS) & (a / toxic > 3 * (b + 0.5) / (clean + 1)))
+        _counted(sample).filter((F.col("toxic") >= LEAST_TEXTS) & (a / toxic > TIMES * (b + 0.5) / (clean + 1)))
         .withColumn("ratio", 2 * ratio).filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "feature")
     )
     # every feature above the ratio, which is far fewer than the words of the labelled rows
@@ -235,6 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     chosen = checkpointed(met.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled))
     # the bound on labelled rows bounds the broadcast: no text is shuffled but theirs
     sample = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("label_id")) & (F.col("text_hash") == F.col("label_hash"))).dropDuplicates(["doc_id"])
+    # copies of one text are one piece of evidence
+    sample = sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
     sample = checkpointed(sample.select("doc_id", "text", (F.col("label") == 1).alias("toxic")))
     counts = dict(sample.groupBy("toxic").count().collect())
     toxic, clean = counts.get(True, 0), counts.get(False, 0)
