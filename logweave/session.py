@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Spark's own setting: the shuffle files of a query go when the query ends.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _written: list[str] = []
+_scopes = threading.local()
 
 
 def build_session(app: str = "logweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,25 +60,82 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder for one hand-over table."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    scopes = getattr(_scopes, "open", None)
+    (scopes[-1] if scopes else _written).append(path)
     return path
 
 
-def drop_stages(spark: SparkSession) -> None:
-    """Delete the hand-over tables this process has written, once their readers are done."""
-    for path in _written:
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the hand-over tables this process has written, once their readers are done."""
+    _delete(spark, _written)
     _written.clear()
 
 
+@contextmanager
+def inner_tables(spark: SparkSession) -> Iterator[None]:
+    """Hand-over tables written inside the block are deleted at its end, but those given to ``kept``.
+
+    For steps whose results are tables themselves: nothing reads the tables behind them any more, a
+    lost executor included. Blocks nest; a kept table belongs to the block outside. After an error
+    all tables stay, as a caller may still look at them.
+    """
+    if not hasattr(_scopes, "open"):
+        _scopes.open, _scopes.kept = [], []
+    outer = _scopes.open[-1] if _scopes.open else _written
+    own: list[str] = []
+    kept: list[str] = []
+    _scopes.open.append(own)
+    _scopes.kept.append(kept)
+    done = False
+    try:
+        yield
+        done = True
+    finally:
+        _scopes.open.pop()
+        _scopes.kept.pop()
+        stay = kept if done else own
+        outer.extend(p for p in own if p in stay)
+        _delete(spark, [p for p in own if p not in stay])
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a hand-over table that outlives the innermost ``inner_tables`` block."""
+    out = checkpointed(df)
+    if getattr(_scopes, "open", None):
+        _scopes.kept[-1].append(_scopes.open[-1][-1])
+    return out
+
+
+@contextmanager
+def _without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as what is written inside the block is whole; before, all are there."""
+    before = spark.conf.get(CLEANUP_CONF, "false")
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP_CONF, before)
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """Write a Parquet table, from which on the shuffles behind it are not needed any more."""
+    with _without_shuffle_files(df.sparkSession):
+        df.write.parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as a table in the shared folder and read that.
 
     A lost executor then costs one stage, and readers prune columns and know the table's size.
     """
     path = fresh_path(df.sparkSession, "stage")
-    df.write.parquet(path)
+    write_table(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
