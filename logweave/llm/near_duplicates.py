@@ -21,7 +21,8 @@ from logweave.llm.components import connected
 from logweave.llm.sketch import drop_absent, drop_present, hash_bitmap
 from logweave.llm.stretches import text_slices
 from logweave.llm.words import mix, window_hashes, words_of, worker_state
-from logweave.session import checkpointed
+from logweave.operators.hot_keys import hot_keys, look_up
+from logweave.session import checkpointed, inner_tables, kept
 
 #: Permutations; each gives a minimum and a maximum. Values in a band: 32 bands of 4 miss a pair of
 #: similarity 0.8 with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -136,13 +137,15 @@ def pivot_links(members: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
     pivots = checkpointed(
         members.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("best")).select("bucket", F.col("best.node").alias("pivot"))
     )
-    pairs = members.join(pivots, "bucket").filter("node <> pivot").select("node", "pivot").distinct()
+    pairs = checkpointed(members.join(pivots, "bucket").filter("node <> pivot").select("node", "pivot").distinct())
     left = pairs.join(sets, "node")
     right = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
     n, m = F.size("shingles"), F.size("pivot_shingles")
     common = F.size(F.array_intersect("shingles", "pivot_shingles"))
     possible = _linked(F.least(n, m), n, m, percent)
-    found = left.join(right, "pivot").filter(possible).filter(_linked(common, n, m, percent))
+    # the centre of a very large group meets its nodes in parts
+    met = look_up(left, right, ["pivot"], F.col("node"), hot_keys(pairs, ["pivot"]))
+    found = met.filter(possible).filter(_linked(common, n, m, percent))
     return pivots, checkpointed(found.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
 
 
@@ -218,32 +221,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are passed over), ``kept`` marks the rows with that id; a row without id is kept if all of its
     component are. ``first`` marks the one text that stands for the component. Repeated rows are judged alike; an empty table gives no rows.
     """
-    sketch = checkpointed(sketches(docs, shingle, doc_id, text))
-    nodes = checkpointed(
-        sketch.filter("node is not null").groupBy("node").agg(
-            F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("of"), F.first("bands").alias("bands")
+    with inner_tables(docs.sparkSession):
+        sketch = kept(sketches(docs, shingle, doc_id, text))
+        nodes = checkpointed(
+            sketch.filter("node is not null").groupBy("node").agg(
+                F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("of"), F.first("bands").alias("bands")
+            )
         )
-    )
-    placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("others")).filter("others > 1")
-    members = checkpointed(placed.join(shared, "bucket"))
-    present = checkpointed(members.select("node").distinct())
-    sets = checkpointed(node_sets(docs, present.join(nodes, "node").select("of.doc_id", "of.text_hash"), shingle, doc_id, text).dropDuplicates(["node"]))
-    pivots, links = pivot_links(members, sets, percent)
-    roots = connected(present, links)
-    more = rest_links(members, pivots, roots, sets, percent)
-    if more.limit(1).count():
-        # components so far are the nodes of the second round
-        label = lambda c, to: more.select("a", "b").join(roots.select(F.col("node").alias(c), F.col("root").alias(to)), c)
-        lifted = label("a", "ra").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        tops = connected(roots.select(F.col("root").alias("node")).distinct(), lifted)
-        roots = checkpointed(roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root").select("node", F.col("top").alias("root")))
-    least = nodes.join(roots, "node").groupBy("root").agg(F.min("least_id").alias("linked_id"), F.min("of").alias("linked_of"))
-    linked = roots.join(least, "root").select("node", "linked_id", "linked_of")
-    component = nodes.join(linked, "node", "left").select("node", F.coalesce("linked_id", "least_id").alias("component_id"), F.coalesce("linked_of", "of").alias("of"))
+        placed = nodes.select("node", F.explode("bands").alias("bucket"))
+        shared = placed.groupBy("bucket").agg(F.count("*").alias("others")).filter("others > 1")
+        members = checkpointed(placed.join(shared, "bucket"))
+        present = checkpointed(members.select("node").distinct())
+        with inner_tables(docs.sparkSession):
+            sets = checkpointed(node_sets(docs, present.join(nodes, "node").select("of.doc_id", "of.text_hash"), shingle, doc_id, text).dropDuplicates(["node"]))
+            pivots, links = pivot_links(members, sets, percent)
+            roots = connected(present, links)
+            more = rest_links(members, pivots, roots, sets, percent)
+            if more.limit(1).count():
+                # components so far are the nodes of the second round
+                label = lambda c, to: more.select("a", "b").join(roots.select(F.col("node").alias(c), F.col("root").alias(to)), c)
+                lifted = label("a", "ra").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+                tops = connected(roots.select(F.col("root").alias("node")).distinct(), lifted).select(F.col("node").alias("root"), F.col("root").alias("top"))
+                roots = look_up(roots, tops, ["root"], F.col("node"), hot_keys(roots, ["root"])).select("node", F.col("top").alias("root"))
+            roots = kept(roots)
+        least = nodes.join(roots, "node").groupBy("root").agg(F.min("least_id").alias("linked_id"), F.min("of").alias("linked_of"))
+        linked = look_up(roots, least, ["root"], F.col("node"), hot_keys(roots, ["root"])).select("node", "linked_id", "linked_of")
+        component = kept(nodes.join(linked, "node", "left").select("node", F.coalesce("linked_id", "least_id").alias("component_id"), F.coalesce("linked_of", "of").alias("of")))
     own = sketch.filter("node is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
     first = F.col("doc_id").eqNullSafe(F.col("of.doc_id")) & (F.col("text_hash") == F.col("of.text_hash"))
-    found = sketch.filter("node is not null").join(component, "node").select("doc_id", "text_hash", "n_shingles", "component_id", first.alias("first"))
+    whole = sketch.filter("node is not null").drop("bands")
+    found = look_up(whole, component, ["node"], F.struct("doc_id", "text_hash"), hot_keys(sketch, ["node"])).select("doc_id", "text_hash", "n_shingles", "component_id", first.alias("first"))
     return found.unionByName(own).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -252,10 +259,10 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     of rows that agree in both one stays."""
     key = {"_near_id": F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), "_near_hash": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))}
     names = [F.col(f"`{c}`") for c in docs.columns]
-    judged = checkpointed(near_duplicates(docs, doc_id, text, shingle, percent).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_near_id"), F.col("text_hash").alias("_near_hash"), "first"))
-    # rows to drop, and rows that agree in both: only texts that some such row has are shuffled
-    rest = judged.groupBy("_near_id", "_near_hash").agg(F.count("*").alias("n"), F.max("first").alias("first")).filter("n > 1 or not first")
-    rest = checkpointed(rest)
+    with inner_tables(docs.sparkSession):
+        judged = checkpointed(near_duplicates(docs, doc_id, text, shingle, percent).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_near_id"), F.col("text_hash").alias("_near_hash"), "first"))
+        # rows to drop, and rows that agree in both: only texts that some such row has are shuffled
+        rest = kept(judged.groupBy("_near_id", "_near_hash").agg(F.count("*").alias("n"), F.max("first").alias("first")).filter("n > 1 or not first"))
     found = hash_bitmap(rest.select(F.col("_near_hash").alias("key")))
     keyed = docs.withColumns(key)
     met = drop_absent(keyed, F.col("_near_hash"), found).join(rest.filter("not first").select("_near_id", "_near_hash"), ["_near_id", "_near_hash"], "left_anti")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from logweave.llm.stretches import IdStore, cut_texts, text_slices
 from logweave.llm.words import worker_state
+from logweave.session import write_table
 
 #: Kept stretches, and pieces of them, per Python worker (about 150 MB); what a full memory forgets costs time and changes no id.
 MEMORY, PIECES = 500_000, 100_000
@@ -166,7 +167,7 @@ def write_token_files(
 
     manifest = f"{folder}/manifest"
     written = rows.mapInArrow(write, "part long, width long, n_docs long, n_tokens long")
-    written.write.parquet(f"{folder}/counts")
+    write_table(written, f"{folder}/counts")
     counts = spark.read.schema(written.schema).parquet(f"{folder}/counts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     counts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).coalesce(1).write.parquet(manifest)
