@@ -1,7 +1,7 @@
 """From raw documents to token files: quality, near-duplicates, decontamination, mixing, token ids.
 
 ``run`` hands each stage's rows on as a Parquet table in the shared folder, so a lost executor costs a
-stage at most. All stages but the last return the columns of ``documents``.
+stage at most; what a stage has written besides goes when its table is whole. All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from logweave.llm import decontamination, mixing, near_duplicates, quality, token_files
-from logweave.session import checkpointed, fresh_path, use_utc
+from logweave.session import fresh_path, inner_tables, kept, use_utc
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.drop_leaks(docs, checkpointed(decontamination.find_leaks(docs, items)))
+    with inner_tables(spark):
+        leaks = kept(decontamination.find_leaks(docs, items))
+    return decontamination.drop_leaks(docs, leaks)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = use_utc(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+        with inner_tables(spark):
+            docs = kept(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
