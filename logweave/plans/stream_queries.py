@@ -103,7 +103,7 @@ def stream_consume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log table that the consumer writes from the line stream."""
     out = fresh_path(spark, "consume")
     lines = line_stream(spark, sf_dir).select("log_id", "ts", "source", "line", "source_id")
-    B.consume(lines, X.sources(spark, sf_dir), VQ.text_prototypes(VQ.templated_logs(spark, sf_dir)), out).awaitTermination()
+    B.consume(lines, X.sources(spark, sf_dir), VQ.text_prototypes(VQ.templated_logs(spark, sf_dir)[1]), out).awaitTermination()
     return B.read_table(spark, f"{out}/logs").select("log_id", "os", "component", "pid", "templated", "label")
 
 
@@ -144,7 +144,7 @@ def stream_consume_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster ids given to streamed lines while the prototype table grows."""
     table, out = fresh_path(spark, "prototypes"), fresh_path(spark, "assigned")
-    B.write_batch(VQ.text_prototypes(VQ.templated_logs(spark, sf_dir)), table, -1)
+    B.write_batch(VQ.text_prototypes(VQ.templated_logs(spark, sf_dir)[1]), table, -1)
     lines = L.parse_and_template(line_stream(spark, sf_dir)).select("log_id", "ts", "os", "templated")
     B.assign(lines, table, out).awaitTermination()
     return B.read_table(spark, out).select("log_id", "os", "cluster_id")
@@ -178,13 +178,14 @@ def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_enrich_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues on a stream to the alert table: one alert per issue, naming its logs."""
-    logs = VQ.templated_logs(spark, sf_dir)
+    logs, texts = VQ.templated_logs(spark, sf_dir)
     landed, out = fresh_path(spark, "issues"), fresh_path(spark, "alerts")
     issues = I.build_issues(logs).withColumns({"id": F.concat_ws("|", "os", "issue_key", "session_us"), "ms": F.floor(F.col("last_us") / 1000), "seq": F.col("session_us")})
     issues.write.parquet(landed)
     stream = spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
-    items = logs.select("os", "log_id", F.col("templated").alias("document"), "embedding")
-    B.enrich_issue_stream(stream, checkpointed(VQ.text_templates(logs)), items, out).awaitTermination()
+    items = logs.select("os", "log_id", F.col("templated").alias("document"))
+    templates = VQ.text_templates(texts)
+    B.enrich_issue_stream(stream, templates, items, out, texts=templates).awaitTermination()
     alerts = B.read_table(spark, out)
     return alerts.select("os", "issue_key", "seq", "type", F.array_join(F.col("log_ids").cast("array<string>"), ",").alias("log_ids"))
 
@@ -192,17 +193,18 @@ def stream_enrich_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_enrich_clusters", f"WITH RECURSIVE {O.CLUSTER_RESULTS} SELECT os, cluster_id, 'cluster' AS type, failure_type FROM cluster_results")
 def stream_enrich_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster candidates on a stream to alerts."""
-    logs = VQ.templated_logs(spark, sf_dir)
-    protos = VQ.text_prototypes(logs)
-    assigned, created = C.assign_clusters(logs, protos)
-    placed = checkpointed(C.logs_with_cluster(logs, assigned))
+    logs, texts = VQ.templated_logs(spark, sf_dir)
+    protos = VQ.text_prototypes(texts)
+    assigned, created = C.assign_clusters(texts, protos)
+    placed = checkpointed(C.logs_with_cluster(logs.select("log_id", "ts", "os", "templated"), assigned))
     landed = fresh_path(spark, "cluster-candidates")
     I.cluster_candidates(placed).select("os", "cluster_id", "ts").write.parquet(landed)
     stream = spark.readStream.schema("os string, cluster_id string, ts timestamp").parquet(landed)
-    items = placed.select("os", "cluster_id", "log_id", F.col("templated").alias("document"), "embedding")
+    items = placed.select("os", "cluster_id", "log_id", F.col("templated").alias("document"))
     out, relabelled = fresh_path(spark, "cluster-alerts"), fresh_path(spark, "relabelled")
     known = checkpointed(protos.unionByName(created))
-    B.enrich_cluster_stream(stream, known, checkpointed(VQ.text_templates(logs)), items, out, relabelled).awaitTermination()
+    templates = VQ.text_templates(texts)
+    B.enrich_cluster_stream(stream, known, templates, items, out, relabelled, texts=templates).awaitTermination()
     return B.read_table(spark, out).select("os", "cluster_id", "type", "failure_type")
 
 

@@ -205,11 +205,12 @@ def enrich_issue_stream(
     out: str,
     classifier: N.Classifier | None = None,
     embedder: Embedder | None = None,
+    texts: DataFrame | None = None,
 ) -> StreamingQuery:
     """Streamed issues (id, ms, seq, os, issue_key, templated_summary, logs array) to the alert table."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        done = N.enrich_issues(batch, templates, logs, classifier, embedder)
+        done = N.enrich_issues(batch, templates, logs, classifier, embedder, texts)
         alerts = A.with_expiry(A.alert_from_result(done.select("id", "ms", "seq", "os", "issue_key", "log_ids", "result")))
         write_batch(alerts, out, batch_id)
 
@@ -225,6 +226,7 @@ def enrich_cluster_stream(
     relabelled: str,
     classifier: N.Classifier | None = None,
     embedder: Embedder | None = None,
+    texts: DataFrame | None = None,
 ) -> StreamingQuery:
     """Streamed cluster candidates (os, cluster_id, ts) to alerts, and the prototypes they relabel.
 
@@ -238,7 +240,7 @@ def enrich_cluster_stream(
             earlier = batch.sparkSession.read.parquet(relabelled).filter(F.col("batch_id") < batch_id)
             both = prototypes.withColumn("batch_id", F.lit(-1)).unionByName(earlier)
             known = upsert_latest(both, ["os", "cluster_id"], "batch_id").drop("batch_id")
-        done, learned = N.enrich_clusters(batch, known, templates, logs, classifier, embedder)
+        done, learned = N.enrich_clusters(batch, known, templates, logs, classifier, embedder, texts)
         learned = learned.join(batch.select("os", "cluster_id").distinct(), ["os", "cluster_id"], "left_semi")
         rows = done.select("id", "os", "cluster_id", "result")
         write_batch(A.alert_from_result(rows, "cluster"), out, batch_id)

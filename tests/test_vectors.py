@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.functions import vectors as V
-from logweave.operators import clustering as C, embedding as B, knn as K
+from logweave.operators import clustering as C, embedding as B, enrichment as N, knn as K
 
 DIM = 8
 
@@ -197,3 +197,41 @@ def test_embedders(spark):
 def test_zero_vector_norm(spark):
     df = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<double>")
     assert [r[0] for r in df.select(V.unit(F.col("v"))).collect()] == [[0.0, 0.0], [0.6, 0.8]]
+
+
+def test_equal_vectors_are_looked_up_once(spark, monkeypatch):
+    """Issues repeat few vectors: one query for each, and of equal items the first ids alone, with the same hits."""
+    kinds = [v for _, _, v in vectors(5, 21, ("linux",))]
+    items = [(1000 + i, "linux", kinds[i % 4]) for i in range(200)]
+    queries = [(i, "linux", kinds[i % 5]) for i in range(120)]
+    seen = []
+
+    def counted(q, i, *args, **more):
+        seen.append((q.count(), i.count()))
+        return K.nearest(q, i, *args, **more)
+
+    monkeypatch.setattr(N, "nearest", counted)
+    templates = frame(spark, items, "template_id").withColumn("document", F.concat(F.lit("t"), "template_id"))
+    got = {}
+    for r in sorted(N.template_neighbors(frame(spark, queries, "q"), templates, "q", 8).collect(), key=lambda r: (r.q, r.rank)):
+        assert r.document == f"t{r.template_id}"
+        got.setdefault(r.q, []).append(r.template_id)
+    assert got == brute(queries, items, 8)
+    logs = templates.withColumnRenamed("template_id", "log_id").drop("embedding")
+    texts = templates.select("os", "document", "embedding")
+    asked = frame(spark, queries, "owner_id").withColumn("q_no", F.lit(0))
+    found = N.retrieve_logs(asked, logs, 5, texts=texts).collect()
+    assert len(found) == 600 and {(r.owner_id, r["rank"]): r.log_id for r in found} == {(q, n + 1): i for q, hits in brute(queries, items, 5).items() for n, i in enumerate(hits)}
+    assert seen == [(5, 32), (5, 20)]
+
+
+def test_patterns_run_once_for_each_text(spark):
+    """The label of a text is used several times, its patterns are in the plan once."""
+    df = spark.createDataFrame([(["io error", "link down", "io error", "calm"],), ([],)], "t array<string>")
+    out = N.classify(df, F.col("t"))
+    assert [r.result for r in out.collect()] == [
+        '{"is_hardware_failure":true,"failure_type":"disk","confidence":0.5,"top_signals":["disk","network"],"summary":"io error","recommendation":""}',
+        '{"is_hardware_failure":false,"failure_type":"unknown","confidence":0.0,"top_signals":[],"summary":"","recommendation":""}',
+    ]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AssocFail") == 1
