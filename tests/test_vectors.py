@@ -235,3 +235,19 @@ def test_patterns_run_once_for_each_text(spark):
     ]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("AssocFail") == 1
+
+
+def test_routing_is_bounded_in_memory(spark, monkeypatch):
+    """However small the blocks are, a query has few copies, and no frame that leaves the routing is large."""
+    items = vectors(600, 31, ("linux",))
+    queries = vectors(300, 32, ("linux",))
+    routed = []
+    visit = K._visit
+    monkeypatch.setattr(K, "_visit", lambda q, *rest: (routed.append(q.count()), visit(q, *rest))[1])
+    found = K.nearest(frame(spark, queries, "q"), frame(spark, items, "i"), 3, "q", "i", broadcast_bytes=0, block_rows=2)
+    got = {}
+    for r in found.orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append(r.i)
+    assert got == brute(queries, items, 3)
+    assert sum(routed) <= 300 * 2 * K.GROUP_BLOCKS
+    assert K._rows_of_a_block(10**9, 20) == K.BLOCK_ROWS and K._rows_of_a_block(100, 20) == 20
