@@ -19,6 +19,8 @@ PROVIDERS = ("ansible_tower", "terraform_cloud", "servicenow")
 #: Segments of a key that are composed in one row; no result depends on it.
 STRETCH = 256
 SEGMENT_SEC = 3600
+#: Matches up to which a (rule, key) is decided in one row; no result depends on it.
+KEY_ROWS = 4_096
 _NEVER = -(2**62)
 
 
@@ -212,11 +214,26 @@ def _segment_entries(linked: DataFrame, keys: list[str], stretch: int) -> DataFr
     return found.select(*keys, F.inline(F.arrays_zip("n", "entry")))
 
 
-def cooldown_fires(matches: DataFrame, segment_sec: int = SEGMENT_SEC, last: DataFrame | None = None, stretch: int = STRETCH) -> DataFrame:
+def _replays(cut: DataFrame) -> DataFrame:
+    """(rule_id, cooldown_key, ms) of the fires of rows (rule_id, cooldown_key, times, free, cooldown_ms): times from the moment it is free."""
+    keys = ["rule_id", "cooldown_key"]
+
+    def replays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fired = [_replay(t, f, c) for t, f, c in zip(pdf["times"], pdf["free"], pdf["cooldown_ms"])]
+            yield pdf[keys].assign(fired=fired)
+
+    fired = cut.select(*keys, "times", "free", "cooldown_ms").mapInPandas(replays, "rule_id string, cooldown_key string, fired array<bigint>")
+    return fired.select(*keys, F.explode("fired").alias("ms"))
+
+
+def cooldown_fires(
+    matches: DataFrame, segment_sec: int = SEGMENT_SEC, last: DataFrame | None = None, stretch: int = STRETCH, key_rows: int = KEY_ROWS
+) -> DataFrame:
     """The matches that fire: at least a cooldown after the last fire of their (rule, key).
 
-    Whether a match fires depends on all earlier ones of its key, and one key may be very common,
-    so a key is not folded in one task. Its distinct times are cut into segments (eight cooldowns
+    Whether a match fires depends on all earlier ones of its key. A key with at most ``key_rows`` matches is
+    replayed in one row. One key may be very common, and is not folded in one task: its distinct times are cut into segments (eight cooldowns
     or more long). Each segment yields a short table of steps "free from t -> last fire in here"; links lead
     from each step to the step at which the next segment is entered, and are followed by doubling; then each
     segment replays its own fires from the moment it is free.
@@ -230,6 +247,21 @@ def cooldown_fires(matches: DataFrame, segment_sec: int = SEGMENT_SEC, last: Dat
         free = F.col("last_ms").isNull() | (F.col("ms") - F.col("last_ms") >= F.col("cooldown_ms"))
         rows = rows.join(last.select(*keys, "last_ms"), keys, "left").filter(free).drop("last_ms")
     rows = checkpointed(rows)
+    slim = rows.select(*keys, "cooldown_ms", "ms")
+    large = checkpointed(slim.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > key_rows).drop("_n"))
+    small = slim if large.isEmpty() else slim.join(large, keys, "left_anti")
+    whole = small.groupBy(*keys).agg(F.max("cooldown_ms").alias("cooldown_ms"), F.array_sort(F.collect_set("ms")).alias("times"))
+    moments = _replays(whole.withColumn("free", F.lit(_NEVER)))
+    if not large.isEmpty():
+        moments = moments.unionByName(_fires_by_segment(slim.join(large, keys, "left_semi"), segment_sec, stretch))
+    # of several matches of a key at one time, the first fires
+    w = Window.partitionBy(*keys, "ms").orderBy("seq")
+    return rows.join(moments, [*keys, "ms"]).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1).drop("_n")
+
+
+def _fires_by_segment(rows: DataFrame, segment_sec: int, stretch: int) -> DataFrame:
+    """(rule_id, cooldown_key, ms) of the fires of keys with very many matches."""
+    keys = ["rule_id", "cooldown_key"]
     width = F.greatest(F.lit(segment_sec * 1000), F.col("cooldown_ms") * 8)
     timed = rows.select(*keys, "cooldown_ms", "ms", width.alias("_width")).withColumn(
         "segment", F.expr("(ms - pmod(ms, _width)) div _width")
@@ -253,11 +285,6 @@ def cooldown_fires(matches: DataFrame, segment_sec: int = SEGMENT_SEC, last: Dat
             made = [_links(*x) for x in zip(pdf["until"], pdf["fired"], pdf["next_until"], pdf["cooldown_ms"])]
             yield pdf[[*keys, "n", "segment", "cooldown_ms", "fired"]].assign(link=made)
 
-    def replays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fired = [_replay(t, f, c) for t, f, c in zip(pdf["times"], pdf["free"], pdf["cooldown_ms"])]
-            yield pdf[keys].assign(fired=fired)
-
     steps = checkpointed(cut.mapInPandas(tables, f"{names}, segment bigint, cooldown_ms bigint, until array<bigint>, fired array<bigint>"))
     numbers = steps.select(*keys, "segment").withColumn("n", F.row_number().over(in_key) - 1)
     placed = steps.join(numbers, [*keys, "segment"])
@@ -269,11 +296,7 @@ def cooldown_fires(matches: DataFrame, segment_sec: int = SEGMENT_SEC, last: Dat
     until = F.get("fired", F.col("entry")) + F.col("cooldown_ms")
     free = F.coalesce(F.lag("_until").over(in_key), F.lit(_NEVER))
     entries = entered.select(*keys, "segment", until.alias("_until")).withColumn("free", free).drop("_until")
-    fired = cut.join(entries, [*keys, "segment"]).mapInPandas(replays, f"{names}, fired array<bigint>")
-    moments = fired.select(*keys, F.explode("fired").alias("ms"))
-    # of several matches of a key at one time, the first fires
-    w = Window.partitionBy(*keys, "ms").orderBy("seq")
-    return rows.join(moments, [*keys, "ms"]).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1).drop("_n")
+    return _replays(cut.join(entries, [*keys, "segment"]))
 
 
 def actions(fires: DataFrame, dry_run: bool = True) -> DataFrame:

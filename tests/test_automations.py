@@ -59,3 +59,19 @@ def test_rule_files():
     assert [r.id for r in U.delete_rule(rules, "a")] == ["rule"]
     with pytest.raises(ValueError):
         U.upsert_rule(rules, U.Rule(" "))
+
+
+@pytest.mark.parametrize("segment_sec,stretch", [(1, 2), (60, 256), (10**9, 1)])
+def test_large_and_small_keys_fire_alike(spark, monkeypatch, segment_sec, stretch):
+    """A key with few matches is decided in one row, without segments; cut into segments it gives the same."""
+    rows = [(f"{i}", "r", f"k{i % 3 if i % 5 else 9}", (i * i * 37_003) % 40_000_000, i, "10m", "p") for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, rule_id string, issue_key string, ms long, seq long, cooldown string, provider string")
+    cut = U.cooldown_fires(df, segment_sec, stretch=stretch, key_rows=0).collect()
+    mixed = U.cooldown_fires(df, segment_sec, stretch=stretch, key_rows=70).collect()
+
+    def none(*_):
+        raise AssertionError("no key is large")
+
+    monkeypatch.setattr(U, "_fires_by_segment", none)
+    whole = U.cooldown_fires(df, segment_sec, stretch=stretch).collect()
+    assert sorted(cut) == sorted(mixed) == sorted(whole) and 0 < len(whole) < 300
