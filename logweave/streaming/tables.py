@@ -57,9 +57,10 @@ def read_committed(spark: SparkSession, out: str, name: str, schema: str) -> Dat
     """The rows of table ``name`` under ``out`` from finished batches alone; a half-written batch is not read."""
     if not exists(spark, f"{out}/commits") or not exists(spark, f"{out}/{name}"):
         return spark.createDataFrame([], schema)
-    done = spark.read.parquet(f"{out}/commits").select(F.col("batch").alias("_done"))  # a row for each batch
+    # a number for each batch, as the listing of the table has: as literals they keep the files of other batches from being opened
+    done = [r.batch for r in spark.read.parquet(f"{out}/commits").select("batch").collect()]
     rows = spark.read.schema(f"{schema}, batch_id bigint").parquet(f"{out}/{name}")
-    return rows.join(F.broadcast(done), F.col("batch_id") == F.col("_done"), "left_semi").drop("batch_id")
+    return rows.filter(F.col("batch_id").isin(done)).drop("batch_id")
 
 
 def read_state(spark: SparkSession, out: str, name: str, batch_id: int, schema: str) -> tuple[DataFrame, dict[str, int]]:

@@ -99,6 +99,20 @@ def test_restarts_and_half_written_batches(spark, tmp_path):
     assert len(S.closed_issues(spark, out).collect()) == len(got)
 
 
+def test_files_of_a_batch_without_a_commit_are_not_opened(spark, tmp_path):
+    out = tmp_path / "out"
+    B.write_batch(spark.createDataFrame([(1,)], "n bigint"), f"{out}/rows", 0)
+    B.commit(spark, str(out), 0)
+    half = out / "rows" / "batch_id=1"
+    half.mkdir()
+    (half / "part-00000.parquet").write_bytes(b"cut off")
+    spark.conf.set("spark.sql.optimizer.dynamicPartitionPruning.enabled", "false")
+    try:
+        assert [r.n for r in B.read_committed(spark, str(out), "rows", "n bigint").collect()] == [1]
+    finally:
+        spark.conf.unset("spark.sql.optimizer.dynamicPartitionPruning.enabled")
+
+
 def test_a_replayed_batch_emits_nothing_twice(spark, tmp_path):
     df = spark.createDataFrame([(i, "linux", "a") for i in range(30)], "log_id long, os string, cluster_id string")
     out = str(tmp_path / "out")
