@@ -108,12 +108,14 @@ def sketches(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
-    """(node, shingles) of the wanted nodes, from one document each: wanted has doc_id and text_hash."""
-    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    keys = checkpointed(wanted.select(F.col("doc_id").alias("want_id"), F.col("text_hash").alias("want_hash")))
-    # texts that no wanted row has are left out before the shuffle
-    keyed = drop_absent(keyed, F.col("text_hash"), hash_bitmap(keys.select(F.col("want_hash").alias("key"))))
-    chosen = keyed.join(keys, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_hash") == F.col("want_hash")), "left_semi").select("text")
+    """(node, shingles) of the wanted nodes, from one document each: wanted has doc_id and text_hash.
+
+    Wanted documents are told by a bitmap, so that no text is shuffled. It lets a few others pass; whoever joins with the nodes leaves them out.
+    """
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    place = lambda text_hash: F.xxhash64(F.col("doc_id").isNull(), "doc_id", text_hash)
+    keys = checkpointed(wanted.select(place(F.col("text_hash")).alias("key")))
+    chosen = drop_absent(source, place(F.xxhash64("text")), hash_bitmap(keys)).select("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("near_duplicates")
@@ -265,5 +267,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
         rest = kept(judged.groupBy("_near_id", "_near_hash").agg(F.count("*").alias("n"), F.max("first").alias("first")).filter("n > 1 or not first"))
     found = hash_bitmap(rest.select(F.col("_near_hash").alias("key")))
     keyed = docs.withColumns(key)
-    met = drop_absent(keyed, F.col("_near_hash"), found).join(rest.filter("not first").select("_near_id", "_near_hash"), ["_near_id", "_near_hash"], "left_anti")
+    # an outer join: Spark would run an anti join before the bitmap, with all texts
+    dropped = rest.filter("not first").select("_near_id", "_near_hash", F.lit(True).alias("_near_out"))
+    met = drop_absent(keyed, F.col("_near_hash"), found).join(dropped, ["_near_id", "_near_hash"], "left").filter("_near_out is null")
     return drop_present(keyed, F.col("_near_hash"), found).select(*names).unionByName(met.dropDuplicates(["_near_id", "_near_hash"]).select(*names))

@@ -65,6 +65,24 @@ def test_small_blocks_lose_no_link(spark, monkeypatch):
     assert result(near_duplicates.near_duplicates(docs, shingle=2)) == brute(rows, 2)
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_pass_the_bitmap_before_any_join(spark, odd):
+    """Spark moves a semi or an anti join below the bitmap, and with it the shuffle of all texts."""
+    wanted = odd.selectExpr("cast(doc_id as long) doc_id", "xxhash64(coalesce(text, '')) text_hash").filter("doc_id is not null")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = near_duplicates.node_sets(odd, wanted, 2, "doc_id", "text")
+        assert "hashpartitioning" not in sets._jdf.queryExecution().executedPlan().toString()
+        assert sets.select("node").distinct().count() >= wanted.select("text_hash").distinct().count() - 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    left = plan(near_duplicates.keep_first(odd, shingle=2))
+    assert "LeftAnti" not in left and "LeftSemi" not in left
+
+
 def test_odd_rows(odd, odd_rows):
     got = near_duplicates.near_duplicates(odd, shingle=2)
     assert result(got) == brute([r[:2] for r in odd_rows], 2)
