@@ -85,7 +85,8 @@ def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 class IdStore:
     """Ids of distinct stretches in one flat array, and what else ``encode`` tells of each.
 
-    ``encode`` gives a list of ids for each stretch, then lists with one value a stretch (``more`` of them). A full
+    ``encode`` gives the ids of all stretches on end and their number for each, as arrays, or a list of ids for each stretch;
+    then lists with one value a stretch (``more`` of them). A full
     store keeps the half that was met most often and forgets the rest, which costs time and changes no id.
     """
 
@@ -121,11 +122,15 @@ class IdStore:
             coded, *more = self.encode(new)
             for held, values in zip(self.more, more, strict=True):
                 held += values
-            size = np.fromiter(map(len, coded), np.int64, len(coded))
-            n, k = len(self.slot), self.used + int(size.sum())
+            if isinstance(coded, tuple):
+                ids, size = coded
+            else:
+                size = np.fromiter(map(len, coded), np.int64, len(coded))
+                ids = np.fromiter(chain.from_iterable(coded), np.int64, int(size.sum()))
+            n, k = len(self.slot), self.used + len(ids)
             self.flat = self._grown(self.flat, k)
             self.first, self.size, self.met = (self._grown(x, n + len(new)) for x in (self.first, self.size, self.met))
-            self.flat[self.used : k] = np.fromiter(chain.from_iterable(coded), np.int64, k - self.used)
+            self.flat[self.used : k] = ids
             self.size[n : n + len(new)] = size
             self.first[n : n + len(new)] = self.used + np.cumsum(size) - size
             self.met[n : n + len(new)] = 0

@@ -17,6 +17,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,16 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from logweave.llm.stretches import IdStore, cut_texts, text_slices
+from logweave.llm.stretches import IdStore, cut_texts, ragged, text_slices
 from logweave.llm.words import worker_state
-from logweave.session import write_table
+from logweave.session import with_conf, write_table
 
-#: Kept stretches, and pieces of them, per Python worker (about 150 MB); what a full memory forgets costs time and changes no id.
-MEMORY, PIECES = 500_000, 100_000
+#: Kept stretches per Python worker (about 130 MB); what a full memory forgets costs time and changes no id.
+MEMORY = 500_000
+#: Bytes that the library encodes in one go.
+RUN_BYTES = 1 << 17
+#: Rows that a worker is sent at a time: the JVM and the worker hold their texts besides the one slice that is encoded.
+BATCH_ROWS = "1000"
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -37,76 +42,59 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
 
 
-#: The library's splitting of texts of ASCII characters, fixed by the vocabulary's file format.
-_ASCII_PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-_ODD = re.compile("[\x1c-\x1f]")
-
-
-def _written_as() -> dict[int, str]:
-    """The character that stands for each byte in the vocabulary; printable ones stand for themselves."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class Encoder:
     """A byte-level BPE of the tokenizers library that encodes each distinct stretch of text once.
 
-    Special tokens hold no blanks and are taken from each stretch as the library takes them from the text.
-    A stretch with one goes to the library whole; others are split into pieces, and the library merges each
-    distinct piece once.
+    New stretches go to the library on end, in runs: no token crosses from one into the next (``stretches``), and the bytes
+    that each id stands for tell where one ends. A stretch that begins without a space or ends with a blank, one
+    with a special token, and a run whose ids do not end where its stretches do, are encoded one by one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        assert not any(re.search(r"\s", s) for s in self.special), "added tokens with blanks are not supported"
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        assert not any(re.search(rb"\s", s) for s in self.special), "added tokens with blanks are not supported"
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.written = _written_as()
-        self.pieces: dict[str, list[int]] = {}
+        # a character of an entry stands for one byte
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.n_bytes = np.zeros(max([self.size - 1, *vocab.values()]) + 1, np.int64)
+        for entry, i in vocab.items():
+            self.n_bytes[i] = len(entry)
         self.store = IdStore(self._encode, MEMORY)
-        # the short way for ASCII holds for the usual byte-level splitting alone
-        self.usual = self._split("It's 12,5% of  all\n\tthings'll ") == _ASCII_PIECES.findall("It's 12,5% of  all\n\tthings'll ")
-
-    def _split(self, text: str) -> list[str]:
-        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-
-    def _ids(self, piece: str) -> list[int]:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= PIECES:
-                self.pieces.clear()
-            found = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.written))]
-        return found
-
-    def _parts(self, text: str) -> list[str]:
-        """The pieces of a stretch without special tokens."""
-        if self.usual:
-            if text.isascii():
-                if not _ODD.search(text):
-                    return _ASCII_PIECES.findall(text)
-            elif max(text) < "\u0250":  # letters of Latin scripts, and marks behind them, need no look at the rest of the table
-                core = text.rstrip(".,;:!?")
-                if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
-                    return [core, text[len(core) :]] if len(core) < len(text) else [text]
-        return self._split(text)
-
-    def _encode(self, stretches: list[bytes]) -> tuple[list[list[int]]]:
-        known, merged, parts = self.pieces.get, self._ids, self._parts
-        has_special = any(s in b"\n".join(stretches) for s in map(str.encode, self.special))
-        out = []
-        for text in map(bytes.decode, stretches):
-            if has_special and any(s in text for s in self.special):
-                out.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
-                continue
-            pieces = parts(text)
-            if len(pieces) == 1:
-                out.append(known(text) or merged(text))
-            else:
-                out.append([i for p in pieces for i in known(p) or merged(p)])
-        return (out,)
+
+    def _singly(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [self.tokenizer.encode(x.decode(), add_special_tokens=False).ids for x in stretches]
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(chain.from_iterable(coded), np.int64, int(size.sum())), size
+
+    def _run(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all on end, ids of each)."""
+        whole = b"".join(stretches)
+        if any(s in whole for s in self.special):
+            return self._singly(stretches)
+        ids = np.array(self.tokenizer.encode_batch_fast([whole.decode()], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum(self.n_bytes[ids])
+        stops = np.cumsum(np.fromiter(map(len, stretches), np.int64, len(stretches)))
+        last = np.searchsorted(ends, stops)
+        if ends[-1] != stops[-1] or (ends[last] != stops).any():
+            return self._singly(stretches)
+        return ids, np.diff(last, prepend=-1)
+
+    def _encode(self, stretches: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray]]:
+        follows = np.array([x[0] == 32 and not x[-1:].isspace() for x in stretches])
+        order = np.argsort(~follows, kind="stable")
+        filled = np.cumsum([len(stretches[k]) for k in order.tolist()]) // RUN_BYTES
+        cuts = np.flatnonzero(np.diff(filled)) + 1
+        n = int(follows.sum())
+        done = [self._run([stretches[k] for k in run.tolist()]) for run in np.split(order[:n], cuts[cuts < n]) if len(run)]
+        if n < len(order):
+            done.append(self._singly([stretches[k] for k in order[n:].tolist()]))
+        flat, size = (np.concatenate(x) for x in zip(*done, strict=True))
+        place = np.argsort(order)
+        first = np.cumsum(size) - size
+        return ((flat[ragged(first[place], size[place])], size[place]),)
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, ids of each text), for whole texts of any length."""
@@ -167,7 +155,8 @@ def write_token_files(
 
     manifest = f"{folder}/manifest"
     written = rows.mapInArrow(write, "part long, width long, n_docs long, n_tokens long")
-    write_table(written, f"{folder}/counts")
+    with with_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS):
+        write_table(written, f"{folder}/counts")
     counts = spark.read.schema(written.schema).parquet(f"{folder}/counts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     counts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).coalesce(1).write.parquet(manifest)

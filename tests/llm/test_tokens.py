@@ -82,6 +82,30 @@ def test_a_full_store_changes_no_id(monkeypatch):
         check_ids(encoder, [f"one two {i} three{i % 3}", "two"])
 
 
+def test_new_stretches_are_encoded_in_runs():
+    """The library is called once for a run of new stretches, and gives the same ids as for each alone."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefg'é.,日 12\n") for _ in range(rng.randrange(1, 12))).strip() or "x" for _ in range(3000)]
+    texts = [" ".join(words[n : n + 30]) + rng.choice(["", " ", "\n", "  "]) for n in range(0, 3000, 30)]
+    encoder, calls = token_files.Encoder(BYTES), []
+    plain = encoder.tokenizer
+
+    class Counted:
+        def encode(self, *args, **named):
+            calls.append(1)
+            return plain.encode(*args, **named)
+
+        def encode_batch_fast(self, *args, **named):
+            calls.append(1)
+            return plain.encode_batch_fast(*args, **named)
+
+    encoder.tokenizer = Counted()
+    flat, counts = encoder.ids([t.encode() for t in texts])
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [g.tolist() for g in np.split(flat, np.cumsum(counts)[:-1])] == want
+    assert len(calls) < 300  # a beginning and an end of each text, and a few runs
+
+
 def test_files_of_no_rows(spark, none):
     folder = fresh_path(spark, "test-tokens")
     token_files.write_token_files(none, folder, BYTES, 2, parts=2)
