@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logweave.llm.components import connected
 from logweave.llm.sketch import drop_absent, drop_present, hash_bitmap
 from logweave.llm.stretches import text_slices
-from logweave.llm.words import mix, window_hashes, words_of, worker_state
+from logweave.llm.words import give_back, mix, window_hashes, words_of, worker_state
 from logweave.operators.hot_keys import hot_keys, look_up
 from logweave.session import checkpointed, inner_tables, kept
 
@@ -103,6 +103,7 @@ def sketches(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
                     [rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
                     names=["doc_id", "text_hash", "n_shingles", "node", "bands"],
                 )
+        give_back()
 
     return keyed.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>")
 
@@ -125,6 +126,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, size: int, doc_id: str, text:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_identity(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"]
                 )
+        give_back()
 
     return chosen.mapInArrow(run, "node binary, shingles array<long>")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from logweave.llm.stretches import text_slices
-from logweave.llm.words import mix, per_text, span_hashes, window_hashes, words_of, worker_state
+from logweave.llm.words import give_back, mix, per_text, span_hashes, window_hashes, words_of, worker_state
 from logweave.session import checkpointed
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -103,6 +103,7 @@ def with_measures(docs: DataFrame, text: str = "text", prefix: str = "") -> Data
         for batch in batches:
             for rows, part in text_slices(batch, at):
                 yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, measure(part).values())], names=schema.names)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from logweave.llm.stretches import IdStore, cut_texts, ragged, text_slices
-from logweave.llm.words import worker_state
+from logweave.llm.words import give_back, worker_state
 from logweave.session import with_conf, write_table
 
 #: Kept stretches per Python worker (about 130 MB); what a full memory forgets costs time and changes no id.
@@ -152,6 +152,7 @@ def write_token_files(
             yield pa.RecordBatch.from_pydict({"part": [part], "width": [int(kind[2])], "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])]})
         else:
             store.delete_file(f"{trial}.bin")
+        give_back()
 
     manifest = f"{folder}/manifest"
     written = rows.mapInArrow(write, "part long, width long, n_docs long, n_tokens long")

@@ -6,12 +6,14 @@ prefix sums of a polynomial over the bytes, so no Python code runs per word.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
 #: Texts are worked on in groups of about so many bytes; this bounds memory, not what is read.
 GROUP_BYTES = 1 << 20
@@ -35,14 +37,29 @@ class Words(NamedTuple):
     sums: np.ndarray  # prefix sums, for hashes of other spans
 
 
+def give_back() -> None:
+    """Hand memory that is free in this process back to the system.
+
+    A Python worker lives on after its task, beside the executor that shares the limit with it; Arrow and the C library would
+    keep for it what a task has used at most.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def worker_state(name: str) -> dict:
     """A dict that lives as long as the Python worker; functions shipped by value have no lasting globals.
 
-    A worker serves one operator after the other: what earlier ones kept is dropped, so that memories do not add up.
+    A worker serves one operator after the other: what earlier ones kept is dropped and handed back, so that memories do not add up.
     """
     held = sys.modules.setdefault("logweave_worker_state", types.ModuleType("logweave_worker_state")).__dict__.setdefault("held", {})
-    for other in [k for k in held if k not in (name, "powers") and name != "powers"]:
+    others = [k for k in held if k not in (name, "powers") and name != "powers"]
+    for other in others:
         del held[other]
+    if others:
+        give_back()
     return held.setdefault(name, {})
 
 

@@ -3,6 +3,7 @@
 import os
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -10,6 +11,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from logweave.llm import token_counts, token_files
+from logweave.llm.words import worker_state
 from logweave.session import fresh_path
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -110,3 +112,12 @@ def test_files_of_no_rows(spark, none):
     folder = fresh_path(spark, "test-tokens")
     token_files.write_token_files(none, folder, BYTES, 2, parts=2)
     assert token_files.read_token_files(spark, folder).count() == 0
+
+
+def test_dropped_state_goes_back_to_the_system():
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+    worker_state("first")["held"] = [np.ones(12_000) for _ in range(2_000)]  # 192 MB in pieces that the C library keeps
+    above = np.ones(12_000)
+    full = resident()
+    worker_state("second")
+    assert full - resident() > 150_000_000 and len(above)
