@@ -6,6 +6,7 @@ import random
 
 
 from logweave.operators import automations as U, issues as I, logs as L
+from logweave.plans import fixtures as X
 from logweave.streaming import state as S, tables as B
 
 EPOCH = datetime.datetime(2024, 1, 1)
@@ -176,3 +177,16 @@ def test_envelopes(spark):
     lines, rejects = B.read_envelopes(spark.createDataFrame(rows, "value string"))
     assert [r.log_id for r in lines.collect()] == [1]
     assert {r.value: r.reason for r in rejects.collect()} == {rows[1][0]: "not json", rows[2][0]: "missing log_id", rows[3][0]: "missing ts"}
+
+
+def test_a_landed_part_is_dealt_over_all_cores(spark, tmp_path):
+    """One file would make one task, which parses all lines of the batch."""
+    seen = []
+
+    def run(stream):
+        each = lambda batch, n: seen.append([len(rows) for rows in batch.rdd.glom().collect()])
+        B.start(stream, each, str(tmp_path / "checkpoint")).awaitTermination()
+
+    X.land_parts([spark.range(400).coalesce(1), spark.range(400, 800).coalesce(1)], str(tmp_path / "landed"), run)
+    cores = spark.sparkContext.defaultParallelism
+    assert cores > 1 and seen == [[400 // cores] * cores] * 2
