@@ -251,3 +251,13 @@ def test_routing_is_bounded_in_memory(spark, monkeypatch):
     assert got == brute(queries, items, 3)
     assert sum(routed) <= 300 * 2 * K.GROUP_BLOCKS
     assert K._rows_of_a_block(10**9, 20) == K.BLOCK_ROWS and K._rows_of_a_block(100, 20) == 20
+
+
+def test_broadcast_items_are_indexed_once(spark, monkeypatch):
+    """A worker that builds the index from broadcast items holds them twice."""
+    sent = []
+    put = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or put(self, value))
+    items, queries = frame(spark, vectors(60, 2), "item"), frame(spark, vectors(20, 3), "q").repartition(4)
+    found = K.nearest(queries, items, 3, "q", "item").collect()
+    assert len(found) == 60 and {type(held) for held in sent[0].values()} == {K.Held}
