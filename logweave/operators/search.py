@@ -43,7 +43,10 @@ def search_alerts(stream: DataFrame, queries: Sequence[str], limit: int = LIMIT,
 
     An alert whose result is no JSON object is passed over; one without a result is not.
     """
-    rows = _window(stream, scan).withColumn("_r", J.strict_result(F.col("result"))).filter("_r IS NOT NULL")
+    # an element of an outer explode: the filter on a plain column would be pushed below the dealing of the rows, and every
+    # result be read once more there, in the few tasks of the scan
+    read = F.explode_outer(F.array(J.strict_result(F.col("result"))))
+    rows = _window(stream, scan).withColumn("_r", read).filter("_r IS NOT NULL")
     rows = rows.withColumns({
         "summary": J.filled(F.col("summary"), F.col("_r"), "summary"),
         "solution": J.filled(F.col("solution"), F.col("_r"), "recommendation"),

@@ -170,7 +170,8 @@ def search_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.issue_entries(I.build_issues(LQ.parsed(spark, sf_dir)))
+    """Issues as they are searched: by their summaries, without their logs."""
+    return I.issue_entries(I.build_issues(LQ.parsed(spark, sf_dir), with_logs=False))
 
 
 @query(

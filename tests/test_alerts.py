@@ -93,3 +93,13 @@ def test_alert_rows_from_results(spark):
     rows = [("linux", "k", '{"is_hardware_failure":"yes","failure_type":"disk","confidence":0.5}'), ("linux", "k", '{"is_hardware_failure":0}'), ("linux", "k", "junk")]
     got = A.alert_from_result(spark.createDataFrame(rows, "os string, issue_key string, result string")).collect()
     assert [(r.is_hardware_failure, r.failure_type, r.confidence) for r in got] == [(True, "disk", "0.5"), (False, "", ""), (False, "", "")]
+
+
+def test_results_are_read_once_and_after_the_rows_are_dealt(spark):
+    """The filter on a read result must not go below the repartition: one file would then be one task that reads them all."""
+    rows = [(i, i, "linux", "", "", ("no json", '{"summary":"disk trouble","failure_type":"disk"}')[i % 2]) for i in range(6)]
+    df = spark.createDataFrame(rows, "ms long, seq long, os string, summary string, solution string, result string").coalesce(1).repartition(4)
+    found = Q.search_alerts(df, ["disk trouble"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan[plan.index("Repartition"):]
+    assert [r.seq for r in found.collect()] == [5, 3, 1]

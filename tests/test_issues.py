@@ -101,3 +101,13 @@ def test_every_log_of_an_issue_is_named(spark):
     events = spark.createDataFrame([(entry.id, "correct", 1)], "id string, feedback string, ts long")
     found = A.feedback_logs(alerts, events, df.select("os", "log_id", "templated"), I.issue_log_ids(df))
     assert sorted(r.log_id for r in found.collect()) == list(range(60))
+
+
+def test_issues_without_logs_move_no_raw_lines(spark):
+    """A search reads summaries alone; the lines behind them are not shuffled for it."""
+    _, df = lines(spark)
+    slim, full = I.build_issues(df, with_logs=False), I.build_issues(df)
+    assert slim.columns == full.drop("logs").columns
+    assert sorted(map(tuple, slim.collect())) == sorted(map(tuple, full.drop("logs").collect()))
+    assert "raw" not in slim._jdf.queryExecution().optimizedPlan().toString()
+    assert I.issue_entries(slim).columns == [c for c in I.issue_entries(full).columns if c != "logs"]
