@@ -19,6 +19,7 @@ from logweave.operators.upsert import upsert_latest
 from logweave.session import checkpointed, fresh_path, spread
 
 LINE_SCHEMA = "log_id bigint, ts timestamp, source string, line string, source_id bigint"
+JUDGED_SCHEMA = f"e struct<{LINE_SCHEMA}>, value string, reason string"
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -91,10 +92,20 @@ def read_envelopes(raw: DataFrame, value: str = "value") -> tuple[DataFrame, Dat
     An envelope that is no JSON object, or lacks log_id, ts or line, goes to the rejects with the
     reason and its text as it came.
     """
+    return split_envelopes(judge_envelopes(raw, value))
+
+
+def judge_envelopes(raw: DataFrame, value: str = "value") -> DataFrame:
+    """Each envelope read: the fields ``e`` of its line and an empty reason, or the reason and its text ``value``."""
     parsed = raw.select(F.col(value).alias("value"), F.from_json(value, LINE_SCHEMA).alias("e"))
     missing = F.concat_ws(",", *[F.when(F.col(f"e.{c}").isNull(), c) for c in ("log_id", "ts", "line")])
     reason = F.when(F.try_parse_json("value").isNull(), "not json").when(missing != "", F.concat(F.lit("missing "), missing)).otherwise("")
     judged = parsed.withColumn("reason", reason)
+    taken = F.col("reason") == ""
+    return judged.select(F.when(taken, F.col("e")).alias("e"), F.when(~taken, F.col("value")).alias("value"), "reason")
+
+
+def split_envelopes(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.filter("reason = ''").select("e.*"), judged.filter("reason <> ''").select("value", "reason")
 
 
@@ -127,7 +138,9 @@ def consume_envelopes(raw: DataFrame, sources: DataFrame, prototypes: DataFrame,
     """The same from JSON envelopes; those that hold no line go to the table ``rejects`` with the reason."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        lines, rejects = read_envelopes(batch, value)
+        # the envelopes are read once: what they hold is written to the batch's own folder, and both sides come from there
+        write_batch(judge_envelopes(batch, value), f"{out}/envelopes", batch_id)
+        lines, rejects = split_envelopes(batch.sparkSession.read.schema(JUDGED_SCHEMA).parquet(f"{out}/envelopes/batch_id={batch_id}"))
         write_batch(rejects, f"{out}/rejects", batch_id)
         _consume_batch(lines, batch_id, sources, prototypes, out)
 

@@ -4,6 +4,7 @@ import datetime
 import json
 import random
 
+from pyspark.sql import functions as F
 
 from logweave.operators import automations as U, issues as I, logs as L
 from logweave.plans import fixtures as X
@@ -190,3 +191,24 @@ def test_a_landed_part_is_dealt_over_all_cores(spark, tmp_path):
     X.land_parts([spark.range(400).coalesce(1), spark.range(400, 800).coalesce(1)], str(tmp_path / "landed"), run)
     cores = spark.sparkContext.defaultParallelism
     assert cores > 1 and seen == [[400 // cores] * cores] * 2
+
+
+def test_an_envelope_is_read_once(spark, tmp_path):
+    """Rejects and lines come from one pass over a batch; each used to read all envelopes again."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        made.add(1)
+        return text
+
+    whole = '{{"log_id":{0},"ts":"2024-01-01T00:00:00Z","source":"Linux.log","line":"io error {0}"}}'
+    rows = [(whole.format(i) if i % 4 else f"broken {i}",) for i in range(40)]
+    landed, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, "value string").coalesce(1).write.parquet(landed)
+    raw = spark.readStream.schema("value string").parquet(landed).select(counted("value").alias("value"))
+    sources = spark.createDataFrame([], "id long, config string")
+    B.consume_envelopes(raw, sources, prototypes(spark), out).awaitTermination()
+    assert made.value == 40
+    assert sorted(r.value for r in B.read_table(spark, f"{out}/rejects").collect()) == sorted(v for v, in rows if v.startswith("broken"))
+    assert sorted(r.log_id for r in B.read_table(spark, f"{out}/logs").collect()) == [i for i in range(40) if i % 4]
