@@ -125,3 +125,13 @@ def test_render_action(spark):
     template = F.lit("{{ alert.id }} {{ alert.os }} {{alert.id}} {{ alert.result.summary }} {{ alert.nope }}")
     out = df.select(T.render_action(template, {"id": F.col("id"), "os": F.col("os")}, {"summary": F.lit("s")}).alias("r"))
     assert out.first().r == "a1 None {{alert.id}} s {{ alert.nope }}"
+
+
+def test_ascii_texts_take_plain_patterns_and_others_the_same_masks(spark):
+    """A text of ASCII alone never meets a pattern with (?U), whose classes cost far more; results are those of Python either way."""
+    seen = []
+    T.by_alphabet(F.col("t"), lambda t, u: seen.append(u) or t)
+    assert sorted(seen) == ["", "U"]
+    texts = ["a  b\t7 #8 \x0b -3", " 10.0.0.1\r\n12:30:45  x ", "a\u00a0 b \u2003 7 \u0663", "é  #8\t-3 ", "one blank 5 only"]
+    assert column(spark, texts, T.template_content) == [masked(t) for t in texts]
+    assert column(spark, [" \t a b \x0b\f\r\n", "\u2003 é \u00a0", ""], T.strip) == ["a b", "é", ""]

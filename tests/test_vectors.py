@@ -261,3 +261,14 @@ def test_broadcast_items_are_indexed_once(spark, monkeypatch):
     items, queries = frame(spark, vectors(60, 2), "item"), frame(spark, vectors(20, 3), "q").repartition(4)
     found = K.nearest(queries, items, 3, "q", "item").collect()
     assert len(found) == 60 and {type(held) for held in sent[0].values()} == {K.Held}
+
+
+def test_counts_are_written_as_runs(spark):
+    """The work for a text follows its tokens, not the dimensions times its tokens."""
+    rows = [([],), ([0],), ([63],), ([5, 5, 0, 63, 5, 62],), ([7] * 9,)]
+    df = spark.createDataFrame(rows, "b array<int>")
+    got = df.select(B.bucket_counts(F.col("b"), 64, False).alias("n"), B.bucket_counts(F.col("b")).alias("u")).collect()
+    for (buckets,), r in zip(rows, got, strict=True):
+        counts = np.bincount(buckets, minlength=64).astype(float) if buckets else np.zeros(64)
+        assert r.n == counts.tolist()
+        assert r.u == (counts / (np.sqrt((counts * counts).sum()) or 1.0)).tolist()
