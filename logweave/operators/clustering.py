@@ -12,7 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logweave.functions import rules as R, vectors as V
-from logweave.operators.knn import DIGITS, _matrix, _unit_rows, nearest, with_earlier_near
+from logweave.operators.knn import DIGITS, _matrix, in_order, nearest, with_earlier_near
 from logweave.operators.upsert import upsert_latest
 from logweave.session import checkpointed
 
@@ -35,20 +35,35 @@ def seeds_in_order(items: DataFrame, threshold: float, round_rows: int = ROUND_R
     ask one thing of a cell index. Once no OS has more than ``round_rows`` undecided rows, they are settled in order in
     one bounded task each; no result depends on it.
     """
+    rows = in_order(items)
+    seeds, _ = _seeds_and_near(rows, threshold, round_rows, **knn)
+    return rows.join(seeds.select("place"), "place", "left_semi").select("os", "id", "at", "embedding")
+
+
+def _seeds_and_near(rows: DataFrame, threshold: float, round_rows: int, **knn) -> tuple[DataFrame, DataFrame]:
+    """Seeds (os, place, embedding) of rows of ``in_order``, and for rows that are out the distance of a seed that is near: (place, seed, distance)."""
     # of equal vectors only the first can be a seed
-    first = items.groupBy("os", "embedding").agg(F.min(F.struct("at", "id")).alias("_first"))
-    undecided = checkpointed(first.select("os", F.col("_first.id").alias("id"), F.col("_first.at").alias("at"), "embedding"))
-    seeds = undecided.limit(0)
+    same = rows.groupBy(F.xxhash64("os", "embedding").alias("hash")).agg(F.count("*").alias("n"), F.min("place").alias("place"))
+    twice = checkpointed(rows.withColumn("hash", F.xxhash64("os", "embedding")).join(same.filter("n > 1").select("hash"), "hash", "left_semi").drop("hash"))
+    later = twice.select("place").join(twice.groupBy("os", "embedding").agg(F.min("place").alias("place")).select("place"), "place", "left_anti")
+    undecided = checkpointed(rows.select("os", "place", "embedding").join(checkpointed(later), "place", "left_anti"))
+    seeds, near = undecided.limit(0), undecided.sparkSession.createDataFrame([], "place bigint, seed bigint, distance double")
     while True:
         most = undecided.groupBy("os").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
         if most <= round_rows:
-            return seeds.unionByName(_first_seeds(undecided, threshold)) if most else seeds
-        waiting = checkpointed(with_earlier_near(undecided, threshold, **knn))
-        new = checkpointed(undecided.join(waiting, ["os", "id"], "left_anti").select("os", "id", "at", "embedding"))
+            return seeds.unionByName(_first_seeds(undecided, threshold)) if most else seeds, near
+        waiting = checkpointed(with_earlier_near(undecided.withColumn("id", F.col("place")), threshold, **knn).select(F.col("id").alias("place"), "near", "distance"))
+        new = checkpointed(undecided.select("place").join(waiting, "place", "left_anti"))
+        # most rows that wait for a row that has become a seed are out with it
+        told = checkpointed(waiting.join(new.select(F.col("place").alias("near")), "near", "left_semi").select("place", F.col("near").alias("seed"), "distance"))
+        state = new.withColumn("new", F.lit(True)).unionByName(waiting.select("place").join(told, "place", "left_anti").withColumn("new", F.lit(False)))
+        marked = checkpointed(undecided.join(state, "place"))
+        new, rest = marked.filter("new").drop("new"), marked.filter("NOT new").drop("new")
         seeds = seeds.unionByName(new)
-        rest = undecided.join(waiting, ["os", "id"], "left_semi")
-        close = nearest(rest, new.select("os", F.col("id").alias("seed_id"), "embedding"), 1, "id", "seed_id", limit=threshold, **knn)
-        undecided = checkpointed(rest.join(close.select("os", "id"), ["os", "id"], "left_anti").select("os", "id", "at", "embedding"))
+        close = nearest(rest, new.select("os", F.col("place").alias("seed"), "embedding"), 1, "place", "seed", limit=threshold, **knn)
+        close = checkpointed(close.select("place", "seed", "distance"))
+        near = near.unionByName(told).unionByName(close)
+        undecided = checkpointed(rest.join(close.select("place"), "place", "left_anti").select("os", "place", "embedding"))
 
 
 def single_pass_cluster(
@@ -64,16 +79,33 @@ def single_pass_cluster(
     the mean of the members so far; seeds do not move, and the centroid of a cluster is the unit mean of
     its members only once they are known.
     """
-    rows = items.select("os", F.col("id").cast("string").alias("id"), F.col("id").alias("at"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = checkpointed(rows)
-    seeds = seeds_in_order(rows, threshold, round_rows, **knn).select("os", F.col("id").alias("cluster"), "embedding")
-    seeds = checkpointed(seeds)
+    rows = in_order(items.select("os", F.col("id").cast("string").alias("id"), F.col("id").alias("at"), "embedding"))
+    seeds, near = _seeds_and_near(rows, threshold, round_rows, **knn)
+    seeds = checkpointed(seeds.select("os", "place", "embedding"))
+    # Seeds are farther from each other than the threshold. A row within a quarter of it of a seed is, by the triangle
+    # inequality, farther from every other one; the margins are those of rounding.
+    sure = near.filter(F.col("distance") + 3e-6 <= (threshold - 1e-6) / 4)
+    own = seeds.filter(_solid(seeds)).select("place", F.col("place").alias("seed"), F.lit(0.0).alias("distance"))
+    sure = checkpointed(sure.unionByName(own) if threshold > 2e-5 else sure.limit(0))
+    names = rows.select("place", "id")
+    open_ = rows.join(checkpointed(names.join(sure, "place", "left_anti").select("place")), "place", "left_semi").select("os", F.col("place").alias("row"), "embedding")
     # every row has a seed within the threshold
-    members = checkpointed(nearest(rows.select("os", "id", "embedding"), seeds, 1, "id", "cluster", limit=threshold, **knn).select("os", "id", "cluster"))
+    clusters = seeds.join(names.withColumnRenamed("id", "cluster"), "place")
+    found = nearest(open_, clusters.select("os", "cluster", "embedding"), 1, "row", "cluster", limit=threshold, **knn)
+    told = sure.withColumnRenamed("place", "row").join(clusters.select("os", F.col("place").alias("seed"), "cluster"), "seed")
+    members = found.select("os", "row", "cluster", "distance").unionByName(told.select("os", "row", "cluster", "distance"))
+    # of rows with one id the nearest counts
+    members = members.join(names.withColumnRenamed("place", "row"), "row").groupBy("os", "id").agg(F.min(F.struct("distance", "cluster")).alias("best"))
+    members = checkpointed(members.select("os", "id", "best.cluster"))
     sizes = members.groupBy("os", "cluster").count().filter(F.col("count") >= max(1, min_size))
     return members.join(sizes.drop("count"), ["os", "cluster"]).select("os", "id", "cluster")
 
 
+def _solid(rows: DataFrame) -> Column:
+    """Whether a packed vector has a length; a zero vector is at distance 1 even from itself."""
+    return F.ltrim(F.hex("embedding"), F.lit("0")) != ""
+
+
 def centroids(members: DataFrame, keys: Sequence[str] = ("os", "cluster")) -> DataFrame:
     """Unit mean of the unit member vectors: (keys, centroid). ``embedding`` is the vector."""
     mean = Summarizer.mean(array_to_vector(V.unit(F.col("embedding"))))
@@ -218,11 +250,11 @@ def assign_clusters(
 
 def _first_seeds(head: DataFrame, threshold: float) -> DataFrame:
     """Seeds among one bounded block of rows per OS, in order."""
-    cols = ["os", "id", "at", "embedding"]
+    cols = ["os", "place", "embedding"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"], kind="stable")
-        m = _unit_rows(_matrix(pdf["embedding"]))
+        pdf = pdf.sort_values("place", kind="stable")
+        m = _matrix(pdf["embedding"])
         free = np.ones(len(m), dtype=bool)
         rows: list[int] = []
         for at in range(len(m)):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.functions import vectors as V
-from logweave.operators import clustering as C, embedding as B, enrichment as N, knn as K
+from logweave.operators import clustering as C, embedding as B, enrichment as N, knn as K, tiles as T
 
 DIM = 8
 
@@ -272,3 +272,56 @@ def test_counts_are_written_as_runs(spark):
         counts = np.bincount(buckets, minlength=64).astype(float) if buckets else np.zeros(64)
         assert r.n == counts.tolist()
         assert r.u == (counts / (np.sqrt((counts * counts).sum()) or 1.0)).tolist()
+
+
+def copied(n, copies, seed, moved=0.02, dim=64):
+    """Rows (id, os, vector) without structure, each with close copies, in mixed order."""
+    rng = np.random.default_rng(seed)
+    m = np.repeat(rng.normal(size=(n, dim)), copies, axis=0) + moved * rng.normal(size=(n * copies, dim))
+    return [(i, "linux", m[j].tolist()) for i, j in enumerate(rng.permutation(n * copies))]
+
+
+def test_heads_rule_out_most_pairs_and_none_that_is_near():
+    m = np.array([unit(v) for _, _, v in copied(150, 3, 41)])
+    heads = T.heads(m, T.axes(m[:100]))
+    got = {(int(a), int(b)): int(s) for i, j, d in T.compared(m, m, heads, heads, np.full(len(m), T.least_of(0.2))) for a, b, s in zip(i, j, d, strict=True)}
+    near = np.rint((1 - m @ m.T) * T.STEPS).astype(int)
+    assert {p for p, s in got.items() if s <= 200_000} == set(zip(*(x.tolist() for x in np.nonzero(near <= 200_000)), strict=True))
+    assert len(got) < 0.05 * len(m) ** 2
+
+
+def test_clustering_vectors_without_structure_compares_few_pairs(spark):
+    rows = copied(150, 4, 42)
+    counted = spark.sparkContext.accumulator(0)
+    got = {}
+    for r in C.single_pass_cluster(frame(spark, rows, "id"), 0.2, 1, 0, broadcast_bytes=0, block_rows=60, compared=counted).collect():
+        got.setdefault(r.cluster, set()).add(int(r.id))
+    assert got == seed_model([(i, v) for i, _, v in rows], 0.2) and len(got) == 150
+    assert 0 < counted.value < 0.15 * len(rows) ** 2
+
+
+def test_earlier_near_asks_the_followers_of_a_leader(spark):
+    """Far smaller tiles than usual; rows that follow a leader can be near where the leader is not."""
+    rng = np.random.default_rng(43)
+    base = clustered(160, ("linux", "macos"), 44, 12)
+    rows = base + [(1000 + i, g, (np.array(v) * (1 + rng.random()) + 0.03 * rng.normal(size=16)).tolist()) for i, g, v in base] + [(2000, "linux", [0.0] * 16)]
+    kept = K.in_order(frame(spark, rows, "id").withColumn("at", F.col("id") % 7))
+    packed = kept.select(F.col("os").alias("grp"), "place", F.col("embedding").alias("vector"))
+    order = {r.place: (r.os, r.id) for r in kept.collect()}
+    assert [order[p] for p in sorted(order)] == sorted(order.values(), key=lambda x: (x[0], x[1] % 7, x[1]))
+    vector = {i: unit(v) for i, _, v in rows}
+    for limit in (0.004, 0.02):
+        got = {r.place: (r.near, r.distance) for r in K.earlier_near(packed, limit, 40, tile_rows=16).collect()}
+        want = {p for p, (g, i) in order.items() if any(h == g and round(1 - float(vector[i] @ vector[j]), 6) <= limit for q, (h, j) in order.items() if q < p)}
+        assert set(got) == want and 20 < len(want) < len(rows)
+        for p, (near, distance) in got.items():
+            assert near < p and abs(distance - (1 - vector[order[p][1]] @ vector[order[near][1]])) < 2e-6
+
+
+@pytest.mark.parametrize("round_rows,bytes_", [(5000, 10**9), (0, 0)])
+def test_rows_of_one_id_are_one_member(spark, round_rows, bytes_):
+    rows = copied(30, 3, 46, dim=16)
+    twice = rows + [r for r in rows if r[0] % 4 == 0]
+    got = [tuple(r) for r in C.single_pass_cluster(frame(spark, twice, "id"), 0.2, 1, round_rows, broadcast_bytes=bytes_, block_rows=20).collect()]
+    want = seed_model([(i, v) for i, _, v in rows], 0.2)
+    assert sorted(got) == sorted(("linux", str(i), c) for c, ids in want.items() for i in ids)
