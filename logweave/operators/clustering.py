@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logweave.functions import rules as R, vectors as V
-from logweave.operators.knn import DIGITS, _matrix, in_order, nearest, with_earlier_near
+from logweave.functions import rules as R
+from logweave.operators import tiles as T
+from logweave.operators.knn import DIGITS, _matrix, _unit_rows, in_order, nearest, packed, with_earlier_near
 from logweave.operators.upsert import upsert_latest
 from logweave.session import checkpointed
 
@@ -107,16 +106,55 @@ def _solid(rows: DataFrame) -> Column:
 
 
 def centroids(members: DataFrame, keys: Sequence[str] = ("os", "cluster")) -> DataFrame:
-    """Unit mean of the unit member vectors: (keys, centroid). ``embedding`` is the vector."""
-    mean = Summarizer.mean(array_to_vector(V.unit(F.col("embedding"))))
-    return members.groupBy(*keys).agg(V.unit(vector_to_array(mean)).alias("centroid"))
+    """Unit mean of the unit member vectors: (keys, centroid). ``embedding`` is the vector, packed or not."""
+    keys = list(keys)
+    rows = packed(members.filter("embedding IS NOT NULL").select(*keys, F.col("embedding").alias("total")), "total").withColumn("n", F.lit(1).cast("bigint"))
+    schema = rows.schema
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        code = rows.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.argsort(code, kind="stable")
+        starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+        totals = np.add.reduceat(_matrix(rows["total"])[order], starts, axis=0)
+        return rows[keys].iloc[order[starts]].assign(total=[t.tobytes() for t in totals], n=np.add.reduceat(rows["n"].to_numpy()[order], starts))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from (added(batch) for batch in batches if len(batch))
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for batch in batches:
+            if len(batch):
+                batch = added(batch if last is None else pd.concat([last, batch]))
+                last = batch.iloc[-1:]  # its cluster may go on
+                if len(batch) > 1:
+                    yield mean(batch.iloc[:-1])
+        if last is not None:
+            yield mean(last)
+
+    def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        centers = _unit_rows(_matrix(rows["total"]) / rows["n"].to_numpy()[:, None])
+        return rows[keys].assign(centroid=list(centers))
+
+    # of a large cluster each batch sends one row
+    sums = rows.mapInPandas(partial, schema).repartition(*keys).sortWithinPartitions(*keys)
+    out = ", ".join(f"`{k}` {schema[k].dataType.simpleString()}" for k in keys)
+    return sums.mapInPandas(whole, f"{out}, centroid array<double>")
 
 
 def medoids(members: DataFrame, centers: DataFrame, keys: Sequence[str] = ("os", "cluster")) -> DataFrame:
     """Member nearest to its centroid, ties to the lowest id: (keys, medoid_id, distance)."""
-    joined = members.join(centers, list(keys))
-    d = F.round(V.cosine_distance(V.unit(F.col("embedding")), F.col("centroid")), DIGITS)
-    best = joined.withColumn("_d", d).groupBy(*keys).agg(F.min(F.struct("_d", "id")).alias("_best"))
+    keys = list(keys)
+    rows = packed(members.filter("embedding IS NOT NULL").select(*keys, "id", "embedding"), "embedding")
+    joined = rows.join(packed(centers.select(*keys, "centroid"), "centroid"), keys)
+    out = ", ".join(f"`{k}` {joined.schema[k].dataType.simpleString()}" for k in [*keys, "id"])
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch[[*keys, "id"]].assign(_d=T.steps(_matrix(batch["embedding"]), _matrix(batch["centroid"])) / T.STEPS)
+
+    best = joined.mapInPandas(measured, f"{out}, _d double").groupBy(*keys).agg(F.min(F.struct("_d", "id")).alias("_best"))
     return best.select(*keys, F.col("_best.id").alias("medoid_id"), F.col("_best._d").alias("distance"))
 
 
@@ -139,7 +177,7 @@ def label_clusters(
 
 
 def build_prototypes(members: DataFrame, run_id: str = "") -> DataFrame:
-    """One prototype per cluster from member rows (os, cluster, id, document, embedding).
+    """One prototype per cluster from member rows (os, cluster, id, document, embedding); vectors may be packed.
 
     Ids are ``cluster_<first member>``, with a run id in front where runs must not overwrite
     each other.
@@ -182,7 +220,8 @@ def cluster_templates(
     """Prototypes of all OSes from rows (os, id, document, embedding)."""
     found = single_pass_cluster(items, threshold, min_size, **knn)
     # read several times below
-    members = checkpointed(items.withColumn("id", F.col("id").cast("string")).join(found, ["os", "id"]))
+    members = items.withColumn("id", F.col("id").cast("string")).join(found, ["os", "id"]).filter("embedding IS NOT NULL")
+    members = checkpointed(packed(members.select("os", "cluster", "id", "document", "embedding"), "embedding"))
     return build_prototypes(members, run_id)
 
 

@@ -318,6 +318,26 @@ def test_earlier_near_asks_the_followers_of_a_leader(spark):
             assert near < p and abs(distance - (1 - vector[order[p][1]] @ vector[order[near][1]])) < 2e-6
 
 
+@pytest.mark.parametrize("size", [2, 40])
+def test_centroids_of_packed_vectors(spark, size):
+    """Clusters that are cut by batches, and members given either way."""
+    rows = [(i, "linux", v) for i, _, v in vectors(200, 45)]
+    members = frame(spark, rows, "id").withColumn("cluster", (F.col("id") % size).cast("string")).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        plain = {r.cluster: r.centroid for r in C.centroids(members).collect()}
+        same = {r.cluster: r.centroid for r in C.centroids(K.packed(members, "embedding")).collect()}
+        middle = {r.cluster: r.medoid_id for r in C.medoids(members, C.centroids(members)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for c in range(size):
+        some = {i: unit(v) for i, _, v in rows if i % size == c}
+        want = unit(np.mean(list(some.values()), axis=0))
+        assert np.allclose(plain[str(c)], want) and np.allclose(same[str(c)], want)
+        assert middle[str(c)] == min(some, key=lambda i: (round(float(1 - some[i] @ want), 6), i))
+    assert len(plain) == len(same) == size
+
+
 @pytest.mark.parametrize("round_rows,bytes_", [(5000, 10**9), (0, 0)])
 def test_rows_of_one_id_are_one_member(spark, round_rows, bytes_):
     rows = copied(30, 3, 46, dim=16)
